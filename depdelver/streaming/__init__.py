@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+Dependency discovery is defined over a finite relation: one late row can refute a
+dependency that was already reported, so there is no incremental result to emit.
+Append-only sources are profiled by running the batch engine on a snapshot.
+"""
