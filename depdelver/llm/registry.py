@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from depdelver.llm import mixing, url_filter
+from depdelver.llm import decontamination, mixing, topk, url_filter
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
+    "op1_topk": topk.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op5_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
 }
