@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from depdelver.llm import decontamination, mixing, topk, url_filter
+from depdelver.llm import decontamination, line_dedup, mixing, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
     "op1_topk": topk.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_decontamination": decontamination.SQL,
+    "op6_line_dedup": line_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }
