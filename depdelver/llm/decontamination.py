@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depdelver.llm.textops import PUNCT, U, as_bytes, grams, mix, word_blocks
+from depdelver.llm.textops import PUNCT, U, as_bytes, grams, window_hash, word_blocks
 from depdelver.session import cut
 
 #: Words of a window, and of the k-grams of which the least one in a window is its fingerprint.
@@ -46,15 +46,6 @@ def fingerprints(h: np.ndarray, words: int, gram: int) -> np.ndarray:
     return out
 
 
-def window_hash(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
-    """The hashes that ``grams`` gives, of the windows from ``at`` only."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(words):
-        out *= U(0xFF51AFD7ED558CCD)
-        out += h[at + i]
-    return mix(out + U(words))
-
-
 def build(items: list[tuple[str, bytes]], window: int) -> tuple[list[Index], list[str]]:
     """Indexes by window length (a shorter item is one window) and the items' ids."""
     names = sorted({i for i, _ in items})

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from depdelver.llm import decontamination, line_dedup, mixing, topk, url_filter
+from depdelver.llm import decontamination, jaccard_join, line_dedup, mixing, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
@@ -16,5 +17,6 @@ SQL = {
     "op4_url_filter": url_filter.SQL,
     "op5_decontamination": decontamination.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
     "op10_mixing": mixing.SQL,
 }

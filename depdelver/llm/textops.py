@@ -120,6 +120,15 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U(n))
 
 
+def window_hash(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """The hashes that ``grams`` gives, of the runs from ``at`` only."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(words):
+        out *= U(0xFF51AFD7ED558CCD)
+        out += h[at + i]
+    return mix(out + U(words))
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The texts of an Arrow column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
