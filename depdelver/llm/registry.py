@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from depdelver.llm import decontamination, jaccard_join, line_dedup, mixing, topk, url_filter
+from depdelver.llm import decontamination, jaccard_join, language, line_dedup, mixing, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_language": language.op7_language,
+    "page_language": language.page_language,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_mixing": mixing.op10_mixing,
 }
