@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depdelver.llm import decontamination, jaccard_join, language, line_dedup, mixing, topk, url_filter
+from depdelver.llm import decontamination, jaccard_join, language, line_dedup, lm_score, mixing, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_language": language.op7_language,
     "page_language": language.page_language,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_mixing": mixing.op10_mixing,
 }

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -129,6 +129,19 @@ def window_hash(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
     return mix(out + U(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts are held twice."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The texts of an Arrow column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
