@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     gone = cut(repeated(docs, doc_id, text, lines))
     d, g = _keyed(docs, doc_id, text).alias("d"), gone.alias("g")
-    rows = d.join(g, F.col("d.__key") == F.col("g.__key"), "left")
+    rows = d.join(g.hint("merge"), F.col("d.__key") == F.col("g.__key"), "left")  # the same plan at every size
     t = F.col(f"d.`{text}`")
     kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(t)) - 1), F.col("g.__gone"))
     new = F.when(F.col("g.__gone").isNull(), t).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(t), i)), "\n"))
