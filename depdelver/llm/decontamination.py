@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depdelver.llm.textops import PUNCT, U, as_bytes, grams, window_hash, word_blocks
+from depdelver.llm.textops import PUNCT, U, as_bytes, grams, slices, window_hash, word_blocks
 from depdelver.session import cut
 
 #: Words of a window, and of the k-grams of which the least one in a window is its fingerprint.
@@ -134,7 +134,7 @@ def _marker(index, text: str, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes, names = index.value
-        for batch in batches:
+        for batch in slices(batches):
             n_words, found = analyse(as_bytes(batch.column(text)), indexes, names)
             spans: list = [[]] * len(batch) if first else batch.column("__spans").to_pylist()
             items: list = [[]] * len(batch) if first else batch.column("__items").to_pylist()

@@ -7,19 +7,18 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
-from depdelver.llm.textops import SPACES, U, as_bytes, grams, mix, window_hash, word_blocks
+from depdelver.llm.textops import SPACES, U, as_bytes, distinct, grams, mix, slices, window_hash, word_blocks
 from depdelver.session import cut
 
 SHINGLE = 5
 #: Two documents link from this similarity on, in hundredths.
 PERCENT = 75
 #: Shingles that a task of the first pass gathers before it deals them out, and that a part has.
-BATCH, PART = 3_000_000, 1_500_000
+BATCH, PART = 1_000_000, 1_500_000
 #: Documents and shingles of one search; a larger component is searched block against block.
 DOCS, TOKENS = 4096, 3_000_000
 #: Weight of the length of the longest list in choosing how many lists are long.
@@ -61,7 +60,7 @@ def _deal(bits: int, n: int):
 
     def flush(block: int, ids: list, tokens: list, docs: list) -> list[list]:
         t, d = np.concatenate(tokens), np.concatenate(docs)
-        keys = np.unique((t & ~MASK) | d)  # by hash, then document; each once
+        keys = distinct((t & ~MASK) | d)  # by hash, then document; each once
         local = (keys & MASK).astype(np.int64)
         sizes = np.bincount(local, minlength=len(ids)).astype(np.int64)
         by_doc = np.sort(((keys & MASK) << U(48)) | (keys >> U(16))) & U((1 << 48) - 1)
@@ -77,9 +76,9 @@ def _deal(bits: int, n: int):
         return rows + [[p, block, None, keys[a:b].tobytes(), *[None] * 5] for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-        ids, tokens, docs, size = [], [], [], 0
-        for batch in batches:
+        block, ids, tokens, docs, size = None, [], [], [], 0
+        for batch in slices(batches):
+            block = batch.column(2)[0].as_py() << 24 if block is None else block
             names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             for first, end, h, offs in word_blocks(texts, SPACES):
                 if ids and (size + len(h) > BATCH or len(ids) + end - first > 65536):
@@ -247,7 +246,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Shingles are told apart by 48 bits of hash within a part.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"), F.spark_partition_id())
     size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[1])), F.lit(0))).head()[0]
     bits = max(0, ceil(log2(max(1, size / 6 / PART))))
     packed = rows.mapInArrow(_deal(bits, shingle), PACKED)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depdelver.llm.textops import BLOCK, as_bytes
+from depdelver.llm.textops import BLOCK, as_bytes, slices
 from depdelver.session import cut
 
 #: Labelled rows on which the text model is fitted, about; the only bounded sample.
@@ -79,7 +79,7 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         texts, labels = as_bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
         for doc, gram in gram_blocks(texts):
             for label in set(labels[np.unique(doc)].tolist()):
@@ -111,7 +111,7 @@ def _scorer(model, text: str):
     """Adds __n and __ev, the tempered log-likelihoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, ll = model.value.scores(as_bytes(batch.column(text)))
             # Trigrams are far from independent: n of them weigh like the root of n.
             ev = ll / np.sqrt(np.maximum(n, 1))[:, None]
