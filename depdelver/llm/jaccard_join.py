@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
-from depdelver.llm.textops import SPACES, U, as_bytes, distinct, grams, mix, slices, window_hash, word_blocks
+from depdelver.llm.textops import SPACES, U, as_bytes, distinct, grams, mix, pack_sorted, slices, unpack_sorted, window_hash, word_blocks
 from depdelver.session import cut
 
 SHINGLE = 5
 #: Two documents link from this similarity on, in hundredths.
 PERCENT = 75
 #: Shingles that a task of the first pass gathers before it deals them out, and that a part has.
-BATCH, PART = 1_000_000, 1_500_000
+BATCH, PART = 2_000_000, 1_500_000
 #: Documents and shingles of one search; a larger component is searched block against block.
 DOCS, TOKENS = 4096, 3_000_000
 #: Weight of the length of the longest list in choosing how many lists are long.
@@ -26,7 +26,7 @@ MU = 0.0085
 #: Of a shingle's hash, 48 bits are kept.
 MASK = U(0xFFFF)
 
-PACKED = "part int, block long, local binary, keys binary, ids binary, valid binary, sizes binary, h1 binary, h2 binary"
+PACKED = "part int, block long, local binary, keys binary, level binary, ids binary, valid binary, sizes binary, h1 binary, h2 binary"
 
 
 def _arrays(ids, valid, sizes, h1, h2) -> list:
@@ -37,7 +37,7 @@ def _rows(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("local", "keys", "ids", "valid", "sizes", "h1", "h2"))])
+_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("local", "keys", "level", "ids", "valid", "sizes", "h1", "h2"))])
 
 
 def shingles(h: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +71,21 @@ def _deal(bits: int, n: int):
             h1[full], h2[full] = np.add.reduceat(mix(by_doc), at), np.add.reduceat(mix(by_doc ^ U(0x5851F42D4C957F2D)), at)
         valid = np.array([i is not None for i in ids])
         data = _arrays(np.array([i or 0 for i in ids], np.int64), valid, sizes, h1, h2)
-        rows = [[block * 2654435761 % (1 << bits), block, None, None, *data]]
+        rows = [[int(mix(np.array([block], np.uint64))[0] % U(1 << bits)), block, None, None, None, *data]]
         cuts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-        return rows + [[p, block, None, keys[a:b].tobytes(), *[None] * 5] for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        local = local.astype(np.uint16)
+        return rows + [[p, block, local[a:b].tobytes(), pack_sorted(keys[a:b] >> U(16)), *[None] * 6] for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, tokens, docs, size = None, [], [], [], 0
         for batch in slices(batches):
-            block = batch.column(2)[0].as_py() << 24 if block is None else block
+            if block is None or not ids:
+                block = batch.column(2)[0].as_py()
             names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             for first, end, h, offs in word_blocks(texts, SPACES):
                 if ids and (size + len(h) > BATCH or len(ids) + end - first > 65536):
                     yield _rows(flush(block, ids, tokens, docs), _SCHEMA)
-                    block, ids, tokens, docs, size = block + 1, [], [], [], 0
+                    block, ids, tokens, docs, size = block + len(ids), [], [], [], 0
                 t, d = shingles(h, offs, n)
                 tokens.append(t)
                 docs.append(d + U(len(ids)))
@@ -97,25 +99,23 @@ def _deal(bits: int, n: int):
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Of a part, the shingles of more than one document, by block, with the class of their count on top."""
-    blobs, blocks = table.column("keys").to_pylist(), table.column("block").to_pylist()
+    blobs, blocks, local = (table.column(c).to_pylist() for c in ("keys", "block", "local"))
     out = [[0, b, *row] for b, k, row in zip(blocks, blobs, zip(*(table.column(c).to_pylist() for c in _SCHEMA.names[2:]), strict=True), strict=True) if k is None]
     own = [i for i, k in enumerate(blobs) if k is not None]
     if own:
-        keys = np.concatenate([np.frombuffer(blobs[i], np.uint64) for i in own])
-        where = np.repeat(np.arange(len(own), dtype=np.int32), [len(blobs[i]) // 8 for i in own])
-        order = np.argsort(keys, kind="stable")
-        keys, where = keys[order], where[order]
-        token = keys >> U(16)
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        count = np.diff(np.append(first, len(token)))
-        each = np.repeat(count, count)
-        keep = each > 1
-        level = np.log2(each[keep]).astype(np.uint64)
-        token, local, where = (level << U(48)) | token[keep], (keys[keep] & MASK).astype(np.uint16), where[keep]
-        order = np.argsort(where, kind="stable")
-        token, local, where = token[order], local[order], where[order]
+        token = np.concatenate([unpack_sorted(blobs[i]) for i in own])
+        doc = np.concatenate([np.frombuffer(local[i], np.uint16) for i in own])
+        where = np.repeat(np.arange(len(own), dtype=np.int32), [len(local[i]) // 2 for i in own])
+        order = np.argsort(token, kind="stable")
+        ordered = token[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        count = np.diff(np.append(first, len(ordered)))
+        level = np.empty(len(token), np.uint8)
+        level[order] = np.repeat(np.log2(count).astype(np.uint8), count)
+        keep = level > 0
+        token, doc, where, level = token[keep], doc[keep], where[keep], level[keep]
         cuts = np.searchsorted(where, np.arange(len(own) + 1))
-        out += [[0, blocks[i], local[a:b].tobytes(), token[a:b].tobytes(), *[None] * 5] for i, a, b in zip(own, cuts[:-1], cuts[1:], strict=True) if b > a]
+        out += [[0, blocks[i], doc[a:b].tobytes(), pack_sorted(token[a:b]), level[a:b].tobytes(), *[None] * 5] for i, a, b in zip(own, cuts[:-1], cuts[1:], strict=True) if b > a]
     return pa.Table.from_batches([_rows(out, _SCHEMA)])
 
 
@@ -130,8 +130,9 @@ def _assemble(percent: int):
         names = ("ids", "valid", "sizes", "h1", "h2")
         data = {c: [x for x in table.column(c).to_pylist() if x is not None] for c in names}
         ids, valid, sizes, h1, h2 = (np.frombuffer(data[c][0], t) for c, t in zip(names, (np.int64, bool, np.int64, np.int64, np.int64), strict=True))
-        local = [np.frombuffer(x, np.uint16) for x in table.column("local").to_pylist() if x is not None]
-        keys = [np.frombuffer(k, np.uint64) for k, x in zip(table.column("keys").to_pylist(), table.column("local").to_pylist(), strict=True) if x is not None]
+        own = [x for x in zip(*(table.column(c).to_pylist() for c in ("local", "keys", "level")), strict=True) if x[0] is not None]
+        local = [np.frombuffer(x, np.uint16) for x, _, _ in own]
+        keys = [unpack_sorted(k) | (np.frombuffer(c, np.uint8).astype(np.uint64) << U(48)) for _, k, c in own]
         tokens: list = [None] * len(ids)
         if local:
             local, keys = np.concatenate(local), np.concatenate(keys)
@@ -140,7 +141,7 @@ def _assemble(percent: int):
             cuts = np.searchsorted(local, np.arange(len(ids) + 1))
             for i in np.flatnonzero((100 * np.diff(cuts) >= percent * sizes) & (sizes > 0)).tolist():
                 tokens[i] = keys[cuts[i] : cuts[i + 1]].tobytes()
-        rid = (table.column("block")[0].as_py() << 16) + np.arange(len(ids))
+        rid = table.column("block")[0].as_py() + np.arange(len(ids))
         return pa.Table.from_arrays([pa.array(rid), pa.array(ids, mask=~valid), pa.array(sizes), pa.array(h1), pa.array(h2), pa.array(tokens, pa.binary())], schema=_DOCUMENT)
 
     return run
@@ -225,8 +226,36 @@ def _search(percent: int):
     return run
 
 
+def search_groups(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(member, least): the components of linked sets inside each group.
+
+    ``reps``: rid, n and tokens of different sets; ``groups``: node (a rid) and comp. Sets that
+    are alone in their component may be missing.
+    """
+    members = cut(reps.join(groups, reps["rid"] == groups["node"]).select("rid", "comp", "n", "tokens"))
+    extent = cut(members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.length("tokens")).alias("bytes")))
+    whole = (F.col("docs") <= DOCS) & (F.col("bytes") <= 8 * TOKENS)
+    n_docs, n_bytes = extent.where(whole).agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).head()
+    bins = max(1, ceil(2 * n_docs / DOCS), ceil(2 * n_bytes / 8 / TOKENS))
+    search = lambda df, *by: df.groupBy(*by).applyInArrow(_search(percent), "rid long, least long")
+    small = members.join(extent.where(whole).select("comp"), "comp").withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(bins)))
+    linked = search(small, "bin")
+    large = extent.where(~whole).withColumn("blocks", F.ceil(F.greatest(2 * F.col("docs") / DOCS, 2 * F.col("bytes") / (8 * TOKENS))).cast("int"))
+    if large.head(1):
+        spread = members.join(large, "comp").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("rid", "comp", "n", "tokens", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        found = search(spread, "comp", "i", "j").where("rid <> least")
+        found = connected_components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")))
+        linked = linked.unionByName(found.select(F.col("node").alias("rid"), F.col("comp").alias("least")))
+    return linked.withColumnRenamed("rid", "member")
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
+    """doc_id, n_shingles, component_id, row and first_row of every document.
+
+    ``row`` is its monotonically_increasing_id in ``docs``; ``first_row`` that of the row with the
+    component's smallest doc_id, or the first of several.
 
     A document's set are the distinct runs of ``shingle`` words (runs of anything but ASCII white
     space, A-Z lower-cased) of its whole text, or all its words if they are fewer. Two documents
@@ -246,7 +275,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Shingles are told apart by 48 bits of hash within a part.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"), F.spark_partition_id())
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"), F.monotonically_increasing_id())
     size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[1])), F.lit(0))).head()[0]
     bits = max(0, ceil(log2(max(1, size / 6 / PART))))
     packed = rows.mapInArrow(_deal(bits, shingle), PACKED)
@@ -254,40 +283,32 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     table = cut(returned.groupBy("block").applyInArrow(_assemble(percent), DOCUMENT))
 
     sets = ["n", "h1", "h2"]
-    reps = table.where(F.col("tokens").isNotNull()).groupBy(*sets).agg(F.min(F.struct("rid", "tokens")).alias("x"), F.min("doc_id").alias("least_id"))
-    reps = cut(reps.select(*sets, "least_id", "x.*"))
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    reps = table.where(F.col("tokens").isNotNull()).groupBy(*sets).agg(F.min(F.struct("rid", "tokens")).alias("x"), F.min(lead).alias("first"))
+    reps = cut(reps.select(*sets, "first", "x.*"))
     posted = cut(reps.select("rid", "n", "tokens").mapInArrow(_prefixes(percent), "token long, rid long"))
-    lead = cut(posted.groupBy("token").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    edges = posted.join(lead, "token").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
+    heads = cut(posted.groupBy("token").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    edges = posted.join(heads, "token").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
     groups = connected_components(edges)
-    members = cut(reps.join(groups, reps["rid"] == groups["node"]).select("rid", "comp", "n", "tokens"))
-    extent = cut(members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.length("tokens")).alias("bytes")))
-    whole = (F.col("docs") <= DOCS) & (F.col("bytes") <= 8 * TOKENS)
-    n_docs, n_bytes = extent.where(whole).agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).head()
-    bins = max(1, ceil(2 * n_docs / DOCS), ceil(2 * n_bytes / 8 / TOKENS))
-    search = lambda df, *by: df.groupBy(*by).applyInArrow(_search(percent), "rid long, least long")
-    small = members.join(extent.where(whole).select("comp"), "comp").withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(bins)))
-    linked = search(small, "bin")
-    large = extent.where(~whole).withColumn("blocks", F.ceil(F.greatest(2 * F.col("docs") / DOCS, 2 * F.col("bytes") / (8 * TOKENS))).cast("int"))
-    if large.head(1):
-        spread = members.join(large, "comp").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("rid", "comp", "n", "tokens", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        found = search(spread, "comp", "i", "j").where("rid <> least")
-        found = connected_components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")))
-        linked = linked.unionByName(found.select(F.col("node").alias("rid"), F.col("comp").alias("least")))
-    linked = linked.withColumnRenamed("rid", "member")
-    named = reps.join(linked, F.col("rid") == F.col("member"), "left").select(*sets, "least_id", F.coalesce("least", "rid").alias("least"))
+    linked = search_groups(reps, groups, percent)
+    named = reps.join(linked, F.col("rid") == F.col("member"), "left").select(*sets, "first", F.coalesce("least", "rid").alias("least"))
     named = cut(named)
-    smallest = named.groupBy("least").agg(F.min("least_id").alias("component_id"))
-    classes = cut(named.join(smallest, "least").select(*sets, "component_id"))
-    alone = table.where(F.col("tokens").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    near = table.where(F.col("tokens").isNotNull()).select("doc_id", *sets).join(classes, sets)
-    return alone.unionByName(near.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    smallest = named.groupBy("least").agg(F.min("first").alias("lead"))
+    classes = cut(named.join(smallest, "least").select(*sets, F.col("lead.doc_id").alias("component_id"), F.col("lead.rid").alias("first_row")))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rid").alias("row"), "first_row"]
+    alone = table.where(F.col("tokens").isNull()).withColumns({"component_id": F.col("doc_id"), "first_row": F.col("rid")}).select(*out)
+    return alone.unionByName(table.where(F.col("tokens").isNotNull()).join(classes, sets).select(*out))
+
+
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """The documents, with their own columns, but of each component only the one of the smallest id."""
+    keep = cut(jaccard_components(docs, **kw).where("row = first_row").select(F.col("row").alias("__row")))
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    return marked.join(keep.hint("merge"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

@@ -135,6 +135,37 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, the first bytes of all, then the second ones and so on, compressed."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + squeeze(planes.tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(unsqueeze(blob[9:]), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending whole numbers by their differences."""
+    return pack(np.diff(x, prepend=U(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that few texts are held twice."""
     for batch in batches:
