@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from depdelver.llm import decontamination, jaccard_join, language, line_dedup, lm_score, mixing, topk, url_filter
+from depdelver.llm import decontamination, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 SQL = {
     "op1_topk": topk.SQL,
+    "op2_license_scan": licenses.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_decontamination": decontamination.SQL,
     "op6_line_dedup": line_dedup.SQL,
