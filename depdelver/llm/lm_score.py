@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depdelver.llm.textops import SPACES, U, as_bytes, distinct, grams, slices, word_blocks
+from depdelver.llm.textops import SPACES, U, as_bytes, grams, pack, pack_sorted, slices, squeeze, unpack, unpack_sorted, unsqueeze, word_blocks
 from depdelver.session import cut
 
 ORDER = 3
@@ -18,29 +18,16 @@ BACKOFF = 0.4
 #: N-grams of more than one word that are seen fewer times count as unseen.
 MIN_COUNT = 2
 #: Text of a block of documents, and n-grams of a part of the count table.
-BLOCK_BYTES, PART = 6 << 20, 2_000_000
+BLOCK_BYTES, PART = 8 << 20, 2_000_000
 #: Bits of an n-gram's hash that are kept.
 KEPT = 56
 
-PACKED = "part int, block long, keys binary, counts binary, ids array<long>, texts array<binary>"
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
+PACKED = "part int, block long, keys binary, counts binary, ids array<long>, texts binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary())])
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("n_unigrams", pa.int64())])
 SCORE = "doc_id long, n_words long, score double, n_unigrams long"
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers in as many bytes each as the largest needs."""
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : blob[0]] = raw
-    return out.view("<u8").ravel()
-
-
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """Consecutive documents of a task, about BLOCK_BYTES of text at a time: block, ids, texts."""
     ids, texts, size = [], [], 0
@@ -89,7 +76,7 @@ def _count(order: int, bits: int):
         for block, _, texts in blocks(batches):
             keys, counts = np.unique(np.concatenate([g for _, g in ngrams(*words(texts), order)]), return_counts=True)
             cuts = parts_of(keys, bits)
-            rows = [(p, pack(np.diff(keys[a:b], prepend=U(0))), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            rows = [(p, pack_sorted(keys[a:b]), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if rows:
                 p, k, c = zip(*rows, strict=True)
                 none = [None] * len(p)
@@ -100,12 +87,14 @@ def _count(order: int, bits: int):
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, ids, texts in blocks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((-1, block, None, None, ids, texts), _SCHEMA, strict=True)], schema=_SCHEMA)
+        lengths = pack(np.array([len(t or b"") for t in texts]))
+        row = (-1, block, lengths, None, ids, squeeze(b"".join([t or b"" for t in texts])))
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def _sum(table: pa.Table) -> pa.Table:
     """Of a part, the counts over all blocks, for each block in the order of its n-grams."""
-    keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
     counts = np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
@@ -126,20 +115,28 @@ def _score(order: int, backoff: float, min_count: int):
     def run(table: pa.Table) -> pa.Table:
         held = table.column("part").to_numpy()
         at = int(np.flatnonzero(held == -1)[0])
-        ids, texts = table.column("ids")[at].as_py(), table.column("texts")[at].as_py()
+        ids, raw = table.column("ids")[at].as_py(), unsqueeze(table.column("texts")[at].as_py())
+        cuts = np.cumsum(np.append(0, unpack(table.column("keys")[at].as_py()))).astype(np.int64)
+        texts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         blobs = table.column("counts").to_pylist()
-        total = np.concatenate([np.empty(0, np.uint64), *[unpack(blobs[i]) for i in np.argsort(held, kind="stable").tolist() if held[i] >= 0]]).astype(np.float64)
+        total = np.concatenate([np.empty(0, np.uint64), *[unpack(blobs[i]) for i in np.argsort(held, kind="stable").tolist() if held[i] >= 0]])
         h, doc = words(texts)
         found = ngrams(h, doc, order)
-        keys = distinct(np.concatenate([g for _, g in found]))
+        every = np.concatenate([g for _, g in found])
+        by_hash = np.argsort(every)
+        ordered = every[by_hash]
+        count = np.empty(len(every))
+        count[by_hash] = total[np.cumsum(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]) - 1]
+        del every, by_hash, ordered, total
         m = len(h)
         # Of every word, by n: the count of the n-gram that ends there, 0 if it would begin before the document.
-        seen = []
+        seen, past = [], 0
         for n, (start, g) in enumerate(found, 1):
             c = np.zeros(m)
-            c[start + n - 1] = total[np.searchsorted(keys, g)]
+            c[start + n - 1] = count[past : past + len(g)]
+            past += len(g)
             seen.append(c)
-        place = np.arange(m) - np.searchsorted(doc, doc)
+        place = np.arange(m) - np.searchsorted(doc, np.arange(len(ids)))[doc]
         score = np.log(np.maximum(seen[0], 1)) + np.log(backoff) * np.minimum(place, order - 1)
         level = np.ones(m, np.int64)
         for n in range(2, order + 1):
