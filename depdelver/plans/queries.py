@@ -1,10 +1,430 @@
-"""Queries for the driver, one or more for each operator of the engine, and their SQL."""
+"""Queries for the driver, one or more for each operator of the engine, and their SQL.
+
+All run over whole tables; ``fd_row_limit`` alone limits rows, which is what it is about.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from depdelver.functions import bits
+from depdelver.operators import agree, metrics, partitions, validate
+from depdelver.operators.cover import Cover
+from depdelver.operators.partitions import name
+from depdelver.plans.discover import discover_fds
+from depdelver.sources.csv import CsvDescriptor, render_line
+from depdelver.session import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+COLUMNS = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+
+
+def query(key: str, sql: str | None = None):
+    def add(f):
+        QUERIES[key] = f
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*COLUMNS[table])
+
+
+# -- Discovery ---------------------------------------------------------------------------------
+
+
+def fd_sql(source: str, columns: list[str], k: int | None = None) -> str:
+    """All minimal dependencies by partition counts: CTEs that end in ``m`` (lhs mask, rhs), and ``a``."""
+    n = len(columns)
+    full = (1 << n) - 1
+    if k is None:
+        groups = f"CUBE ({', '.join(columns)})"
+    else:
+        sets = [s for j in range(k + 2) for s in combinations(columns, j)]
+        groups = f"GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in sets)})"
+    values = ", ".join(f"({i}, {1 << n - 1 - i}, '{c}')" for i, c in enumerate(columns))
+    limit = "" if k is None else f" WHERE bit_count(p.mask) <= {k}"
+    return f"""
+WITH src AS ({source}),
+g AS (SELECT {full} - GROUPING({', '.join(columns)}) AS mask FROM src GROUP BY {groups}),
+p AS (SELECT mask, count(*) AS card FROM g GROUP BY mask),
+a(pos, bit, name) AS (VALUES {values}),
+v AS (SELECT p.mask AS lhs, a.bit AS rhs_bit, a.name AS rhs FROM p JOIN a ON (p.mask & a.bit) = 0
+      JOIN p q ON q.mask = (p.mask | a.bit) AND q.card = p.card{limit}),
+m AS (SELECT lhs, rhs FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.rhs_bit = v.rhs_bit AND w.lhs <> v.lhs AND (w.lhs & v.lhs) = w.lhs))
+"""
+
+
+FD_SELECT = "SELECT coalesce((SELECT string_agg(a.name, ',' ORDER BY a.pos) FROM a WHERE (a.bit & m.lhs) <> 0), '') AS lhs, rhs FROM m"
+
+
+def flat(fds: DataFrame) -> DataFrame:
+    return fds.select(F.array_join("lhs", ",").alias("lhs"), "rhs")
+
+
+def _fd(table: str, **options):
+    return lambda spark, sf_dir: flat(discover_fds(load(spark, sf_dir, table), **options))
+
+
+for _t in ("region", "nation", "supplier", "customer", "part", "orders", "events"):
+    query(f"fd_{_t}", fd_sql(f"SELECT * FROM {_t}", COLUMNS[_t]) + FD_SELECT)(_fd(_t))
+query("fd_lineitem_k2", fd_sql("SELECT * FROM lineitem", COLUMNS["lineitem"], 2) + FD_SELECT)(_fd("lineitem", max_lhs_size=2))
+query("fd_customer_cube", SQL["fd_customer"])(_fd("customer", strategy="cube"))
+query("fd_part_k1_cube", fd_sql("SELECT * FROM part", COLUMNS["part"], 1) + FD_SELECT)(_fd("part", strategy="cube", max_lhs_size=1))
+query("fd_supplier_groups", SQL["fd_supplier"])(_fd("supplier", strategy="group"))
+query("fd_orders_broadcast", SQL["fd_orders"])(_fd("orders", strategy="broadcast"))
+
+_NULLED = "SELECT c_custkey, c_name, NULLIF(c_nationkey, 3) AS c_nationkey, c_acctbal, NULLIF(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer"
+
+
+def nulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = {"c_nationkey": F.lit(3), "c_mktsegment": F.lit("BUILDING")}
+    return load(spark, sf_dir, "customer").withColumns({c: F.nullif(F.col(c), v) for c, v in gone.items()})
+
+
+@query("fd_null_eq", fd_sql(_NULLED, COLUMNS["customer"]) + FD_SELECT)
+def fd_null_eq(spark, sf_dir):
+    return flat(discover_fds(nulled(spark, sf_dir)))
+
+
+_UNLIKE = ", ".join(f"CASE WHEN {c} IS NULL THEN 'n' || c_custkey ELSE 'v' || {c} END AS {c}" for c in COLUMNS["customer"])
+
+
+@query("fd_null_neq", fd_sql(f"SELECT {_UNLIKE} FROM ({_NULLED})", COLUMNS["customer"]) + FD_SELECT)
+def fd_null_neq(spark, sf_dir):
+    return flat(discover_fds(nulled(spark, sf_dir), null_equals_null=False))
+
+
+@query("fd_null_neq_groups", SQL["fd_null_neq"])
+def fd_null_neq_groups(spark, sf_dir):
+    return flat(discover_fds(nulled(spark, sf_dir), null_equals_null=False, strategy="group"))
+
+
+@query("fd_count_by_rhs", fd_sql("SELECT * FROM orders", COLUMNS["orders"]) + "SELECT rhs, count(*) AS n FROM m GROUP BY rhs")
+def fd_count_by_rhs(spark, sf_dir):
+    return discover_fds(load(spark, sf_dir, "orders")).groupBy("rhs").agg(F.count("*").alias("n"))
+
+
+_O = COLUMNS["orders"]
+_ORDER_SQL = f"o AS (SELECT name, row_number() OVER (ORDER BY k DESC, pos) AS nth FROM (VALUES {', '.join(f'({i}, {chr(39)}{c}{chr(39)}, (SELECT count(DISTINCT {c}) FROM orders))' for i, c in enumerate(_O))}) AS x(pos, name, k))"
+
+
+@query(
+    "fd_text_lines",
+    fd_sql("SELECT * FROM orders", _O) + f", {_ORDER_SQL} SELECT '[' || coalesce((SELECT string_agg(a.name, ', ' ORDER BY o.nth) FROM a JOIN o ON o.name = a.name WHERE (a.bit & m.lhs) <> 0), '') || '] --> ' || rhs AS line FROM m",
+)
+def fd_text_lines(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    order = partitions.attribute_order(orders, _O, "o_orderkey")
+    return discover_fds(orders).select(render_line(order).alias("line"))
+
+
+@query("fd_constant", fd_sql("SELECT *, 'same' AS c FROM nation", [*COLUMNS["nation"], "c"]) + FD_SELECT)
+def fd_constant(spark, sf_dir):
+    return flat(discover_fds(load(spark, sf_dir, "nation").withColumn("c", F.lit("same"))))
+
+
+@query("fd_row_limit", fd_sql("SELECT * FROM orders ORDER BY o_orderkey LIMIT 500", _O) + FD_SELECT)
+def fd_row_limit(spark, sf_dir):
+    return flat(discover_fds(load(spark, sf_dir, "orders").orderBy("o_orderkey"), row_limit=500))
+
+
+@query("csv_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def csv_scan(spark, sf_dir):
+    """The nations through a delimited file and back."""
+    path = f"{shared_dir(spark)}/csv-scan"
+    load(spark, sf_dir, "nation").coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True)
+    return CsvDescriptor(name="csv-scan", path=shared_dir(spark), ending="").read(spark)
+
+
+# -- Partitions --------------------------------------------------------------------------------
+
+_L = COLUMNS["lineitem"]
+_P = COLUMNS["part"]
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS attr, count(*) AS clusters, sum(k) AS records FROM (SELECT count(*) AS k FROM lineitem GROUP BY {c} HAVING count(*) > 1)" for c in _L)
+
+
+@query("pli_stats", f"SELECT attr, CAST(clusters AS BIGINT) AS clusters, CAST(coalesce(records, 0) AS BIGINT) AS records FROM ({_CELLS})")
+def pli_stats(spark, sf_dir):
+    return partitions.cluster_stats(load(spark, sf_dir, "lineitem").withColumn("rid", F.monotonically_increasing_id()), _L, "rid")
+
+
+_COLUMNS2 = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(
+    "pli_clusters",
+    " UNION ALL ".join(f"SELECT '{c}' AS attr, CAST({c} AS VARCHAR) AS val, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS positions FROM orders GROUP BY {c} HAVING count(*) > 1" for c in _COLUMNS2),
+)
+def pli_clusters(spark, sf_dir):
+    return partitions.clusters(load(spark, sf_dir, "orders"), _COLUMNS2, "o_orderkey").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+
+
+_NULL_SOURCE = "SELECT *, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM customer"
+
+
+@query("pli_null_neq", f"SELECT 'seg' AS attr, seg AS val, count(*) AS k FROM ({_NULL_SOURCE}) WHERE seg IS NOT NULL GROUP BY seg HAVING count(*) > 1")
+def pli_null_neq(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").withColumn("seg", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")))
+    return partitions.clusters(rows, ["seg"], "c_custkey", False).select("attr", "val", F.size("positions").cast("long").alias("k"))
+
+
+@query("pli_intersect", "SELECT l_suppkey, l_quantity, count(*) AS size FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def pli_intersect(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").withColumn("rid", F.monotonically_increasing_id())
+    return partitions.intersect(rows, ["l_suppkey", "l_quantity"], "rid").select("l_suppkey", "l_quantity", F.col("size").cast("long").alias("size"))
+
+
+@query("coded_records", "SELECT p_partkey AS rid, " + ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY {c}) = 1 THEN -1 ELSE min(p_partkey) OVER (PARTITION BY {c}) END AS {c}" for c in _P[1:]) + " FROM part")
+def coded_records(spark, sf_dir):
+    return partitions.coded(load(spark, sf_dir, "part"), _P[1:], "p_partkey").withColumnRenamed("p_partkey", "rid")
+
+
+@query("unique_records", "SELECT count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY p_name) AS a, count(*) OVER (PARTITION BY p_retailprice) AS b FROM part) WHERE a = 1 OR b = 1")
+def unique_records(spark, sf_dir):
+    rows = partitions.coded(load(spark, sf_dir, "part"), ["p_name", "p_retailprice"], "p_partkey")
+    return rows.where(partitions.unique(["p_name", "p_retailprice"])).agg(F.count("*").alias("n"))
+
+
+@query("attribute_order", "SELECT attr, CAST(row_number() OVER (ORDER BY k DESC, pos) AS INTEGER) AS nth FROM (VALUES " + ", ".join(f"({i}, '{c}', (SELECT count(DISTINCT {c}) FROM part))" for i, c in enumerate(_P)) + ") AS x(pos, attr, k)")
+def attribute_order(spark, sf_dir):
+    order = partitions.attribute_order(load(spark, sf_dir, "part"), _P, "p_partkey")
+    return spark.createDataFrame([(c, i + 1) for i, c in enumerate(order)], "attr string, nth int")
+
+
+@query("distinct_values", " UNION ALL ".join(f"SELECT '{c}' AS attr, count(DISTINCT {c}) AS \"values\" FROM events" for c in COLUMNS["events"]))
+def distinct_values(spark, sf_dir):
+    return partitions.distinct_counts(load(spark, sf_dir, "events"), COLUMNS["events"], "event_id")
+
+
+@query("constant_columns", "SELECT count(DISTINCT n_regionkey) <= 1 AS n_regionkey, true AS c FROM nation")
+def constant_columns(spark, sf_dir):
+    rows = load(spark, sf_dir, "nation").withColumn("c", F.lit(1))
+    return rows.agg(partitions.constant("n_regionkey").alias("n_regionkey"), partitions.constant("c").alias("c"))
+
+
+# -- Validation --------------------------------------------------------------------------------
+
+_CANDIDATES = [(["o_custkey"], "o_orderstatus"), (["o_orderkey"], "o_totalprice"), (["o_custkey", "o_orderdate"], "o_totalprice"), (["o_totalprice"], "o_orderdate"), (["o_orderstatus", "o_orderpriority"], "o_custkey")]
+
+
+@query(
+    "validate_batch",
+    " UNION ALL ".join(f"SELECT '{','.join(x)}' AS lhs, '{a}' AS rhs, NOT EXISTS (SELECT 1 FROM orders GROUP BY {', '.join(x)} HAVING count(DISTINCT {a}) > 1) AS valid" for x, a in _CANDIDATES),
+)
+def validate_batch(spark, sf_dir):
+    return validate.valid_flags(load(spark, sf_dir, "orders"), _CANDIDATES)
+
+
+@query(
+    "violating_pairs",
+    "SELECT o_custkey, arg_min(o_orderkey, (o_orderstatus, o_orderkey)) AS first, arg_max(o_orderkey, (o_orderstatus, o_orderkey)) AS second FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1",
+)
+def violating_pairs(spark, sf_dir):
+    return validate.violating_pairs(load(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", "o_orderkey")
+
+
+def _eq_mask(a: str, b: str, columns: list[str]) -> str:
+    return " + ".join(f"CASE WHEN {a}{c} IS NOT DISTINCT FROM {b}{c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(columns))
+
+
+@query(
+    "pair_lookup",
+    f"WITH p AS ({SQL['violating_pairs']}) SELECT p.first, p.second, CAST({_eq_mask('x.', 'y.', _O)} AS BIGINT) AS mask FROM p JOIN orders x ON x.o_orderkey = p.first JOIN orders y ON y.o_orderkey = p.second",
+)
+def pair_lookup(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    pairs = violating_pairs(spark, sf_dir).select(F.col("first").alias("x"), F.col("second").alias("y"))
+    found = agree.lookup(orders, pairs, _O, "o_orderkey")
+    return found.select(F.col("x").alias("first"), F.col("y").alias("second"), bits.set_of(partitions.matches("a", "b", _O)).alias("mask"))
+
+
+# -- Sampling ----------------------------------------------------------------------------------
+
+_PO = ["p_partkey", "p_name", "p_retailprice", "p_type", "p_size", "p_brand"]
+
+
+def _neighbours_sql(table: str, attribute: str, order: list[str], rid: str, d: int) -> str:
+    at = order.index(attribute)
+    near = [c for c in dict.fromkeys([order[(at + 1) % len(order)], order[at - 1]]) if c != attribute]
+    w = f"OVER (PARTITION BY {attribute} ORDER BY {', '.join([*near, rid])})"
+    lead = ", ".join(f"lead({c}, {d}) {w} AS b_{c}" for c in order)
+    return f"SELECT *, {lead}, lead(true, {d}) {w} AS paired FROM {table}"
+
+
+def _agree_sql(table: str, attribute: str, order: list[str], rid: str, d: int) -> str:
+    mask = " + ".join(f"CASE WHEN {c} IS NOT DISTINCT FROM b_{c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(order))
+    return f"SELECT DISTINCT CAST({mask} AS BIGINT) AS mask FROM ({_neighbours_sql(table, attribute, order, rid, d)}) WHERE paired"
+
+
+def part_masks(spark, sf_dir, attribute: str, d: int) -> DataFrame:
+    rows = load(spark, sf_dir, "part")
+    return agree.masks(agree.neighbours(rows, attribute, _PO, "p_partkey", d), _PO).distinct()
+
+
+for _d in (1, 3):
+    query(f"agree_sets_d{_d}", _agree_sql("part", "p_brand", _PO, "p_partkey", _d))(lambda spark, sf_dir, d=_d: part_masks(spark, sf_dir, "p_brand", d))
+
+_OO = ["o_orderkey", "o_totalprice", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"]
+
+
+@query(
+    "agree_sets_counted",
+    _agree_sql("orders", "o_custkey", _OO, "o_orderkey", 1).replace("SELECT DISTINCT", "SELECT").replace(" AS mask", " AS mask, count(*) AS pairs") + " GROUP BY 1",
+)
+def agree_sets_counted(spark, sf_dir):
+    return agree.sample(load(spark, sf_dir, "orders"), "o_custkey", _OO, "o_orderkey").select(F.get("words", 0).alias("mask"), "pairs")
+
+
+@query("agree_sets_new", f"{_agree_sql('part', 'p_size', _PO, 'p_partkey', 2)} EXCEPT {_agree_sql('part', 'p_size', _PO, 'p_partkey', 1)}")
+def agree_sets_new(spark, sf_dir):
+    return agree.unseen(part_masks(spark, sf_dir, "p_size", 2), part_masks(spark, sf_dir, "p_size", 1))
+
+
+@query("agree_sets_union", f"{_agree_sql('part', 'p_size', _PO, 'p_partkey', 1)} UNION {_agree_sql('part', 'p_brand', _PO, 'p_partkey', 1)}")
+def agree_sets_union(spark, sf_dir):
+    return agree.merge_seen(part_masks(spark, sf_dir, "p_size", 1), part_masks(spark, sf_dir, "p_brand", 1))
+
+
+_MASKS = f"({SQL['agree_sets_union']})"
+
+
+@query("maximal_agree_sets", f"WITH s AS {_MASKS} SELECT mask FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.mask <> s.mask AND (s.mask & t.mask) = s.mask)")
+def maximal_agree_sets(spark, sf_dir):
+    return agree.maximal(agree_sets_union(spark, sf_dir))
+
+
+_RHS = f"WITH s AS {_MASKS}, n AS (SELECT s.mask AS lhs, CAST(r.i AS INTEGER) AS rhs FROM s, range(6) r(i) WHERE (s.mask >> r.i) & 1 = 0) "
+
+
+@query("non_fds", _RHS + "SELECT lhs, rhs FROM n")
+def non_fds(spark, sf_dir):
+    return agree.non_fds(agree_sets_union(spark, sf_dir), len(_PO))
+
+
+@query("non_fds_open_rhs", _RHS + "SELECT lhs, rhs FROM n WHERE rhs IN (1, 4)")
+def non_fds_open_rhs(spark, sf_dir):
+    return agree.non_fds(agree_sets_union(spark, sf_dir), len(_PO), [1, 4])
+
+
+@query("maximal_by_rhs", _RHS + "SELECT lhs, rhs FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.rhs = n.rhs AND m.lhs <> n.lhs AND (n.lhs & m.lhs) = n.lhs)")
+def maximal_by_rhs(spark, sf_dir):
+    return agree.maximal_by_rhs(non_fds(spark, sf_dir))
+
+
+@query("non_fds_by_rhs", _RHS + "SELECT rhs, string_agg(CAST(lhs AS VARCHAR), ',' ORDER BY bit_count(lhs) DESC, lhs) AS lhss FROM n GROUP BY rhs")
+def non_fds_by_rhs(spark, sf_dir):
+    return agree.by_rhs(non_fds(spark, sf_dir)).withColumn("lhss", F.array_join(F.col("lhss").cast("array<string>"), ","))
+
+
+@query("largest_agree_sets", f"SELECT mask FROM {_MASKS} ORDER BY bit_count(mask) DESC, mask LIMIT 5")
+def largest_agree_sets(spark, sf_dir):
+    return agree.largest(agree_sets_union(spark, sf_dir), 5)
+
+
+@query("large_agree_sets", f"WITH s AS {_MASKS} SELECT mask FROM s WHERE bit_count(mask) > (SELECT avg(bit_count(mask)) FROM s)")
+def large_agree_sets(spark, sf_dir):
+    return agree.above_average(agree_sets_union(spark, sf_dir))
+
+
+# -- The lattice -------------------------------------------------------------------------------
+
+#: Stored left-hand sides of attribute 0 in a lattice of 6 attributes, and a refuting agree set.
+_STORED, _AGREE = [0b000010, 0b001100, 0b010100, 0b100000], 0b010110
+
+
+@query("generalizations", f"SELECT CAST(x AS BIGINT) AS lhs FROM (VALUES {', '.join(f'({m})' for m in _STORED)}) v(x) WHERE (x & {_AGREE}) = x")
+def generalizations(spark, sf_dir):
+    found = Cover(0, 6, _STORED).generalizations(_AGREE)
+    return spark.createDataFrame([(m,) for m in found], "lhs long")
+
+
+@query(
+    "specialize_step",
+    f"""WITH s(x) AS (VALUES {', '.join(f'({m})' for m in _STORED)}), kept AS (SELECT x FROM s WHERE (x & {_AGREE}) <> x),
+    new AS (SELECT DISTINCT s.x | (1 << b.i) AS x FROM s, range(6) b(i) WHERE (s.x & {_AGREE}) = s.x AND b.i <> 0 AND ({_AGREE} >> b.i) & 1 = 0),
+    every AS (SELECT x FROM kept UNION SELECT x FROM new)
+    SELECT CAST(x AS BIGINT) AS lhs FROM every e WHERE NOT EXISTS (SELECT 1 FROM every f WHERE f.x <> e.x AND (f.x & e.x) = f.x)""",
+)
+def specialize_step(spark, sf_dir):
+    cover = Cover(0, 6, _STORED)
+    cover.specialize(_AGREE)
+    return spark.createDataFrame([(m,) for m in cover], "lhs long")
+
+
+# -- Figures -----------------------------------------------------------------------------------
+
+
+@query(
+    "sampling_efficiency",
+    f"SELECT comparisons, matches, CASE WHEN comparisons = 0 THEN 0.0 ELSE matches / comparisons END AS efficiency FROM (SELECT count(*) AS comparisons, count(DISTINCT mask) AS matches FROM ({_agree_sql('part', 'p_brand', _PO, 'p_partkey', 1).replace('SELECT DISTINCT', 'SELECT')}))",
+)
+def sampling_efficiency(spark, sf_dir):
+    pairs = agree.masks(agree.neighbours(load(spark, sf_dir, "part"), "p_brand", _PO, "p_partkey"), _PO)
+    counts = pairs.agg(F.count("*").alias("comparisons"), F.count_distinct("mask").alias("matches"))
+    return counts.withColumn("efficiency", metrics.sampling_efficiency(F.col("matches"), F.col("comparisons")))
+
+
+@query("validation_efficiency", f"SELECT count(*) AS candidates, count(*) FILTER (NOT valid) AS invalid, (count(*) - count(*) FILTER (NOT valid)) / count(*) AS efficiency FROM ({SQL['validate_batch']})")
+def validation_efficiency(spark, sf_dir):
+    counts = validate_batch(spark, sf_dir).agg(F.count("*").alias("candidates"), F.count_if(~F.col("valid")).alias("invalid"))
+    return counts.withColumn("efficiency", metrics.validation_efficiency(F.col("candidates"), F.col("invalid")))
+
+
+_SIZES = "SELECT count(*) AS {0}_clusters, sum(k) AS {0}_records FROM (SELECT count(*) AS k FROM orders GROUP BY {1} HAVING count(*) > 1)"
+
+
+@query("cache_worth", f"SELECT CASE WHEN a_records / a_clusters = 0 THEN false ELSE (a_records / a_clusters - coalesce(b_records, 0) / greatest(b_clusters, 1)) / (a_records / a_clusters) >= 0.05 END AS worth FROM ({_SIZES.format('a', 'o_custkey')}), ({_SIZES.format('b', 'o_custkey, o_orderstatus')})")
+def cache_worth(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+
+    def sizes(p: str, *by: str) -> DataFrame:
+        k = orders.groupBy(*by).agg(F.count("*").alias("k")).where("k > 1")
+        return k.agg(F.count("*").alias(f"{p}_clusters"), F.coalesce(F.sum("k"), F.lit(0)).alias(f"{p}_records"))
+
+    both = sizes("a", "o_custkey").join(F.broadcast(sizes("b", "o_custkey", "o_orderstatus")))  # one row each
+    return both.select(metrics.worth_caching(*[F.col(c) for c in ("a_records", "a_clusters", "b_records", "b_clusters")]).alias("worth"))
+
+
+_AB = "SELECT CAST(o_orderkey & 4095 AS BIGINT) AS a, CAST(o_custkey & 4095 AS BIGINT) AS b FROM orders"
+
+
+@query(
+    "bitset_ops",
+    f"SELECT a, b, a & b AS both, a | b AS either, xor(a, b) AS one, a & ~b AS rest, (a & b) <> 0 AS meets, (a & b) = a AS inside, CAST(bit_count(a) AS INTEGER) AS size, (a >> 3) & 1 = 1 AS third, xor(a, 8::BIGINT) AS flipped, (SELECT coalesce(string_agg(CAST(r.i AS VARCHAR), ',' ORDER BY r.i), '') FROM range(12) r(i) WHERE (a >> r.i) & 1 = 1) AS members FROM ({_AB})",
+)
+def bitset_ops(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").bitwiseAND(F.lit(4095)).cast("long").alias("a"), F.col("o_custkey").bitwiseAND(F.lit(4095)).cast("long").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select(
+        "a",
+        "b",
+        bits.intersection(a, b).alias("both"),
+        bits.union(a, b).alias("either"),
+        bits.symmetric_difference(a, b).alias("one"),
+        bits.difference(a, b).alias("rest"),
+        bits.intersects(a, b).alias("meets"),
+        bits.subset(a, b).alias("inside"),
+        bits.cardinality(a).alias("size"),
+        bits.has(a, 3).alias("third"),
+        bits.symmetric_difference(a, bits.one(3)).alias("flipped"),
+        F.array_join(bits.indices(a, 12).cast("array<string>"), ",").alias("members"),
+    )

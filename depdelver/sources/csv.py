@@ -42,7 +42,7 @@ class CsvDescriptor:
             "quote": self.quote,
             "escape": self.escape,
             "encoding": self.charset,
-            "nullValue": self.null_string,
+            "nullValue": "",
             "ignoreLeadingWhiteSpace": str(self.ignore_leading_whitespace).lower(),
             "ignoreTrailingWhiteSpace": "false",
             "mode": "PERMISSIVE",
@@ -51,7 +51,10 @@ class CsvDescriptor:
 
     def _lines(self, spark: SparkSession) -> DataFrame:
         """The file's lines without the skipped ones, numbered along the file."""
-        lines = spark.read.option("encoding", self.charset).option("lineSep", "\n").text(self.file).withColumn("at", F.monotonically_increasing_id())
+        lines = spark.read.option("lineSep", "\n").text(self.file)
+        if self.charset.upper() not in ("UTF-8", "UTF8", "US-ASCII"):  # one that has line feeds as ASCII has
+            lines = lines.select(F.decode(F.col("value").cast("binary"), self.charset).alias("value"))
+        lines = lines.withColumn("at", F.monotonically_increasing_id())
         if self.skip_lines > 0:
             # Numbers rise along the file, so that the first lines have the smallest ones.
             last = lines.orderBy("at").limit(self.skip_lines).agg(F.max("at")).head()[0]
@@ -84,7 +87,9 @@ class CsvDescriptor:
             parsed = parsed.where(~differing)
         elif parsed.where(differing).head(1):
             raise ValueError(f"{self.file} has lines of another width than its first one")
-        return parsed.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+        # The parser gives null for an empty field, whatever it is told to take as null.
+        value = lambda c: c if self.null_string == "" else F.when(F.coalesce(c, F.lit("")) != self.null_string, F.coalesce(c, F.lit("")))
+        return parsed.select(*[value(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
 
     def _fields(self, line: str) -> list[str]:
         escape = None if self.escape == self.quote else self.escape
@@ -95,7 +100,7 @@ def _strict(line, separator: str, quote: str):
     """The line with fields that are not in quotes emptied."""
     q, s = (("\\" + c) for c in (quote, separator))
     field = rf"(?:{q}(?:[^{q}\\]|\\.|{q}{q})*{q})"
-    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(rf"({field}|[^{s}]*)(?:{s}|$)"), F.lit(1)), lambda x: F.when(x.startswith(quote), x).otherwise("")), separator)
+    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(rf"(?:^|{s})({field}|[^{s}]*)"), F.lit(1)), lambda x: F.when(x.startswith(quote), x).otherwise("")), separator)
 
 
 def write_text(fds: DataFrame, folder: str, order: list[str]) -> None:
