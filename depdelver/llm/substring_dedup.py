@@ -19,7 +19,7 @@ SHINGLE = 5
 PERCENT = 75
 #: Bands and rows: paragraphs of similarity 0.75 meet with probability 1 - (1 - 0.75**4)**20 = 0.9995.
 BANDS, ROWS = 20, 4
-#: Words that a paragraph, or a run of pieces, must have to be removed; sentences of so many words end a piece.
+#: Words that a paragraph, or a run of pieces, must have to be removed; words that a piece has at least.
 LEAST_WORDS, PIECE_WORDS = 20, 8
 #: Keys that a task gathers before it deals them out, and keys of a part.
 BATCH, PART = 1_500_000, 1_500_000
@@ -38,8 +38,7 @@ _MET = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "firs
 class Units:
     """The words of some texts, with their paragraphs (lines) and pieces.
 
-    A piece ends with a paragraph, or with a sentence of PIECE_WORDS words or more, so that where
-    pieces end depends on nothing but the words near by.
+    A piece is a sentence: it ends with a paragraph or after a full stop, or ! or ?.
     """
 
     def __init__(self, raw: bytes, docs: np.ndarray, cuts: np.ndarray, base: np.ndarray):
@@ -54,9 +53,7 @@ class Units:
         closed = (last == 0x2E) | (last == 0x21) | (last == 0x3F)  # . ! ?
         new = np.diff(para, prepend=-1) != 0
         sentence = np.flatnonzero(new | np.append(True, closed[:-1])[:n])
-        length = np.diff(np.append(sentence, n))
-        after = np.append(True, length[:-1] >= PIECE_WORDS)[: len(sentence)]
-        self.first_piece = sentence[after | new[sentence]]
+        self.first_piece = sentence
         self.doc = docs[text] if n else text
         self.place = np.arange(n) - np.searchsorted(text, text) + base[text]
         self.words = np.bincount(text, minlength=len(docs))
@@ -192,10 +189,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in units(texts):
             first, n = u.spans(u.first_paragraph, LEAST_WORDS)
             ids = [want[d].get(p) for d, p in zip(u.doc[first].tolist(), u.place[first].tolist(), strict=True)]
-            for f, k, i in zip(first.tolist(), n.tolist(), ids, strict=True):
-                if i is not None:
-                    t = distinct(u.shingles(np.array([f]), np.array([k]))[0] >> U(8))
-                    out.append((i, len(t), int(mix(t).sum(dtype=np.uint64).astype(np.int64)), int(mix(t ^ U(77)).sum(dtype=np.uint64).astype(np.int64)), t.tobytes()))
+            keep = np.array([i is not None for i in ids], bool)
+            if not keep.any():
+                continue
+            hashes, at = u.shingles(first[keep], n[keep])
+            for i, own in zip((i for i in ids if i is not None), np.split(hashes >> U(8), at[1:]), strict=True):
+                t = distinct(own)
+                out.append((i, len(t), int(mix(t).sum(dtype=np.uint64).astype(np.int64)), int(mix(t ^ U(77)).sum(dtype=np.uint64).astype(np.int64)), t.tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
@@ -207,8 +207,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     words in a row: MinHash bands, tuned for a recall of 0.9995 at a similarity of 0.75, find
     which ones collide; colliding ones are compared exactly, and those of 0.75 or more make
     clusters, of which all but the first paragraph, by row and place, go ("paragraph"). What
-    repeats inside differing paragraphs is found by pieces, runs of whole sentences: a run of
-    equal pieces of LEAST_WORDS words or more goes but for its first occurrence ("pieces").
+    repeats inside differing paragraphs is found by its pieces, sentences of PIECE_WORDS words or
+    more: a run of repeated pieces, with LEAST_WORDS words or more in them and no more than
+    PIECE_WORDS between two, goes but for its first occurrence ("pieces").
 
     ``row`` is monotonically_increasing_id in ``docs``. Null and empty texts have no spans; null
     and repeated ids are kept row by row, and equal rows are copies of each other; other columns
