@@ -150,7 +150,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
 
     Null and empty texts have no evidence: their language is null, and they are not kept. Null
     declarations, suffixes and hosts give none either. Repeated rows count as often as they are
-    there. All columns are kept, whatever their names, but those named like the added ones. An
+    there. All columns are kept, whatever their names, but for names of this operator's own, which begin with
+    two underscores. An
     empty table gives no rows. Texts are read twice and moved only where hosts are so many that
     their priors are joined by a shuffle.
     """
@@ -159,7 +160,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     # The labels of the model that a declaration can name; all others are one.
     known = lambda c: F.when(c.isNull(), null).when(c.isin(model.languages), c).otherwise("other")
     evidence = [known(declared) if declared is not None else null, suffix if suffix is not None else null, host if host is not None else null]
-    own = docs.drop("__n", "__ev", "__lang", "__prob", "__keep", *names).withColumns(dict(zip(names, evidence, strict=True)))
+    reserved = {*names, "__n", "__ev", "__post", "__lang", "__prob", "__keep", "__s", "__h", "__suffix_prior", "__host_sums", "__host_rows"}
+    own = docs.drop(*reserved).withColumns(dict(zip(names, evidence, strict=True)))
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("__n", T.LongType()), T.StructField("__ev", T.ArrayType(T.DoubleType()))]
 
@@ -178,8 +180,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     parts = F.array(*[F.col(f"s{i}") for i in range(size)])
     smooth = lambda p, c, above: F.transform(F.arrays_zip(p.alias("p"), above.alias("q")), lambda x: (x["p"] + KAPPA * x["q"]) / (c + KAPPA))
     by_suffix = counts.where("__suffix IS NOT NULL").groupBy("__suffix").agg(*total, F.sum("c").alias("c"))
-    by_suffix = cut(by_suffix.select("__suffix", smooth(parts, F.col("c"), lit(overall)).alias("suffix_prior")))
-    by_host = cut(counts.where("__host IS NOT NULL").groupBy("__host").agg(*total, F.sum("c").alias("host_rows")).select("__host", parts.alias("host_sums"), "host_rows"))
+    by_suffix = cut(by_suffix.select("__suffix", smooth(parts, F.col("c"), lit(overall)).alias("__suffix_prior")))
+    by_host = cut(counts.where("__host IS NOT NULL").groupBy("__host").agg(*total, F.sum("c").alias("__host_rows")).select("__host", parts.alias("__host_sums"), "__host_rows"))
     # At most one row for each language and one for all others.
     said = {r["__declared"]: [x or 0 for x in r[1:]] for r in counts.where("__declared IS NOT NULL").groupBy("__declared").agg(*total).collect()}
     spoken = [sum(x[i] for x in said.values()) for i in range(size)]
@@ -193,14 +195,14 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     out = scored(own).join(few(by_suffix).withColumnRenamed("__suffix", "__s"), F.col("__suffix") == F.col("__s"), "left")
     out = out.join(few(by_host).withColumnRenamed("__host", "__h"), F.col("__host") == F.col("__h"), "left")
-    above = F.coalesce("suffix_prior", lit(overall))
-    rest = F.transform(F.arrays_zip(F.col("host_sums").alias("p"), softmax(F.col("__ev")).alias("q")), lambda x: F.greatest(x["p"] - x["q"], F.lit(0.0)))
-    prior = F.when(F.col("host_sums").isNull(), above).otherwise(smooth(rest, F.col("host_rows") - 1, above))
+    above = F.coalesce("__suffix_prior", lit(overall))
+    rest = F.transform(F.arrays_zip(F.col("__host_sums").alias("p"), softmax(F.col("__ev")).alias("q")), lambda x: F.greatest(x["p"] - x["q"], F.lit(0.0)))
+    prior = F.when(F.col("__host_sums").isNull(), above).otherwise(smooth(rest, F.col("__host_rows") - 1, above))
     fused = F.transform(F.arrays_zip(F.col("__ev").alias("t"), claim.alias("d"), prior.alias("h")), lambda x: x["t"] + x["d"] + F.log(x["h"]))
     out = out.withColumn("__post", F.when(F.col("__n") > 0, softmax(fused)))
     best = F.array_max("__post")
     lang = F.get(F.array(*[F.lit(x) for x in model.languages]), (F.array_position("__post", best) - 1).cast("int"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], lang.alias("__lang"), best.alias("__prob"), F.coalesce(best >= LEAST, F.lit(False)).alias("__keep"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in reserved], lang.alias("__lang"), best.alias("__prob"), F.coalesce(best >= LEAST, F.lit(False)).alias("__keep"))
 
 
 def of_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:

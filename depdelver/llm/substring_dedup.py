@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
 from depdelver.llm.jaccard_join import search_groups
-from depdelver.llm.textops import BLOCK, SPACES, U, _hash_buffer, as_bytes, distinct, grams, mix, pack, pack_sorted, slices, unpack, unpack_sorted
+from depdelver.llm.textops import BLOCK, SPACES, U, as_bytes, distinct, grams, hash_buffer, mix, pack, pack_sorted, pieces, slices, unpack, unpack_sorted
 from depdelver.session import cut
 
 SHINGLE = 5
@@ -41,22 +41,28 @@ class Units:
     A piece is a sentence: it ends with a paragraph or after a full stop, or ! or ?.
     """
 
-    def __init__(self, raw: bytes, docs: np.ndarray, cuts: np.ndarray, base: np.ndarray):
-        """``raw``: texts joined by line feeds, of documents ``docs`` from bytes ``cuts`` on, after ``base`` words each."""
-        starts, ends, self.h = _hash_buffer(raw, SPACES, True)
-        buf = np.frombuffer(raw, np.uint8)
-        n = len(starts)
-        para = np.searchsorted(np.flatnonzero(buf == 10), starts)
-        text = np.searchsorted(cuts, starts, side="right") - 1
-        self.first_paragraph = np.flatnonzero(np.diff(para, prepend=-1))
-        last = buf[ends - 1] if n else buf[:0]
-        closed = (last == 0x2E) | (last == 0x21) | (last == 0x3F)  # . ! ?
+    def __init__(self, raws: list[bytes], docs: np.ndarray, cuts: np.ndarray):
+        """Either one ``raws``, texts joined by line feeds, of documents ``docs`` from bytes ``cuts``
+        on; or the consecutive parts of one long text, which are hashed one by one."""
+        hashes, paras, closes, places, seen = [], [], [], [], 0
+        for raw in raws:
+            starts, ends, h = hash_buffer(raw, SPACES, True)
+            buf = np.frombuffer(raw, np.uint8)
+            feeds = np.flatnonzero(buf == 10)
+            last = buf[ends - 1] if len(ends) else buf[:0]
+            hashes.append(h)
+            paras.append(np.searchsorted(feeds, starts) + seen)
+            closes.append((last == 0x2E) | (last == 0x21) | (last == 0x3F))  # . ! ?
+            places.append(np.searchsorted(cuts, starts, side="right") - 1 if len(raws) == 1 else np.zeros(len(starts), np.int64))
+            seen += len(feeds)
+        self.h, para, closed, text = (np.concatenate(x) for x in (hashes, paras, closes, places))
+        n = len(self.h)
         new = np.diff(para, prepend=-1) != 0
+        self.first_paragraph = np.flatnonzero(new)
         sentence = np.flatnonzero(new | np.append(True, closed[:-1])[:n])
-        self.first_piece = sentence
         self.doc = docs[text] if n else text
-        self.place = np.arange(n) - np.searchsorted(text, text) + base[text]
-        self.words = np.bincount(text, minlength=len(docs))
+        self.place = np.arange(n) - np.searchsorted(text, np.arange(len(docs)))[text] if n else text
+        self.first_piece = sentence
 
     def spans(self, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(np.append(first, len(self.h)))
@@ -78,31 +84,21 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
 
 
 def units(texts: list[bytes | None]) -> Iterator[Units]:
-    """The texts, about BLOCK bytes at a time; a long one is cut at line feeds, or else at spaces."""
+    """The texts, about BLOCK bytes at a time; a longer one by itself."""
     parts, docs, size = [], [], 0
 
-    def made(base: int = 0) -> Units:
-        cuts = np.cumsum([0, *(len(x) + 1 for x in parts[:-1])])
-        return Units(b"\n".join(parts), np.array(docs), cuts, np.full(len(docs), base))
+    def made() -> Units:
+        return Units([b"\n".join(parts)], np.array(docs), np.cumsum([0, *(len(x) + 1 for x in parts[:-1])]))
 
     for i, text in enumerate(texts):
-        text = text or b""
+        if not text:
+            continue
         if parts and size + len(text) > BLOCK:
             yield made()
             parts, docs, size = [], [], 0
         if len(text) > BLOCK:
-            base = 0
-            while text:
-                end = len(text)
-                if end > BLOCK:
-                    end = max(text.rfind(b"\n", 0, BLOCK), 0) or max(text.rfind(b" ", 0, BLOCK), 0)
-                    end = end or next((p for p in (text.find(b" ", BLOCK), text.find(b"\n", BLOCK)) if p > 0), len(text))
-                parts, docs = [text[:end]], [i]
-                u = made(base)
-                yield u
-                base, text = base + int(u.words[0]), text[end:]
-            parts, docs = [], []
-        elif text:
+            yield Units(list(pieces(text, SPACES)), np.array([i]), np.zeros(1, np.int64))
+        else:
             parts.append(text)
             docs.append(i)
             size += len(text) + 1
@@ -246,11 +242,11 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     paragraphs = paragraphs.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit("paragraph").alias("kind"), F.col("lead.row").alias("kept_row"))
 
     # Pieces: runs of repeated ones that follow each other.
-    pieces = met.where(F.col("kind") == PIECE).select("row", "first", "words", "lead_row").distinct()
+    repeats = met.where(F.col("kind") == PIECE).select("row", "first", "words", "lead_row").distinct()
     by = Window.partitionBy("row").orderBy("first")
     # Sentences that are too short for a piece may lie between two of a run.
     begins = F.coalesce(F.col("first") - F.lag(F.col("first") + F.col("words")).over(by) > PIECE_WORDS, F.lit(True))
-    runs = pieces.withColumn("new", begins.cast("long")).withColumn("run", F.sum("new").over(by)).groupBy("row", "run")
+    runs = repeats.withColumn("new", begins.cast("long")).withColumn("run", F.sum("new").over(by)).groupBy("row", "run")
     first, end = F.min("first"), F.max(F.col("first") + F.col("words"))
     runs = runs.agg(first.alias("first_word"), (end - first).alias("n_words"), F.sum("words").alias("met"), F.min("lead_row").alias("kept_row")).where(F.col("met") >= LEAST_WORDS)
     runs = runs.select("row", "first_word", "n_words", F.lit("pieces").alias("kind"), "kept_row")

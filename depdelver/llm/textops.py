@@ -52,7 +52,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _hash_buffer(raw: bytes, seps: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_buffer(raw: bytes, seps: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every word in ``raw``: first byte, end, hash."""
     buf = np.frombuffer(raw, np.uint8)
     inside = ~seps[buf]
@@ -69,7 +69,7 @@ def _hash_buffer(raw: bytes, seps: np.ndarray, lower: bool) -> tuple[np.ndarray,
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def _pieces(text: bytes, seps: np.ndarray) -> Iterator[bytes]:
+def pieces(text: bytes, seps: np.ndarray) -> Iterator[bytes]:
     """``text`` in pieces of about BLOCK bytes that end at separators."""
     at, n = 0, len(text)
     view = np.frombuffer(text, np.uint8)
@@ -97,13 +97,13 @@ def word_blocks(texts: list[bytes | None], seps: np.ndarray = SPACES, lower: boo
             size += len(texts[j] or b"") + 1
             j += 1
         if size > limit + 1:  # one long text
-            parts = [_hash_buffer(p, seps, lower)[2] for p in _pieces(texts[i] or b"", seps)]
+            parts = [hash_buffer(p, seps, lower)[2] for p in pieces(texts[i] or b"", seps)]
             h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
             yield i, j, h, np.array([0, len(h)])
         else:
             raw = b" ".join([t or b"" for t in texts[i:j]])
             at = np.cumsum([0, *(len(t or b"") + 1 for t in texts[i:j])])
-            starts, _, h = _hash_buffer(raw, seps, lower)
+            starts, _, h = hash_buffer(raw, seps, lower)
             yield i, j, h, np.searchsorted(starts, at)
         i = j
 
