@@ -1,4 +1,4 @@
-import brute
+import llm_brute as brute
 import pytest
 
 import corpus_pipeline

@@ -1,7 +1,7 @@
 import math
 from collections import Counter
 
-import brute
+import llm_brute as brute
 import pytest
 from pyspark.sql import functions as F
 
