@@ -11,7 +11,7 @@ from depdelver.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("4", 4, "3g")
+    s = local_session("4", 2, "3g")
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

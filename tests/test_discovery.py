@@ -6,6 +6,8 @@ from brute import brute_fds
 from fixtures import FIXTURES, bridges, relation
 
 from depdelver.config import FDConfig
+from depdelver.functions import bits
+from depdelver.operators.validate import by_groups
 from depdelver.plans.discover import Metrics, discover_fds
 from depdelver.sources.csv import CsvDescriptor
 
@@ -90,7 +92,14 @@ def test_wide_relation(spark):
     assert found(df, strategy="broadcast", max_lhs_size=1) == expected
     few = df.select("c0", *[f"c{i}" for i in range(64, 70)])
     assert found(few, max_lhs_size=1) == {x for x in expected if x[0] <= set(few.columns) and x[1] in few.columns}
-    assert found(df, strategy="group", max_lhs_size=1) == expected
+    # One aggregation, with agree sets of two words: what it refutes is what rows refute.
+    asked = {1 << 3: [0, 68, 69], 1 << 69 | 1 << 1: [2, 65]}
+    for lhs, rhs, seen in by_groups(df, asked, columns):
+        assert bits.is_subset(lhs, seen) and not bits.get(seen, rhs)
+        assert any(all(r[i] == s[i] for i in bits.members(seen)) and r[rhs] != s[rhs] for r in rows for s in rows)
+    bad = {(lhs, a) for lhs, a, _ in by_groups(df, asked, columns)}
+    at = lambda r, m: [r[i] for i in bits.members(m)]
+    assert bad == {(m, a) for m, xs in asked.items() for a in xs if any(at(r, m) == at(s, m) and r[a] != s[a] for r in rows for s in rows)}
 
 
 def test_options(spark):
