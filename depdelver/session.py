@@ -8,8 +8,11 @@ re-read, never a recomputation of the plan that made the table.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give Python workers this package, where they would not find it by themselves."""
+    package = Path(__file__).resolve().parent
+    root, sc = str(package.parent), spark.sparkContext
+    if os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_has_depdelver", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="depdelver-")) / "depdelver.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))  # served by the driver to every executor
+    sc._has_depdelver = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is made only where none is set."""
     sc = spark.sparkContext
