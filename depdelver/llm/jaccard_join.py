@@ -19,8 +19,9 @@ SHINGLE = 5
 PERCENT = 75
 #: Shingles that a task of the first pass gathers before it deals them out, and that a part has.
 BATCH, PART = 2_000_000, 1_500_000
-#: Documents and shingles of one search; a larger component is searched block against block.
-DOCS, TOKENS = 4096, 3_000_000
+#: Documents and shingles that a search gathers; those of a group up to which it is searched whole.
+DOCS, TOKENS = 1024, 1_000_000
+WHOLE_DOCS, WHOLE_TOKENS = 8192, 3_000_000
 #: Weight of the length of the longest list in choosing how many lists are long.
 MU = 0.0085
 #: Of a shingle's hash, 48 bits are kept.
@@ -234,20 +235,40 @@ def search_groups(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     """
     members = cut(reps.join(groups, reps["rid"] == groups["node"]).select("rid", "comp", "n", "tokens"))
     extent = cut(members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.length("tokens")).alias("bytes")))
-    whole = (F.col("docs") <= DOCS) & (F.col("bytes") <= 8 * TOKENS)
+    whole = (F.col("docs") <= WHOLE_DOCS) & (F.col("bytes") <= 8 * WHOLE_TOKENS)
     n_docs, n_bytes = extent.where(whole).agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).head()
-    bins = max(1, ceil(2 * n_docs / DOCS), ceil(2 * n_bytes / 8 / TOKENS))
+    bins = max(1, ceil(n_docs / DOCS), ceil(n_bytes / 8 / TOKENS))
     search = lambda df, *by: df.groupBy(*by).applyInArrow(_search(percent), "rid long, least long")
     small = members.join(extent.where(whole).select("comp"), "comp").withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(bins)))
     linked = search(small, "bin")
-    large = extent.where(~whole).withColumn("blocks", F.ceil(F.greatest(2 * F.col("docs") / DOCS, 2 * F.col("bytes") / (8 * TOKENS))).cast("int"))
-    if large.head(1):
-        spread = members.join(large, "comp").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("rid", "comp", "n", "tokens", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        found = search(spread, "comp", "i", "j").where("rid <> least")
-        found = connected_components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")))
-        linked = linked.unionByName(found.select(F.col("node").alias("rid"), F.col("comp").alias("least")))
+    large = cut(extent.where(~whole).withColumn("blocks", F.ceil(F.greatest(2 * F.col("docs") / WHOLE_DOCS, 2 * F.col("bytes") / (8 * WHOLE_TOKENS))).cast("int")))
+    if not large.head(1):
+        return linked.withColumnRenamed("rid", "member")
+    own = members.join(large.select("comp", "blocks"), "comp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    own = cut(own)
+    columns = ["rid", "comp", "n", "tokens"]
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # Each block by itself and with the first one: most of a group of near copies is one component now.
+    first = own.where("block = 0").withColumn("i", every).unionByName(own.where("block > 0").withColumn("i", F.col("block")))
+    found = cut(search(first.select(*columns, "i"), "comp", "i").where("rid <> least"))
+    links_ = found.select(F.col("rid").alias("a"), F.col("least").alias("b"))
+    labels = connected_components(links_).withColumnRenamed("comp", "label")
+    labelled = own.join(labels, own["rid"] == labels["node"], "left").select(*columns, "blocks", "block", F.coalesce("label", "rid").alias("label"))
+    labelled = cut(labelled)
+    main = labelled.groupBy("comp", "label").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("x"))
+    main = cut(main.select("comp", F.col("x.label").alias("main")))
+    # Of what is outside a group's largest component, every block meets all blocks; inside it, no link can change a thing.
+    rest = labelled.join(main, "comp").where("label <> main").drop("main")
+    rests = rest.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.greatest(2 * F.count("*") / WHOLE_DOCS, 2 * F.sum(F.length("tokens")) / (8 * WHOLE_TOKENS)))).cast("int").alias("rests"))
+    rests = cut(rests)
+    if rests.head(1):
+        a = rest.join(rests, "comp").withColumn("r", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("rests")).cast("int")).withColumn("b", every)
+        b = labelled.join(rests, "comp").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("b", F.col("block"))
+        both = a.select(*columns, "r", "b").unionByName(b.select(*columns, "r", "b"))
+        more = cut(search(both, "comp", "r", "b").where("rid <> least"))
+        links_ = links_.unionByName(more.select(F.col("rid").alias("a"), F.col("least").alias("b")))
+        labels = connected_components(links_).withColumnRenamed("comp", "label")
+    linked = linked.unionByName(labels.select(F.col("node").alias("rid"), F.col("label").alias("least")))
     return linked.withColumnRenamed("rid", "member")
 
 
@@ -270,8 +291,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
        its set returned links with nothing. The others keep the returned shingles, rarest first.
     2. Equal sets become one. By the prefix filter, sets that link share one of their first
        shingles: these join sets into groups, by connected components.
-    3. Small groups are searched together, a few thousand sets at a time; a larger one is cut
-       into blocks, each pair of which is searched. No task emits pairs of a group.
+    3. Small groups are searched together, a few thousand sets at a time. A larger one is cut
+       into blocks, and each is searched together with the first; then only what is not yet in
+       the group's largest component is searched against all blocks, so that the work follows
+       the group's size as long as most of it links. No task emits pairs of a group.
 
     Shingles are told apart by 48 bits of hash within a part.
     """

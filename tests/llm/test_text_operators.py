@@ -59,9 +59,9 @@ def near_copies(spark, n=120):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("docs", [4096, 16])
+@pytest.mark.parametrize("docs", [8192, 16])
 def test_jaccard(spark, table, monkeypatch, docs):
-    monkeypatch.setattr(jaccard_join, "DOCS", docs)  # small: groups are searched block against block
+    monkeypatch.setattr(jaccard_join, "WHOLE_DOCS", docs)  # small: groups are searched block against block
     df = table.select("doc_id", "text").unionByName(near_copies(spark)).withColumn("n", F.lit("clash"))
     got = jaccard_join.jaccard_components(df)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=key) == expected_components(rows_of(df))
