@@ -1,8 +1,8 @@
-"""Substring dedup: MinHash banding of paragraphs, and equal pieces inside longer ones."""
+"""Substring dedup: MinHash banding of paragraphs, and equal pieces and runs of words inside longer ones."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log2
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
 from depdelver.llm.jaccard_join import search_groups
-from depdelver.llm.textops import BLOCK, SPACES, U, as_bytes, distinct, grams, hash_buffer, mix, pack, pack_sorted, pieces, slices, unpack, unpack_sorted
+from depdelver.llm.textops import BLOCK, SPACES, U, as_bytes, distinct, grams, hash_buffer, mix, pack, pack_sorted, pieces, run_hashes, slices, unpack, unpack_sorted
 from depdelver.session import cut
 
 SHINGLE = 5
@@ -21,20 +21,36 @@ PERCENT = 75
 BANDS, ROWS = 20, 4
 #: Words that a paragraph, or a run of pieces, must have to be removed; words that a piece has at least.
 LEAST_WORDS, PIECE_WORDS = 20, 8
+#: Words in a row that make a copy wherever they begin and end, and of the word grams of which the
+#: least one marks such a run.
+RUN, GRAM = 50, 16
 #: Keys that a task gathers before it deals them out, and keys of a part.
 BATCH, PART = 1_500_000, 1_500_000
 
 _rng = np.random.Generator(np.random.PCG64(31337))
 _MUL = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << 1) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-PIECE, PARAGRAPH = 0, 1
+PIECE, PARAGRAPH, MARK = 0, 1, 2
 
 PACKED = "part int, block long, keys binary, doc binary, first binary, words binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "first", "words"))])
 MET = "kind int, row long, first long, words long, lead_row long, lead_first long, lead_words long"
+RUNS = "part int, block long, hashes binary, doc binary, first binary, n binary"
+_RUNS = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("hashes", "doc", "first", "n"))])
+COPY = "row long, first long, words long, lead_row long"
+_COPY = pa.schema([(c, pa.int64()) for c in ("row", "first", "words", "lead_row")])
 _MET = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "first", "words", "lead_row", "lead_first", "lead_words"))])
 
 
+def sliding(x: np.ndarray, n: int, best: Callable) -> np.ndarray:
+    """The best of every ``n`` consecutive values."""
+    k = 1
+    while 2 * k <= n:
+        x = best(x[:-k], x[k:])
+        k *= 2
+    return best(x[: len(x) - (n - k)], x[n - k :]) if k < n else x
+
+
 class Units:
     """The words of some texts, with their paragraphs (lines) and pieces.
 
@@ -76,6 +92,25 @@ class Units:
         at = np.cumsum(k) - k
         return g[np.repeat(first - at, k) + np.arange(k.sum())], at
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of GRAM words; of every RUN words, the least of those inside, and whether they are of one text."""
+        if len(self.h) < RUN:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+        g = grams(self.h, GRAM)
+        return g, sliding(g, RUN - GRAM + 1, np.minimum), self.doc[: 1 - RUN] == self.doc[RUN - 1 :]
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least hashes of all runs and where they are, the first two places of each in a text."""
+        g, least, whole = self.runs()
+        if not whole.any():
+            return g[:0], np.empty(0, np.int64)
+        around = np.zeros(RUN - GRAM, np.uint64)
+        at = np.flatnonzero(sliding(np.concatenate([around, np.where(whole, least, U(0)), around]), RUN - GRAM + 1, np.maximum) == g)
+        at = at[np.lexsort((at, g[at], self.doc[at]))]
+        third = (g[at[2:]] == g[at[:-2]]) & (self.doc[at[2:]] == self.doc[at[:-2]])
+        at = at[~np.append([False, False], third)[: len(at)]]
+        return g[at], at
+
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
     """(row of the first, texts) of a few consecutive documents at a time."""
@@ -119,7 +154,7 @@ def band_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _deal(bits: int):
-    """The keys of every unit, dealt by hash: bands of paragraphs, and hashes of whole pieces."""
+    """The keys of every unit, dealt by hash: bands of paragraphs, hashes of whole pieces, and marks of runs."""
 
     def flush(block: int, rows: list) -> Iterator[pa.RecordBatch]:
         keys, doc, first, words = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -140,7 +175,7 @@ def _deal(bits: int):
                 first, n = u.spans(u.first_paragraph, LEAST_WORDS)
                 if len(first):
                     keys = band_keys(*u.shingles(first, n)).ravel()
-                    rows.append((keys, np.tile(u.doc[first] + (start - block), BANDS), np.tile(u.place[first], BANDS), np.tile(n * 2 + PARAGRAPH, BANDS)))
+                    rows.append((keys, np.tile(u.doc[first] + (start - block), BANDS), np.tile(u.place[first], BANDS), np.tile(n * 4 + PARAGRAPH, BANDS)))
                 first, n = u.spans(u.first_piece, PIECE_WORDS)
                 if len(first):
                     # A piece's hash: that of its words in order.
@@ -148,7 +183,10 @@ def _deal(bits: int):
                     at = np.cumsum(n) - n
                     place = np.arange(n.sum()) - np.repeat(at, n)
                     keys = mix(np.add.reduceat(u.h[np.repeat(first, n) + place] * power[place], at) + n.astype(np.uint64))
-                    rows.append((keys, u.doc[first] + (start - block), u.place[first], n * 2 + PIECE))
+                    rows.append((keys, u.doc[first] + (start - block), u.place[first], n * 4 + PIECE))
+                keys, first = u.marks()
+                if len(first):
+                    rows.append((mix(keys ^ U(MARK)), u.doc[first] + (start - block), u.place[first], np.full(len(first), GRAM * 4 + MARK)))
                 size = sum(len(r[0]) for r in rows)
         if rows:
             yield from flush(block, rows)
@@ -168,10 +206,81 @@ def _meet(table: pa.Table) -> pa.Table:
     lead = np.repeat(head, np.diff(np.append(head, len(keys))))
     own = np.flatnonzero((np.arange(len(keys)) != lead) & ((row != row[lead]) | (first != first[lead])))
     lead = lead[own]
-    columns = (words[own] & 1, row[own], first[own], words[own] >> 1, row[lead], first[lead], words[lead] >> 1)
+    columns = (words[own] & 3, row[own], first[own], words[own] >> 2, row[lead], first[lead], words[lead] >> 2)
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _MET, strict=True)], schema=_MET)
 
 
+def _deal_runs(bits: int):
+    """The runs of RUN words whose marks are repeated, dealt by mark: the hash of each, and of those
+    that follow each other the first place and how many they are. Runs that go with paragraphs are left out."""
+
+    def flush(block: int, rows: list) -> Iterator[pa.RecordBatch]:
+        part, doc, first, n, hashes = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(part, kind="stable")
+        begin = (np.cumsum(n) - n)[order]
+        part, doc, first, n = part[order], doc[order], first[order], n[order]
+        at = np.append(0, np.cumsum(n))
+        hashes = hashes[np.repeat(begin - at[:-1], n) + np.arange(at[-1])]
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        out = [(int(part[a]), block, hashes[at[a] : at[b]].tobytes(), *(pack(x[a:b]) for x in (doc, first, n))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RUNS, strict=True)], schema=_RUNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, block = [], 0, 0
+        for batch in slices(batches):
+            texts, numbers = as_bytes(batch.column("__text")), batch.column("row").to_numpy()
+            marks, gone = batch.column("marks").to_pylist(), batch.column("gone").to_pylist()
+            for u in units(texts):
+                g, least, whole = u.runs()
+                if not whole.any():
+                    continue
+                begins = np.flatnonzero(u.place == 0)
+                which = u.doc[begins].tolist()
+                wanted = distinct(g[np.concatenate([b + np.array(marks[d], np.int64) for b, d in zip(begins.tolist(), which, strict=True)])])
+                left = np.zeros(len(u.h) + 1, np.int64)
+                for b, d in zip(begins.tolist(), which, strict=True):
+                    for x in gone[d] or ():
+                        left[b + x["first_word"]] += 1
+                        left[b + x["first_word"] + x["n_words"]] -= 1
+                gone_words = np.append(0, np.cumsum(np.cumsum(left[:-1]) > 0))
+                near = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
+                q = np.flatnonzero(whole & (wanted[near] == least) & (gone_words[RUN:] - gone_words[:-RUN] < RUN))
+                if not len(q):
+                    continue
+                new = np.flatnonzero(np.append(True, (np.diff(q) != 1) | (least[q[1:]] != least[q[:-1]]) | (u.doc[q[1:]] != u.doc[q[:-1]])))
+                part = mix(least[q[new]]) >> U(64 - bits) if bits else np.zeros(len(new), np.uint64)
+                rows.append((part.astype(np.int64), numbers[u.doc[q[new]]], u.place[q[new]], np.diff(np.append(new, len(q))), run_hashes(u.h, q, RUN)))
+                size += len(q)
+            if size >= BATCH:
+                yield from flush(block, rows)
+                rows, size = [], 0
+        if rows:
+            yield from flush(block, rows)
+
+    return run
+
+
+def _copies(table: pa.Table) -> pa.Table:
+    """Of a part, the spans of words whose runs are there before; one that overlaps its first
+    occurrence is no copy."""
+    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+    row, first, n = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("doc", "first", "n"))
+    at = np.cumsum(n) - n
+    row, first = np.repeat(row, n), np.repeat(first - at, n) + np.arange(n.sum())
+    order = np.lexsort((first, row, hashes))
+    hashes, row, first = hashes[order], row[order], first[order]
+    head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    lead = np.repeat(head, np.diff(np.append(head, len(hashes))))
+    own = np.flatnonzero((row != row[lead]) | (first - first[lead] >= RUN))
+    row, first, lead = row[own], first[own], row[lead[own]]
+    order = np.lexsort((first, row))
+    row, first, lead = row[order], first[order], lead[order]
+    new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(first) != 1) | (np.diff(lead) != 0))[: len(row)])
+    last = np.append(new[1:], len(row)) - 1 if len(row) else new
+    columns = (row[new], first[new], first[last] - first[new] + RUN, lead[new])
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_COPY)
+
+
 SET = "rid long, n long, h1 long, h2 long, tokens binary"
 
 
@@ -205,7 +314,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     clusters, of which all but the first paragraph, by row and place, go ("paragraph"). What
     repeats inside differing paragraphs is found by its pieces, sentences of PIECE_WORDS words or
     more: a run of repeated pieces, with LEAST_WORDS words or more in them and no more than
-    PIECE_WORDS between two, goes but for its first occurrence ("pieces").
+    PIECE_WORDS between two, goes but for its first occurrence ("pieces"). RUN words in a row or
+    more that repeat go but for their first occurrence too, wherever they begin and end ("run"; a
+    span of both is one). Runs wholly in paragraphs that go are no occurrences, nor is one that
+    overlaps its first occurrence.
+
+    Runs are found by winnowing: of each RUN words, the least hash of GRAM words inside is dealt;
+    where one is repeated, the hashes of all runs that it marks are compared, so none is missed.
 
     ``row`` is monotonically_increasing_id in ``docs``. Null and empty texts have no spans; null
     and repeated ids are kept row by row, and equal rows are copies of each other; other columns
@@ -213,12 +328,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     deterministic plan.
 
     Keys are dealt packed, some tens of bytes a paragraph; of the parts' groups only a link from
-    each unit to the group's first one comes back. Texts move once, to those documents that have
-    colliding paragraphs. Equal sets are one before clusters are searched.
+    each unit to the group's first one comes back. Texts move twice, to those documents that have
+    colliding paragraphs and to those that have repeated marks. Equal sets are one before clusters
+    are searched. Of runs, 8 bytes for each word that has a repeated mark near it are dealt.
     """
     rows = docs.select(F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).head()[0]
-    bits = max(0, ceil(log2(max(1, size / 20 / PART))))
+    bits = max(0, ceil(log2(max(1, size / 17 / PART))))
     met = cut(rows.mapInArrow(_deal(bits), PACKED).groupBy("part").applyInArrow(_meet, MET))
 
     # Paragraphs: exact similarity within groups of colliding ones.
@@ -240,6 +356,17 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     heads = placed.groupBy("cluster").agg(F.min(F.struct("row", "first")).alias("lead"), F.count("*").alias("k")).where("k > 1")
     paragraphs = placed.join(cut(heads), "cluster").where(F.struct("row", "first") != F.col("lead"))
     paragraphs = paragraphs.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit("paragraph").alias("kind"), F.col("lead.row").alias("kept_row"))
+    paragraphs = cut(paragraphs)
+
+    # Runs of words: of the texts with repeated marks.
+    marks = met.where(F.col("kind") == MARK)
+    marks = marks.select("row", "first").unionByName(marks.select(F.col("lead_row").alias("row"), F.col("lead_first").alias("first")))
+    gone = paragraphs.groupBy("row").agg(F.collect_list(F.struct("first_word", "n_words")).alias("gone"))
+    marked = cut(marks.groupBy("row").agg(F.collect_set("first").alias("marks")).join(gone, "row", "left"))
+    texts = rows.join(marked.hint("merge"), F.col("__row") == F.col("row")).select("__text", "row", "marks", "gone")
+    bits = max(0, ceil(log2(max(1, size / 6 / PART))))
+    copies = texts.mapInArrow(_deal_runs(bits), RUNS).groupBy("part").applyInArrow(_copies, COPY)
+    copies = cut(copies.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit(True).alias("run"), F.col("lead_row").alias("kept_row")))
 
     # Pieces: runs of repeated ones that follow each other.
     repeats = met.where(F.col("kind") == PIECE).select("row", "first", "words", "lead_row").distinct()
@@ -249,7 +376,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     runs = repeats.withColumn("new", begins.cast("long")).withColumn("run", F.sum("new").over(by)).groupBy("row", "run")
     first, end = F.min("first"), F.max(F.col("first") + F.col("words"))
     runs = runs.agg(first.alias("first_word"), (end - first).alias("n_words"), F.sum("words").alias("met"), F.min("lead_row").alias("kept_row")).where(F.col("met") >= LEAST_WORDS)
-    runs = runs.select("row", "first_word", "n_words", F.lit("pieces").alias("kind"), "kept_row")
+    runs = runs.select("row", "first_word", "n_words", F.lit(False).alias("run"), "kept_row").unionByName(copies)
+    # Spans that overlap are one.
+    by = Window.partitionBy("row").orderBy("first_word", "n_words", "run", "kept_row")
+    reached = F.max(F.col("first_word") + F.col("n_words")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.coalesce(F.col("first_word") >= reached, F.lit(True)).cast("long")).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "span")
+    first, end = F.min("first_word"), F.max(F.col("first_word") + F.col("n_words"))
+    runs = runs.agg(first.alias("first_word"), (end - first).alias("n_words"), F.when(F.max("run"), "run").otherwise("pieces").alias("kind"), F.min("kept_row").alias("kept_row")).drop("span")
     spans = cut(paragraphs.unionByName(runs))
     names = cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row")))
     kept = names.select(F.col("doc_id").alias("kept_doc_id"), F.col("row").alias("kept_row"))

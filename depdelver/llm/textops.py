@@ -129,6 +129,15 @@ def window_hash(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
     return mix(out + U(words))
 
 
+def run_hashes(h: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the runs of ``words`` word hashes from ``at``, in the same few passes whatever ``words`` is."""
+    up, down = _powers(len(h) + 1)
+    sums = np.empty(len(h) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[at + words] - sums[at]) * down[at] + U(words))
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """The distinct values in order."""
     x = np.sort(x)

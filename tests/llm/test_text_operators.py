@@ -235,3 +235,31 @@ def test_substring_passages(spark, empty):
     spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(s["doc_id"], s["first_word"], s["n_words"], s["kept_doc_id"]) for s in spans} == {(i, 34, 55, 0) for i in (1, 2, 3)}
     assert substring_dedup.repeated_spans(empty).count() == 0
+
+
+def test_substring_runs(spark, monkeypatch):
+    """Copies that no sentence borders hold: cut in mid-sentence, unpunctuated, of short sentences, over lines."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "BATCH", 300)
+    monkeypatch.setattr(substring_dedup, "PART", 300)
+    r = random.Random(4)
+    some = lambda n, end="": [f"u{r.randrange(10**6)}{end}" for _ in range(n)]
+    plain, short, cut_off, lines = some(60), [w + "." * (i % 4 == 3) for i, w in enumerate(some(70))], some(55), some(50)
+    lines[25] += "\n"
+    texts = []
+    for i in range(4):
+        parts = [plain[i:], short, cut_off, lines] if i else [plain, short, cut_off[:49], lines]
+        texts.append(" ".join(x for p in parts for x in (*some(80, "," * (i % 2)), *p)))
+    texts += [" ".join(cut_off + some(70)), " ".join(["of"] * 120), None, "", " ".join(some(49)), " ".join(texts[1].split()[70:300])]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    spans = substring_dedup.repeated_spans(rows).collect()
+    seen, expected = {}, set()
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        for q in range(len(w) - substring_dedup.RUN + 1):
+            d, p = seen.setdefault(tuple(w[q : q + substring_dedup.RUN]), (i, q))
+            if d != i or q - p >= substring_dedup.RUN:
+                expected |= {(i, k) for k in range(q, q + substring_dedup.RUN)}
+    assert {(s["doc_id"], k) for s in spans for k in range(s["first_word"], s["first_word"] + s["n_words"])} == expected
+    assert len({i for i, _ in expected}) == 6 and "run" in {s["kind"] for s in spans}
