@@ -23,6 +23,10 @@ KAPPA = 10.0
 DECLARED_RIGHT, DECLARED_WEIGHT = 0.9, 20.0
 #: Documents whose best language is less likely than this are rejected.
 LEAST = 0.5
+#: A text is in none of the languages if its mean log-likelihood is below its language's floor. The
+#: floor lies midway between a usual labelled text's and that of trigrams never seen, or lower by this
+#: share of the labelled texts; standard errors by which a short text may be lower.
+OUTLIERS, SLACK = 0.01, 3.0
 #: Hosts that are sent to every executor; more of them are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -62,10 +66,20 @@ def gram_blocks(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """Languages and, for each, the logarithm of every trigram's probability."""
+    """Languages and, for each, the logarithm of every trigram's probability; the least mean of it
+    in a text of the language, and its standard deviation (none: all texts are in the languages)."""
 
     languages: list[str]
     logs: np.ndarray
+    floors: np.ndarray | None = None
+    spread: np.ndarray | None = None
+
+    def fits(self, n: np.ndarray, ll: np.ndarray) -> np.ndarray:
+        """Whether each text can be in each language."""
+        if self.floors is None:
+            return np.ones(ll.shape, bool)
+        n = np.maximum(n, 1)[:, None]
+        return ll / n >= self.floors - SLACK * self.spread / np.sqrt(n)
 
     def scores(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Trigrams of each text, and its log-likelihood in each language."""
@@ -90,11 +104,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(c[found])], ["label", "gram", "n"])
 
 
+def _left_out(counts, text: str, label: str):
+    """The mean log-likelihood of each labelled text in its language, as if it were not in the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, table = counts.value
+        total = table.sum(axis=1)
+        for batch in slices(batches):
+            out = []
+            for x, name in zip(as_bytes(batch.column(text)), batch.column(label).to_pylist(), strict=True):
+                own = sum(np.bincount(gram, minlength=1 << BITS) for _, gram in gram_blocks([x]))
+                n, at = int(own.sum()), np.flatnonzero(own)
+                if n:
+                    k = languages.index(name)
+                    out.append((name, float((own[at] * np.log((table[k][at] - own[at]) / (total[k] - n))).sum() / n)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64())], ["label", "mean"])
+
+    return run
+
+
 def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = LABELLED) -> Model:
     """A model from about ``rows`` labelled rows, picked by a hash of their id.
 
     Rows without a label or a text are not used. Counts are made on the executors; a number for
-    each language and trigram reaches the driver.
+    each language and trigram reaches the driver, and one for each of these rows: how likely its
+    text is by the other rows, from which the languages' floors are taken.
     """
     good = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, rows / max(1, good.count()))
@@ -104,11 +138,23 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     table = np.full((max(1, len(languages)), 1 << BITS), 0.5)
     at = np.array([languages.index(x) for x in counts.column("label").to_pylist()], np.int64)
     table[at, counts.column("gram").to_numpy()] += counts.column("n").to_numpy()
-    return Model(languages or ["und"], np.log(table / table.sum(axis=1, keepdims=True)))
+    share = table / table.sum(axis=1, keepdims=True)
+    logs = np.log(share)
+    if not languages:
+        return Model(["und"], logs)
+    means = own.mapInArrow(_left_out(labelled.sparkSession.sparkContext.broadcast((languages, table)), text, label), "label string, mean double").toArrow()
+    names, means = np.array(means.column("label").to_pylist(), object), means.column("mean").to_numpy()
+    # Trigrams as a text has them: what was counted, without the half that each has besides.
+    seen = np.where(table > 0.5, table - 0.5, 0)
+    seen /= seen.sum(axis=1, keepdims=True)
+    spread = np.sqrt(np.maximum((seen * logs**2).sum(axis=1) - (seen * logs).sum(axis=1) ** 2, 0))
+    by = [means[names == x] for x in languages]
+    floors = np.array([min(np.quantile(m, OUTLIERS), (np.median(m) + logs[k].min()) / 2) for k, m in enumerate(by)])
+    return Model(languages, logs, floors, spread)
 
 
 def _scorer(model, text: str):
-    """Adds __n and __ev, the tempered log-likelihoods."""
+    """Adds __n, __ev, the tempered log-likelihoods, and __fits, the languages that the text can be in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -116,7 +162,8 @@ def _scorer(model, text: str):
             # Trigrams are far from independent: n of them weigh like the root of n.
             ev = ll / np.sqrt(np.maximum(n, 1))[:, None]
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * ev.shape[1]), pa.array(ev.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), cells], [*batch.schema.names, "__n", "__ev"])
+            fits = pa.ListArray.from_arrays(cells.offsets, pa.array(model.value.fits(n, ll).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), cells, fits], [*batch.schema.names, "__n", "__ev", "__fits"])
 
     return run
 
@@ -145,8 +192,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     trigrams, tempered), of the declared language given this one, and of the host's prior. How
     declarations, suffixes and hosts go with languages is counted over all rows, each with its
     text's posterior: sums by host are smoothed towards those by suffix, and these towards all
-    rows'; a row's own share is taken out of its host's sums. A row is kept if it has letters and
-    its best language has at least LEAST; ties go to the first language by name.
+    rows'; a row's own share is taken out of its host's sums. A row is kept if it has letters,
+    its best language has at least LEAST, and its text is as likely in that language as the model's
+    floor asks, so that texts in none of the languages are not kept; ties go to the first language by name.
 
     Null and empty texts have no evidence: their language is null, and they are not kept. Null
     declarations, suffixes and hosts give none either. Repeated rows count as often as they are
@@ -160,10 +208,10 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     # The labels of the model that a declaration can name; all others are one.
     known = lambda c: F.when(c.isNull(), null).when(c.isin(model.languages), c).otherwise("other")
     evidence = [known(declared) if declared is not None else null, suffix if suffix is not None else null, host if host is not None else null]
-    reserved = {*names, "__n", "__ev", "__post", "__lang", "__prob", "__keep", "__s", "__h", "__suffix_prior", "__host_sums", "__host_rows"}
+    reserved = {*names, "__n", "__ev", "__fits", "__post", "__lang", "__prob", "__keep", "__s", "__h", "__suffix_prior", "__host_sums", "__host_rows"}
     own = docs.drop(*reserved).withColumns(dict(zip(names, evidence, strict=True)))
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("__n", T.LongType()), T.StructField("__ev", T.ArrayType(T.DoubleType()))]
+    added = [T.StructField("__n", T.LongType()), T.StructField("__ev", T.ArrayType(T.DoubleType())), T.StructField("__fits", T.ArrayType(T.BooleanType()))]
 
     def scored(df: DataFrame) -> DataFrame:
         return df.mapInArrow(_scorer(broadcast, text), T.StructType([*df.schema.fields, *added]))
@@ -201,8 +249,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     fused = F.transform(F.arrays_zip(F.col("__ev").alias("t"), claim.alias("d"), prior.alias("h")), lambda x: x["t"] + x["d"] + F.log(x["h"]))
     out = out.withColumn("__post", F.when(F.col("__n") > 0, softmax(fused)))
     best = F.array_max("__post")
-    lang = F.get(F.array(*[F.lit(x) for x in model.languages]), (F.array_position("__post", best) - 1).cast("int"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in reserved], lang.alias("__lang"), best.alias("__prob"), F.coalesce(best >= LEAST, F.lit(False)).alias("__keep"))
+    place = (F.array_position("__post", best) - 1).cast("int")
+    lang = F.get(F.array(*[F.lit(x) for x in model.languages]), place)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in reserved], lang.alias("__lang"), best.alias("__prob"), F.coalesce((best >= LEAST) & F.get("__fits", place), F.lit(False)).alias("__keep"))
 
 
 def of_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -175,6 +175,59 @@ def test_language_edges(table, empty):
     assert [r[0] for r in empty.sparkSession.createDataFrame(urls, "u string").select(language.address_suffix(F.col("u"))).collect()] == ["co", "de", None, None]
 
 
+FOREIGN = {
+    "ru": "В начале было слово и слово было у людей которые жили в большом городе на берегу моря",
+    "ja": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "zh": "中华人民共和国的首都是北京这里有很多人",
+    "el": "Η γλώσσα είναι ένα σύστημα επικοινωνίας που χρησιμοποιούν οι άνθρωποι",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "none": "xkcd bvrt qwzp mnbv lkjh gfds zxcv plkm wrtp sdfg hjkl zxcvb qwrtp",
+}
+
+
+def test_language_rejects_others(spark):
+    """Texts in none of the labelled languages are not kept; the posterior and the test as brute force has them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    others = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(FOREIGN.values())], docs.schema)
+    rows = docs.unionByName(others)
+    got = {r["doc_id"]: r for r in language.identify(rows, language.fit(docs)).collect()}
+
+    def trigrams(text):
+        b = [32, *(x | 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32 for x in text.encode()), 32]
+        return Counter((((x * 0x10001 + y) * 0x9E3779B1 + z) * 0x85EBCA6B % 2**32) >> 16 for x, y, z in zip(b, b[1:], b[2:], strict=False) if {x, y, z} != {32})
+
+    texts = {r["doc_id"]: trigrams(r["text"] or "") for r in rows.collect()}
+    labels = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    names = sorted(set(labels.values()))
+    count = {k: sum((texts[i] for i, x in labels.items() if x == k), Counter()) for k in names}
+    size = {k: sum(c.values()) for k, c in count.items()}
+
+    def mean(t, k, own=False):
+        n = sum(t.values())
+        return sum(c * math.log((count[k][g] - c * own + 0.5) / (size[k] - n * own + 2**15)) for g, c in t.items()) / n
+
+    floor, spread = {}, {}
+    for k in names:
+        m = sorted(mean(texts[i], k, True) for i, x in labels.items() if x == k and texts[i])
+        at = 0.01 * (len(m) - 1)
+        low = m[int(at)] + (at - int(at)) * (m[int(at) + 1] - m[int(at)])
+        floor[k] = min(low, ((m[(len(m) - 1) // 2] + m[len(m) // 2]) / 2 + math.log(0.5 / (size[k] + 2**15))) / 2)
+        logs = [(c / size[k], math.log((c + 0.5) / (size[k] + 2**15))) for c in count[k].values()]
+        spread[k] = math.sqrt(sum(p * x * x for p, x in logs) - sum(p * x for p, x in logs) ** 2)
+    softmax = lambda xs: [math.exp(x - max(xs)) / sum(math.exp(y - max(xs)) for y in xs) for x in xs]
+    means = {i: [mean(t, k) for k in names] for i, t in texts.items() if t}
+    ev = {i: [x * math.sqrt(sum(texts[i].values())) for x in m] for i, m in means.items()}
+    mass = [sum(p) for p in zip(*map(softmax, ev.values()), strict=True)]
+    prior = [(x + 1) / (sum(mass) + len(names)) for x in mass]
+    for i, m in means.items():
+        post = softmax([e + math.log(p) for e, p in zip(ev[i], prior, strict=True)])
+        best = post.index(max(post))
+        k = names[best]
+        keep = max(post) >= 0.5 and m[best] >= floor[k] - 3 * spread[k] / math.sqrt(sum(texts[i].values()))
+        assert (got[i]["__lang"], got[i]["__keep"]) == (k, keep) and math.isclose(got[i]["__prob"], post[best], rel_tol=1e-6)
+    assert not any(got[-1 - i]["__keep"] for i in range(len(FOREIGN))) and all(got[i]["__keep"] for i in labels if texts[i])
+
+
 # -- Language model ----------------------------------------------------------------------------
 
 
