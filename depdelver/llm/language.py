@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from depdelver.llm.textops import BLOCK, as_bytes, slices
 from depdelver.session import cut
 
-#: Labelled rows on which the text model is fitted, about; the only bounded sample.
+#: Labelled rows on which the text model is fitted, about; the only bounded sample. Rows that a
+#: label has in it at least, if there are so many.
 LABELLED = 4000
+LEAST_LABELLED = 20
 BITS = 16
 #: Weight of the level above, in rows, when a host's or a suffix's languages are counted.
 KAPPA = 10.0
@@ -123,16 +125,31 @@ def _left_out(counts, text: str, label: str):
     return run
 
 
+def quota(counts: list[int], rows: int) -> float:
+    """How many rows of each label make ``rows`` together, where a label with fewer gives all."""
+    left = rows
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) >= left:
+            return max(LEAST_LABELLED, left / (len(counts) - k))
+        left -= n
+    return max([LEAST_LABELLED, *counts])
+
+
 def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = LABELLED) -> Model:
     """A model from about ``rows`` labelled rows, picked by a hash of their id.
 
+    Each label has an equal part of them, or all its rows if these are fewer, so that a language is
+    in the model however rare it is. How frequent languages are is counted by ``identify``, over all rows.
     Rows without a label or a text are not used. Counts are made on the executors; a number for
     each language and trigram reaches the driver, and one for each of these rows: how likely its
     text is by the other rows, from which the languages' floors are taken.
     """
     good = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, rows / max(1, good.count()))
-    own = good.where(F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text, label)
+    sizes = {r[0]: r[1] for r in good.groupBy(label).count().toLocalIterator()}
+    most = quota(list(sizes.values()), rows)
+    limits = [x for k, n in sizes.items() if n > most for x in (F.lit(k), F.lit(int(most / n * (1 << 20)) + 1))]
+    limit = F.coalesce(F.create_map(*limits)[F.col(label)], F.lit(1 << 20)) if limits else F.lit(1 << 20)
+    own = good.where(F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1 << 20)) < limit).select(text, label)
     counts = own.mapInArrow(_count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("label").to_pylist()))
     table = np.full((max(1, len(languages)), 1 << BITS), 0.5)

@@ -175,6 +175,18 @@ def test_language_edges(table, empty):
     assert [r[0] for r in empty.sparkSession.createDataFrame(urls, "u string").select(language.address_suffix(F.col("u"))).collect()] == ["co", "de", None, None]
 
 
+def test_language_rare_label(spark):
+    """A language of a few rows is in the model however many rows the others have."""
+    texts = {"en": "the and of that with from this", "de": "und der die nicht mit auf ist", "fi": "kaikki ihmiset syntyvat vapaina ja tasavertaisina"}
+    labels = F.when(F.col("doc_id") % 2500 == 7, "fi").when(F.col("doc_id") % 4 == 0, "de").otherwise("en")
+    train = spark.range(10_000).withColumnRenamed("id", "doc_id").withColumn("lang", labels).withColumn("text", F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])[F.col("lang")])
+    model = language.fit(train, rows=100)
+    assert model.languages == ["de", "en", "fi"]
+    got = language.identify(train.where("lang = 'fi'"), model).collect()
+    assert len(got) == 4 and all(r["__lang"] == "fi" and r["__keep"] for r in got)
+    assert language.quota([5, 1000, 3000], 105) == 50 and language.quota([5, 10], 100) == 20 and language.quota([], 100) == 20
+
+
 FOREIGN = {
     "ru": "В начале было слово и слово было у людей которые жили в большом городе на берегу моря",
     "ja": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
