@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
+from depdelver.llm.rows import column, unpacked, whole
 from depdelver.llm.textops import SPACES, U, as_bytes, distinct, grams, mix, pack_sorted, slices, unpack_sorted, window_hash, word_blocks
 from depdelver.session import cut
 
@@ -298,8 +299,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Shingles are told apart by 48 bits of hash within a part.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"), F.monotonically_increasing_id())
-    size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[1])), F.lit(0))).head()[0]
+    rows = docs.select(column(doc_id).cast("long"), column(text), F.monotonically_increasing_id())
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(column(text))), F.lit(0))).head()[0]
     bits = max(0, ceil(log2(max(1, size / 6 / PART))))
     packed = rows.mapInArrow(_deal(bits, shingle), PACKED)
     returned = packed.groupBy("part").applyInArrow(_repeats, PACKED)
@@ -325,9 +326,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """The documents, with their own columns, but of each component only the one of the smallest id."""
-    keep = cut(jaccard_components(docs, **kw).where("row = first_row").select(F.col("row").alias("__row")))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(keep.hint("merge"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = cut(jaccard_components(docs, **kw).where("row = first_row").select(F.col("row").alias("number")))
+    marked = docs.select(whole(docs).alias("row"), F.monotonically_increasing_id().alias("number"))
+    return unpacked(marked.join(keep.hint("merge"), "number", "left_semi"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depdelver.llm.rows import column, whole
 from depdelver.llm.textops import BLOCK, as_bytes, slices
 from depdelver.session import cut
 
@@ -29,8 +30,8 @@ LEAST = 0.5
 #: floor lies midway between a usual labelled text's and that of trigrams never seen, or lower by this
 #: share of the labelled texts; standard errors by which a short text may be lower.
 OUTLIERS, SLACK = 0.01, 3.0
-#: Hosts that are sent to every executor; more of them are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes of hosts' priors that are sent to every executor; more of them are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -106,7 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(c[found])], ["label", "gram", "n"])
 
 
-def _left_out(counts, text: str, label: str):
+def _left_out(counts):
     """The mean log-likelihood of each labelled text in its language, as if it were not in the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def _left_out(counts, text: str, label: str):
         total = table.sum(axis=1)
         for batch in slices(batches):
             out = []
-            for x, name in zip(as_bytes(batch.column(text)), batch.column(label).to_pylist(), strict=True):
+            for x, name in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 own = sum(np.bincount(gram, minlength=1 << BITS) for _, gram in gram_blocks([x]))
                 n, at = int(own.sum()), np.flatnonzero(own)
                 if n:
@@ -144,12 +145,12 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     each language and trigram reaches the driver, and one for each of these rows: how likely its
     text is by the other rows, from which the languages' floors are taken.
     """
-    good = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in good.groupBy(label).count().toLocalIterator()}
+    good = labelled.select(column(doc_id).alias("id"), column(text).alias("text"), column(label).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
+    sizes = {r[0]: r[1] for r in good.groupBy("label").count().toLocalIterator()}
     most = quota(list(sizes.values()), rows)
     limits = [x for k, n in sizes.items() if n > most for x in (F.lit(k), F.lit(int(most / n * (1 << 20)) + 1))]
-    limit = F.coalesce(F.create_map(*limits)[F.col(label)], F.lit(1 << 20)) if limits else F.lit(1 << 20)
-    own = good.where(F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1 << 20)) < limit).select(text, label)
+    limit = F.coalesce(F.create_map(*limits)[F.col("label")], F.lit(1 << 20)) if limits else F.lit(1 << 20)
+    own = good.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < limit).select("text", "label")
     counts = own.mapInArrow(_count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("label").to_pylist()))
     table = np.full((max(1, len(languages)), 1 << BITS), 0.5)
@@ -159,7 +160,7 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     logs = np.log(share)
     if not languages:
         return Model(["und"], logs)
-    means = own.mapInArrow(_left_out(labelled.sparkSession.sparkContext.broadcast((languages, table)), text, label), "label string, mean double").toArrow()
+    means = own.mapInArrow(_left_out(labelled.sparkSession.sparkContext.broadcast((languages, table))), "label string, mean double").toArrow()
     names, means = np.array(means.column("label").to_pylist(), object), means.column("mean").to_numpy()
     # Trigrams as a text has them: what was counted, without the half that each has besides.
     seen = np.where(table > 0.5, table - 0.5, 0)
@@ -170,17 +171,19 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", labe
     return Model(languages, logs, floors, spread)
 
 
-def _scorer(model, text: str):
-    """Adds __n, __ev, the tempered log-likelihoods, and __fits, the languages that the text can be in."""
+def _scorer(model, at: int | None):
+    """Adds n, ev, the tempered log-likelihoods, and fits, the languages that the text can be in, and
+    leaves out the column text. ``at``: the text's place in row, where it is read from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, ll = model.value.scores(as_bytes(batch.column(text)))
+            n, ll = model.value.scores(as_bytes(batch.column("text") if at is None else batch.column("row").field(at)))
             # Trigrams are far from independent: n of them weigh like the root of n.
             ev = ll / np.sqrt(np.maximum(n, 1))[:, None]
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * ev.shape[1]), pa.array(ev.ravel()))
             fits = pa.ListArray.from_arrays(cells.offsets, pa.array(model.value.fits(n, ll).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), cells, fits], [*batch.schema.names, "__n", "__ev", "__fits"])
+            kept = batch.drop_columns(["text"]) if at is None else batch
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n.astype(np.int64)), cells, fits], [*kept.schema.names, "n", "ev", "fits"])
 
     return run
 
@@ -203,7 +206,7 @@ def address_suffix(url: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None) -> DataFrame:
-    """The rows with __lang, __prob and __keep.
+    """row (all columns, whatever their names), lang, prob and keep.
 
     The posterior of a language is the product of the text's likelihood (naive Bayes over byte
     trigrams, tempered), of the declared language given this one, and of the host's prior. How
@@ -215,28 +218,26 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
 
     Null and empty texts have no evidence: their language is null, and they are not kept. Null
     declarations, suffixes and hosts give none either. Repeated rows count as often as they are
-    there. All columns are kept, whatever their names, but for names of this operator's own, which begin with
-    two underscores. An
-    empty table gives no rows. Texts are read twice and moved only where hosts are so many that
-    their priors are joined by a shuffle.
+    there. An empty table gives no rows. Texts are read twice and moved only where hosts are so
+    many that their priors are joined by a shuffle.
     """
     null = F.lit(None).cast("string")
-    names = ["__declared", "__suffix", "__host"]
+    names = ["declared", "suffix", "host"]
     # The labels of the model that a declaration can name; all others are one.
     known = lambda c: F.when(c.isNull(), null).when(c.isin(model.languages), c).otherwise("other")
     evidence = [known(declared) if declared is not None else null, suffix if suffix is not None else null, host if host is not None else null]
-    reserved = {*names, "__n", "__ev", "__fits", "__post", "__lang", "__prob", "__keep", "__s", "__h", "__suffix_prior", "__host_sums", "__host_rows"}
-    own = docs.drop(*reserved).withColumns(dict(zip(names, evidence, strict=True)))
+    own = docs.select(whole(docs).alias("row"), column(text).alias("text"), *[e.alias(k) for k, e in zip(names, evidence, strict=True)])
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("__n", T.LongType()), T.StructField("__ev", T.ArrayType(T.DoubleType())), T.StructField("__fits", T.ArrayType(T.BooleanType()))]
+    added = [T.StructField("n", T.LongType()), T.StructField("ev", T.ArrayType(T.DoubleType())), T.StructField("fits", T.ArrayType(T.BooleanType()))]
 
     def scored(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(_scorer(broadcast, text), T.StructType([*df.schema.fields, *added]))
+        kept = [f for f in df.schema.fields if f.name != "text"]
+        return df.mapInArrow(_scorer(broadcast, None if "text" in df.columns else docs.columns.index(text)), T.StructType([*kept, *added]))
 
     size = len(model.languages)
     lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     sums = [F.sum(F.get("p", i)).alias(f"s{i}") for i in range(size)]
-    first = scored(own.select(F.col(f"`{text}`"), *names)).where("__n > 0").withColumn("p", softmax(F.col("__ev")))
+    first = scored(own.select("text", *names)).where("n > 0").withColumn("p", softmax(F.col("ev")))
     counts = cut(first.groupBy(*names).agg(*sums, F.count("*").alias("c")))
     total = [F.sum(f"s{i}").alias(f"s{i}") for i in range(size)]
     everywhere = counts.agg(*total).head()
@@ -244,11 +245,12 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
     overall = [((x or 0) + 1) / (mass + size) for x in everywhere]
     parts = F.array(*[F.col(f"s{i}") for i in range(size)])
     smooth = lambda p, c, above: F.transform(F.arrays_zip(p.alias("p"), above.alias("q")), lambda x: (x["p"] + KAPPA * x["q"]) / (c + KAPPA))
-    by_suffix = counts.where("__suffix IS NOT NULL").groupBy("__suffix").agg(*total, F.sum("c").alias("c"))
-    by_suffix = cut(by_suffix.select("__suffix", smooth(parts, F.col("c"), lit(overall)).alias("__suffix_prior")))
-    by_host = cut(counts.where("__host IS NOT NULL").groupBy("__host").agg(*total, F.sum("c").alias("__host_rows")).select("__host", parts.alias("__host_sums"), "__host_rows"))
+    by_suffix = counts.where("suffix IS NOT NULL").groupBy(F.col("suffix").alias("of_suffix")).agg(*total, F.sum("c").alias("c"))
+    by_suffix = cut(by_suffix.select("of_suffix", smooth(parts, F.col("c"), lit(overall)).alias("suffix_prior")))
+    by_host = counts.where("host IS NOT NULL").groupBy(F.col("host").alias("of_host")).agg(*total, F.sum("c").alias("host_rows"))
+    by_host = cut(by_host.select("of_host", parts.alias("host_sums"), "host_rows"))
     # At most one row for each language and one for all others.
-    said = {r["__declared"]: [x or 0 for x in r[1:]] for r in counts.where("__declared IS NOT NULL").groupBy("__declared").agg(*total).collect()}
+    said = {r["declared"]: [x or 0 for x in r[1:]] for r in counts.where("declared IS NOT NULL").groupBy("declared").agg(*total).collect()}
     spoken = [sum(x[i] for x in said.values()) for i in range(size)]
 
     def log_declared(d: str) -> list[float]:
@@ -256,31 +258,36 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
         return [float(np.log((said[d][i] + DECLARED_WEIGHT * before[i]) / (spoken[i] + DECLARED_WEIGHT))) for i in range(size)]
 
     claims = F.create_map(*[x for d in said for x in (F.lit(d), lit(log_declared(d)))]) if said else None
-    claim = F.coalesce(claims[F.col("__declared")], lit([0] * size)) if said else lit([0] * size)
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    out = scored(own).join(few(by_suffix).withColumnRenamed("__suffix", "__s"), F.col("__suffix") == F.col("__s"), "left")
-    out = out.join(few(by_host).withColumnRenamed("__host", "__h"), F.col("__host") == F.col("__h"), "left")
-    above = F.coalesce("__suffix_prior", lit(overall))
-    rest = F.transform(F.arrays_zip(F.col("__host_sums").alias("p"), softmax(F.col("__ev")).alias("q")), lambda x: F.greatest(x["p"] - x["q"], F.lit(0.0)))
-    prior = F.when(F.col("__host_sums").isNull(), above).otherwise(smooth(rest, F.col("__host_rows") - 1, above))
-    fused = F.transform(F.arrays_zip(F.col("__ev").alias("t"), claim.alias("d"), prior.alias("h")), lambda x: x["t"] + x["d"] + F.log(x["h"]))
-    out = out.withColumn("__post", F.when(F.col("__n") > 0, softmax(fused)))
-    best = F.array_max("__post")
-    place = (F.array_position("__post", best) - 1).cast("int")
+    claim = F.coalesce(claims[F.col("declared")], lit([0] * size)) if said else lit([0] * size)
+
+    def few(df: DataFrame, key: str) -> DataFrame:
+        """Sent to every executor if its names and its 8 bytes a language are found to be small."""
+        bytes_ = df.agg(F.coalesce(F.sum(F.octet_length(key) + 8 * size + 32), F.lit(0))).head()[0]
+        return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
+
+    out = scored(own.drop("text")).join(few(by_suffix, "of_suffix"), F.col("suffix") == F.col("of_suffix"), "left")
+    out = out.join(few(by_host, "of_host"), F.col("host") == F.col("of_host"), "left")
+    above = F.coalesce("suffix_prior", lit(overall))
+    rest = F.transform(F.arrays_zip(F.col("host_sums").alias("p"), softmax(F.col("ev")).alias("q")), lambda x: F.greatest(x["p"] - x["q"], F.lit(0.0)))
+    prior = F.when(F.col("host_sums").isNull(), above).otherwise(smooth(rest, F.col("host_rows") - 1, above))
+    fused = F.transform(F.arrays_zip(F.col("ev").alias("t"), claim.alias("d"), prior.alias("h")), lambda x: x["t"] + x["d"] + F.log(x["h"]))
+    out = out.withColumn("post", F.when(F.col("n") > 0, softmax(fused)))
+    best = F.array_max("post")
+    place = (F.array_position("post", best) - 1).cast("int")
     lang = F.get(F.array(*[F.lit(x) for x in model.languages]), place)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in reserved], lang.alias("__lang"), best.alias("__prob"), F.coalesce((best >= LEAST) & F.get("__fits", place), F.lit(False)).alias("__keep"))
+    return out.select("row", lang.alias("lang"), best.alias("prob"), F.coalesce((best >= LEAST) & F.get("fits", place), F.lit(False)).alias("keep"))
 
 
 def of_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``identify`` on documents: text, markup inside it, and the source as the host."""
-    return identify(docs, fit(labelled), declared=declared_language(F.col("text")), host=F.col("source"))
+    return identify(docs, fit(labelled), declared=declared_language(column("text")), host=column("source"))
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:
     """Of every document; the labels train the text model and are evidence for no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     marked = of_documents(docs.select("doc_id", "text", "source"), docs)
-    return marked.select("doc_id", F.col("__lang").alias("lang"), F.col("__prob").alias("prob"), F.col("__keep").alias("keep"))
+    return marked.select("row.doc_id", "lang", "prob", "keep")
 
 
 def page_language(spark, sf_dir: str) -> DataFrame:
@@ -291,4 +298,4 @@ def page_language(spark, sf_dir: str) -> DataFrame:
     model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = pages.select("page_id", "url", "html", plain.alias("text"))
     marked = identify(rows, model, declared=declared_language(F.col("html")), suffix=address_suffix(F.col("url")), host=F.when(host != "", host))
-    return marked.select("page_id", F.col("__lang").alias("lang"), F.col("__prob").alias("prob"), F.col("__keep").alias("keep"))
+    return marked.select("row.page_id", "lang", "prob", "keep")

@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depdelver.llm.rows import column, whole
 from depdelver.session import cut
 
 LINES = 3
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
-
-
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Adds __key (null, id, text's hash), by which documents are ordered and told apart."""
-    i = F.col(f"`{doc_id}`")
-    return docs.withColumn("__key", F.struct(i.isNull().alias("none"), F.coalesce(i.cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
+    """row, its text, and key (null, id, text's hash), by which documents are ordered and told apart."""
+    i, t = column(doc_id), column(text)
+    key = F.struct(i.isNull().alias("none"), F.coalesce(i.cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(t).alias("h"))
+    return docs.select(whole(docs).alias("row"), t.alias("text"), key.alias("key"))
 
 
 def repeated(docs: DataFrame, doc_id: str, text: str, lines: int) -> DataFrame:
-    """Of every document with lines to remove: __key and __gone, their distinct numbers from 0."""
-    trimmed = F.transform(_lines(F.col(f"`{text}`")), lambda x: F.btrim(x, F.lit(" \t\r")))
+    """Of every document with lines to remove: key and gone, their distinct numbers from 0."""
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
     at = F.when(F.size("l") >= lines, F.sequence(F.lit(0), F.size("l") - lines)).otherwise(F.array().cast("array<int>"))
 
     def window(i: Column) -> Column:
@@ -30,26 +28,26 @@ def repeated(docs: DataFrame, doc_id: str, text: str, lines: int) -> DataFrame:
         blank = F.length(F.concat(*own)) == 0
         return F.struct(i.alias("pos"), blank.alias("blank"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(1), *own).alias("h2"))
 
-    rows = _keyed(docs.where(F.col(f"`{text}`").isNotNull()), doc_id, text).select("__key", trimmed.alias("l"))
-    rows = rows.select("__key", F.explode(F.transform(at, window)).alias("w")).select("__key", "w.*").where(~F.col("blank")).drop("blank")
+    rows = _keyed(docs, doc_id, text).where(F.col("text").isNotNull()).select("key", trimmed.alias("l"))
+    rows = rows.select("key", F.explode(F.transform(at, window)).alias("w")).select("key", "w.*").where(~F.col("blank")).drop("blank")
     windows = cut(rows)
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("__key", "pos")).alias("first"), F.count("*").alias("n"))
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n"))
     first = cut(first.where(F.col("n") > 1).drop("n"))
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("__key", "pos") != F.col("first"))
+    later = windows.join(first, ["h1", "h2"]).where(F.struct("key", "pos") != F.col("first"))
     # Where a window overlaps the first one in the same document, the first one stays whole.
-    start = F.when(F.col("__key") == F.col("first.__key"), F.greatest("pos", F.col("first.pos") + lines)).otherwise(F.col("pos"))
+    start = F.when(F.col("key") == F.col("first.key"), F.greatest("pos", F.col("first.pos") + lines)).otherwise(F.col("pos"))
     end = F.col("pos") + (lines - 1)
-    covered = later.select("__key", start.alias("a"), end.alias("b")).where(F.col("a") <= F.col("b")).distinct()
-    spans = covered.groupBy("__key").agg(F.collect_list(F.sequence("a", "b")).alias("s"))
-    return spans.select("__key", F.array_distinct(F.flatten("s")).alias("__gone"))
+    covered = later.select("key", start.alias("a"), end.alias("b")).where(F.col("a") <= F.col("b")).distinct()
+    spans = covered.groupBy("key").agg(F.collect_list(F.sequence("a", "b")).alias("s"))
+    return spans.select("key", F.array_distinct(F.flatten("s")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lines: int = LINES, report: bool = False) -> DataFrame:
     """The documents without the lines covered by later occurrences of repeated windows.
 
     A window is ``lines`` consecutive lines of a document, compared without spaces, tabs and
-    carriage returns at their ends; windows of blank lines only do not count. The first
-    occurrence, by (doc_id with null last, hash of the text, place), stays whole; what later
+    carriage returns at their ends; windows of blank lines only do not count. Ids are whole
+    numbers, as such or as text; any other text raises CAST_INVALID_INPUT. The first occurrence, by (doc_id with null last, hash of the text, place), stays whole; what later
     ones cover is removed, and the lines that are left are joined again. Texts with fewer lines,
     empty and null ones stay as they are; rows with the same id and text are one document listed
     twice and get the same result; a document may lose all its lines and then has an empty text;
@@ -61,13 +59,14 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     gone = cut(repeated(docs, doc_id, text, lines))
     d, g = _keyed(docs, doc_id, text).alias("d"), gone.alias("g")
-    rows = d.join(g.hint("merge"), F.col("d.__key") == F.col("g.__key"), "left")  # the same plan at every size
-    t = F.col(f"d.`{text}`")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(t)) - 1), F.col("g.__gone"))
-    new = F.when(F.col("g.__gone").isNull(), t).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(t), i)), "\n"))
-    out = [new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
+    rows = d.join(g.hint("merge"), F.col("d.key") == F.col("g.key"), "left")  # the same plan at every size
+    # A text is split once, whatever is asked of its lines.
+    rows = rows.select("d.row", "g.gone", F.split(F.col("d.row")[text], "\n").alias("l"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))
+    new = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("l", i)), "\n"))
+    out = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     if report:
-        out += [F.coalesce(F.size(_lines(t)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("g.__gone"), F.lit(0)).cast("long").alias("n_removed")]
+        out += [F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
     return rows.select(*out)
 
 

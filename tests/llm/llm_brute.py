@@ -68,10 +68,10 @@ def contamination(texts, items, window=13):
     having = defaultdict(set)
     for name, t in items:
         w = plain_words(t)
-        if w and name is not None:
+        if w:
             k = min(window, len(w))
             for i in range(len(w) - k + 1):
-                having[tuple(w[i : i + k])].add(str(name))
+                having[tuple(w[i : i + k])].add(name)
     sizes = {len(g) for g in having}
     out = []
     for t in texts:
@@ -81,7 +81,7 @@ def contamination(texts, items, window=13):
                 if names := having.get(tuple(w[i : i + k])):
                     hit |= set(range(i, i + k))
                     found |= names
-        out.append((len(w), len(hit), sorted(found)))
+        out.append((len(w), len(hit), sorted(str(x) for x in found if x is not None)))
     return out
 
 

@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, table, edge):
     rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
 
     one = cut(stages["language"](spark, docs, DIR))
-    kept = language.of_documents(docs, docs).where("__keep")
+    kept = language.of_documents(docs, docs).where("keep").select("row.*")
     assert one.columns == docs.columns and rows(one) == rows(kept)
     if not edge:
         assert one.count() == docs.count()

@@ -16,13 +16,29 @@ def key(r):
     return str(r)
 
 
+def clashing(df, *names):
+    """The table with columns named like an operator's own, and one with a dot and one with a backtick."""
+    return df.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in (*names, "a.b", "c`d")})
+
+
+def assert_same_rows(out, df, but=()):
+    """All columns of ``out`` are those of ``df``, and its rows are there as they are, except for ``but``."""
+    names = [c for c in df.columns if c not in but]
+    assert out.columns == df.columns
+    q = [F.col("`" + c.replace("`", "``") + "`") for c in names]
+    left = Counter(map(str, df.select(*q).collect()))
+    assert not Counter(map(str, out.select(*q).collect())) - left
+
+
 # -- Line dedup --------------------------------------------------------------------------------
 
 
 def test_line_dedup(table, empty):
     rows = rows_of(table)
-    got = line_dedup.dedup_lines(table.withColumn("__gone", F.lit(1)), report=True)
-    assert got.columns == [*table.columns, "__gone", "n_lines", "n_removed"]
+    df = clashing(table, "key", "gone", "l", "row", "w", "first", "h1", "n", "__key", "__gone")
+    assert_same_rows(line_dedup.dedup_lines(df), df, but=("text",))
+    got = line_dedup.dedup_lines(df, report=True)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
     assert sorted(rows_of(got), key=key) == sorted(((i, t) for (i, _), t in zip(rows, brute.dedup_lines(rows), strict=True)), key=key)
     assert line_dedup.dedup_lines(empty).count() == 0
 
@@ -35,6 +51,19 @@ def test_line_dedup_keeps_first_of_overlapping(spark):
     assert got[1] == "a\na\na" and got[4] == "p\nq\nr" and got[5] == "s"
 
 
+def test_line_dedup_of_a_long_text(spark):
+    """Time grows with the lines: a text of 200,000 of them, with a third repeated."""
+    import time
+
+    lines = [f"line {i}" for i in range(150_000)]
+    text = "\n".join(lines + lines[:50_000])
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, report=True).collect()}
+    assert got[1]["n_lines"] == 200_000 and got[1]["n_removed"] == 50_000 and got[1]["text"] == "\n".join(lines) and got[2]["text"] == "short"
+    assert time.monotonic() - began < 60
+
+
 # -- Jaccard join ------------------------------------------------------------------------------
 
 
@@ -77,8 +106,9 @@ def test_jaccard_boundary_and_empty(spark, empty):
 
 
 def test_one_of_each(table):
-    kept = jaccard_join.one_of_each(table)
-    assert kept.columns == table.columns
+    df = clashing(table, "row", "number", "first_row", "n_shingles", "component_id", "rid", "tokens", "__row")
+    kept = jaccard_join.one_of_each(df)
+    assert_same_rows(kept, df)
     ids = [r[0] for r in rows_of(kept)]
     # 1 stands for 2, 3 and the longer one without id; 9 for 10; 12 is there once, with 11 in its component.
     assert Counter(ids)[1] == 1 and not {2, 3, 10} & set(ids) and Counter(ids)[12] <= 1 and {4, 5, 6, 7, 9, 14} <= set(ids) and 8 not in ids
@@ -95,18 +125,25 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("size", [1 << 24, 40])
-def test_decontamination(spark, table, monkeypatch, size):
-    monkeypatch.setattr(decontamination, "CHUNK_BYTES", size)  # small: the benchmark comes in several chunks
+def test_decontamination(spark, table, size):
+    """By an index that is sent, and by joins."""
     items = [(1, " ".join(f"Line {i} of a text that has some words" for i in range(2, 5))), (2, "seven WIZARDS, mix!"), (3, None), (4, ""), (None, "lazy dog"), (5, "one"), (5, "the old tower"), (60, "word1 über1 word2 über2 word3 über3 word4 über4 word5 über5 word6 über6 word7 über7 word8")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, contaminated string")
-    df = table.withColumn("n_hit", F.lit(7)).withColumn("__items", F.lit(8))
-    marked = decontamination.mark(df, bench)
-    got = [(r["text"], r["__n_words"], sum(s["end"] - s["first"] for s in r["__spans"]), list(r["__items"])) for r in marked.collect()]
+    df = clashing(table, "row", "n_words", "spans", "items", "number", "met")
+    marked = decontamination.mark(df, bench, index_bytes=size)
+    got = [(r["row"]["text"], r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), list(r["items"])) for r in marked.collect()]
     expected = [(t, *x) for t, x in zip([t for _, t in rows_of(df)], brute.contamination([t for _, t in rows_of(df)], items), strict=True)]
     assert sorted(got, key=key) == sorted(expected, key=key)
     assert max(x[2] for x in got) > 13
-    kept = decontamination.remove_contaminated(df, bench)
-    assert kept.columns == df.columns and kept.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in expected)
+    kept = decontamination.remove_contaminated(df, bench, index_bytes=size)
+    assert_same_rows(kept, df)
+    assert kept.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in expected)
+
+
+def test_decontamination_joined_equals_sent(spark, sample):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    rows = [sorted(map(str, decontamination.mark(sample, bench, index_bytes=b).collect())) for b in (1 << 24, 0)]
+    assert rows[0] == rows[1] and any("end=" in r for r in rows[0])
 
 
 def test_decontamination_empty(spark, table, empty):
@@ -147,7 +184,7 @@ def test_language_held_out(spark):
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     model = language.fit(docs.where(half), rows=300)
     marked = language.identify(docs.where(~half), model, host=F.col("source"))
-    right, n, kept = marked.agg(F.sum((F.col("__lang") == F.col("lang")).cast("int")), F.count("*"), F.sum(F.col("__keep").cast("int"))).head()
+    right, n, kept = marked.agg(F.sum((F.col("lang") == F.col("row.lang")).cast("int")), F.count("*"), F.sum(F.col("keep").cast("int"))).head()
     assert right / n > 0.99 and kept / n > 0.99
 
 
@@ -159,16 +196,17 @@ def test_language_evidence(spark):
     rows = [(i, texts["de"] * 3, "h.de", None) for i in range(30)] + [(100 + i, texts["en"] * 3, "h.en", None) for i in range(30)]
     rows += [(200, "xq", "h.de", None), (201, "xq", "h.en", None), (202, "xq", None, "de"), (203, "xq", None, "en"), (204, "", "h.de", "de"), (205, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, host string, declared string")
-    got = {r["doc_id"]: r for r in language.identify(df, model, host=F.col("host"), declared=F.col("declared"), suffix=F.substring_index("host", ".", -1)).collect()}
-    assert [got[i]["__lang"] for i in range(200, 206)] == ["de", "en", "de", "en", None, None]
-    assert not got[204]["__keep"] and not got[205]["__keep"] and got[0]["__keep"]
+    got = {r["row"]["doc_id"]: r for r in language.identify(df, model, host=F.col("host"), declared=F.col("declared"), suffix=F.substring_index("host", ".", -1)).collect()}
+    assert [got[i]["lang"] for i in range(200, 206)] == ["de", "en", "de", "en", None, None]
+    assert not got[204]["keep"] and not got[205]["keep"] and got[0]["keep"]
 
 
 def test_language_edges(table, empty):
-    df = table.withColumn("__n", F.lit(1)).withColumn("host_rows", F.lit(1))
+    df = clashing(table, "row", "n", "ev", "fits", "declared", "suffix", "host", "prob", "keep", "post", "host_rows", "host_sums", "of_host", "id", "label", "__n", "__keep")
     marked = language.of_documents(df, df)
-    got = {r["doc_id"]: r for r in marked.collect()}
-    assert marked.count() == df.count() and got[4]["__lang"] is None and got[5]["__keep"] is False and got[6]["__keep"] is False and got[9]["__keep"]
+    assert_same_rows(marked.select("row.*"), df)
+    got = {r["row"]["doc_id"]: r for r in marked.collect()}
+    assert marked.count() == df.count() and got[4]["lang"] is None and got[5]["keep"] is False and got[6]["keep"] is False and got[9]["keep"]
     assert language.of_documents(empty, empty).count() == 0
     assert [r[0] for r in empty.sparkSession.createDataFrame([('<p><html x="1" LANG=de-AT>',), ("<html>",), (None,)], "h string").select(language.declared_language(F.col("h"))).collect()] == ["de", None, None]
     urls = [("https://a.b.co:80/x.fr",), ("http://u.example.de?x",), ("nothing",), (None,)]
@@ -183,7 +221,7 @@ def test_language_rare_label(spark):
     model = language.fit(train, rows=100)
     assert model.languages == ["de", "en", "fi"]
     got = language.identify(train.where("lang = 'fi'"), model).collect()
-    assert len(got) == 4 and all(r["__lang"] == "fi" and r["__keep"] for r in got)
+    assert len(got) == 4 and all(r["lang"] == "fi" and r["keep"] for r in got)
     assert language.quota([5, 1000, 3000], 105) == 50 and language.quota([5, 10], 100) == 20 and language.quota([], 100) == 20
 
 
@@ -202,7 +240,7 @@ def test_language_rejects_others(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     others = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(FOREIGN.values())], docs.schema)
     rows = docs.unionByName(others)
-    got = {r["doc_id"]: r for r in language.identify(rows, language.fit(docs)).collect()}
+    got = {r["row"]["doc_id"]: r for r in language.identify(rows, language.fit(docs)).collect()}
 
     def trigrams(text):
         b = [32, *(x | 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32 for x in text.encode()), 32]
@@ -236,8 +274,8 @@ def test_language_rejects_others(spark):
         best = post.index(max(post))
         k = names[best]
         keep = max(post) >= 0.5 and m[best] >= floor[k] - 3 * spread[k] / math.sqrt(sum(texts[i].values()))
-        assert (got[i]["__lang"], got[i]["__keep"]) == (k, keep) and math.isclose(got[i]["__prob"], post[best], rel_tol=1e-6)
-    assert not any(got[-1 - i]["__keep"] for i in range(len(FOREIGN))) and all(got[i]["__keep"] for i in labels if texts[i])
+        assert (got[i]["lang"], got[i]["keep"]) == (k, keep) and math.isclose(got[i]["prob"], post[best], rel_tol=1e-6)
+    assert not any(got[-1 - i]["keep"] for i in range(len(FOREIGN))) and all(got[i]["keep"] for i in labels if texts[i])
 
 
 # -- Language model ----------------------------------------------------------------------------
