@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depdelver.llm import decontamination, jaccard_join, language, line_dedup, mixing
+from depdelver.llm.rows import unpacked
 from depdelver.session import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the labels in ``lang`` train the text model."""
-    return language.of_documents(docs, docs).where("__keep").select(*docs.columns)
+    return unpacked(language.of_documents(docs, docs).where("keep"))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
