@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil, log, log2
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depdelver.llm.textops import SPACES, U, as_bytes, grams, pack, pack_sorted, slices, squeeze, unpack, unpack_sorted, unsqueeze, word_blocks
+from depdelver.llm.ngram_counts import KEPT, Block, with_totals
+from depdelver.llm.textops import SPACES, U, grams, word_blocks
 from depdelver.session import cut
 
 ORDER = 3
 BACKOFF = 0.4
-#: N-grams of more than one word that are seen fewer times count as unseen.
-MIN_COUNT = 2
-#: Text of a block of documents, and n-grams of a part of the count table.
-BLOCK_BYTES, PART = 8 << 20, 2_000_000
-#: Bits of an n-gram's hash that are kept.
-KEPT = 56
-
-PACKED = "part int, block long, keys binary, counts binary, ids array<long>, texts binary"
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary())])
-_SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("n_unigrams", pa.int64())])
-SCORE = "doc_id long, n_words long, score double, n_unigrams long"
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
-    """Consecutive documents of a task, about BLOCK_BYTES of text at a time: block, ids, texts."""
-    ids, texts, size = [], [], 0
-    block = None
-    for batch in slices(batches):
-        if block is None:
-            block = batch.column(2)[0].as_py() << 24
-        for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-            if ids and size + len(t or b"") > BLOCK_BYTES:
-                yield block, ids, texts
-                block, ids, texts, size = block + 1, [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t or b"") + 8
-    if ids:
-        yield block, ids, texts
+
+_SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("partial", pa.float64()), ("n_unigrams", pa.int64())])
+SCORE = "doc_id long, n_words long, partial double, n_unigrams long"
 
 
 def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,129 +27,97 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def ngrams(h: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For 1 to ``order`` words: where n-grams within a document start, and their hashes."""
-    out = []
-    for n in range(1, order + 1):
-        g = grams(h, n)
-        at = np.flatnonzero(doc[: len(g)] == doc[n - 1 :]) if len(g) else np.empty(0, np.int64)
-        out.append((at, g[at] >> U(64 - KEPT)))
-    return out
-
+def starts(doc: np.ndarray, n: int) -> np.ndarray:
+    """Where ``n`` words in a row begin that are of one document."""
+    return np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.empty(0, np.int64)
 
-def parts_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return np.searchsorted(keys >> U(KEPT - bits), np.arange((1 << bits) + 1))
 
+def ngrams(order: int):
+    """All n-grams of 1 to ``order`` words, those of one word first."""
 
-def _count(order: int, bits: int):
-    """The n-grams of each block with their counts, dealt by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in blocks(batches):
-            keys, counts = np.unique(np.concatenate([g for _, g in ngrams(*words(texts), order)]), return_counts=True)
-            cuts = parts_of(keys, bits)
-            rows = [(p, pack_sorted(keys[a:b]), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            if rows:
-                p, k, c = zip(*rows, strict=True)
-                none = [None] * len(p)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((p, [block] * len(p), k, c, none, none), _SCHEMA, strict=True)], schema=_SCHEMA)
+    def run(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        h, doc = words(texts)
+        at = [starts(doc, n) for n in range(1, order + 1)]
+        return np.concatenate([grams(h, n)[a] >> U(64 - KEPT) for n, a in enumerate(at, 1)]), np.concatenate([doc[a] for a in at])
 
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, ids, texts in blocks(batches):
-        lengths = pack(np.array([len(t or b"") for t in texts]))
-        row = (-1, block, lengths, None, ids, squeeze(b"".join([t or b"" for t in texts])))
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
-
-
-def _sum(table: pa.Table) -> pa.Table:
-    """Of a part, the counts over all blocks, for each block in the order of its n-grams."""
-    keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums = np.add.reduceat(counts[order], first)
-    totals = np.empty(len(every), np.int64)
-    totals[order] = np.repeat(sums, np.diff(np.append(first, len(ordered))))
-    cuts = np.cumsum([0, *map(len, keys)])
-    blobs = pa.array([pack(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-    none = [pa.nulls(len(table), _SCHEMA.field(c).type) for c in ("keys", "ids", "texts")]
-    return pa.Table.from_arrays([table.column("part"), table.column("block"), none[0], blobs, *none[1:]], schema=_SCHEMA)
-
-
-def _score(order: int, backoff: float, min_count: int):
+def _score(order: int, backoff: float):
     """The scores of a block's documents, but for the size of the corpus."""
 
-    def run(table: pa.Table) -> pa.Table:
-        held = table.column("part").to_numpy()
-        at = int(np.flatnonzero(held == -1)[0])
-        ids, raw = table.column("ids")[at].as_py(), unsqueeze(table.column("texts")[at].as_py())
-        cuts = np.cumsum(np.append(0, unpack(table.column("keys")[at].as_py()))).astype(np.int64)
-        texts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        blobs = table.column("counts").to_pylist()
-        total = np.concatenate([np.empty(0, np.uint64), *[unpack(blobs[i]) for i in np.argsort(held, kind="stable").tolist() if held[i] >= 0]])
-        h, doc = words(texts)
-        found = ngrams(h, doc, order)
-        every = np.concatenate([g for _, g in found])
-        by_hash = np.argsort(every)
-        ordered = every[by_hash]
-        count = np.empty(len(every))
-        count[by_hash] = total[np.cumsum(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]) - 1]
-        del every, by_hash, ordered, total
-        m = len(h)
+    def run(block: Block) -> pa.Table:
+        others = np.empty(len(block.gram))
+        others[block.order] = block.total - block.own()  # of each n-gram, its count in the other documents
+        doc = words(block.texts)[1]
+        m, size = len(doc), len(block.ids)
         # Of every word, by n: the count of the n-gram that ends there, 0 if it would begin before the document.
         seen, past = [], 0
-        for n, (start, g) in enumerate(found, 1):
+        for n in range(1, order + 1):
+            at = starts(doc, n)
             c = np.zeros(m)
-            c[start + n - 1] = count[past : past + len(g)]
-            past += len(g)
+            c[at + n - 1] = others[past : past + len(at)]
+            past += len(at)
             seen.append(c)
-        place = np.arange(m) - np.searchsorted(doc, np.arange(len(ids)))[doc]
-        score = np.log(np.maximum(seen[0], 1)) + np.log(backoff) * np.minimum(place, order - 1)
+        room = np.minimum(np.arange(m) - np.searchsorted(doc, np.arange(size))[doc], order - 1)
+        score = np.log(np.maximum(seen[0], 1)) + np.log(backoff) * (room + (seen[0] == 0))
         level = np.ones(m, np.int64)
         for n in range(2, order + 1):
-            use = np.flatnonzero((place >= n - 1) & (seen[n - 1] >= min_count))
-            score[use] = np.log(seen[n - 1][use] / seen[n - 2][use - 1]) + np.log(backoff) * (np.minimum(place[use], order - 1) - n + 1)
+            use = np.flatnonzero(seen[n - 1] > 0)
+            score[use] = np.log(seen[n - 1][use] / seen[n - 2][use - 1]) + np.log(backoff) * (room[use] - n + 1)
             level[use] = n
-        size = len(ids)
         sums = [np.bincount(doc, minlength=size), np.bincount(doc, score, minlength=size), np.bincount(doc[level == 1], minlength=size)]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((ids, *sums), _SCORE, strict=True)], schema=_SCORE)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((block.ids, *sums), _SCORE, strict=True)], schema=_SCORE)
 
     return run
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
-    """doc_id, n_words, score and per_word of every document.
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """doc_id, n_words, score (a word) and log_sum (of the document) of every document.
 
-    The score is the sum over the words (runs of anything but ASCII white space, A-Z lower-cased)
+    log_sum is the sum over the words (runs of anything but ASCII white space, A-Z lower-cased)
     of log S: the count of the longest n-gram of up to ``order`` words that ends there and is
-    seen at least ``min_count`` times (a single word: once), over the count of its first n - 1
-    words (of all words for n = 1), times ``backoff`` for each longer n-gram of the document that
-    was passed over. Counts are those of all documents, this one included. Null and empty texts
-    have 0 words, a score of 0 and a null per_word; null and repeated ids are kept row by row;
-    other columns are not read; an empty table gives no rows. ``docs`` should be a table or
-    another deterministic plan.
-
-    Every block of documents counts its own n-grams before anything moves; the counts, dealt by
-    hash, are the partitions of the count table, which sum them and hand each block its n-grams'
-    totals; there they meet the texts, whose n-grams are made again and summed by document. A
-    word in every document costs one entry a block. N-grams are told apart by 56 bits of hash.
+    in another document, over the count of its first n - 1 words (of all words for n = 1), times
+    ``backoff`` for each longer n-gram of the document that was passed over. A word of no other
+    document is passed over too, and counts as one. Counts are those of all other documents: a
+    document's own are taken out, so that it is not likely by itself. score is log_sum / n_words.
+
+    Null and empty texts have 0 words, a log_sum of 0 and a null score; null and repeated ids are
+    kept row by row, and equal rows are documents that know each other; other columns are not
+    read; an empty table gives no rows. ``docs`` should be a table or another deterministic plan.
+
+    The count tables are partitioned by hash and joined to the blocks' exploded n-grams (see
+    ``ngram_counts``), which are summed by document. N-grams are told apart by 58 bits of hash.
     """
-    # The partition's number in the scan itself: a union counts its tasks anew.
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"), F.spark_partition_id())
-    size = rows.agg(F.coalesce(F.sum(F.octet_length(rows.columns[1])), F.lit(0))).head()[0]
-    bits = max(0, ceil(log2(max(1, size / 6 * order / PART))))
-    counted = rows.mapInArrow(_count(order, bits), PACKED).groupBy("part").applyInArrow(_sum, PACKED)
-    both = counted.unionByName(rows.mapInArrow(_texts, PACKED))
-    partial = cut(both.groupBy("block").applyInArrow(_score(order, backoff, min_count), SCORE))
+    n_grams = order / 6  # a word has about six bytes
+    partial = cut(with_totals(docs, doc_id, text, ngrams(order), n_grams, _score(order, backoff), SCORE))
     n = partial.agg(F.coalesce(F.sum("n_words"), F.lit(0))).head()[0]
-    total = F.col("score") - F.col("n_unigrams") * F.lit(log(max(n, 1)))
-    return partial.select("doc_id", "n_words", total.alias("score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))
+    total = F.col("partial") - F.col("n_unigrams") * F.log(F.greatest(F.lit(n) - F.col("n_words"), F.lit(1)))
+    return partial.select("doc_id", "n_words", F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("score"), total.alias("log_sum"))
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    scores = score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scores.withColumns({"score": F.round("score", 6), "log_sum": F.round("log_sum", 3)})
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+p AS (
+  SELECT doc_id, i, least(i - 1, 2) AS room, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3,
+         CASE WHEN i > 1 THEN w[i - 1] END AS b1, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS b2 FROM i
+), own AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest([g1, g2, g3]) AS g FROM p) WHERE g IS NOT NULL GROUP BY ALL),
+total AS (SELECT g, sum(c) AS c FROM own GROUP BY g),
+o AS MATERIALIZED (SELECT own.doc_id, own.g, total.c - own.c AS c FROM own JOIN total USING (g)),
+n AS (SELECT doc_id, len(w) AS n, (SELECT sum(len(w)) FROM d) - len(w) AS rest FROM d),
+s AS (
+  SELECT p.doc_id, CASE WHEN o3.c > 0 THEN ln(o3.c / c2.c) WHEN o2.c > 0 THEN ln(o2.c / c1.c) + (room - 1) * ln(0.4)
+         WHEN o1.c > 0 THEN ln(o1.c / greatest(n.rest, 1)) + room * ln(0.4) ELSE ln(1 / greatest(n.rest, 1)) + (room + 1) * ln(0.4) END AS s
+  FROM p JOIN n ON n.doc_id = p.doc_id JOIN o o1 ON o1.doc_id = p.doc_id AND o1.g = p.g1
+  LEFT JOIN o o2 ON o2.doc_id = p.doc_id AND o2.g = p.g2 LEFT JOIN o o3 ON o3.doc_id = p.doc_id AND o3.g = p.g3
+  LEFT JOIN o c1 ON c1.doc_id = p.doc_id AND c1.g = p.b1 LEFT JOIN o c2 ON c2.doc_id = p.doc_id AND c2.g = p.b2
+), t AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_words, round(t.s / n.n, 6) AS score, round(coalesce(t.s, 0.0), 3) AS log_sum FROM n LEFT JOIN t USING (doc_id)
+"""

@@ -23,6 +23,7 @@ SQL = {
     "op4_url_filter": url_filter.SQL,
     "op5_decontamination": decontamination.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op8_lm_score": lm_score.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_mixing": mixing.SQL,
 }

@@ -5,7 +5,8 @@ import llm_brute as brute
 import pytest
 from pyspark.sql import functions as F
 
-from depdelver.llm import components, decontamination, jaccard_join, language, line_dedup, lm_score, mixing, substring_dedup
+from depdelver.llm import components, decontamination, jaccard_join, language, line_dedup, lm_score, mixing, ngram_counts, substring_dedup
+from depdelver.session import cut
 
 
 def rows_of(df):
@@ -281,28 +282,36 @@ def test_language_rejects_others(spark):
 # -- Language model ----------------------------------------------------------------------------
 
 
-def test_lm_score(table, empty):
-    rows = rows_of(table)
+def test_lm_score(spark, table, empty, monkeypatch):
+    monkeypatch.setattr(ngram_counts, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(ngram_counts, "PART", 100_000)
+    more = spark.createDataFrame([(900, "two words here that are there twice"), (901, "two words here that are there twice"), (902, "fox jumps over the unseen dog")], "doc_id long, text string")
+    df = cut(table.select("doc_id", "text").unionByName(more))
+    rows = rows_of(df)
     texts = [brute.words(t) for _, t in rows]
-    count = Counter(tuple(w[i : i + n]) for w in texts for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    grams = [Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in texts]
+    count = sum(grams, Counter())
     total = sum(map(len, texts))
 
-    def score(w):
+    def score(w, own):
         out = 0.0
         for i in range(len(w)):
             f = 1.0
             for n in (3, 2, 1):
                 g = tuple(w[i - n + 1 : i + 1]) if i - n + 1 >= 0 else None
-                if g and (n == 1 or count[g] >= 2):
-                    out += math.log(f * count[g] / (total if n == 1 else count[g[:-1]]))
+                if g and count[g] > own[g]:
+                    out += math.log(f * (count[g] - own[g]) / (total - len(w) if n == 1 else count[g[:-1]] - own[g[:-1]]))
                     break
                 f *= 0.4 if g else 1
+            else:
+                out += math.log(f / (total - len(w)))
         return out
 
-    got = sorted(((r["doc_id"], r["n_words"], round(r["score"], 3), r["per_word"] is None) for r in lm_score.score(table.withColumn("score", F.lit("x"))).collect()), key=key)
-    expected = sorted(((i, len(w), round(score(w), 3), not w) for (i, _), w in zip(rows, texts, strict=True)), key=key)
-    assert [g[:2] + g[3:] for g in got] == [e[:2] + e[3:] for e in expected]
-    assert all(math.isclose(g[2], e[2], rel_tol=1e-6, abs_tol=2e-3) for g, e in zip(got, expected, strict=True))
+    got = sorted(((r["doc_id"], r["n_words"], round(r["log_sum"], 2), r["score"]) for r in lm_score.score(clashing(df, "score", "block", "ids", "part")).collect()), key=key)
+    expected = sorted(((i, len(w), round(score(w, own), 2), None) for (i, _), w, own in zip(rows, texts, grams, strict=True)), key=key)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert all(math.isclose(g[2], e[2], rel_tol=1e-6, abs_tol=2e-2) for g, e in zip(got, expected, strict=True))
+    assert all((g[3] is None) if not g[1] else math.isclose(g[3], g[2] / g[1], rel_tol=1e-3, abs_tol=1e-2) for g in got)
     assert lm_score.score(empty).count() == 0
 
 
