@@ -7,39 +7,22 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
-from depdelver.llm.rows import column, unpacked, whole
-from depdelver.llm.textops import SPACES, U, as_bytes, distinct, grams, mix, pack_sorted, slices, unpack_sorted, window_hash, word_blocks
+from depdelver.llm.ngram_counts import KEPT, Block, with_totals
+from depdelver.llm.rows import unpacked, whole
+from depdelver.llm.textops import SPACES, U, grams, mix, window_hash, word_blocks
 from depdelver.session import cut
 
 SHINGLE = 5
 #: Two documents link from this similarity on, in hundredths.
 PERCENT = 75
-#: Shingles that a task of the first pass gathers before it deals them out, and that a part has.
-BATCH, PART = 2_000_000, 1_500_000
-#: Documents and shingles that a search gathers; those of a group up to which it is searched whole.
+#: Documents and shingles that a search holds, about; larger groups are cut.
 DOCS, TOKENS = 1024, 1_000_000
-WHOLE_DOCS, WHOLE_TOKENS = 8192, 3_000_000
 #: Weight of the length of the longest list in choosing how many lists are long.
 MU = 0.0085
-#: Of a shingle's hash, 48 bits are kept.
-MASK = U(0xFFFF)
-
-PACKED = "part int, block long, local binary, keys binary, level binary, ids binary, valid binary, sizes binary, h1 binary, h2 binary"
-
-
-def _arrays(ids, valid, sizes, h1, h2) -> list:
-    return [ids.tobytes(), valid.tobytes(), sizes.tobytes(), h1.tobytes(), h2.tobytes()]
-
-
-def _rows(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("local", "keys", "level", "ids", "valid", "sizes", "h1", "h2"))])
 
 
 def shingles(h: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,70 +40,24 @@ def shingles(h: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(out), np.concatenate(docs)
 
 
-def _deal(bits: int, n: int):
-    """Packs the shingles of each document: rows by part and block of documents, and one of the documents' data a block."""
+def shingle_sets(n: int):
+    """The shingles of every document, each once, by hash."""
 
-    def flush(block: int, ids: list, tokens: list, docs: list) -> list[list]:
-        t, d = np.concatenate(tokens), np.concatenate(docs)
-        keys = distinct((t & ~MASK) | d)  # by hash, then document; each once
-        local = (keys & MASK).astype(np.int64)
-        sizes = np.bincount(local, minlength=len(ids)).astype(np.int64)
-        by_doc = np.sort(((keys & MASK) << U(48)) | (keys >> U(16))) & U((1 << 48) - 1)
-        h1, h2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
-        full = sizes > 0
-        if len(keys):
-            at = (np.cumsum(sizes) - sizes)[full]
-            h1[full], h2[full] = np.add.reduceat(mix(by_doc), at), np.add.reduceat(mix(by_doc ^ U(0x5851F42D4C957F2D)), at)
-        valid = np.array([i is not None for i in ids])
-        data = _arrays(np.array([i or 0 for i in ids], np.int64), valid, sizes, h1, h2)
-        rows = [[int(mix(np.array([block], np.uint64))[0] % U(1 << bits)), block, None, None, None, *data]]
-        cuts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-        local = local.astype(np.uint16)
-        return rows + [[p, block, local[a:b].tobytes(), pack_sorted(keys[a:b] >> U(16)), *[None] * 6] for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, tokens, docs, size = None, [], [], [], 0
-        for batch in slices(batches):
-            if block is None or not ids:
-                block = batch.column(2)[0].as_py()
-            names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for first, end, h, offs in word_blocks(texts, SPACES):
-                if ids and (size + len(h) > BATCH or len(ids) + end - first > 65536):
-                    yield _rows(flush(block, ids, tokens, docs), _SCHEMA)
-                    block, ids, tokens, docs, size = block + len(ids), [], [], [], 0
-                t, d = shingles(h, offs, n)
-                tokens.append(t)
-                docs.append(d + U(len(ids)))
-                ids += names[first:end]
-                size += len(t)
-        if ids:
-            yield _rows(flush(block, ids, tokens, docs), _SCHEMA)
+    def run(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        found, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for first, _, h, offs in word_blocks(texts, SPACES):
+            t, d = shingles(h, offs, n)
+            found.append(t >> U(64 - KEPT))
+            docs.append(d.astype(np.int64) + first)
+        t, d = np.concatenate(found), np.concatenate(docs)
+        order = np.lexsort((t, d))
+        t, d = t[order], d[order]
+        new = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))[: len(t)]
+        return t[new], d[new]
 
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Of a part, the shingles of more than one document, by block, with the class of their count on top."""
-    blobs, blocks, local = (table.column(c).to_pylist() for c in ("keys", "block", "local"))
-    out = [[0, b, *row] for b, k, row in zip(blocks, blobs, zip(*(table.column(c).to_pylist() for c in _SCHEMA.names[2:]), strict=True), strict=True) if k is None]
-    own = [i for i, k in enumerate(blobs) if k is not None]
-    if own:
-        token = np.concatenate([unpack_sorted(blobs[i]) for i in own])
-        doc = np.concatenate([np.frombuffer(local[i], np.uint16) for i in own])
-        where = np.repeat(np.arange(len(own), dtype=np.int32), [len(local[i]) // 2 for i in own])
-        order = np.argsort(token, kind="stable")
-        ordered = token[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(first, len(ordered)))
-        level = np.empty(len(token), np.uint8)
-        level[order] = np.repeat(np.log2(count).astype(np.uint8), count)
-        keep = level > 0
-        token, doc, where, level = token[keep], doc[keep], where[keep], level[keep]
-        cuts = np.searchsorted(where, np.arange(len(own) + 1))
-        out += [[0, blocks[i], doc[a:b].tobytes(), pack_sorted(token[a:b]), level[a:b].tobytes(), *[None] * 5] for i, a, b in zip(own, cuts[:-1], cuts[1:], strict=True) if b > a]
-    return pa.Table.from_batches([_rows(out, _SCHEMA)])
-
-
 DOCUMENT = "rid long, doc_id long, n long, h1 long, h2 long, tokens binary"
 _DOCUMENT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("tokens", pa.binary())])
 
@@ -128,23 +65,25 @@ _DOCUMENT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int
 def _assemble(percent: int):
     """The documents of a block; those that can link have their repeated shingles, rarest first."""
 
-    def run(table: pa.Table) -> pa.Table:
-        names = ("ids", "valid", "sizes", "h1", "h2")
-        data = {c: [x for x in table.column(c).to_pylist() if x is not None] for c in names}
-        ids, valid, sizes, h1, h2 = (np.frombuffer(data[c][0], t) for c, t in zip(names, (np.int64, bool, np.int64, np.int64, np.int64), strict=True))
-        own = [x for x in zip(*(table.column(c).to_pylist() for c in ("local", "keys", "level")), strict=True) if x[0] is not None]
-        local = [np.frombuffer(x, np.uint16) for x, _, _ in own]
-        keys = [unpack_sorted(k) | (np.frombuffer(c, np.uint8).astype(np.uint64) << U(48)) for _, k, c in own]
-        tokens: list = [None] * len(ids)
-        if local:
-            local, keys = np.concatenate(local), np.concatenate(keys)
-            order = np.lexsort((keys, local))
-            local, keys = local[order], keys[order]
-            cuts = np.searchsorted(local, np.arange(len(ids) + 1))
-            for i in np.flatnonzero((100 * np.diff(cuts) >= percent * sizes) & (sizes > 0)).tolist():
-                tokens[i] = keys[cuts[i] : cuts[i + 1]].tobytes()
-        rid = table.column("block")[0].as_py() + np.arange(len(ids))
-        return pa.Table.from_arrays([pa.array(rid), pa.array(ids, mask=~valid), pa.array(sizes), pa.array(h1), pa.array(h2), pa.array(tokens, pa.binary())], schema=_DOCUMENT)
+    def run(block: Block) -> pa.Table:
+        size = len(block.ids)
+        level = np.log2(np.maximum(block.total, 1)).astype(np.uint64)  # the class of the number of documents
+        keys = (level << U(KEPT)) | block.gram
+        order = np.lexsort((keys, block.doc))
+        keys, doc, repeated = keys[order], block.doc[order], (block.total > 1)[order]
+        sizes = np.bincount(doc, minlength=size)
+        h1, h2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        full = sizes > 0
+        if len(keys):
+            at = (np.cumsum(sizes) - sizes)[full]
+            h1[full], h2[full] = np.add.reduceat(mix(keys), at), np.add.reduceat(mix(keys ^ U(0x5851F42D4C957F2D)), at)
+        keys, doc = keys[repeated], doc[repeated]
+        cuts = np.searchsorted(doc, np.arange(size + 1))
+        tokens: list = [None] * size
+        for i in np.flatnonzero((100 * np.diff(cuts) >= percent * sizes) & full).tolist():
+            tokens[i] = keys[cuts[i] : cuts[i + 1]].tobytes()
+        columns = (block.first + np.arange(size), block.ids, sizes, h1.view(np.int64), h2.view(np.int64), tokens)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _DOCUMENT, strict=True)], schema=_DOCUMENT)
 
     return run
 
@@ -158,7 +97,7 @@ def _prefixes(percent: int):
             own = [np.frombuffer(b, np.int64) for b in blobs]
             own = [t[: len(t) - -(-percent * k // 100) + 1] for t, k in zip(own, n, strict=True)]
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(rid, [len(t) for t in own]), pa.int64())], ["token", "rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(rid, [len(t) for t in own]), pa.int64())], ["key", "rid"])
 
     return run
 
@@ -214,7 +153,7 @@ def links(tokens: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarr
 
 
 def _search(percent: int):
-    """The least rid of each document's component within a group."""
+    """The least rid of each document's component among those of a task."""
 
     def run(table: pa.Table) -> pa.Table:
         rid, n = (table.column(c).to_numpy() for c in ("rid", "n"))
@@ -223,54 +162,94 @@ def _search(percent: int):
         label = links([np.frombuffer(blobs[i], np.uint64) for i in order.tolist()], n[order], percent)
         rid = rid[order]
         _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
-        return pa.table({"rid": rid, "least": rid[first[inverse]]})
+        least = rid[first[inverse]]
+        return pa.table({"rid": rid[rid != least], "least": least[rid != least]})
 
     return run
 
 
-def search_groups(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(member, least): the components of linked sets inside each group.
+def _search_tasks(reps: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    """(rid, least): links among the sets that are in one task of ``tasks`` (task, rid)."""
+    held = tasks.distinct().join(reps.select("rid", "n", "tokens"), "rid")
+    return held.groupBy("task").applyInArrow(_search(percent), "rid long, least long")
+
+
+def _blocks(docs: Column, size: Column) -> Column:
+    """How many blocks, of which two make a task, a group of so many sets and bytes has."""
+    return F.greatest(F.lit(1), F.ceil(F.greatest(2 * docs / DOCS, 2 * size / (8 * TOKENS)))).cast("int")
+
 
-    ``reps``: rid, n and tokens of different sets; ``groups``: node (a rid) and comp. Sets that
-    are alone in their component may be missing.
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def search_groups(reps: DataFrame, groups: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
+    """(member, least): the components of linked sets.
+
+    ``reps``: rid, n and tokens of different sets; ``posted``: key and rid, where two sets that
+    link have a key in common; ``groups``: node (a rid) and comp, the components of sets with
+    common keys. Sets that are alone in their component are missing.
+
+    1. Small groups are searched whole, about DOCS sets a task.
+    2. Larger ones are cut into blocks, and each is searched together with the first one: a
+       group of near copies is mostly one component after that.
+    3. What is then outside a group's largest component can still have links to other
+       components. Two such sets share a key, so the lists of the keys that hold sets of several
+       components are searched, equal lists once; or, if that is less, the sets outside against
+       the whole group. Long lists are cut into blocks, so no task holds more than DOCS sets.
+
+    A task may hold sets that do not belong together; it returns nothing but links that are true.
     """
-    members = cut(reps.join(groups, reps["rid"] == groups["node"]).select("rid", "comp", "n", "tokens"))
-    extent = cut(members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.length("tokens")).alias("bytes")))
-    whole = (F.col("docs") <= WHOLE_DOCS) & (F.col("bytes") <= 8 * WHOLE_TOKENS)
-    n_docs, n_bytes = extent.where(whole).agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).head()
+    key = lambda *c: F.xxhash64(*c).alias("task")
+    members = cut(groups.select(F.col("node").alias("rid"), "comp").join(reps.select("rid", F.length("tokens").alias("bytes")), "rid"))
+    extent = members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("bytes").alias("size"))
+    extent = cut(extent.withColumn("blocks", _blocks(F.col("docs"), F.col("size"))))
+    small, large = extent.where("blocks <= 2"), extent.where("blocks > 2")
+    n_docs, n_bytes = small.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).head()
     bins = max(1, ceil(n_docs / DOCS), ceil(n_bytes / 8 / TOKENS))
-    search = lambda df, *by: df.groupBy(*by).applyInArrow(_search(percent), "rid long, least long")
-    small = members.join(extent.where(whole).select("comp"), "comp").withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(bins)))
-    linked = search(small, "bin")
-    large = cut(extent.where(~whole).withColumn("blocks", F.ceil(F.greatest(2 * F.col("docs") / WHOLE_DOCS, 2 * F.col("bytes") / (8 * WHOLE_TOKENS))).cast("int")))
+    whole_ = members.join(small, "comp").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("task"), "rid")
     if not large.head(1):
-        return linked.withColumnRenamed("rid", "member")
-    own = members.join(large.select("comp", "blocks"), "comp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    own = cut(own)
-    columns = ["rid", "comp", "n", "tokens"]
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # Each block by itself and with the first one: most of a group of near copies is one component now.
-    first = own.where("block = 0").withColumn("i", every).unionByName(own.where("block > 0").withColumn("i", F.col("block")))
-    found = cut(search(first.select(*columns, "i"), "comp", "i").where("rid <> least"))
-    links_ = found.select(F.col("rid").alias("a"), F.col("least").alias("b"))
-    labels = connected_components(links_).withColumnRenamed("comp", "label")
-    labelled = own.join(labels, own["rid"] == labels["node"], "left").select(*columns, "blocks", "block", F.coalesce("label", "rid").alias("label"))
-    labelled = cut(labelled)
-    main = labelled.groupBy("comp", "label").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("x"))
-    main = cut(main.select("comp", F.col("x.label").alias("main")))
-    # Of what is outside a group's largest component, every block meets all blocks; inside it, no link can change a thing.
-    rest = labelled.join(main, "comp").where("label <> main").drop("main")
-    rests = rest.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.greatest(2 * F.count("*") / WHOLE_DOCS, 2 * F.sum(F.length("tokens")) / (8 * WHOLE_TOKENS)))).cast("int").alias("rests"))
-    rests = cut(rests)
-    if rests.head(1):
-        a = rest.join(rests, "comp").withColumn("r", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("rests")).cast("int")).withColumn("b", every)
-        b = labelled.join(rests, "comp").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("b", F.col("block"))
-        both = a.select(*columns, "r", "b").unionByName(b.select(*columns, "r", "b"))
-        more = cut(search(both, "comp", "r", "b").where("rid <> least"))
-        links_ = links_.unionByName(more.select(F.col("rid").alias("a"), F.col("least").alias("b")))
-        labels = connected_components(links_).withColumnRenamed("comp", "label")
-    linked = linked.unionByName(labels.select(F.col("node").alias("rid"), F.col("label").alias("least")))
-    return linked.withColumnRenamed("rid", "member")
+        return cut(_search_tasks(reps, whole_, percent)).withColumnRenamed("rid", "member")
+    own = cut(members.join(large.select("comp", "blocks", "size"), "comp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")))
+    first = own.where("block = 0").withColumn("i", _numbers(F.col("blocks"))).unionByName(own.where("block > 0").withColumn("i", F.col("block")))
+    found = cut(_search_tasks(reps, whole_.unionByName(first.select(key("comp", "i"), "rid")), percent))
+    edges = lambda df: df.select(F.col("rid").alias("a"), F.col("least").alias("b"))
+    labels = connected_components(edges(found)).withColumnRenamed("comp", "label")
+    labelled = own.join(labels, own["rid"] == labels["node"], "left").select("rid", "comp", "bytes", "size", "blocks", F.coalesce("label", "rid").alias("label"))
+    sizes = labelled.groupBy("comp", "label").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max(F.struct("k", "label")).alias("x"))
+    labelled = cut(labelled.join(cut(sizes.select("comp", F.col("x.label").alias("main"))), "comp").withColumn("out", F.col("label") != F.col("main")))
+    rests = labelled.where("out").groupBy("comp").agg(F.count("*").alias("rest"), F.sum("bytes").alias("rest_size"), F.first("blocks").alias("blocks"), F.first("size").alias("size"))
+    rests = cut(rests.withColumn("rests", _blocks(F.col("rest"), F.col("rest_size"))))
+    if not rests.head(1):
+        return labels.select(F.col("node").alias("member"), F.col("label").alias("least"))
+    open_ = labelled.join(rests.select("comp"), "comp", "left_semi")
+    places = cut(posted.join(open_, "rid").select("comp", "key", "rid", "label", "out", "bytes"))
+    rest = lambda c: F.sum(F.when(F.col("out"), c).otherwise(0))
+    lists = places.groupBy("comp", "key").agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("size"), rest(F.lit(1)).alias("rest"), rest(F.col("bytes")).alias("rest_size"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("rid")).alias("s1"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("s2"),
+    )
+    same = ["comp", "n", "size", "rest", "rest_size", "s1", "s2"]
+    lists = lists.where("lo <> hi").groupBy(*same).agg(F.min("key").alias("key"))
+    lists = cut(lists.withColumns({"rests": _blocks(F.col("rest"), F.col("rest_size")), "blocks": _blocks(F.col("n"), F.col("size"))}))
+    # A set outside is read with every block of its list, a block with every block of sets outside.
+    cost = lambda: F.col("size") * F.col("rests") + F.col("rest_size") * F.col("blocks")
+    by_list = lists.groupBy("comp").agg(F.sum(cost()).alias("lists"))
+    way = cut(rests.join(by_list, "comp").select("comp", "rests", "blocks", (F.col("lists") < cost()).alias("cheap")))
+    spread = lambda df: df.withColumns({"r": F.pmod(F.xxhash64("rid", F.lit(1)), F.col("rests")).cast("int"), "b": F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")})
+    chosen = places.join(way.where("cheap").select("comp"), "comp", "left_semi").join(lists.select("comp", "key", "rests", "blocks"), ["comp", "key"])
+    short = F.col("blocks") <= 2
+    n_docs = lists.where(short).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).head()
+    bins = max(1, ceil(n_docs[0] / DOCS), ceil(n_docs[1] / 8 / TOKENS))
+    tasks = chosen.where(short).select(F.pmod(F.xxhash64("comp", "key"), F.lit(bins)).alias("task"), "rid")
+    groups_ = open_.drop("blocks").join(way.where("NOT cheap").select("comp", "rests", "blocks"), "comp").withColumn("key", F.lit(None).cast("long"))
+    long_ = cut(spread(chosen.where(~short).select("comp", "key", "rid", "out", "rests", "blocks").unionByName(groups_.select("comp", "key", "rid", "out", "rests", "blocks"))))
+    a = long_.where("out").withColumn("b", _numbers(F.col("blocks")))
+    b = long_.withColumn("r", _numbers(F.col("rests")))
+    crossed = a.select(key("comp", "key", "r", "b"), "rid").unionByName(b.select(key("comp", "key", "r", "b"), "rid"))
+    more = cut(_search_tasks(reps, tasks.unionByName(crossed), percent))
+    ends = connected_components(edges(found).unionByName(edges(more)))
+    return ends.select(F.col("node").alias("member"), F.col("comp").alias("least"))
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -287,34 +266,25 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     and rows of one id, are documents of their own; other columns are not read; an empty table
     gives no rows. ``docs`` should be a table or another deterministic plan.
 
-    1. Each task packs the shingles of its documents and deals them by hash. A part counts them
-       and returns those of more than one document; a document with fewer than percent/100 of
-       its set returned links with nothing. The others keep the returned shingles, rarest first.
+    1. The shingles of all documents are counted by hash, and each document learns how many
+       documents have each of its own (``ngram_counts``). One of which less than percent/100 are
+       repeated links with nothing. The others keep the repeated shingles, rarest first.
     2. Equal sets become one. By the prefix filter, sets that link share one of their first
        shingles: these join sets into groups, by connected components.
-    3. Small groups are searched together, a few thousand sets at a time. A larger one is cut
-       into blocks, and each is searched together with the first; then only what is not yet in
-       the group's largest component is searched against all blocks, so that the work follows
-       the group's size as long as most of it links. No task emits pairs of a group.
+    3. ``search_groups`` finds the links in them, by T-occurrence search. No task emits pairs.
 
-    Shingles are told apart by 48 bits of hash within a part.
+    Shingles are told apart by 58 bits of hash. Ids are whole numbers, as such or as text; any
+    other text raises CAST_INVALID_INPUT.
     """
-    rows = docs.select(column(doc_id).cast("long"), column(text), F.monotonically_increasing_id())
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(column(text))), F.lit(0))).head()[0]
-    bits = max(0, ceil(log2(max(1, size / 6 / PART))))
-    packed = rows.mapInArrow(_deal(bits, shingle), PACKED)
-    returned = packed.groupBy("part").applyInArrow(_repeats, PACKED)
-    table = cut(returned.groupBy("block").applyInArrow(_assemble(percent), DOCUMENT))
-
+    table = cut(with_totals(docs, doc_id, text, shingle_sets(shingle), 1 / 6, _assemble(percent), DOCUMENT))  # a word has about six bytes
     sets = ["n", "h1", "h2"]
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     reps = table.where(F.col("tokens").isNotNull()).groupBy(*sets).agg(F.min(F.struct("rid", "tokens")).alias("x"), F.min(lead).alias("first"))
     reps = cut(reps.select(*sets, "first", "x.*"))
-    posted = cut(reps.select("rid", "n", "tokens").mapInArrow(_prefixes(percent), "token long, rid long"))
-    heads = cut(posted.groupBy("token").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    edges = posted.join(heads, "token").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
-    groups = connected_components(edges)
-    linked = search_groups(reps, groups, percent)
+    posted = cut(reps.select("rid", "n", "tokens").mapInArrow(_prefixes(percent), "key long, rid long"))
+    heads = cut(posted.groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    edges = posted.join(heads, "key").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
+    linked = search_groups(reps, connected_components(edges), posted, percent)
     named = reps.join(linked, F.col("rid") == F.col("member"), "left").select(*sets, "first", F.coalesce("least", "rid").alias("least"))
     named = cut(named)
     smallest = named.groupBy("least").agg(F.min("first").alias("lead"))

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from depdelver.llm.components import connected_components
 from depdelver.llm.jaccard_join import search_groups
-from depdelver.llm.textops import BLOCK, SPACES, U, as_bytes, distinct, grams, hash_buffer, mix, pack, pack_sorted, pieces, run_hashes, slices, unpack, unpack_sorted
+from depdelver.llm.rows import column
+from depdelver.llm.textops import BLOCK, SPACES, U, as_bytes, distinct, grams, hash_buffer, mix, pack, pack_sorted, pieces, run_hashes, slices, unpack, unpack_sorted, window_hash
 from depdelver.session import cut
 
 SHINGLE = 5
 PERCENT = 75
 #: Bands and rows: paragraphs of similarity 0.75 meet with probability 1 - (1 - 0.75**4)**20 = 0.9995.
 BANDS, ROWS = 20, 4
-#: Words that a paragraph, or a run of pieces, must have to be removed; words that a piece has at least.
+#: Words that a paragraph, or a run of pieces, must have to be removed, by default; words that a piece has at least.
 LEAST_WORDS, PIECE_WORDS = 20, 8
 #: Words in a row that make a copy wherever they begin and end, and of the word grams of which the
 #: least one marks such a run.
@@ -32,14 +33,15 @@ _MUL = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << 1) | np.uint
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 PIECE, PARAGRAPH, MARK = 0, 1, 2
 
-PACKED = "part int, block long, keys binary, doc binary, first binary, words binary"
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "first", "words"))])
-MET = "kind int, row long, first long, words long, lead_row long, lead_first long, lead_words long"
+PACKED = "part int, block long, keys binary, doc binary, first binary, words binary, more binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "first", "words", "more"))])
+HEAD = "key long, kind int, row long, first long, words long, lead_row long, lead_first long, lead_words long"
+_HEAD = pa.schema([("key", pa.int64()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "first", "words", "lead_row", "lead_first", "lead_words"))])
+UNIT = "key long, kind int, row long, first long, words long"
 RUNS = "part int, block long, hashes binary, doc binary, first binary, n binary"
 _RUNS = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("hashes", "doc", "first", "n"))])
 COPY = "row long, first long, words long, lead_row long"
 _COPY = pa.schema([(c, pa.int64()) for c in ("row", "first", "words", "lead_row")])
-_MET = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "first", "words", "lead_row", "lead_first", "lead_words"))])
 
 
 def sliding(x: np.ndarray, n: int, best: Callable) -> np.ndarray:
@@ -86,9 +88,12 @@ class Units:
         return first[keep], n[keep]
 
     def shingles(self, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shingle hashes of spans of SHINGLE words or more, and where each span's start."""
-        g = grams(self.h, SHINGLE)
-        k = n - SHINGLE + 1
+        """The shingle hashes of spans, one of the whole for fewer words than SHINGLE, and where each span's start."""
+        g = np.append(grams(self.h, SHINGLE), np.zeros(min(SHINGLE - 1, len(self.h)), np.uint64))
+        for k in range(1, SHINGLE):
+            short = first[n == k]
+            g[short] = window_hash(self.h, short, k)
+        k = np.maximum(n - SHINGLE + 1, 1)
         at = np.cumsum(k) - k
         return g[np.repeat(first - at, k) + np.arange(k.sum())], at
 
@@ -153,15 +158,26 @@ def band_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(bits: int):
-    """The keys of every unit, dealt by hash: bands of paragraphs, hashes of whole pieces, and marks of runs."""
+def _deal(bits: int, least_words: int, piece_words: int):
+    """The keys of every unit: bands of paragraphs, hashes of whole pieces, and marks of runs.
+
+    Of one key, a block deals its first unit only, by hash; the others stay behind (part -1) and
+    ``more`` says that there are some, so that a hot key costs a part one entry a block.
+    """
+
+    def packed(part: int, block: int, keys, doc, first, words, more=None) -> tuple:
+        return part, block, pack_sorted(keys), pack(doc), pack(first), pack(words), None if more is None else np.packbits(more).tobytes()
 
     def flush(block: int, rows: list) -> Iterator[pa.RecordBatch]:
         keys, doc, first, words = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # units of one key stay in the order of their places
         keys, doc, first, words = keys[order], doc[order], first[order], words[order]
+        lead = np.append(True, keys[1:] != keys[:-1])
+        more = ~np.append(lead[1:], True)[lead]
+        out = [packed(-1, block, *(x[~lead] for x in (keys, doc, first, words)))] if not lead.all() else []
+        keys, doc, first, words = (x[lead] for x in (keys, doc, first, words))
         cuts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-        out = [(p, block, pack_sorted(keys[a:b]), *(pack(x[a:b]) for x in (doc, first, words))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        out += [packed(p, block, *(x[a:b] for x in (keys, doc, first, words, more))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +188,11 @@ def _deal(bits: int):
                 rows, size = [], 0
             block = start if not rows else block
             for u in units(texts):
-                first, n = u.spans(u.first_paragraph, LEAST_WORDS)
+                first, n = u.spans(u.first_paragraph, least_words)
                 if len(first):
                     keys = band_keys(*u.shingles(first, n)).ravel()
                     rows.append((keys, np.tile(u.doc[first] + (start - block), BANDS), np.tile(u.place[first], BANDS), np.tile(n * 4 + PARAGRAPH, BANDS)))
-                first, n = u.spans(u.first_piece, PIECE_WORDS)
+                first, n = u.spans(u.first_piece, piece_words)
                 if len(first):
                     # A piece's hash: that of its words in order.
                     power = np.concatenate([np.ones(1, np.uint64), np.full(int(n.max()) - 1, 0xFF51AFD7ED558CCD, np.uint64)]).cumprod(dtype=np.uint64)
@@ -194,20 +210,44 @@ def _deal(bits: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of a part, the units that share a key with another one, and the first of those."""
-    block = table.column("block").to_numpy()
+def _units_of(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """key, row, first, words of packed units."""
+    block = table.column("block").to_pylist()
     keys, doc, first, words = ([f(x) for x in table.column(c).to_pylist()] for c, f in (("keys", unpack_sorted), ("doc", unpack), ("first", unpack), ("words", unpack)))
     row = np.concatenate([d.astype(np.int64) + b for d, b in zip(doc, block, strict=True)])
-    keys, first, words = np.concatenate(keys), np.concatenate(first).astype(np.int64), np.concatenate(words).astype(np.int64)
+    return np.concatenate(keys), row, np.concatenate(first).astype(np.int64), np.concatenate(words).astype(np.int64)
+
+
+def _heads(table: pa.Table) -> pa.Table:
+    """Of a part, the first units of blocks whose key is in another block or has more in this one, with the first unit of all."""
+    keys, row, first, words = _units_of(table)
+    more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(unpack(k))).astype(bool) for m, k in zip(table.column("more").to_pylist(), table.column("keys").to_pylist(), strict=True)])
     order = np.lexsort((first, row, keys))
-    keys, row, first, words = keys[order], row[order], first[order], words[order]
+    keys, row, first, words, more = keys[order], row[order], first[order], words[order], more[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    lead = np.repeat(head, np.diff(np.append(head, len(keys))))
-    own = np.flatnonzero((np.arange(len(keys)) != lead) & ((row != row[lead]) | (first != first[lead])))
+    size = np.diff(np.append(head, len(keys)))
+    lead = np.repeat(head, size)
+    own = np.flatnonzero((np.arange(len(keys)) != lead) | np.repeat(np.logical_or.reduceat(more, head), size))
     lead = lead[own]
-    columns = (words[own] & 3, row[own], first[own], words[own] >> 2, row[lead], first[lead], words[lead] >> 2)
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _MET, strict=True)], schema=_MET)
+    columns = (keys[own].view(np.int64), words[own] & 3, row[own], first[own], words[own] >> 2, row[lead], first[lead], words[lead] >> 2)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _HEAD, strict=True)], schema=_HEAD)
+
+
+def _left_behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            keys, row, first, words = _units_of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(words & 3, pa.int32()), pa.array(row), pa.array(first), pa.array(words >> 2)], ["key", "kind", "row", "first", "words"])
+
+
+def meetings(rows: DataFrame, bits: int, least_words: int, piece_words: int) -> DataFrame:
+    """key, kind, row, first, words, lead_row, lead_first, lead_words of the units that share a key with an
+    earlier one; the lead is the first of all."""
+    dealt = cut(rows.mapInArrow(_deal(bits, least_words, piece_words), PACKED))
+    heads = cut(dealt.where("part >= 0").groupBy("part").applyInArrow(_heads, HEAD))
+    leads = heads.groupBy("key", "kind").agg(F.first(F.struct("lead_row", "lead_first", "lead_words")).alias("lead"))
+    behind = dealt.where("part < 0").mapInArrow(_left_behind, UNIT).join(leads, ["key", "kind"]).select(*[c.split()[0] for c in UNIT.split(", ")], "lead.*")
+    return cut(heads.unionByName(behind).where("row <> lead_row OR first <> lead_first"))
 
 
 def _deal_runs(bits: int):
@@ -228,7 +268,7 @@ def _deal_runs(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, block = [], 0, 0
         for batch in slices(batches):
-            texts, numbers = as_bytes(batch.column("__text")), batch.column("row").to_numpy()
+            texts, numbers = as_bytes(batch.column("text")), batch.column("row").to_numpy()
             marks, gone = batch.column("marks").to_pylist(), batch.column("gone").to_pylist()
             for u in units(texts):
                 g, least, whole = u.runs()
@@ -288,11 +328,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of the listed paragraphs of each text."""
     names = ("rid", "n", "h1", "h2", "tokens")
     for batch in slices(batches):
-        texts, wanted = as_bytes(batch.column("__text")), batch.column("wanted").to_pylist()
+        texts, wanted = as_bytes(batch.column("text")), batch.column("wanted").to_pylist()
         out: list[tuple] = []
         want = [{x["first"]: x["id"] for x in w} for w in wanted]
         for u in units(texts):
-            first, n = u.spans(u.first_paragraph, LEAST_WORDS)
+            first, n = u.spans(u.first_paragraph, 1)
             ids = [want[d].get(p) for d, p in zip(u.doc[first].tolist(), u.place[first].tolist(), strict=True)]
             keep = np.array([i is not None for i in ids], bool)
             if not keep.any():
@@ -305,16 +345,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """The spans of words to remove: doc_id, row, first_word, n_words, kind, kept_doc_id, kept_row.
 
-    Paragraphs are lines. Those of LEAST_WORDS words or more are compared by their sets of five
-    words in a row: MinHash bands, tuned for a recall of 0.9995 at a similarity of 0.75, find
+    Paragraphs are lines. Those of ``least_words`` words or more are compared by their sets of five
+    words in a row (with fewer words, by the whole): MinHash bands, tuned for a recall of 0.9995 at a similarity of 0.75, find
     which ones collide; colliding ones are compared exactly, and those of 0.75 or more make
     clusters, of which all but the first paragraph, by row and place, go ("paragraph"). What
-    repeats inside differing paragraphs is found by its pieces, sentences of PIECE_WORDS words or
-    more: a run of repeated pieces, with LEAST_WORDS words or more in them and no more than
-    PIECE_WORDS between two, goes but for its first occurrence ("pieces"). RUN words in a row or
+    repeats inside differing paragraphs is found by its pieces, sentences of ``piece_words`` words or
+    more: a run of repeated pieces, with ``least_words`` words or more in them and no more than
+    ``piece_words`` between two, goes but for its first occurrence ("pieces"). RUN words in a row or
     more that repeat go but for their first occurrence too, wherever they begin and end ("run"; a
     span of both is one). Runs wholly in paragraphs that go are no occurrences, nor is one that
     overlaps its first occurrence.
@@ -327,32 +367,35 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     are not read; an empty table gives no rows. ``docs`` should be a table or another
     deterministic plan.
 
-    Keys are dealt packed, some tens of bytes a paragraph; of the parts' groups only a link from
-    each unit to the group's first one comes back. Texts move twice, to those documents that have
+    Keys are dealt packed, the first unit of each key in a block only; the others are joined to
+    their key's first unit, a join that splits hot keys. Texts move twice, to those documents that have
     colliding paragraphs and to those that have repeated marks. Equal sets are one before clusters
     are searched. Of runs, 8 bytes for each word that has a repeated mark near it are dealt.
     """
-    rows = docs.select(F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).head()[0]
-    bits = max(0, ceil(log2(max(1, size / 17 / PART))))
-    met = cut(rows.mapInArrow(_deal(bits), PACKED).groupBy("part").applyInArrow(_meet, MET))
+    if least_words < 1 or piece_words < 1:
+        raise ValueError("paragraphs and pieces have a word at least")
+    rows = docs.select(column(text).alias("text"), F.monotonically_increasing_id().alias("number"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(column(text))), F.lit(0))).head()[0]
+    met = meetings(rows, max(0, ceil(log2(max(1, size / 17 / PART)))), least_words, piece_words)
 
     # Paragraphs: exact similarity within groups of colliding ones.
-    unit = lambda row, first: F.xxhash64(F.col(row), F.col(first))
-    edges = cut(met.where(F.col("kind") == PARAGRAPH).select("row", "first", "words", "lead_row", "lead_first", "lead_words").distinct())
-    ends = edges.select("row", "first", "words").unionByName(edges.select(F.col("lead_row").alias("row"), F.col("lead_first").alias("first"), F.col("lead_words").alias("words")))
-    nodes = cut(ends.distinct().withColumn("id", unit("row", "first")))
+    edges = cut(met.where(F.col("kind") == PARAGRAPH).drop("kind"))
+    leads = edges.select("key", *[F.col(f"lead_{c}").alias(c) for c in ("row", "first", "words")])
+    places = edges.select("key", "row", "first", "words").unionByName(leads)
+    nodes = cut(places.select("row", "first", "words").distinct())
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     wanted = nodes.groupBy("row").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))
-    texts = rows.join(wanted.hint("merge"), F.col("__row") == F.col("row")).select("__text", "wanted")
+    texts = rows.join(wanted.hint("merge"), F.col("number") == F.col("row")).select("text", "wanted")
     sets = cut(texts.mapInArrow(_sets, SET))
     same = ["n", "h1", "h2"]
     reps = cut(sets.groupBy(*same).agg(F.min(F.struct("rid", "tokens")).alias("x")).select(*same, "x.*"))
-    rep_of = cut(sets.select(*same, F.col("rid").alias("id")).join(reps.select(*same, F.col("rid").alias("rep")), same).select("id", "rep"))
-    a, b = rep_of.select(F.col("id").alias("ia"), F.col("rep").alias("a")), rep_of.select(F.col("id").alias("ib"), F.col("rep").alias("b"))
-    pairs = edges.select(unit("row", "first").alias("ia"), unit("lead_row", "lead_first").alias("ib")).join(a, "ia").join(b, "ib").select("a", "b").where("a <> b").distinct()
-    linked = search_groups(reps, connected_components(pairs), PERCENT)
-    cluster = rep_of.join(linked, F.col("rep") == F.col("member"), "left").select("id", F.coalesce("least", "rep").alias("cluster"))
-    placed = cut(nodes.join(cluster, "id"))
+    rep_of = sets.select(*same, F.col("rid").alias("id")).join(reps.select(*same, F.col("rid").alias("rep")), same)
+    placed = cut(nodes.join(rep_of.select("id", "rep"), "id"))
+    posted = cut(places.join(placed.select("row", "first", "rep"), ["row", "first"]).select("key", F.col("rep").alias("rid")).distinct())
+    heads = cut(posted.groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    pairs = posted.join(heads, "key").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
+    linked = search_groups(reps, connected_components(pairs), posted, PERCENT)
+    placed = cut(placed.join(linked, F.col("rep") == F.col("member"), "left").select("row", "first", "words", F.coalesce("least", "rep").alias("cluster")))
     heads = placed.groupBy("cluster").agg(F.min(F.struct("row", "first")).alias("lead"), F.count("*").alias("k")).where("k > 1")
     paragraphs = placed.join(cut(heads), "cluster").where(F.struct("row", "first") != F.col("lead"))
     paragraphs = paragraphs.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit("paragraph").alias("kind"), F.col("lead.row").alias("kept_row"))
@@ -363,7 +406,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     marks = marks.select("row", "first").unionByName(marks.select(F.col("lead_row").alias("row"), F.col("lead_first").alias("first")))
     gone = paragraphs.groupBy("row").agg(F.collect_list(F.struct("first_word", "n_words")).alias("gone"))
     marked = cut(marks.groupBy("row").agg(F.collect_set("first").alias("marks")).join(gone, "row", "left"))
-    texts = rows.join(marked.hint("merge"), F.col("__row") == F.col("row")).select("__text", "row", "marks", "gone")
+    texts = rows.join(marked.hint("merge"), F.col("number") == F.col("row")).select("text", "row", "marks", "gone")
     bits = max(0, ceil(log2(max(1, size / 6 / PART))))
     copies = texts.mapInArrow(_deal_runs(bits), RUNS).groupBy("part").applyInArrow(_copies, COPY)
     copies = cut(copies.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit(True).alias("run"), F.col("lead_row").alias("kept_row")))
@@ -372,10 +415,10 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     repeats = met.where(F.col("kind") == PIECE).select("row", "first", "words", "lead_row").distinct()
     by = Window.partitionBy("row").orderBy("first")
     # Sentences that are too short for a piece may lie between two of a run.
-    begins = F.coalesce(F.col("first") - F.lag(F.col("first") + F.col("words")).over(by) > PIECE_WORDS, F.lit(True))
+    begins = F.coalesce(F.col("first") - F.lag(F.col("first") + F.col("words")).over(by) > piece_words, F.lit(True))
     runs = repeats.withColumn("new", begins.cast("long")).withColumn("run", F.sum("new").over(by)).groupBy("row", "run")
     first, end = F.min("first"), F.max(F.col("first") + F.col("words"))
-    runs = runs.agg(first.alias("first_word"), (end - first).alias("n_words"), F.sum("words").alias("met"), F.min("lead_row").alias("kept_row")).where(F.col("met") >= LEAST_WORDS)
+    runs = runs.agg(first.alias("first_word"), (end - first).alias("n_words"), F.sum("words").alias("met"), F.min("lead_row").alias("kept_row")).where(F.col("met") >= least_words)
     runs = runs.select("row", "first_word", "n_words", F.lit(False).alias("run"), "kept_row").unionByName(copies)
     # Spans that overlap are one.
     by = Window.partitionBy("row").orderBy("first_word", "n_words", "run", "kept_row")
@@ -384,7 +427,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     first, end = F.min("first_word"), F.max(F.col("first_word") + F.col("n_words"))
     runs = runs.agg(first.alias("first_word"), (end - first).alias("n_words"), F.when(F.max("run"), "run").otherwise("pieces").alias("kind"), F.min("kept_row").alias("kept_row")).drop("span")
     spans = cut(paragraphs.unionByName(runs))
-    names = cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row")))
+    names = cut(docs.select(column(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row")))
     kept = names.select(F.col("doc_id").alias("kept_doc_id"), F.col("row").alias("kept_row"))
     return spans.join(names, "row").join(kept, "kept_row").select("doc_id", "row", "first_word", "n_words", "kind", "kept_doc_id", "kept_row")
 

@@ -89,14 +89,44 @@ def near_copies(spark, n=120):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("docs", [8192, 16])
+@pytest.mark.parametrize("docs", [1024, 16])
 def test_jaccard(spark, table, monkeypatch, docs):
-    monkeypatch.setattr(jaccard_join, "WHOLE_DOCS", docs)  # small: groups are searched block against block
+    monkeypatch.setattr(jaccard_join, "DOCS", docs)  # small: groups are cut into blocks
     df = table.select("doc_id", "text").unionByName(near_copies(spark)).withColumn("n", F.lit("clash"))
     got = jaccard_join.jaccard_components(df)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=key) == expected_components(rows_of(df))
 
 
+def chains(n, pieces=8, words=40):
+    """Documents of pieces that each are in one other document, and pairs that link among them: one large group."""
+    import random
+
+    r = random.Random(5)
+    own = {}
+    rows = []
+    for i in range(n):
+        parts = [own.setdefault((j, min(i, (i - 2**j) % n)), " ".join(f"c{r.randrange(10**7)}" for _ in range(words))) if (i // 2**j) % 2 else own.setdefault((j, i), " ".join(f"c{r.randrange(10**7)}" for _ in range(words))) for j in range(pieces)]
+        rows.append((i, " ".join(parts)))
+    return rows + [(n + i, rows[7 * i][1] + " a few more words") for i in range(n // 50)]
+
+
+def test_jaccard_of_chains(spark, monkeypatch):
+    """Groups of documents that share rare shingles but do not link are searched by the lists of these."""
+    monkeypatch.setattr(jaccard_join, "DOCS", 16)
+    df = spark.createDataFrame(chains(400), "doc_id long, text string").coalesce(2)
+    searched = []
+    plain = jaccard_join._search_tasks
+
+    def counted(reps, tasks, percent):
+        searched.append(tasks.distinct().count())
+        return plain(reps, tasks, percent)
+
+    monkeypatch.setattr(jaccard_join, "_search_tasks", counted)
+    got = jaccard_join.jaccard_components(df)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=key) == expected_components(rows_of(df))
+    assert len(searched) == 2 and sum(searched) < 10 * 408  # blocks against blocks would be 50 * 408
+
+
 def test_jaccard_boundary_and_empty(spark, empty):
     # Sets of 7 and 8 shingles that share 6 or 7: 6 of 9 is not enough, 75 of 100 is.
     w = [f"t{i}" for i in range(200)]
