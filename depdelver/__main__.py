@@ -9,9 +9,9 @@ import argparse
 import logging
 
 from depdelver.config import STRATEGIES, FDConfig
-from depdelver.operators.partitions import attribute_order, with_rid
+from depdelver.operators.partitions import attribute_order
 from depdelver.plans.discover import Metrics, discover_fds
-from depdelver.session import cut, local_session
+from depdelver.session import command_session
 from depdelver.sources.csv import CsvDescriptor, write_text
 
 
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--row-limit", type=int, default=-1)
     p.add_argument("--null-unequals-null", action="store_true")
     p.add_argument("--max-candidates", type=int, help="lower the largest left-hand side when more are stored")
+    p.add_argument("--pli-cache-prefix", type=int, default=FDConfig.pli_cache_prefix, help="attributes of the prefixes whose partitions are kept")
     p.add_argument("--strategy", choices=STRATEGIES, default="auto")
     p.add_argument("--workers", default="*", help="local threads, where no master is set")
     p.add_argument("--output", help="folder for one text file a right-hand side; else lines are printed")
@@ -43,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.INFO)
-    spark = local_session(a.workers)
+    spark = command_session(a.workers)
     if a.input_ending == "parquet":
         df = spark.read.parquet(f"{a.input_path}/{a.input_name}.parquet")
     else:
@@ -62,10 +63,10 @@ def main(argv: list[str] | None = None) -> int:
             skip_lines=a.skip_lines,
             skip_differing_lines=not a.fail_on_differing_lines,
         ).read(spark)
-    config = FDConfig(max_lhs_size=a.max_lhs_size, row_limit=a.row_limit, null_equals_null=not a.null_unequals_null, strategy=a.strategy, max_candidates=a.max_candidates, relation=a.input_name)
+    config = FDConfig(max_lhs_size=a.max_lhs_size, row_limit=a.row_limit, null_equals_null=not a.null_unequals_null, strategy=a.strategy, max_candidates=a.max_candidates, pli_cache_prefix=a.pli_cache_prefix, relation=a.input_name)
     metrics = Metrics()
     fds = discover_fds(df, config, metrics)
-    order = attribute_order(cut(with_rid(df)), df.columns, "__rid", config.null_equals_null) if df.columns else []
+    order = attribute_order(df, df.columns, config.null_equals_null) if df.columns else []
     if a.output:
         write_text(fds, f"{a.output}/{a.input_name}", order)
     else:

@@ -20,7 +20,11 @@ class FDConfig:
     validation_threshold: share of valid candidates under which sampling goes on.
     max_candidates: bound on stored candidates; beyond it the largest left-hand sides are given
         up and max_lhs_size is lowered (None: no bound).
-    broadcast_bytes: size of coded rows up to which ``auto`` broadcasts them.
+    broadcast_bytes: size of coded rows up to which they are broadcast; ``auto`` takes another way
+        beyond it, ``broadcast`` raises.
+    pli_cache_prefix: attributes at the start of a left-hand side of which partitions are kept for
+        other ones that start alike (0: none).
+    pli_cache_bytes: size of the partitions that a task keeps.
     """
 
     max_lhs_size: int = -1
@@ -32,6 +36,8 @@ class FDConfig:
     validation_threshold: float = 0.8
     max_candidates: int | None = None
     broadcast_bytes: int = 256 << 20
+    pli_cache_prefix: int = 3
+    pli_cache_bytes: int = 256 << 20
     relation: str = "relation"
 
     def __post_init__(self):
@@ -39,6 +45,8 @@ class FDConfig:
             raise ValueError(f"strategy is one of {STRATEGIES}, not {self.strategy!r}")
         if not 0 <= self.validation_threshold <= 1:
             raise ValueError("validation_threshold is a share from 0 to 1")
+        if self.pli_cache_prefix < 0 or self.pli_cache_bytes < 0:
+            raise ValueError("a cache has no negative size")
         if self.candidates_per_job < 1 or self.sets_per_job < 1:
             raise ValueError("a job has one candidate at least")
 

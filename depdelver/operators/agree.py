@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.functions import bits
-from depdelver.operators.partitions import equal, matches, name, window_by
+from depdelver.operators.partitions import matches, name, window_by
 
 
-def neighbours(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True) -> DataFrame:
+def neighbours(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True, largest: int | None = None) -> DataFrame:
     """Pairs (a, b) of records that share a value and lie ``distance`` apart in its cluster.
 
     The cluster's order puts records with equal neighbouring attributes side by side, so that
-    their agree sets are large. A cluster is one window; attributes with few values make large
-    ones, which are not worth sampling.
+    their agree sets are large. A cluster is one window; with ``largest``, clusters of more rows
+    are left out, as a window is held by one task.
     """
     rows = df if null_equals_null else df.where(name(attribute).isNotNull())
+    if largest is not None:
+        value = name(attribute).alias("value")
+        few = rows.groupBy(value).agg(F.count("*").alias("k")).where(F.col("k").between(2, largest)).select("value")
+        rows = rows.join(few, name(attribute).eqNullSafe(F.col("value")), "left_semi")
     record = F.struct(*[name(c) for c in order])
     b = F.lead(record, distance).over(window_by(attribute, order, rid))
     return rows.select(record.alias("a"), b.alias("b")).where("b IS NOT NULL")
 
 
-def sample(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True) -> DataFrame:
+def sample(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True, largest: int | None = None) -> DataFrame:
     """(words, pairs): the distinct agree sets of ``neighbours`` and how many pairs have each."""
-    pairs = neighbours(df, attribute, order, rid, distance, null_equals_null)
+    pairs = neighbours(df, attribute, order, rid, distance, null_equals_null, largest)
     return pairs.select(bits.words(matches("a", "b", order, null_equals_null)).alias("words")).groupBy("words").agg(F.count("*").alias("pairs"))
 
 
@@ -46,18 +50,28 @@ def merge_seen(a: DataFrame, b: DataFrame) -> DataFrame:
 def maximal(found: DataFrame, mask: str = "mask") -> DataFrame:
     """Agree sets that are inside no other one.
 
-    The table of distinct agree sets is small next to the data: this is a nested loop over it.
+    Each set is compared with the larger ones only that have its least attribute.
     """
-    a, b = found.select(mask).distinct().alias("a"), found.select(mask).distinct().alias("b")
-    x, y = F.col(f"a.{mask}"), F.col(f"b.{mask}")
-    return a.join(b, bits.subset(x, y) & (x != y), "left_anti")
+    return _maximal(found.select(mask).distinct(), mask, [])
 
 
 def maximal_by_rhs(non_fds: DataFrame) -> DataFrame:
     """Of the non-dependencies (lhs, rhs), those inside no other one of the same right-hand side."""
-    a, b = non_fds.distinct().alias("a"), non_fds.distinct().alias("b")
-    x, y = F.col("a.lhs"), F.col("b.lhs")
-    return a.join(b, (F.col("a.rhs") == F.col("b.rhs")) & bits.subset(x, y) & (x != y), "left_anti")
+    return _maximal(non_fds.distinct(), "lhs", ["rhs"])
+
+
+def _maximal(sets: DataFrame, mask: str, by: list[str]) -> DataFrame:
+    """An equi-join: a set that contains another one has all its attributes, so also its least."""
+    x = F.col(mask)
+    least = F.when(x == 0, F.lit(0).cast("long")).otherwise(x.bitwiseAND(-x))
+    small = sets.select(*by, mask, least.alias("bit"))
+    others = F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits.WORD - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda b: x.bitwiseAND(b) != 0), lambda b: b)
+    large = sets.select(*by, x.alias("outer"), F.explode(F.array_append(others, F.lit(0).cast("long"))).alias("bit"))
+    a, b = small.alias("a"), large.alias("b")
+    same = F.col("a.bit") == F.col("b.bit")
+    for c in by:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, same & bits.subset(F.col(f"a.{mask}"), F.col("b.outer")) & (F.col(f"a.{mask}") != F.col("b.outer")), "left_anti").select(*[F.col(c) for c in sets.columns])
 
 
 def non_fds(found: DataFrame, n: int, open_rhs: list[int] | None = None, mask: str = "mask") -> DataFrame:
@@ -88,7 +102,3 @@ def lookup(df: DataFrame, pairs: DataFrame, columns: list[str], rid: str) -> Dat
     record = df.select(name(rid).alias("r"), F.struct(*[name(c) for c in columns]).alias("s"))
     a, b = record.select(F.col("r").alias("x"), F.col("s").alias("a")), record.select(F.col("r").alias("y"), F.col("s").alias("b"))
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b")
-
-
-def agreement(a: Column, b: Column, null_equals_null: bool = True) -> Column:
-    return equal(a, b, null_equals_null)

@@ -17,6 +17,10 @@ def validation_efficiency(candidates: Column, invalid: Column) -> Column:
 
 
 def worth_caching(records: Column, clusters: Column, records_after: Column, clusters_after: Column, least: float = 0.05) -> Column:
-    """Whether a refined partition's mean cluster is smaller by ``least`` or more."""
-    before, after = records / F.greatest(clusters, F.lit(1)), records_after / F.greatest(clusters_after, F.lit(1))
-    return F.when(before == 0, F.lit(False)).otherwise((before - after) / before >= least)
+    """Whether refining makes a stripped partition's mean cluster smaller by ``least`` or more.
+
+    The records are then in the clusters left and, those that became single, each by itself.
+    Always if no cluster is left, never if there was none.
+    """
+    after = records / (clusters_after + records - records_after)
+    return F.when(clusters == 0, F.lit(False)).when(clusters_after == 0, F.lit(True)).otherwise(1 - after / (records / clusters) >= least)

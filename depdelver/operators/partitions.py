@@ -22,7 +22,7 @@ def check_types(df: DataFrame) -> None:
 
 
 def name(c: str) -> Column:
-    return F.col(f"`{c}`")
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
 def with_rid(df: DataFrame, rid: str = "__rid") -> DataFrame:
@@ -30,12 +30,22 @@ def with_rid(df: DataFrame, rid: str = "__rid") -> DataFrame:
     return df.withColumn(rid, F.monotonically_increasing_id())
 
 
+def positive_zero(df: DataFrame, c: str) -> Column:
+    """The column, with 0.0 for -0.0, which equals it but is another text."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return name(c) + F.lit(0.0).cast(kind)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+        return F.transform(name(c), lambda x: x + F.lit(0.0).cast(kind.elementType))
+    return name(c)
+
+
 def long_form(df: DataFrame, columns: list[str], rid: str, null_equals_null: bool = True) -> DataFrame:
     """(attr, val, rid), one row a cell; with null unlike null, nulls are left out.
 
-    A value is its text; a null that equals others is kept apart from every text.
+    A value is its text, where -0.0 is 0.0; a null that equals others is kept apart from every text.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("attr"), name(c).cast("string").alias("val")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("attr"), positive_zero(df, c).cast("string").alias("val")) for c in columns])
     out = df.select(name(rid).alias("rid"), F.explode(cells).alias("x")).select("x.attr", "x.val", "rid")
     return out if null_equals_null else out.where("val IS NOT NULL")
 
@@ -46,28 +56,30 @@ def clusters(df: DataFrame, columns: list[str], rid: str, null_equals_null: bool
     return cells.groupBy("attr", "val").agg(F.array_sort(F.collect_list("rid")).alias("positions")).where(F.size("positions") > 1)
 
 
-def cluster_stats(df: DataFrame, columns: list[str], rid: str, null_equals_null: bool = True) -> DataFrame:
+def cluster_stats(df: DataFrame, columns: list[str], null_equals_null: bool = True) -> DataFrame:
     """(attr, clusters, records): stripped clusters of each attribute and the rows in them.
 
-    Positions are not gathered: values are counted before they are shuffled.
+    Positions are not gathered: each attribute is one aggregate of its typed column, counted before it is shuffled.
     """
-    sizes = long_form(df, columns, rid, null_equals_null).groupBy("attr", "val").agg(F.count("*").alias("k"))
-    big = F.col("k") > 1
-    return sizes.groupBy("attr").agg(F.count(F.when(big, 1)).alias("clusters"), F.coalesce(F.sum(F.when(big, F.col("k"))), F.lit(0)).alias("records"))
+    out = None
+    for c in columns:
+        rows = df if null_equals_null else df.where(name(c).isNotNull())
+        sizes = rows.groupBy(name(c)).agg(F.count("*").alias("k")).where("k > 1")
+        part = sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("k"), F.lit(0)).alias("records")).select(F.lit(c).alias("attr"), "clusters", "records")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def distinct_counts(df: DataFrame, columns: list[str], rid: str, null_equals_null: bool = True) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: list[str], null_equals_null: bool = True) -> DataFrame:
     """(attr, values): rows less those in clusters, plus the clusters."""
     n = df.select(F.count("*").alias("n"))
-    stats = cluster_stats(df, columns, rid, null_equals_null)
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "attr string")
-    joined = every.join(stats, "attr", "left").join(F.broadcast(n))  # n is one row
-    return joined.select("attr", (F.col("n") - F.coalesce("records", F.lit(0)) + F.coalesce("clusters", F.lit(0))).alias("values"))
+    stats = cluster_stats(df, columns, null_equals_null)
+    return stats.join(F.broadcast(n)).select("attr", (F.col("n") - F.col("records") + F.col("clusters")).alias("values"))  # n is one row
 
 
-def attribute_order(df: DataFrame, columns: list[str], rid: str, null_equals_null: bool = True) -> list[str]:
+def attribute_order(df: DataFrame, columns: list[str], null_equals_null: bool = True) -> list[str]:
     """The attributes by descending number of values, ties in the order of the schema."""
-    found = {r["attr"]: r["values"] for r in distinct_counts(df, columns, rid, null_equals_null).collect()}  # a row an attribute
+    found = {r["attr"]: r["values"] for r in distinct_counts(df, columns, null_equals_null).collect()}  # a row an attribute
     return sorted(columns, key=lambda c: -found[c])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,31 @@ from pyspark.sql import types as T
 from depdelver.functions import bits
 from depdelver.operators.partitions import name
 
-#: Refined partitions that a task keeps, for candidates that start with the same attributes.
-PREFIX, CACHED = 3, 64
+#: Attributes of the prefixes whose partitions a task keeps, and bytes of those.
+PREFIX, CACHE_BYTES = 3, 256 << 20
 
 
 # -- One aggregation for each left-hand side ---------------------------------------------------
 
 
+def _all_there(attributes: list[str]) -> Column:
+    return reduce(lambda a, c: a & name(c).isNotNull(), attributes, F.lit(True))
+
+
+def stripped(df: DataFrame, attributes: list[str], null_equals_null: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows in clusters of two or more of some attributes together; and (clusters, records) of these."""
+    rows = df if null_equals_null else df.where(_all_there(attributes))
+    sizes = rows.groupBy(*[name(c).alias(f"v{i}") for i, c in enumerate(attributes)]).agg(F.count("*").alias("k")).where("k > 1")
+    same = F.lit(True)
+    for i, c in enumerate(attributes):
+        same = same & name(c).eqNullSafe(F.col(f"sizes.v{i}"))
+    kept = rows.join(sizes.alias("sizes"), same, "left_semi")
+    return kept, sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("k"), F.lit(0)).alias("records"))
+
+
 def _violations(df: DataFrame, lhs: list[int], rhs: list[int], columns: list[str], null_equals_null: bool) -> DataFrame:
     """One row: for each attribute, the largest agree set of a group that has two values of it."""
-    rows = df if null_equals_null else df.dropna(subset=[columns[i] for i in lhs]) if lhs else df
+    rows = df if null_equals_null else df.where(_all_there([columns[i] for i in lhs]))
     others = [i for i in range(len(columns)) if i not in lhs]
     stats = [F.count("*").alias("n")]
     for i in others:
@@ -47,17 +63,21 @@ def _violations(df: DataFrame, lhs: list[int], rhs: list[int], columns: list[str
     return shown.agg(*best).select(F.array(*[F.col(f"x{i}.w") for i in range(len(columns))]).alias("found"))
 
 
-def by_groups(df: DataFrame, candidates: dict[int, list[int]], columns: list[str], null_equals_null: bool = True) -> list[tuple[int, int, int]]:
+def by_groups(df: DataFrame, candidates: dict[int, list[int]], columns: list[str], null_equals_null: bool = True, tables: dict[int, DataFrame] | None = None) -> list[tuple[int, int, int]]:
     """The invalid ones of ``candidates`` (left-hand side: right-hand sides) as (lhs, rhs, agree set).
 
     Each left-hand side is one grouped aggregation over all rows, which answers for all its
     right-hand sides at once; counts, minima and maxima are merged before they are shuffled. In
     a group with two values of A, some two rows agree on all attributes that are the same
     throughout and differ in A; that set refutes more than the candidate. One row for each
-    left-hand side reaches the driver.
+    left-hand side reaches the driver. ``tables``: for a left-hand side, the rows that are in
+    clusters of a part of it, which are all that matter.
     """
     lhss = list(candidates)
-    parts = [_violations(df, bits.members(x), candidates[x], columns, null_equals_null).withColumn("at", F.lit(k)) for k, x in enumerate(lhss)]
+    if not lhss:
+        return []
+    rows = lambda x: (tables or {}).get(x, df)
+    parts = [_violations(rows(x), bits.members(x), candidates[x], columns, null_equals_null).withColumn("at", F.lit(k)) for k, x in enumerate(lhss)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -91,11 +111,19 @@ def violating_pairs(df: DataFrame, lhs: list[str], rhs: str, rid: str) -> DataFr
 # -- Dictionary codes on every executor --------------------------------------------------------
 
 
-def size_of_codes(df: DataFrame) -> tuple[int, int]:
-    """Rows, and bytes of all values as text."""
-    length = sum((F.coalesce(F.octet_length(F.to_json(F.struct(name(c)))) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType)) else F.octet_length(name(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
-    n, size = df.agg(F.count("*"), F.coalesce(F.sum(length.cast("long")), F.lit(0))).head()
-    return n, size
+def size_of_values(df: DataFrame, n: int) -> int:
+    """Bytes of all values of ``n`` rows: measured, for columns whose values have no fixed size."""
+    fixed, total = 0, F.lit(0).cast("long")
+    for c in df.columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+            fixed += 16
+        elif isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(name(c)), F.lit(0))
+        else:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(name(c)))), F.lit(0))
+    measured = df.agg(F.coalesce(F.sum(total), F.lit(0))).head()[0] if fixed < 16 * len(df.columns) else 0
+    return n * fixed + measured
 
 
 def codes(df: DataFrame, null_equals_null: bool = True) -> np.ndarray:
@@ -112,8 +140,7 @@ def codes(df: DataFrame, null_equals_null: bool = True) -> np.ndarray:
     table = df.select(*out).toArrow()
     matrix = np.empty((table.num_rows, len(df.columns)), np.int32)
     for i in range(len(df.columns)):
-        column = pc.dictionary_encode(table.column(i).combine_chunks() if table.num_rows else table.column(i).combine_chunks(), null_encoding="encode")
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        column = pc.dictionary_encode(table.column(i).combine_chunks(), null_encoding="encode")
         matrix[:, i] = column.indices.to_numpy(zero_copy_only=False) if table.num_rows else 0
         if not null_equals_null and table.num_rows:
             null = np.asarray(table.column(i).combine_chunks().is_null())
@@ -133,12 +160,13 @@ def refine(p: Partition, column: np.ndarray) -> Partition:
     """Each cluster divided by another attribute, without those of one row."""
     key = p.group.astype(np.int64) * (int(column.max(initial=0)) + 1) + column[p.rows]
     order = np.argsort(key, kind="stable")
-    key, rows = key[order], p.rows[order]
-    new = np.append(True, key[1:] != key[:-1])[: len(key)]
-    group = np.cumsum(new) - 1
-    keep = np.bincount(group)[group] > 1 if len(group) else new
-    rows, group = rows[keep], group[keep]
-    return Partition(rows, np.cumsum(np.diff(group, prepend=-1) != 0) - 1)
+    key = key[order]
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    # A row of a cluster of one begins it, and the next row begins another one.
+    keep = ~(new & np.append(new[1:], True)[: len(new)])
+    return Partition(p.rows[order[keep]], np.cumsum(new[keep]) - 1)
 
 
 def everything(n: int) -> Partition:
@@ -146,22 +174,26 @@ def everything(n: int) -> Partition:
 
 
 class Refuter:
-    """Tests candidates on coded rows; keeps the partitions of common prefixes."""
+    """Tests candidates on coded rows; keeps the partitions of common prefixes, the latest ones, up to a size."""
 
-    def __init__(self, matrix: np.ndarray):
+    def __init__(self, matrix: np.ndarray, prefix: int = PREFIX, size: int = CACHE_BYTES):
+        self.columns, self.prefix, self.size = np.asfortranarray(matrix), prefix, size
         self.matrix = matrix
         self.cache: OrderedDict[tuple, Partition] = OrderedDict()
+        self.held = 0
 
     def partition(self, lhs: list[int]) -> Partition:
-        head = tuple(lhs[:PREFIX])
+        head = tuple(lhs[: self.prefix])
         k = next((k for k in range(len(head), 0, -1) if head[:k] in self.cache), 0)
         p = self.cache[head[:k]] if k else everything(len(self.matrix))
         for i in range(k, len(lhs)):
-            p = refine(p, self.matrix[:, lhs[i]])
-            if i < PREFIX:
+            p = refine(p, self.columns[:, lhs[i]])
+            if i < self.prefix:
                 self.cache[tuple(lhs[: i + 1])] = p
-                if len(self.cache) > CACHED:
-                    self.cache.popitem(last=False)
+                self.held += p.rows.nbytes + p.group.nbytes
+                while self.held > self.size and self.cache:
+                    _, old = self.cache.popitem(last=False)
+                    self.held -= old.rows.nbytes + old.group.nbytes
         return p
 
     def refute(self, lhs: list[int], rhs: list[int]) -> list[tuple[int, int]]:
@@ -172,7 +204,8 @@ class Refuter:
             return out
         head = p.rows[np.searchsorted(p.group, p.group)]
         for a in rhs:
-            bad = self.matrix[p.rows, a] != self.matrix[head, a]
+            column = self.columns[:, a]
+            bad = column[p.rows] != column[head]
             at = int(bad.argmax())
             if bad[at]:
                 out.append((a, bits.of(np.flatnonzero(self.matrix[p.rows[at]] == self.matrix[head[at]]).tolist())))
@@ -194,29 +227,28 @@ def _to_bytes(mask: int) -> bytes:
     return mask.to_bytes(max(1, (mask.bit_length() + 7) // 8), "little")
 
 
-def by_broadcast(spark, matrix, candidates: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+def by_broadcast(spark, matrix, candidates: dict[int, list[int]], prefix: int = PREFIX, cache_bytes: int = CACHE_BYTES) -> list[tuple[int, int, int]]:
     """Like ``by_groups``, with the candidates dealt over tasks that hold the coded rows.
 
     ``matrix``: a broadcast variable of ``codes``. Candidates that begin with the same
     attributes stay together, so that a task refines their partitions once.
     """
+    ordered = sorted(candidates.items(), key=lambda x: bits.members(x[0]))
+    tasks = max(1, min(len(ordered) // 4, 4 * spark.sparkContext.defaultParallelism))
+    step = -(-len(ordered) // tasks)
+    asked = spark.sparkContext.broadcast([[(bits.members(x), _to_bytes(x), rhs) for x, rhs in ordered[at : at + step]] for at in range(0, len(ordered), step)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refuter = Refuter(matrix.value)
         for batch in batches:
-            rows = []
-            for lhs, rhs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = int.from_bytes(lhs, "little")
-                rows += [(lhs, a, _to_bytes(m)) for a, m in refuter.refute(bits.members(x), rhs)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.binary()))], ["lhs", "rhs", "found"])
+            for task in batch.column(0).to_pylist():
+                refuter = Refuter(matrix.value, prefix, cache_bytes)
+                rows = [(x, a, _to_bytes(m)) for members, x, rhs in asked.value[task] for a, m in refuter.refute(members, rhs)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.binary()))], ["lhs", "rhs", "found"])
 
-    ordered = sorted(candidates.items(), key=lambda x: bits.members(x[0]))
-    tasks = max(1, min(len(ordered) // 4, 2 * spark.sparkContext.defaultParallelism))
-    step = -(-len(ordered) // tasks)
-    table = pa.table({"lhs": pa.array([_to_bytes(x) for x, _ in ordered], pa.binary()), "rhs": pa.array([r for _, r in ordered], pa.list_(pa.int32())), "part": pa.array([i // step for i in range(len(ordered))], pa.int32())})
-    frame = spark.createDataFrame(table).repartitionByRange(tasks, "part") if tasks > 1 else spark.createDataFrame(table)
-    found = frame.select("lhs", "rhs").mapInArrow(run, "lhs binary, rhs int, found binary").collect()
-    return [(int.from_bytes(r["lhs"], "little"), r["rhs"], int.from_bytes(r["found"], "little")) for r in found]
+    n = -(-len(ordered) // step)
+    found = spark.range(0, n, 1, n).mapInArrow(run, "lhs binary, rhs int, found binary").toArrow()
+    asked.unpersist()
+    return [(int.from_bytes(x, "little"), a, int.from_bytes(m, "little")) for x, a, m in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True)]
 
 
 def sample_broadcast(spark, matrix, attributes: list[tuple[int, int]]) -> dict[int, set[int]]:
@@ -224,12 +256,12 @@ def sample_broadcast(spark, matrix, attributes: list[tuple[int, int]]) -> dict[i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for a, d in (attributes[k] for k in batch.column(0).to_pylist()):
                 found = sorted(agree_sets(matrix.value, a, d))
                 yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int32()), pa.array([_to_bytes(m) for m in found], pa.binary())], ["a", "m"])
 
-    frame = spark.createDataFrame(attributes, "a int, d int").repartition(len(attributes))
     out: dict[int, set[int]] = {a: set() for a, _ in attributes}
-    for r in frame.mapInArrow(run, "a int, m binary").collect():
-        out[r["a"]].add(int.from_bytes(r["m"], "little"))
+    found = spark.range(0, len(attributes), 1, len(attributes)).mapInArrow(run, "a int, m binary").toArrow()
+    for a, m in zip(found.column("a").to_pylist(), found.column("m").to_pylist(), strict=True):
+        out[a].add(int.from_bytes(m, "little"))
     return out

@@ -8,15 +8,18 @@ import time
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depdelver.config import FDConfig
 from depdelver.functions import bits
 from depdelver.operators import agree, validate
-from depdelver.operators.cover import Cover
+from depdelver.operators.cover import Cover, specialize_all
+from depdelver.operators.metrics import worth_caching
 from depdelver.operators.partitions import check_types, constant, name, with_rid
-from depdelver.session import cut
+from depdelver.session import cut, drop_cut
 
 log = logging.getLogger(__name__)
 SCHEMA = "relation string, lhs array<string>, rhs string"
@@ -39,7 +42,8 @@ class Metrics:
 
 
 def result(spark: SparkSession, fds: list[tuple[list[str], str]], relation: str) -> DataFrame:
-    return spark.createDataFrame([(relation, lhs, rhs) for lhs, rhs in fds], SCHEMA)
+    table = pa.table({"relation": pa.array([relation] * len(fds), pa.string()), "lhs": pa.array([x for x, _ in fds], pa.list_(pa.string())), "rhs": pa.array([a for _, a in fds], pa.string())})
+    return spark.createDataFrame(table, SCHEMA)
 
 
 def discover_fds(df: DataFrame, config: FDConfig | None = None, metrics: Metrics | None = None, **options) -> DataFrame:
@@ -65,8 +69,9 @@ def discover_fds(df: DataFrame, config: FDConfig | None = None, metrics: Metrics
     if config.strategy == "cube":
         if not config.null_equals_null:
             raise ValueError("the cube strategy takes null as equal to null")
-        out = cube_fds(df, config)
-        metrics.strategy = "cube"
+        out = cut(cube_fds(df, config))
+        metrics.strategy, metrics.rows, metrics.fds = "cube", df.count(), out.count()
+        metrics.order, metrics.milliseconds = list(df.columns), int(1000 * (time.monotonic() - began))
         return out
     found = _search(df, config, metrics)
     metrics.fds, metrics.milliseconds = len(found), int(1000 * (time.monotonic() - began))
@@ -76,78 +81,139 @@ def discover_fds(df: DataFrame, config: FDConfig | None = None, metrics: Metrics
 
 def _search(df: DataFrame, config: FDConfig, metrics: Metrics) -> list[tuple[list[str], str]]:
     columns = df.columns
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[constant(c, config.null_equals_null).alias(f"c{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(name(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).head()
-    metrics.rows = row["n"]
-    constants = [c for i, c in enumerate(columns) if row[f"c{i}"]]
+    metrics.rows = n = df.count()
+    small = _small(df, n, config)
+    if small:
+        matrix = validate.codes(df, config.null_equals_null)
+        distinct = [int(x) + 1 for x in matrix.max(axis=0, initial=-1)]  # codes are dense
+        constants = [c for c, k in zip(columns, distinct, strict=True) if k <= 1 or n <= 1]
+    else:
+        row = df.agg(
+            *[constant(c, config.null_equals_null).alias(f"c{i}") for i, c in enumerate(columns)],
+            *[F.approx_count_distinct(name(c)).alias(f"d{i}") for i, c in enumerate(columns)],
+        ).head()
+        distinct = [row[f"d{i}"] for i in range(len(columns))]
+        constants = [c for i, c in enumerate(columns) if row[f"c{i}"]]
     # The most distinct attributes come first, so that partitions get small soon.
-    order = sorted((c for c in columns if c not in constants), key=lambda c: -row[f"d{columns.index(c)}"])
-    metrics.order = order
+    at = sorted((i for i, c in enumerate(columns) if c not in constants), key=lambda i: -distinct[i])
+    metrics.order = order = [columns[i] for i in at]
     out: list[tuple[list[str], str]] = [([], c) for c in constants]
     if len(order) > 1:
-        engine = _engine(df.select(*[name(c) for c in order]), config, row, order)
+        engine = Broadcast(df.sparkSession, matrix[:, at], config) if small else Groups(df.select(*[name(c) for c in order]), config, n)
         metrics.strategy = type(engine).__name__
-        for cover in _induce(engine, len(order), config, metrics):
-            out += [(sorted((order[i] for i in bits.iterate(lhs)), key=columns.index), order[cover.rhs]) for lhs in cover]
+        try:
+            for cover in _induce(engine, df.sparkSession, len(order), config, metrics):
+                out += [([columns[k] for k in sorted(at[i] for i in bits.iterate(lhs))], order[cover.rhs]) for lhs in cover]
+        finally:
+            engine.close()
     return out
 
 
+def _small(df: DataFrame, n: int, config: FDConfig) -> bool:
+    """Codes are broadcast only if they, and the values they are made from, are found to be small."""
+    if config.strategy == "group":
+        return False
+    if n * len(df.columns) * 4 <= config.broadcast_bytes and validate.size_of_values(df, n) <= 2 * config.broadcast_bytes:
+        return True
+    if config.strategy == "broadcast":
+        raise ValueError(f"the relation is larger than broadcast_bytes = {config.broadcast_bytes}: take strategy group")
+    return False
+
+
 class Broadcast:
     """Coded rows on every executor, candidates dealt over tasks."""
 
-    def __init__(self, df: DataFrame, config: FDConfig):
-        self.spark, self.config = df.sparkSession, config
-        matrix = validate.codes(df, config.null_equals_null)
-        self.matrix = self.spark.sparkContext.broadcast(matrix)
+    def __init__(self, spark: SparkSession, matrix: np.ndarray, config: FDConfig):
+        self.spark, self.config = spark, config
+        self.matrix = spark.sparkContext.broadcast(matrix)
         self.per_job = config.candidates_per_job
-        self.attributes = list(range(len(df.columns)))
+        self.attributes = list(range(matrix.shape[1]))
 
     def sample(self, wanted: list[tuple[int, int]]) -> dict[int, set[int]]:
         return validate.sample_broadcast(self.spark, self.matrix, wanted)
 
     def refute(self, candidates: dict[int, list[int]]) -> list[tuple[int, int, int]]:
-        return validate.by_broadcast(self.spark, self.matrix, candidates)
+        return validate.by_broadcast(self.spark, self.matrix, candidates, self.config.pli_cache_prefix, self.config.pli_cache_bytes)
+
+    def close(self) -> None:
+        self.matrix.unpersist()
 
 
 class Groups:
-    """One aggregation over all rows for each left-hand side."""
+    """One aggregation for each left-hand side, over the rows that are in clusters of its first attributes.
+
+    A row alone in its cluster of an attribute agrees with no row on any set that has it. So the
+    rows in clusters of a prefix, a table that gets smaller with each attribute, are all that a
+    left-hand side needs that starts with it. Such tables are written once and used by all that
+    start alike; one is kept only if that is worth it, by how much smaller clusters get.
+    """
 
-    #: Attributes with larger clusters on average are not sampled: their windows would be.
+    #: Clusters of more rows than this are not sampled, as a window over one is held by one task.
     CLUSTER = 100_000
+    #: Left-hand sides of a job that start alike, from which their rows are written for them.
+    ALIKE = 3
 
-    def __init__(self, df: DataFrame, config: FDConfig, rows: int, distinct: list[int]):
+    def __init__(self, df: DataFrame, config: FDConfig, rows: int):
         self.df, self.config, self.columns = df, config, df.columns
         self.per_job = config.sets_per_job
-        self.attributes = [i for i, d in enumerate(distinct) if rows <= self.CLUSTER * max(d, 1)]
+        self.attributes = list(range(len(df.columns)))
         self.numbered = with_rid(df)
+        #: By prefix: its rows (None: as its own prefix's are), how many they are, and in how many clusters.
+        self.tables: dict[tuple[int, ...], tuple[DataFrame | None, int, int]] = {(): (df, rows, 1)}
 
     def sample(self, wanted: list[tuple[int, int]]) -> dict[int, set[int]]:
         out = {}
         for a, d in wanted:
-            found = agree.sample(self.numbered, self.columns[a], self.columns, "__rid", d, self.config.null_equals_null)
+            found = agree.sample(self.numbered, self.columns[a], self.columns, "__rid", d, self.config.null_equals_null, self.CLUSTER)
             out[a] = {bits.from_words(r["words"]) for r in found.select("words").collect()}
         return out
 
-    def refute(self, candidates: dict[int, list[int]]) -> list[tuple[int, int, int]]:
-        return validate.by_groups(self.df, candidates, self.columns, self.config.null_equals_null)
-
+    def rows_of(self, prefix: tuple[int, ...]) -> tuple[DataFrame, int]:
+        """The rows in clusters of a prefix, or of the longest part of it that is worth a table."""
+        df, n, _ = self.tables[prefix]
+        return self.rows_of(prefix[:-1]) if df is None else (df, n)
+
+    def strip(self, prefix: tuple[int, ...]) -> None:
+        if prefix in self.tables:
+            return
+        self.strip(prefix[:-1])
+        before, n = self.rows_of(prefix[:-1])
+        _, records, clusters = self.tables[prefix[:-1]]
+        kept, sizes = validate.stripped(before, [self.columns[a] for a in prefix], self.config.null_equals_null)
+        worth = worth_caching(F.lit(records), F.lit(clusters), F.col("records"), F.col("clusters"))
+        found = sizes.select("clusters", "records", worth.alias("worth")).head()
+        # Rows are only written again if they are fewer than what they are picked from.
+        fewer = found["worth"] and 2 * found["records"] <= n
+        self.tables[prefix] = (cut(kept) if fewer else None, found["records"], found["clusters"])
 
-def _engine(df: DataFrame, config: FDConfig, row, order: list[str]) -> Broadcast | Groups:
-    """Codes are broadcast only if they, and the values they are made from, were found to be small."""
-    if config.strategy == "auto":
-        small = row["n"] * len(order) * 4 <= config.broadcast_bytes and validate.size_of_codes(df)[1] <= 2 * config.broadcast_bytes
-    else:
-        small = config.strategy == "broadcast"
-    if small:
-        return Broadcast(df, config)
-    distinct = df.agg(*[F.approx_count_distinct(name(c)) for c in order]).head()
-    return Groups(df, config, row["n"], list(distinct))
-
-
-def _induce(engine: Broadcast | Groups, n: int, config: FDConfig, metrics: Metrics) -> list[Cover]:
+    def refute(self, candidates: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+        heads: dict[tuple[int, ...], int] = {}
+        members = {x: tuple(bits.members(x)) for x in candidates}
+        for m in members.values():
+            for k in range(1, min(len(m), self.config.pli_cache_prefix) + 1):
+                heads[m[:k]] = heads.get(m[:k], 0) + 1
+        tables = {}
+        for x, m in members.items():
+            prefix = ()
+            for k in range(1, min(len(m), self.config.pli_cache_prefix) + 1):
+                if m[:k] in self.tables or (heads[m[:k]] >= self.ALIKE and self.rows_of(prefix)[1]):
+                    prefix = m[:k]
+                    self.strip(prefix)
+                else:
+                    break
+            tables[x], n = self.rows_of(prefix)
+            if not n:
+                tables[x] = None  # nothing agrees on it: all that it is asked for is true
+        asked = {x: rhs for x, rhs in candidates.items() if tables[x] is not None}
+        return validate.by_groups(self.df, asked, self.columns, self.config.null_equals_null, tables)
+
+    def close(self) -> None:
+        for prefix, (df, _, _) in self.tables.items():
+            if prefix and df is not None:
+                drop_cut(df)
+
+
+def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDConfig, metrics: Metrics) -> list[Cover]:
     """Samples and validates in turn until every cover's left-hand sides have been validated."""
     limit = config.lhs_limit
     covers = [Cover(a, n, limit=limit) for a in range(n)]
@@ -158,10 +224,7 @@ def _induce(engine: Broadcast | Groups, n: int, config: FDConfig, metrics: Metri
     def learn(masks: set[int]) -> int:
         new = sorted(masks - seen, key=lambda m: (-m.bit_count(), m))
         seen.update(new)
-        for cover in covers:
-            for m in new:
-                if not m >> cover.rhs & 1:
-                    cover.specialize(m)
+        specialize_all(spark, covers, new)
         guard()
         return len(new)
 
@@ -176,10 +239,12 @@ def _induce(engine: Broadcast | Groups, n: int, config: FDConfig, metrics: Metri
                 break
 
     def sample(wanted: list[tuple[int, int]]) -> None:
-        for a, masks in engine.sample(wanted).items():
-            metrics.samples += 1
-            new = learn(masks)
-            heapq.heappush(queue, (-new / max(1, metrics.rows), -next(d for x, d in wanted if x == a), a))
+        found = engine.sample(wanted)
+        fresh = {a: len(masks - seen) for a, masks in found.items()}
+        metrics.samples += len(found)
+        learn(set().union(*found.values()))
+        for a, d in wanted:
+            heapq.heappush(queue, (-fresh[a] / max(1, metrics.rows), -d, a))
 
     if engine.attributes:
         sample([(a, 1) for a in engine.attributes])

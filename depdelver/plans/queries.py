@@ -133,7 +133,7 @@ _ORDER_SQL = f"o AS (SELECT name, row_number() OVER (ORDER BY k DESC, pos) AS nt
 )
 def fd_text_lines(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
-    order = partitions.attribute_order(orders, _O, "o_orderkey")
+    order = partitions.attribute_order(orders, _O)
     return discover_fds(orders).select(render_line(order).alias("line"))
 
 
@@ -164,7 +164,7 @@ _CELLS = " UNION ALL ".join(f"SELECT '{c}' AS attr, count(*) AS clusters, sum(k)
 
 @query("pli_stats", f"SELECT attr, CAST(clusters AS BIGINT) AS clusters, CAST(coalesce(records, 0) AS BIGINT) AS records FROM ({_CELLS})")
 def pli_stats(spark, sf_dir):
-    return partitions.cluster_stats(load(spark, sf_dir, "lineitem").withColumn("rid", F.monotonically_increasing_id()), _L, "rid")
+    return partitions.cluster_stats(load(spark, sf_dir, "lineitem"), _L)
 
 
 _COLUMNS2 = ["o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -206,13 +206,13 @@ def unique_records(spark, sf_dir):
 
 @query("attribute_order", "SELECT attr, CAST(row_number() OVER (ORDER BY k DESC, pos) AS INTEGER) AS nth FROM (VALUES " + ", ".join(f"({i}, '{c}', (SELECT count(DISTINCT {c}) FROM part))" for i, c in enumerate(_P)) + ") AS x(pos, attr, k)")
 def attribute_order(spark, sf_dir):
-    order = partitions.attribute_order(load(spark, sf_dir, "part"), _P, "p_partkey")
+    order = partitions.attribute_order(load(spark, sf_dir, "part"), _P)
     return spark.createDataFrame([(c, i + 1) for i, c in enumerate(order)], "attr string, nth int")
 
 
 @query("distinct_values", " UNION ALL ".join(f"SELECT '{c}' AS attr, count(DISTINCT {c}) AS \"values\" FROM events" for c in COLUMNS["events"]))
 def distinct_values(spark, sf_dir):
-    return partitions.distinct_counts(load(spark, sf_dir, "events"), COLUMNS["events"], "event_id")
+    return partitions.distinct_counts(load(spark, sf_dir, "events"), COLUMNS["events"])
 
 
 @query("constant_columns", "SELECT count(DISTINCT n_regionkey) <= 1 AS n_regionkey, true AS c FROM nation")

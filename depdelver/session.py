@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def command_session(cores: str = "*") -> SparkSession:
+    """The session of spark-submit or of whoever called, else a local one."""
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or "SPARK_REMOTE" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if submitted and not SparkSession.getActiveSession():
+        return SparkSession.builder.appName("depdelver").getOrCreate()
+    return SparkSession.getActiveSession() or local_session(cores)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give Python workers this package, where they would not find it by themselves."""
     package = Path(__file__).resolve().parent
@@ -47,10 +57,12 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is made only where none is set."""
+    """The folder of ``spark.checkpoint.dir``. One is made where none is set, on one machine only."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="depdelver-"))
         found = sc.getCheckpointDir()
     return found
@@ -65,6 +77,10 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of the tables that were written inside each open ``settle``.
+_open: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written."""
     spark = df.sparkSession
@@ -73,6 +89,23 @@ def cut(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     atexit.register(_delete, spark, path)
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+def settle(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of what ``make`` returns; the tables that were cut on the way are deleted."""
+    _open.append([])
+    try:
+        out = cut(make())
+    finally:
+        made = _open.pop()
+    for path in made:
+        if path != out._cut_path:
+            _delete(out.sparkSession, path)
+    if _open:
+        _open[-1].append(out._cut_path)
     return out
 
 

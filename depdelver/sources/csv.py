@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import csv
+import io
 import os
+import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depdelver.session import cut
+from depdelver.session import cut, shared_dir
 
 
 @dataclass(frozen=True)
@@ -51,23 +57,62 @@ class CsvDescriptor:
 
     def _lines(self, spark: SparkSession) -> DataFrame:
         """The file's lines without the skipped ones, numbered along the file."""
-        lines = spark.read.option("lineSep", "\n").text(self.file)
-        if self.charset.upper() not in ("UTF-8", "UTF8", "US-ASCII"):  # one that has line feeds as ASCII has
-            lines = lines.select(F.decode(F.col("value").cast("binary"), self.charset).alias("value"))
+        if self.charset.upper() in ("UTF-16", "UTF16"):
+            raise ValueError("name the byte order: UTF-16LE or UTF-16BE")
+        if self.charset.upper().startswith("UTF-16"):  # line feeds of two bytes: read as a file of one column
+            wide = {"encoding": self.charset, "lineSep": "\n", "sep": "\u0001", "quote": "\u0002", "escape": "\u0002", "comment": ""}
+            lines = spark.read.options(**wide).schema("value string").csv(self.file).select(F.ltrim("value", F.lit("\ufeff")).alias("value"))
+        else:
+            lines = spark.read.option("lineSep", "\n").text(self.file)
+            if self.charset.upper() not in ("UTF-8", "UTF8", "US-ASCII"):  # one that has line feeds as ASCII has
+                lines = lines.select(F.decode(F.col("value").cast("binary"), self.charset).alias("value"))
         lines = lines.withColumn("at", F.monotonically_increasing_id())
         if self.skip_lines > 0:
             # Numbers rise along the file, so that the first lines have the smallest ones.
             last = lines.orderBy("at").limit(self.skip_lines).agg(F.max("at")).head()[0]
             lines = lines.where(F.col("at") > last) if last is not None else lines
-        return lines
+        return self._records(lines)
+
+    def _records(self, lines: DataFrame) -> DataFrame:
+        """The lines, with those that are one record as one, where line feeds are inside quotes.
+
+        Each line says whether a quote is open at its end, if it begins outside of quotes and if it
+        begins inside; a pass over these flags, of which a row a partition reaches the driver, says
+        where lines do begin inside. Partitions join their own lines; only records that go on in
+        another partition are put together by a shuffle.
+        """
+        q, s, e = (re.escape(c) for c in (self.quote, self.separator, self.escape))
+        inner = rf"(?:[^{q}{e}]|{e}.|{q}{q})*+" if self.escape != self.quote else rf"(?:[^{q}]|{q}{q})*+"
+        space = "[ \t]*+" if self.ignore_leading_whitespace else ""
+        rest = rf"(?:{space}(?:{q}{inner}{q}[^{s}]*+|[^{q}{s}][^{s}]*+)?+{s})*+{space}{q}{inner}$"
+        flagged = lines.withColumns({"out": F.col("value").rlike(rf"(?s)^{rest}"), "in": F.col("value").rlike(rf"(?s)^{inner}(?:$|{q}[^{s}]*+{s}{rest})")})
+        if not flagged.where("out").head(1):
+            return lines
+        flagged = cut(flagged.withColumn("part", F.shiftright("at", 33)))
+        ends = {r["part"]: r for r in flagged.select("part", "at", "out", "in").mapInArrow(_ends, "part long, from_out boolean, from_in boolean, last_out long, last_in long").collect()}
+        inside, key, begins = False, -1, {}
+        for part in sorted(ends):
+            r = ends[part]
+            begins[part] = (inside, key)
+            last = r["last_in"] if inside else r["last_out"]
+            inside, key = (r["from_in"] if inside else r["from_out"]), key if last is None else last
+        if inside:
+            raise ValueError(f"{self.file} ends inside quotes")
+        joined = cut(flagged.select("part", "at", "value", "out", "in").mapInArrow(_joiner(begins), "key long, at long, value string"))
+        over = [k for i, k in begins.values() if i]  # records that go on in another partition, one each at most
+        apart = F.col("key").isin(over)
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+        long_ = joined.where(apart).groupBy("key").agg(F.array_join(texts, "\n").alias("value"))
+        return joined.where(~apart).select("value", F.col("key").alias("at")).unionByName(long_.select("value", F.col("key").alias("at")))
 
     def read(self, spark: SparkSession) -> DataFrame:
         """A DataFrame of strings.
 
-        The first line that is not skipped gives the width, and with ``header`` the names; else
-        they are column1, column2 and so on. Lines of another width are dropped if
+        The first record that is not skipped gives the width, and with ``header`` the names; else
+        they are column1, column2 and so on. Records of another width are dropped if
         ``skip_differing_lines``, else they raise. ``strict_quotes`` keeps only what stands in
-        quotes: a field without them is null. An empty file has no columns.
+        quotes: a field without them is null. Quoted fields may have line feeds; skipped lines are
+        counted as lines. A quote that stays open raises. An empty file has no columns.
         """
         lines = self._lines(spark)
         head = lines.orderBy("at").limit(1).collect()
@@ -93,7 +138,52 @@ class CsvDescriptor:
 
     def _fields(self, line: str) -> list[str]:
         escape = None if self.escape == self.quote else self.escape
-        return next(csv.reader([line], delimiter=self.separator, quotechar=self.quote, escapechar=escape, skipinitialspace=self.ignore_leading_whitespace))
+        return next(csv.reader(io.StringIO(line, newline=""), delimiter=self.separator, quotechar=self.quote, escapechar=escape, skipinitialspace=self.ignore_leading_whitespace))
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition: whether it ends inside quotes and where its last record begins, if it begins outside and if inside."""
+    part, now, last = None, [False, True], [None, None]
+    for batch in batches:
+        at, out, in_ = (batch.column(c).to_pylist() for c in ("at", "out", "in"))
+        part = batch.column("part")[0].as_py() if len(batch) else part
+        for k in (0, 1):
+            inside = now[k]
+            for i, a, b in zip(at, out, in_, strict=True):
+                if not inside:
+                    last[k] = i
+                inside = b if inside else a
+            now[k] = inside
+    if part is not None:
+        yield pa.RecordBatch.from_pylist([{"part": part, "from_out": now[0], "from_in": now[1], "last_out": last[0], "last_in": last[1]}], schema=_ENDS)
+
+
+_ENDS = pa.schema([("part", pa.int64()), ("from_out", pa.bool_()), ("from_in", pa.bool_()), ("last_out", pa.int64()), ("last_in", pa.int64())])
+_RECORD = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("value", pa.string())])
+
+
+def _joiner(begins: dict[int, tuple[bool, int]]):
+    """The lines of a partition, those of one record joined: where the record begins, where this part of it does, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, own, begun = None, [], (0, 0)
+        for batch in batches:
+            rows = []
+            for part, at, value, out, in_ in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "value", "out", "in")), strict=True):
+                if inside is None:
+                    inside, key = begins[part]
+                    begun = (key, at)
+                if not inside:
+                    if own:
+                        rows.append((*begun, "\n".join(own)))
+                    own, begun = [], (at, at)
+                own.append(value)
+                inside = in_ if inside else out
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ([], [], []), _RECORD, strict=True)], schema=_RECORD)
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*begun, "\n".join(own)), _RECORD, strict=True)], schema=_RECORD)
+
+    return run
 
 
 def _strict(line, separator: str, quote: str):
@@ -104,9 +194,25 @@ def _strict(line, separator: str, quote: str):
 
 
 def write_text(fds: DataFrame, folder: str, order: list[str]) -> None:
-    """One text file a right-hand side, ``folder``/<rhs>/part-*.txt, with lines ``[a, b] --> c``."""
-    lines = fds.select(F.col("rhs"), render_line(order).alias("value"))
-    lines.withColumn("line", F.concat("value", F.lit("\r"))).select("rhs", "line").repartition("rhs").write.mode("overwrite").partitionBy("rhs").text(folder)
+    """One text file a right-hand side, ``folder``/<rhs>.txt, with lines ``[a, b] --> c``.
+
+    ``order``: the attributes in the order in which a left-hand side names them. In a file's
+    name, what is no letter, digit, dot, dash or underscore is %-encoded.
+    """
+    spark = fds.sparkSession
+    number = F.create_map(*[x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))])[F.col("rhs")]
+    lines = fds.select(number.alias("number"), F.concat(render_line(order), F.lit("\r")).alias("value"))
+    made = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    lines.repartition("number").write.partitionBy("number").text(made)  # a right-hand side is in one task
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    to = hadoop.Path(folder)
+    files, source = to.getFileSystem(conf), hadoop.Path(made).getFileSystem(conf)
+    files.mkdirs(to)
+    for found in source.globStatus(hadoop.Path(f"{made}/number=*/part-*")) or []:
+        name = order[int(found.getPath().getParent().getName().partition("=")[2])]
+        hadoop.FileUtil.copy(source, found.getPath(), files, hadoop.Path(to, f"{quote(name, safe='')}.txt"), False, True, conf)
+    source.delete(hadoop.Path(made), True)
 
 
 def render_line(order: list[str]):
@@ -116,6 +222,11 @@ def render_line(order: list[str]):
     return F.concat(F.lit("["), F.array_join(names, ", "), F.lit("] --> "), F.col("rhs"))
 
 
+def render_values(columns: list[str]):
+    """The projected values of a record as text, ``[x, y]``."""
+    return F.concat(F.lit("["), F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), F.lit("]"))
+
+
 def debug_dump(table: DataFrame, folder: str) -> None:
     """Partitions or coded records as text, one JSON object a line."""
     table.select(F.to_json(F.struct(*table.columns)).alias("value")).write.mode("overwrite").text(folder)

@@ -1,13 +1,18 @@
+import os
 import random
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from depdelver.__main__ import main
 from depdelver.functions import bits
-from depdelver.operators.cover import Cover, prune_subsets
-from depdelver.sources.csv import CsvDescriptor, render_line, write_text
+from depdelver.operators import agree, cover, partitions
+from depdelver.operators.cover import Cover, prune_subsets, specialize_all
+from depdelver.operators.metrics import worth_caching
+from depdelver.session import cut, settle
+from depdelver.sources.csv import CsvDescriptor, debug_dump, render_line, render_values, write_text
 
 MASKS = st.integers(0, (1 << 130) - 1)
 
@@ -43,6 +48,20 @@ def test_cover_against_definition(n):
     assert set(cover) == set(expected)
 
 
+def test_covers_by_tasks(spark, monkeypatch):
+    """Covers specialized by tasks are those specialized one by one."""
+    r = random.Random(3)
+    sets = [r.randrange(1 << 70) | r.randrange(1 << 70) for _ in range(25)]
+    some = lambda: [Cover(a, 70, [1 << b for b in range(0, 70, 9) if b != a], limit=4) for a in (0, 33, 69)]
+    one, many = some(), some()
+    specialize_all(spark, one, sets)
+    many[1].announce(3)
+    monkeypatch.setattr(cover, "IN_TASKS", 0)
+    specialize_all(spark, many, sets)
+    assert [set(c) for c in one] == [set(c) for c in many] and [set(c.waiting) for c in one] == [set(c.waiting) for c in many]
+    assert all(c.has_generalization(x) and not c.has_generalization(0) for c in many for x in c)
+
+
 def test_cover_store():
     cover = Cover(0, 4)
     assert set(cover) == {2, 4, 8} and cover.announce(2) == [2, 4] and cover.has_waiting() and cover.announce(9) == [8] and not cover.has_waiting()
@@ -74,7 +93,92 @@ def test_text_sink_and_command_line(spark, tmp_path, capsys):
     fds = spark.createDataFrame([(["b", "a"], "c"), ([], "d")], "lhs array<string>, rhs string")
     assert {r[0] for r in fds.select(render_line(["a", "b", "c", "d"])).collect()} == {"[a, b] --> c", "[] --> d"}
     write_text(fds, str(tmp_path / "out"), ["a", "b", "c", "d"])
-    assert next((tmp_path / "out" / "rhs=c").glob("*.txt")).read_bytes() == b"[a, b] --> c\r\n"
+    assert (tmp_path / "out" / "c.txt").read_bytes() == b"[a, b] --> c\r\n" and (tmp_path / "out" / "d.txt").exists()
+    write_text(fds.selectExpr("lhs", "'x/ y' AS rhs").limit(1), str(tmp_path / "out"), ["a", "b", "x/ y"])
+    assert (tmp_path / "out" / "x%2F%20y.txt").read_text() == "[a, b] --> x/ y\n"
     (tmp_path / "t.csv").write_text("a,b\n1,x\n2,x\n")
     assert main(["--input-name", "t", "--input-path", str(tmp_path)]) == 0
     assert "[] --> b" in capsys.readouterr().out
+    assert main(["--input-name", "t", "--input-path", str(tmp_path), "--strategy", "cube"]) == 0
+    assert "\n1 dependencies in " in capsys.readouterr().out
+    assert main(["--input-name", "t", "--input-path", str(tmp_path), "--output", str(tmp_path / "results")]) == 0
+    assert (tmp_path / "results" / "t" / "b.txt").read_text() == "[] --> b\n"
+
+
+def test_csv_with_line_feeds_in_quotes(spark, tmp_path):
+    import csv
+
+    r = random.Random(1)
+    fields = ["x", "a b", "", "two\nlines", "\n\n", 'say "so"', "a,b\nc", " lead", "three\nlines, with\n'all'", '"']
+    for n, size in ((3, None), (400, 500)):
+        rows = [[str(i), *(r.choice(fields) for _ in range(2))] for i in range(n)]
+        with open(tmp_path / "m.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows([["a", "b\nb", "c"], *rows])
+        if size:  # records go on in other partitions
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = CsvDescriptor(name="m", path=str(tmp_path), escape='"', ignore_leading_whitespace=False).read(spark)
+            assert df.columns == ["a", "b\nb", "c"]
+            got = sorted((tuple(x) for x in df.collect()), key=lambda x: int(x[0]))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == [tuple(v or None for v in x) for x in rows]
+    (tmp_path / "v.csv").write_text('a,b\n1,"x\ny"\n2,z\n5,in"side\n')
+    assert sorted(map(tuple, CsvDescriptor(name="v", path=str(tmp_path)).read(spark).collect())) == [("1", "x\ny"), ("2", "z"), ("5", 'in"side')]
+    (tmp_path / "o.csv").write_text('a,b\n1,"x\ny\n2,z\n')
+    with pytest.raises(ValueError):
+        CsvDescriptor(name="o", path=str(tmp_path)).read(spark)
+
+
+@pytest.mark.parametrize("charset", ["UTF-16BE", "UTF-16LE"])
+def test_csv_of_two_byte_characters(spark, tmp_path, charset):
+    (tmp_path / "w.csv").write_bytes("a,b\né,日本\n1,x\n".encode(charset))
+    df = CsvDescriptor(name="w", path=str(tmp_path), charset=charset).read(spark)
+    assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect())) == [("1", "x"), ("é", "日本")]
+    with pytest.raises(ValueError):
+        CsvDescriptor(name="w", path=str(tmp_path), charset="utf-16").read(spark)
+
+
+def test_dump_and_values(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
+    assert [r[0] for r in df.orderBy("a").select(render_values(["a", "b"])).collect()] == ["[1, null]", "[2, x]"]
+    debug_dump(df, str(tmp_path / "dump"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()) == ['{"a":1}', '{"a":2,"b":"x"}']
+
+
+def test_zeros_and_worth(spark):
+    df = spark.createDataFrame([(0.0, [0.0]), (-0.0, [-0.0]), (1.0, [1.0])], "a double, b array<double>")
+    assert {(r["attr"], r["values"]) for r in partitions.distinct_counts(df, ["a", "b"]).collect()} == {("a", 2), ("b", 2)}
+    rows = df.withColumn("rid", F.monotonically_increasing_id())
+    assert {(r["attr"], r["val"], len(r["positions"])) for r in partitions.clusters(rows, ["a", "b"], "rid").collect()} == {("a", "0.0", 2), ("b", "[0.0]", 2)}
+    cases = [(100, 10, 50, 5, True), (0, 0, 0, 0, False), (100, 10, 0, 0, True), (100, 10, 100, 10, False), (100, 10, 98, 10, True), (1000, 500, 998, 500, False)]
+    got = spark.createDataFrame(cases, "r long, c long, ra long, ca long, worth boolean").select(worth_caching(F.col("r"), F.col("c"), F.col("ra"), F.col("ca")), "worth").collect()
+    assert all(a == b for a, b in got)
+
+
+def test_settle_deletes_tables_on_the_way(spark):
+    made = []
+
+    def make():
+        made.append(cut(spark.range(5)))
+        return made[0].where("id > 2")
+
+    out = settle(make)
+    assert out.count() == 2 and not os.path.exists(made[0]._cut_path.removeprefix("file:")) and os.path.exists(out._cut_path.removeprefix("file:"))
+
+
+def test_sampling_leaves_out_large_clusters(spark):
+    df = spark.range(100).select(F.col("id").alias("rid"), F.when(F.col("id") < 90, 0).otherwise(F.col("id") % 5).alias("a"), (F.col("id") % 3).alias("b"))
+    assert agree.neighbours(df.where("a > 0 OR rid < 90"), "a", ["a", "b"], "rid", largest=50).count() == 4
+    assert agree.neighbours(df, "a", ["a", "b"], "rid").count() == 95
+
+
+def test_maximal_sets(spark):
+    r = random.Random(2)
+    masks = {r.randrange(1 << 12) & r.randrange(1 << 12) for _ in range(300)} | {0, 1 << 62}
+    df = spark.createDataFrame([(m, i % 3) for i, m in enumerate(masks)], "lhs long, rhs int")
+    got = {x[0] for x in agree.maximal(df.withColumnRenamed("lhs", "mask")).collect()}
+    assert got == {m for m in masks if not any(m != k and m & k == m for k in masks)}
+    rows = {tuple(x) for x in df.collect()}
+    assert {tuple(x) for x in agree.maximal_by_rhs(df).collect()} == {(m, a) for m, a in rows if not any(b == a and m != k and m & k == m for k, b in rows)}
+    assert agree.maximal(df.withColumnRenamed("lhs", "mask").limit(0)).count() == 0
