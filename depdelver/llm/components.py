@@ -32,11 +32,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     while n:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = cut(fitted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
-        large = cut(fitted(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()))
+        first = cut(fitted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        large = cut(fitted(both.join(first, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()))
+        drop_cut(first)
         least = cut(fitted(large.groupBy("u").agg(F.min("v").alias("m"))))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         new = cut(fitted(moved.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()))
+        drop_cut(least)
         drop_cut(large)
         drop_cut(now)
         now = new

@@ -14,7 +14,7 @@ from depdelver.llm.components import connected_components
 from depdelver.llm.ngram_counts import KEPT, Block, with_totals
 from depdelver.llm.rows import unpacked, whole
 from depdelver.llm.textops import SPACES, U, grams, mix, window_hash, word_blocks
-from depdelver.session import cut
+from depdelver.session import cut, settle
 
 SHINGLE = 5
 #: Two documents link from this similarity on, in hundredths.
@@ -284,7 +284,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     posted = cut(reps.select("rid", "n", "tokens").mapInArrow(_prefixes(percent), "key long, rid long"))
     heads = cut(posted.groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
     edges = posted.join(heads, "key").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
-    linked = search_groups(reps, connected_components(edges), posted, percent)
+    linked = settle(lambda: search_groups(reps, connected_components(edges), posted, percent))
     named = reps.join(linked, F.col("rid") == F.col("member"), "left").select(*sets, "first", F.coalesce("least", "rid").alias("least"))
     named = cut(named)
     smallest = named.groupBy("least").agg(F.min("first").alias("lead"))

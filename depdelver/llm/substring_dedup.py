@@ -14,7 +14,7 @@ from depdelver.llm.components import connected_components
 from depdelver.llm.jaccard_join import search_groups
 from depdelver.llm.rows import column
 from depdelver.llm.textops import BLOCK, SPACES, U, as_bytes, distinct, grams, hash_buffer, mix, pack, pack_sorted, pieces, run_hashes, slices, unpack, unpack_sorted, window_hash
-from depdelver.session import cut
+from depdelver.session import cut, settle
 
 SHINGLE = 5
 PERCENT = 75
@@ -33,11 +33,10 @@ _MUL = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << 1) | np.uint
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 PIECE, PARAGRAPH, MARK = 0, 1, 2
 
-PACKED = "part int, block long, keys binary, doc binary, first binary, words binary, more binary"
-_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "first", "words", "more"))])
-HEAD = "key long, kind int, row long, first long, words long, lead_row long, lead_first long, lead_words long"
-_HEAD = pa.schema([("key", pa.int64()), ("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "first", "words", "lead_row", "lead_first", "lead_words"))])
-UNIT = "key long, kind int, row long, first long, words long"
+PACKED = "part int, block long, keys binary, doc binary, first binary, words binary, lead_doc binary, lead_first binary, lead_words binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "first", "words", "lead_doc", "lead_first", "lead_words"))])
+MET = "kind int, row long, first long, words long, lead_row long, lead_first long, lead_words long"
+_MET = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "first", "words", "lead_row", "lead_first", "lead_words"))])
 RUNS = "part int, block long, hashes binary, doc binary, first binary, n binary"
 _RUNS = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("hashes", "doc", "first", "n"))])
 COPY = "row long, first long, words long, lead_row long"
@@ -161,23 +160,31 @@ def band_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _deal(bits: int, least_words: int, piece_words: int):
     """The keys of every unit: bands of paragraphs, hashes of whole pieces, and marks of runs.
 
-    Of one key, a block deals its first unit only, by hash; the others stay behind (part -1) and
-    ``more`` says that there are some, so that a hot key costs a part one entry a block.
+    Of one key, a block deals its first unit only, by hash, so that a hot key costs a part one
+    entry a block. The others stay behind (part -1), each with that first unit.
     """
 
-    def packed(part: int, block: int, keys, doc, first, words, more=None) -> tuple:
-        return part, block, pack_sorted(keys), pack(doc), pack(first), pack(words), None if more is None else np.packbits(more).tobytes()
+    def packed(part: int, block: int, *columns) -> tuple:
+        return part, block, *columns, *[None] * (7 - len(columns))
 
     def flush(block: int, rows: list) -> Iterator[pa.RecordBatch]:
-        keys, doc, first, words = (np.concatenate(x) for x in zip(*rows, strict=True))
+        keys, doc, first, words = (np.concatenate(x).astype(np.uint64) for x in zip(*rows, strict=True))
         order = np.argsort(keys, kind="stable")  # units of one key stay in the order of their places
         keys, doc, first, words = keys[order], doc[order], first[order], words[order]
         lead = np.append(True, keys[1:] != keys[:-1])
-        more = ~np.append(lead[1:], True)[lead]
-        out = [packed(-1, block, *(x[~lead] for x in (keys, doc, first, words)))] if not lead.all() else []
-        keys, doc, first, words = (x[lead] for x in (keys, doc, first, words))
+        head, late = np.flatnonzero(lead), np.flatnonzero(~lead)
+        out = []
+        if len(late):
+            to = head[np.cumsum(lead)[late] - 1]
+            own = [doc[late], first[late], words[late], doc[to], first[to], words[to]]
+            order = np.lexsort((own[4], own[3], own[2], own[1], own[0]))
+            own = [x[order] for x in own]
+            new = np.append(True, np.any([x[1:] != x[:-1] for x in own], axis=0))  # bands mostly agree
+            new &= (own[0] != own[3]) | (own[1] != own[4])
+            out.append(packed(-1, block, None, *(pack(x[new]) for x in own)))
+        keys, doc, first, words = (x[head] for x in (keys, doc, first, words))
         cuts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1)) if bits else [0, len(keys)]
-        out += [packed(p, block, *(x[a:b] for x in (keys, doc, first, words, more))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        out += [packed(p, block, pack_sorted(keys[a:b]), *(pack(x[a:b]) for x in (doc, first, words))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,44 +217,49 @@ def _deal(bits: int, least_words: int, piece_words: int):
     return run
 
 
-def _units_of(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """key, row, first, words of packed units."""
+def _numbers(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Packed columns of several blocks, with documents as row numbers."""
     block = table.column("block").to_pylist()
-    keys, doc, first, words = ([f(x) for x in table.column(c).to_pylist()] for c, f in (("keys", unpack_sorted), ("doc", unpack), ("first", unpack), ("words", unpack)))
-    row = np.concatenate([d.astype(np.int64) + b for d, b in zip(doc, block, strict=True)])
-    return np.concatenate(keys), row, np.concatenate(first).astype(np.int64), np.concatenate(words).astype(np.int64)
+    out = []
+    for c in names:
+        own = [unpack(x).astype(np.int64) for x in table.column(c).to_pylist()]
+        out.append(np.concatenate([x + b for x, b in zip(own, block, strict=True)] if c.endswith("doc") else own))
+    return out
 
 
 def _heads(table: pa.Table) -> pa.Table:
-    """Of a part, the first units of blocks whose key is in another block or has more in this one, with the first unit of all."""
-    keys, row, first, words = _units_of(table)
-    more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(unpack(k))).astype(bool) for m, k in zip(table.column("more").to_pylist(), table.column("keys").to_pylist(), strict=True)])
+    """Of a part, the first units of blocks whose key is in another block, with the first unit of all."""
+    keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
+    row, first, words = _numbers(table, "doc", "first", "words")
     order = np.lexsort((first, row, keys))
-    keys, row, first, words, more = keys[order], row[order], first[order], words[order], more[order]
+    keys, row, first, words = keys[order], row[order], first[order], words[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(head, len(keys)))
-    lead = np.repeat(head, size)
-    own = np.flatnonzero((np.arange(len(keys)) != lead) | np.repeat(np.logical_or.reduceat(more, head), size))
+    lead = np.repeat(head, np.diff(np.append(head, len(keys))))
+    own = np.flatnonzero((np.arange(len(keys)) != lead) & ((row != row[lead]) | (first != first[lead])))
     lead = lead[own]
-    columns = (keys[own].view(np.int64), words[own] & 3, row[own], first[own], words[own] >> 2, row[lead], first[lead], words[lead] >> 2)
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _HEAD, strict=True)], schema=_HEAD)
+    columns = (words[own] & 3, row[own], first[own], words[own] >> 2, row[lead], first[lead], words[lead] >> 2)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _MET, strict=True)], schema=_MET)
 
 
 def _left_behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            keys, row, first, words = _units_of(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(words & 3, pa.int32()), pa.array(row), pa.array(first), pa.array(words >> 2)], ["key", "kind", "row", "first", "words"])
+            row, first, words, lead_row, lead_first, lead_words = _numbers(batch, "doc", "first", "words", "lead_doc", "lead_first", "lead_words")
+            columns = (words & 3, row, first, words >> 2, lead_row, lead_first, lead_words >> 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _MET, strict=True)], schema=_MET)
 
 
 def meetings(rows: DataFrame, bits: int, least_words: int, piece_words: int) -> DataFrame:
-    """key, kind, row, first, words, lead_row, lead_first, lead_words of the units that share a key with an
-    earlier one; the lead is the first of all."""
+    """kind, row, first, words, lead_row, lead_first, lead_words of the units that share a key with an
+    earlier one; the lead is the first of all, and for paragraphs the first of the block besides."""
     dealt = cut(rows.mapInArrow(_deal(bits, least_words, piece_words), PACKED))
-    heads = cut(dealt.where("part >= 0").groupBy("part").applyInArrow(_heads, HEAD))
-    leads = heads.groupBy("key", "kind").agg(F.first(F.struct("lead_row", "lead_first", "lead_words")).alias("lead"))
-    behind = dealt.where("part < 0").mapInArrow(_left_behind, UNIT).join(leads, ["key", "kind"]).select(*[c.split()[0] for c in UNIT.split(", ")], "lead.*")
-    return cut(heads.unionByName(behind).where("row <> lead_row OR first <> lead_first"))
+    heads = cut(dealt.where("part >= 0").groupBy("part").applyInArrow(_heads, MET).distinct())
+    behind = dealt.where("part < 0").mapInArrow(_left_behind, MET)
+    above = heads.select("kind", F.col("row").alias("lead_row"), F.col("first").alias("lead_first"), F.struct("lead_row", "lead_first", "lead_words").alias("above"))
+    led = behind.join(above, ["kind", "lead_row", "lead_first"], "left")
+    lead = F.coalesce("above", F.struct("lead_row", "lead_first", "lead_words"))
+    led = led.select("kind", "row", "first", "words", lead.alias("lead")).select("kind", "row", "first", "words", "lead.*")
+    return heads.unionByName(led).unionByName(behind.where(F.col("kind") == PARAGRAPH)).distinct()
 
 
 def _deal_runs(bits: int):
@@ -368,7 +380,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     deterministic plan.
 
     Keys are dealt packed, the first unit of each key in a block only; the others are joined to
-    their key's first unit, a join that splits hot keys. Texts move twice, to those documents that have
+    the first of all by that one, a join that splits hot keys. Texts move twice, to those documents that have
     colliding paragraphs and to those that have repeated marks. Equal sets are one before clusters
     are searched. Of runs, 8 bytes for each word that has a repeated mark near it are dealt.
     """
@@ -376,14 +388,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         raise ValueError("paragraphs and pieces have a word at least")
     rows = docs.select(column(text).alias("text"), F.monotonically_increasing_id().alias("number"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(column(text))), F.lit(0))).head()[0]
-    met = meetings(rows, max(0, ceil(log2(max(1, size / 17 / PART)))), least_words, piece_words)
+    met = settle(lambda: meetings(rows, max(0, ceil(log2(max(1, size / 17 / PART)))), least_words, piece_words))
 
     # Paragraphs: exact similarity within groups of colliding ones.
-    edges = cut(met.where(F.col("kind") == PARAGRAPH).drop("kind"))
-    leads = edges.select("key", *[F.col(f"lead_{c}").alias(c) for c in ("row", "first", "words")])
-    places = edges.select("key", "row", "first", "words").unionByName(leads)
-    nodes = cut(places.select("row", "first", "words").distinct())
-    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
+    edges = met.where(F.col("kind") == PARAGRAPH)
+    leads = edges.select(*[F.col(f"lead_{c}").alias(c) for c in ("row", "first", "words")])
+    nodes = edges.select("row", "first", "words").unionByName(leads).distinct()
+    nodes = cut(cut(nodes).withColumn("id", F.monotonically_increasing_id()))
     wanted = nodes.groupBy("row").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))
     texts = rows.join(wanted.hint("merge"), F.col("number") == F.col("row")).select("text", "wanted")
     sets = cut(texts.mapInArrow(_sets, SET))
@@ -391,10 +402,12 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     reps = cut(sets.groupBy(*same).agg(F.min(F.struct("rid", "tokens")).alias("x")).select(*same, "x.*"))
     rep_of = sets.select(*same, F.col("rid").alias("id")).join(reps.select(*same, F.col("rid").alias("rep")), same)
     placed = cut(nodes.join(rep_of.select("id", "rep"), "id"))
-    posted = cut(places.join(placed.select("row", "first", "rep"), ["row", "first"]).select("key", F.col("rep").alias("rid")).distinct())
-    heads = cut(posted.groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    pairs = posted.join(heads, "key").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
-    linked = search_groups(reps, connected_components(pairs), posted, PERCENT)
+    # Paragraphs that collide have a lead in common: it is the key of their list, and in it.
+    known = placed.select(F.col("row").alias("lead_row"), F.col("first").alias("lead_first"), F.col("id").alias("key"), F.col("rep").alias("lead_rep"))
+    listed = cut(edges.select("row", "first", "lead_row", "lead_first").join(placed.select("row", "first", "rep"), ["row", "first"]).join(known, ["lead_row", "lead_first"]).select("key", "rep", "lead_rep").distinct())
+    posted = listed.select("key", F.col("rep").alias("rid")).unionByName(listed.select("key", F.col("lead_rep").alias("rid"))).distinct()
+    pairs = listed.where("rep <> lead_rep").select(F.col("rep").alias("a"), F.col("lead_rep").alias("b"))
+    linked = settle(lambda: search_groups(reps, connected_components(pairs), posted, PERCENT))
     placed = cut(placed.join(linked, F.col("rep") == F.col("member"), "left").select("row", "first", "words", F.coalesce("least", "rep").alias("cluster")))
     heads = placed.groupBy("cluster").agg(F.min(F.struct("row", "first")).alias("lead"), F.count("*").alias("k")).where("k > 1")
     paragraphs = placed.join(cut(heads), "cluster").where(F.struct("row", "first") != F.col("lead"))
