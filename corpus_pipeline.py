@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depdelver.llm import decontamination, jaccard_join, language, line_dedup, mixing
 from depdelver.llm.rows import unpacked
-from depdelver.session import cut
+from depdelver.session import settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))  # what it wrote on its way goes
     return STAGES[-1][1](spark, docs, sf_dir)
