@@ -16,7 +16,7 @@ from depdelver.operators import agree, metrics, partitions, validate
 from depdelver.operators.cover import Cover
 from depdelver.operators.partitions import name
 from depdelver.plans.discover import discover_fds
-from depdelver.sources.csv import CsvDescriptor, render_line
+from depdelver.sources.csv import CsvDescriptor, render_line, write_text
 from depdelver.session import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,7 @@ def _fd(table: str, **options):
 for _t in ("region", "nation", "supplier", "customer", "part", "orders", "events"):
     query(f"fd_{_t}", fd_sql(f"SELECT * FROM {_t}", COLUMNS[_t]) + FD_SELECT)(_fd(_t))
 query("fd_lineitem_k2", fd_sql("SELECT * FROM lineitem", COLUMNS["lineitem"], 2) + FD_SELECT)(_fd("lineitem", max_lhs_size=2))
+query("fd_lineitem")(_fd("lineitem"))  # SQL would have 2048 grouping sets of all rows; tests compare the smallest scale
 query("fd_customer_cube", SQL["fd_customer"])(_fd("customer", strategy="cube"))
 query("fd_part_k1_cube", fd_sql("SELECT * FROM part", COLUMNS["part"], 1) + FD_SELECT)(_fd("part", strategy="cube", max_lhs_size=1))
 query("fd_supplier_groups", SQL["fd_supplier"])(_fd("supplier", strategy="group"))
@@ -155,6 +156,53 @@ def csv_scan(spark, sf_dir):
     return CsvDescriptor(name="csv-scan", path=shared_dir(spark), ending="").read(spark)
 
 
+@query("csv_multiline", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || c_mktsegment || chr(10) || '\"x\", y' AS note, c_mktsegment FROM customer")
+def csv_multiline(spark, sf_dir):
+    """The customers, with line feeds, quotes and separators inside of quotes, through a delimited file and back."""
+    note = F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit('\n"x", y')).alias("note")
+    rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), note, "c_mktsegment")
+    path = f"{shared_dir(spark)}/csv-multiline"
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    return CsvDescriptor(name="csv-multiline", path=shared_dir(spark), ending="", escape='"').read(spark)
+
+
+@query(
+    "csv_options",
+    "SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey AS VARCHAR) END AS column1, s_name AS column2, CAST(s_nationkey AS VARCHAR) AS column3 FROM supplier WHERE s_suppkey % 5 <> 0",
+)
+def csv_options(spark, sf_dir):
+    """The suppliers by lines of their own: a line to skip, no header, another separator and quote, a
+    null string, leading white space, and lines of another width, which are dropped."""
+    key = F.when(F.col("s_suppkey") % 7 == 0, "NULL").otherwise(F.col("s_suppkey").cast("string"))
+    line = F.concat(F.lit("  "), key, F.lit(";'"), "s_name", F.lit("';"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 5 == 0, ";more").otherwise(""))
+    path = f"{shared_dir(spark)}/csv-options"
+    rows = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), line.alias("value"))
+    first = spark.createDataFrame([(-2, "one line; to skip"), (-1, "a;b;c")], rows.schema)  # the second gives the width and is dropped
+    first.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    df = CsvDescriptor(name="csv-options", path=shared_dir(spark), ending="", header=False, separator=";", quote="'", skip_lines=1, null_string="NULL").read(spark)
+    return df.where("column2 <> 'b'")
+
+
+@query("csv_strict_quotes", "SELECT r_name AS a, CAST(NULL AS VARCHAR) AS b, CAST(r_regionkey AS VARCHAR) AS c FROM region")
+def csv_strict_quotes(spark, sf_dir):
+    """Only what stands in quotes is a value."""
+    line = F.concat(F.lit('"'), "r_name", F.lit('",bare,"'), F.col("r_regionkey").cast("string"), F.lit('"'))
+    path = f"{shared_dir(spark)}/csv-strict"
+    rows = load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("k"), line.alias("value"))
+    spark.createDataFrame([(-1, '"a","b","c"')], rows.schema).unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    return CsvDescriptor(name="csv-strict", path=shared_dir(spark), ending="", strict_quotes=True).read(spark)
+
+
+@query("fd_text_sink", f"SELECT string_split(line, ' --> ')[2] || '.txt' AS file, line || chr(13) AS line FROM ({SQL['fd_text_lines']})")
+def fd_text_sink(spark, sf_dir):
+    """The dependencies by the text files that they are written to."""
+    orders = load(spark, sf_dir, "orders")
+    path = f"{shared_dir(spark)}/text-sink"
+    write_text(discover_fds(orders), path, partitions.attribute_order(orders, _O))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("line"))
+
+
 # -- Partitions --------------------------------------------------------------------------------
 
 _L = COLUMNS["lineitem"]
@@ -294,14 +342,24 @@ def agree_sets_counted(spark, sf_dir):
     return agree.sample(load(spark, sf_dir, "orders"), "o_custkey", _OO, "o_orderkey").select(F.get("words", 0).alias("mask"), "pairs")
 
 
-@query("agree_sets_new", f"{_agree_sql('part', 'p_size', _PO, 'p_partkey', 2)} EXCEPT {_agree_sql('part', 'p_size', _PO, 'p_partkey', 1)}")
+_LO = ["l_orderkey", "l_extendedprice", "l_partkey", "l_shipdate", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
+#: Row numbers of lineitem: its key, for rows that are different.
+_LINES = "(SELECT *, l_orderkey * 8 + l_linenumber AS rid FROM lineitem)"
+
+
+def line_masks(spark, sf_dir, attribute: str, d: int) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").withColumn("rid", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return agree.masks(agree.neighbours(rows, attribute, _LO, "rid", d), _LO).distinct()
+
+
+@query("agree_sets_new", f"{_agree_sql(_LINES, 'l_suppkey', _LO, 'rid', 3)} EXCEPT {_agree_sql(_LINES, 'l_suppkey', _LO, 'rid', 1)}")
 def agree_sets_new(spark, sf_dir):
-    return agree.unseen(part_masks(spark, sf_dir, "p_size", 2), part_masks(spark, sf_dir, "p_size", 1))
+    return agree.unseen(line_masks(spark, sf_dir, "l_suppkey", 3), line_masks(spark, sf_dir, "l_suppkey", 1))
 
 
-@query("agree_sets_union", f"{_agree_sql('part', 'p_size', _PO, 'p_partkey', 1)} UNION {_agree_sql('part', 'p_brand', _PO, 'p_partkey', 1)}")
+@query("agree_sets_union", f"{_agree_sql(_LINES, 'l_partkey', _LO, 'rid', 1)} UNION {_agree_sql(_LINES, 'l_suppkey', _LO, 'rid', 1)}")
 def agree_sets_union(spark, sf_dir):
-    return agree.merge_seen(part_masks(spark, sf_dir, "p_size", 1), part_masks(spark, sf_dir, "p_brand", 1))
+    return agree.merge_seen(line_masks(spark, sf_dir, "l_partkey", 1), line_masks(spark, sf_dir, "l_suppkey", 1))
 
 
 _MASKS = f"({SQL['agree_sets_union']})"
@@ -312,17 +370,17 @@ def maximal_agree_sets(spark, sf_dir):
     return agree.maximal(agree_sets_union(spark, sf_dir))
 
 
-_RHS = f"WITH s AS {_MASKS}, n AS (SELECT s.mask AS lhs, CAST(r.i AS INTEGER) AS rhs FROM s, range(6) r(i) WHERE (s.mask >> r.i) & 1 = 0) "
+_RHS = f"WITH s AS {_MASKS}, n AS (SELECT s.mask AS lhs, CAST(r.i AS INTEGER) AS rhs FROM s, range(11) r(i) WHERE (s.mask >> r.i) & 1 = 0) "
 
 
 @query("non_fds", _RHS + "SELECT lhs, rhs FROM n")
 def non_fds(spark, sf_dir):
-    return agree.non_fds(agree_sets_union(spark, sf_dir), len(_PO))
+    return agree.non_fds(agree_sets_union(spark, sf_dir), len(_LO))
 
 
 @query("non_fds_open_rhs", _RHS + "SELECT lhs, rhs FROM n WHERE rhs IN (1, 4)")
 def non_fds_open_rhs(spark, sf_dir):
-    return agree.non_fds(agree_sets_union(spark, sf_dir), len(_PO), [1, 4])
+    return agree.non_fds(agree_sets_union(spark, sf_dir), len(_LO), [1, 4])
 
 
 @query("maximal_by_rhs", _RHS + "SELECT lhs, rhs FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.rhs = n.rhs AND m.lhs <> n.lhs AND (n.lhs & m.lhs) = n.lhs)")
@@ -347,26 +405,35 @@ def large_agree_sets(spark, sf_dir):
 
 # -- The lattice -------------------------------------------------------------------------------
 
-#: Stored left-hand sides of attribute 0 in a lattice of 6 attributes, and a refuting agree set.
-_STORED, _AGREE = [0b000010, 0b001100, 0b010100, 0b100000], 0b010110
+#: Stored left-hand sides: pairs of 12 attributes that parts have; agree sets: those of part keys and sizes.
+_STORED = "SELECT DISTINCT CAST((1 << (p_partkey % 12)::INTEGER) | (1 << (p_size % 12)::INTEGER) AS BIGINT) AS x FROM part WHERE p_partkey % 12 <> p_size % 12"
+_ASKED = "SELECT DISTINCT CAST(p_partkey & 4095 AS BIGINT) AS q FROM part"
+_REFUTED = 0b011110110110
+
 
+def stored(spark, sf_dir) -> list[int]:
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(c) % 12).cast("int"))
+    rows = load(spark, sf_dir, "part").where("p_partkey % 12 <> p_size % 12").select(bit("p_partkey").bitwiseOR(bit("p_size"))).distinct()
+    return sorted(r[0] for r in rows.collect())  # pairs of 12 attributes: 66 at most
 
-@query("generalizations", f"SELECT CAST(x AS BIGINT) AS lhs FROM (VALUES {', '.join(f'({m})' for m in _STORED)}) v(x) WHERE (x & {_AGREE}) = x")
+
+@query("generalizations", f"WITH s AS ({_STORED}), a AS ({_ASKED}) SELECT q, x AS lhs FROM a JOIN s ON (x & q) = x")
 def generalizations(spark, sf_dir):
-    found = Cover(0, 6, _STORED).generalizations(_AGREE)
-    return spark.createDataFrame([(m,) for m in found], "lhs long")
+    cover = Cover(12, 13, stored(spark, sf_dir))
+    asked = [r[0] for r in load(spark, sf_dir, "part").select(F.col("p_partkey").bitwiseAND(F.lit(4095)).cast("long")).distinct().collect()]  # 4096 at most
+    return spark.createDataFrame([(q, m) for q in asked for m in cover.generalizations(q)], "q long, lhs long")
 
 
 @query(
     "specialize_step",
-    f"""WITH s(x) AS (VALUES {', '.join(f'({m})' for m in _STORED)}), kept AS (SELECT x FROM s WHERE (x & {_AGREE}) <> x),
-    new AS (SELECT DISTINCT s.x | (1 << b.i) AS x FROM s, range(6) b(i) WHERE (s.x & {_AGREE}) = s.x AND b.i <> 0 AND ({_AGREE} >> b.i) & 1 = 0),
+    f"""WITH s AS ({_STORED}), kept AS (SELECT x FROM s WHERE (x & {_REFUTED}) <> x),
+    new AS (SELECT DISTINCT s.x | (1 << b.i) AS x FROM s, range(12) b(i) WHERE (s.x & {_REFUTED}) = s.x AND ({_REFUTED} >> b.i) & 1 = 0),
     every AS (SELECT x FROM kept UNION SELECT x FROM new)
     SELECT CAST(x AS BIGINT) AS lhs FROM every e WHERE NOT EXISTS (SELECT 1 FROM every f WHERE f.x <> e.x AND (f.x & e.x) = f.x)""",
 )
 def specialize_step(spark, sf_dir):
-    cover = Cover(0, 6, _STORED)
-    cover.specialize(_AGREE)
+    cover = Cover(12, 13, stored(spark, sf_dir))
+    cover.specialize(_REFUTED)
     return spark.createDataFrame([(m,) for m in cover], "lhs long")
 
 
@@ -392,7 +459,12 @@ def validation_efficiency(spark, sf_dir):
 _SIZES = "SELECT count(*) AS {0}_clusters, sum(k) AS {0}_records FROM (SELECT count(*) AS k FROM orders GROUP BY {1} HAVING count(*) > 1)"
 
 
-@query("cache_worth", f"SELECT CASE WHEN a_records / a_clusters = 0 THEN false ELSE (a_records / a_clusters - coalesce(b_records, 0) / greatest(b_clusters, 1)) / (a_records / a_clusters) >= 0.05 END AS worth FROM ({_SIZES.format('a', 'o_custkey')}), ({_SIZES.format('b', 'o_custkey, o_orderstatus')})")
+@query(
+    "cache_worth",
+    f"""SELECT CASE WHEN a_clusters = 0 THEN false WHEN b_clusters = 0 THEN true
+    ELSE 1 - (a_records / (b_clusters + a_records - coalesce(b_records, 0))) / (a_records / a_clusters) >= 0.05 END AS worth
+    FROM ({_SIZES.format('a', 'o_custkey')}), ({_SIZES.format('b', 'o_custkey, o_orderstatus')})""",
+)
 def cache_worth(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
 
