@@ -150,8 +150,9 @@ class Groups:
 
     #: Clusters of more rows than this are not sampled, as a window over one is held by one task.
     CLUSTER = 100_000
-    #: Left-hand sides of a job that start alike, from which their rows are written for them.
-    ALIKE = 3
+    #: Left-hand sides of a job that start alike, from which their rows are written for them, and
+    #: rows of a table from which it is worth the jobs.
+    ALIKE, STRIP = 3, 100_000
 
     def __init__(self, df: DataFrame, config: FDConfig, rows: int):
         self.df, self.config, self.columns = df, config, df.columns
@@ -162,10 +163,15 @@ class Groups:
         self.tables: dict[tuple[int, ...], tuple[DataFrame | None, int, int]] = {(): (df, rows, 1)}
 
     def sample(self, wanted: list[tuple[int, int]]) -> dict[int, set[int]]:
-        out = {}
-        for a, d in wanted:
-            found = agree.sample(self.numbered, self.columns[a], self.columns, "__rid", d, self.config.null_equals_null, self.CLUSTER)
-            out[a] = {bits.from_words(r["words"]) for r in found.select("words").collect()}
+        out: dict[int, set[int]] = {a: set() for a, _ in wanted}
+        for at in range(0, len(wanted), self.per_job):
+            every = None
+            for a, d in wanted[at : at + self.per_job]:
+                found = agree.sample(self.numbered, self.columns[a], self.columns, "__rid", d, self.config.null_equals_null, self.CLUSTER)
+                part = found.select(F.lit(a).alias("a"), "words")
+                every = part if every is None else every.unionByName(part)
+            for r in every.collect():  # distinct agree sets
+                out[r["a"]].add(bits.from_words(r["words"]))
         return out
 
     def rows_of(self, prefix: tuple[int, ...]) -> tuple[DataFrame, int]:
@@ -196,7 +202,7 @@ class Groups:
         for x, m in members.items():
             prefix = ()
             for k in range(1, min(len(m), self.config.pli_cache_prefix) + 1):
-                if m[:k] in self.tables or (heads[m[:k]] >= self.ALIKE and self.rows_of(prefix)[1]):
+                if m[:k] in self.tables or (heads[m[:k]] >= self.ALIKE and self.rows_of(prefix)[1] >= self.STRIP):
                     prefix = m[:k]
                     self.strip(prefix)
                 else:

@@ -8,7 +8,7 @@ from fixtures import FIXTURES, bridges, relation
 from depdelver.config import FDConfig
 from depdelver.functions import bits
 from depdelver.operators.validate import by_groups
-from depdelver.plans.discover import Metrics, discover_fds
+from depdelver.plans.discover import Groups, Metrics, discover_fds
 from depdelver.sources.csv import CsvDescriptor
 
 DATA = Path(__file__).parent / "data"
@@ -67,6 +67,24 @@ def test_random_tables_by_groups(spark, seed):
         assert found(df, strategy="group", null_equals_null=like, max_lhs_size=2) == brute_fds(columns, rows, like, 2)
 
 
+@pytest.mark.parametrize("seed", range(30, 33))
+def test_groups_by_rows_of_prefixes(spark, seed, monkeypatch):
+    """The rows of clusters of prefixes give what all rows give; one value has most of the rows."""
+    monkeypatch.setattr(Groups, "STRIP", 0)
+    monkeypatch.setattr(Groups, "ALIKE", 1)
+    monkeypatch.setattr(Groups, "CLUSTER", 10)
+    r = random.Random(seed)
+    columns = ["a", "b", "c", "d"]
+    rows = [(str(i // 2) if i < 24 else str(i), "x" if r.random() < 0.9 else str(i), r.choice(["p", "q", None]), str(i % 7)) for i in range(40)]
+    for like in (True, False):
+        assert found(frame(spark, columns, rows), strategy="group", null_equals_null=like) == brute_fds(columns, rows, like)
+
+
+def test_broadcast_checks_the_size(spark):
+    with pytest.raises(ValueError):
+        discover_fds(frame(spark, ["a", "b"], [("x" * 50, "y")] * 5), strategy="broadcast", broadcast_bytes=100)
+
+
 def test_edges(spark):
     assert found(frame(spark, ["A", "B"], [("1", None)])) == {(frozenset(), "A"), (frozenset(), "B")}
     assert found(frame(spark, ["A"], [("1",), ("1",)])) == set()
