@@ -149,7 +149,7 @@ class Groups:
     """
 
     #: Clusters of more rows than this are not sampled, as a window over one is held by one task.
-    CLUSTER = 100_000
+    CLUSTER = 10_000
     #: Left-hand sides of a job that start alike, from which their rows are written for them, and
     #: rows of a table from which it is worth the jobs.
     ALIKE, STRIP = 3, 100_000
