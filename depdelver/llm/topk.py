@@ -130,6 +130,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 5, *, vec_id: str = "vec
     and counted into one histogram a query; the bin that holds the k-th score is divided again,
     until it is a single score or few have it; then a last pass emits the scores from there on,
     of which each partition sends k at most for a query, and ranks them. No pass moves scores.
+    Scores are held within a long. Vectors so long that a score may not fit (a product of norms
+    of 2**61 or more) leave no room for bins: each partition then sends its k best at once.
     """
     def rows(df: DataFrame) -> DataFrame:
         v = F.col(embedding)

@@ -53,12 +53,16 @@ class Level:
     hashes: int
 
     def has(self, key: Column, salt: int) -> Column:
-        words = self.words.scalar()
-        found = F.lit(True)
-        for at in positions(key, salt, self.bits, self.hashes):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            found = found & (word.bitwiseAND(one_bit(at)) != 0)
-        return found
+        return holds(self.words.scalar(), key, salt, self.bits, self.hashes)
+
+
+def holds(words: Column, key: Column, salt: int, bits: int, hashes: int) -> Column:
+    """Whether a filter's words have all bits of ``key`` set."""
+    found = F.lit(True)
+    for at in positions(key, salt, bits, hashes):
+        word = F.get(words, F.shiftright(at, 6).cast("int"))
+        found = found & (word.bitwiseAND(one_bit(at)) != 0)
+    return found
 
 
 def one_bit(at: Column) -> Column:
@@ -102,29 +106,65 @@ def build_cascade(keys: DataFrame) -> list[Level]:
 
 def member(key: Column, levels: list[Level]) -> Column:
     """Whether a key of the universe is listed: the first level that lacks it decides."""
-    found = F.lit(len(levels) % 2 == 1)  # in all levels: a key that the last one encodes
-    for i in reversed(range(len(levels))):
-        found = F.when(~levels[i].has(key, i), F.lit(i % 2 == 1)).otherwise(found)
+    return decided([x.has(key, i) for i, x in enumerate(levels)])
+
+
+def decided(has: list[Column]) -> Column:
+    """Whether a key is listed, by which levels have it: the first one that lacks it decides."""
+    found = F.lit(len(has) % 2 == 1)
+    for i in reversed(range(len(has))):
+        found = F.when(~has[i], F.lit(i % 2 == 1)).otherwise(found)
     return found
 
 
+def with_chunked_membership(df: DataFrame, key: str, universe: DataFrame, name: str, chunks: int) -> DataFrame:
+    """``with_membership`` by one cascade a chunk, all built at once: a few jobs a level, and one
+    pass over ``df``, however many chunks there are.
+
+    Filters are rows of a table, one a chunk; rows and filters are dealt by chunk. It is filters that
+    are joined, of a megabyte a level at most, never keys; a chunk with many rows is split by
+    adaptive execution.
+    """
+    spark = df.sparkSession
+    chunk = lambda k: F.pmod(F.xxhash64(k, F.lit(-7)), F.lit(chunks)).cast("long")
+    alive, inside = universe.select("key", "listed", chunk(F.col("key")).alias("chunk")), True
+    filters, sizes = None, []
+    while most := alive.where(F.col("listed") == inside).groupBy("chunk").count().agg(F.max("count")).head()[0]:
+        level = len(sizes)
+        bits = 64 * max(1, ceil(-most * log(RATE) / log(2) ** 2 / 64))
+        hashes = max(1, round(bits / most * log(2)))
+        at = F.explode(F.array(*positions(F.col("key"), level, bits, hashes))).alias("at")
+        words = alive.where(F.col("listed") == inside).select("chunk", at).select("chunk", F.shiftright("at", 6).alias("i"), one_bit(F.col("at")).alias("w"))
+        n = bits // 64
+        zeros = spark.range(chunks * n).select((F.col("id") / n).cast("long").alias("chunk"), (F.col("id") % n).alias("i"), F.lit(0).cast("long").alias("w"))
+        dense = words.groupBy("chunk", "i").agg(F.bit_or("w").alias("w")).unionByName(zeros).groupBy("chunk", "i").agg(F.bit_or("w").alias("w"))
+        table = dense.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias(f"w{level}"))
+        table = cut(table)
+        wrong = holds(F.col(f"w{level}"), F.col("key"), level, bits, hashes)
+        left = cut(alive.join(table.hint("shuffle_hash"), "chunk").where((F.col("listed") == inside) | wrong).select("key", "listed", "chunk"))
+        if level:
+            drop_cut(alive)
+        alive, inside = left, not inside
+        filters = table if filters is None else filters.join(table, "chunk")
+        sizes.append((bits, hashes))
+    filters = cut(filters.withColumnRenamed("chunk", "__chunk"))
+    rows = df.withColumn("__chunk", chunk(F.col(key))).join(filters.hint("shuffle_hash"), "__chunk")
+    found = decided([holds(F.col(f"w{i}"), F.col(key), i, *size) for i, size in enumerate(sizes)])
+    return rows.select(*[F.col(c) for c in df.columns], found.alias(name))
+
+
 def with_membership(df: DataFrame, key: str, universe: DataFrame, name: str = "listed") -> DataFrame:
     """Adds ``name``: whether ``key`` is listed in ``universe`` (``key``, ``listed``), which has every key.
 
-    The cascade answers without a join and, over the universe it was built from, without error.
-    Its bits grow with the listed keys, so keys are dealt by hash into as many chunks as keep
-    each level within a megabyte, with one cascade and one pass a chunk.
+    The cascade answers without a join of keys and, over the universe it was built from, without error.
+    Its bits grow with the listed keys: beyond a megabyte a level, keys are dealt by hash into as
+    many chunks as keep each level within that, with one cascade a chunk.
     """
     n = universe.where("listed").count()
     chunks = max(1, ceil(n * -log(RATE) / log(2) ** 2 / MAX_BITS))
-    chunk = lambda k: F.pmod(F.xxhash64(k, F.lit(-7)), F.lit(chunks))
-    out = None
-    for c in range(chunks):
-        own = universe.where(chunk(F.col("key")) == c) if chunks > 1 else universe
-        part = df.where(chunk(F.col(key)) == c) if chunks > 1 else df
-        part = part.withColumn(name, member(F.col(key), build_cascade(own)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    if chunks > 1:
+        return with_chunked_membership(df, key, universe, name, chunks)
+    return df.withColumn(name, member(F.col(key), build_cascade(universe)))
 
 
 def filter_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, listed: Column | None = None) -> DataFrame:
