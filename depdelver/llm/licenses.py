@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Similarity from which a text counts as a template, in hundredths.
 PERCENT = 75
+#: Bytes of templates that are sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 # Notices and license texts, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -122,13 +124,14 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     table = _table(templates)
     spark = docs.sparkSession
     telling = F.split(F.lit(" ".join(telling_words(table, percent))), " ")
-    # Each template under every size of a text that can reach it: Dice is at most 2 * smaller / both.
-    sized = [
-        (k, -i, name, number, len(own), own)
-        for i, (name, number, own) in enumerate(table)
-        for k in range(-(-percent * len(own) // (200 - percent)), (200 - percent) * len(own) // percent + 1)
-    ]
-    sized = spark.createDataFrame(sized, "k int, i int, license string, template int, template_size int, grams array<string>")
+    # The sizes of a text that can reach each template: Dice is at most 2 * smaller / both.
+    sized = [(k, -i) for i, (_, _, own) in enumerate(table) for k in range(-(-percent * len(own) // (200 - percent)), (200 - percent) * len(own) // percent + 1)]
+    grams = [(-i, name, number, len(own), own) for i, (name, number, own) in enumerate(table)]
+    # Templates are an argument, held by the caller; beyond this size they are joined by a shuffle.
+    small = 16 * len(sized) + sum(len(g) + 16 for _, _, own in table for g in own) <= BROADCAST_BYTES
+    sent = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema)) if small else spark.createDataFrame(rows, schema)
+    sized = sent(sized, "k int, i int")
+    grams = sent(grams, "i int, license string, template int, template_size int, grams array<string>")
     t = F.col("t")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     rows = rows.where(F.arrays_overlap(_words(t), telling))
@@ -140,7 +143,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     n = F.size("w")
     pairs = F.when(n > 1, F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.col("w"))
     sets = words.select("doc_id", "w", F.explode(F.array(F.array_distinct(pairs))).alias("b")).withColumn("k", F.size("b"))
-    met = sets.join(F.broadcast(sized), "k").withColumn("shared", F.size(F.array_intersect("b", "grams")))
+    met = sets.join(sized, "k").join(grams, "i").withColumn("shared", F.size(F.array_intersect("b", "grams")))
     met = met.where(200 * F.col("shared") >= percent * (F.col("k") + F.col("template_size")))
     score = 200 * F.col("shared") / (F.col("k") + F.col("template_size"))
     met = met.select("doc_id", F.array_join("w", " ").alias("unit"), F.struct(score.alias("d"), "i", "license", "template", "shared", F.col("k").alias("size"), "template_size").alias("x"))
