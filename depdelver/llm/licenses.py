@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Similarity from which a text counts as a template, in hundredths.
 PERCENT = 75
+#: Share of a line's bigrams that are a template's, from which the line counts as a piece of it, in hundredths.
+LINE_PERCENT = 50
 #: Bytes of templates that are sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
@@ -87,6 +90,12 @@ def _table(templates: list[tuple[str, str]]) -> list[tuple[str, int, list[str]]]
     return out
 
 
+def full_texts(folder: str) -> list[tuple[str, str]]:
+    """A template of each file in ``folder``: its name and its whole text, as one paragraph."""
+    files = sorted(f for f in Path(folder).iterdir() if f.is_file())
+    return [(f.name, " ".join(f.read_text(encoding="utf-8", errors="replace").split())) for f in files]
+
+
 def telling_words(table: list[tuple[str, int, list[str]]], percent: int) -> list[str]:
     """Words of which a text that reaches ``percent`` against any template has one at least.
 
@@ -106,17 +115,49 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({WORD})"), F.lit(1))
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def _pairs(w: Column) -> Column:
+    n = F.size(w)
+    return F.array_distinct(F.when(n > 1, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(w))
+
+
+def _wrapped(rows: DataFrame, owners: DataFrame, known: Column, telling: Column, line_percent: int) -> DataFrame:
+    """Words of each run of lines that are pieces of one template: doc_id, w.
+
+    Lines that have too few of the bigrams ``known`` from any template go at once; what is left
+    is joined to the templates by bigram and shuffled by row and template.
+    """
+    rows = rows.select("doc_id", "t", F.monotonically_increasing_id().alias("row"))  # no key of the documents tells their rows apart
+    words = F.filter(F.transform(F.split("t", "\n"), _words), lambda x: F.size(x) > 0)
+    lines = rows.select("doc_id", "row", F.posexplode(words).alias("place", "w"))
+    lines = lines.select("*", F.explode(F.array(_pairs(F.col("w")))).alias("b"))
+    lines = lines.where(100 * F.size(F.array_intersect("b", known)) >= line_percent * F.size("b"))
+    met = lines.select("doc_id", "row", "place", "w", F.size("b").alias("k"), F.explode("b").alias("gram")).join(owners, "gram")
+    pieces = met.groupBy("row", "i", "place").agg(F.first("doc_id").alias("doc_id"), F.first("w").alias("w"), F.first("k").alias("k"), F.count("*").alias("n"))
+    pieces = pieces.where(100 * F.col("n") >= line_percent * F.col("k"))
+    order = Window.partitionBy("row", "i").orderBy("place")
+    starts = pieces.withColumn("starts", F.coalesce(F.col("place") - F.lag("place").over(order) > 2, F.lit(True)).cast("int"))
+    runs = starts.withColumn("run", F.sum("starts").over(order)).groupBy("row", "i", "run")
+    found = runs.agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("x")).where(F.size("x") > 1)
+    return found.select("doc_id", F.flatten("x.w").alias("w")).where(F.arrays_overlap("w", telling))
+
+
+def scan(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, line_percent: int = LINE_PERCENT
+) -> DataFrame:
     """Every place that matches a license: doc_id, license, template, shared, size, template_size, unit.
 
-    A text's units are itself, its lines, and the sentences of a line (cut after . ! or ? and
-    white space). A unit's words are its runs of a-z and digits, A-Z lower-cased, and its set
+    A text's units are itself, its lines, the sentences of a line (cut after . ! or ? and
+    white space), and the pieces of a template in lines that follow each other, as a notice is
+    wrapped in a longer text: lines of which ``line_percent`` / 100 of the set, as below, are in
+    the template's, two at least; lines without words are left out, and one other line between
+    two pieces is passed over. A unit's words are its runs of a-z and digits, A-Z lower-cased, and its set
     the pairs of neighbouring words (or its only word). Templates and their paragraphs are made
     the same way. Of the templates whose size can reach the Dice coefficient ``percent`` / 100
     with the unit's, the most similar one is returned if it does, ties to the first: its number,
-    the bigrams shared and those of each side; ``unit`` is the unit's normalised text. Units of a document id with the same words are one. Null and empty texts,
-    and those without words, give none; null and repeated ids are kept; other columns are not
-    read; an empty table gives no rows.
+    the bigrams shared and those of each side; ``unit`` is the unit's normalised text. Units
+    of a document id with the same words are one. Null and empty texts, and those without words,
+    give none; null and repeated ids are kept; other columns are not read; an empty table gives
+    no rows. ``docs`` must be a table or a plan that gives its rows in the same order again.
 
     Texts without any of the words that a match must have are left out by one look at their
     words. The others meet the templates, a fixed list, by size; only matches are shuffled.
@@ -131,6 +172,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     small = 16 * len(sized) + sum(len(g) + 16 for _, _, own in table for g in own) <= BROADCAST_BYTES
     sent = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema)) if small else spark.createDataFrame(rows, schema)
     sized = sent(sized, "k int, i int")
+    owners = sent([(i, g) for i, _, _, _, own in grams for g in own], "i int, gram string")
+    known = F.split(F.lit("\t".join(sorted({g for _, _, own in table for g in own}))), "\t")
     grams = sent(grams, "i int, license string, template int, template_size int, grams array<string>")
     t = F.col("t")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
@@ -140,9 +183,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(t), lines, sentences))).alias("u"))
     # Exploding once more keeps the words from being made again wherever they are used.
     words = units.select("doc_id", F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.arrays_overlap("w", telling))
-    n = F.size("w")
-    pairs = F.when(n > 1, F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.col("w"))
-    sets = words.select("doc_id", "w", F.explode(F.array(F.array_distinct(pairs))).alias("b")).withColumn("k", F.size("b"))
+    words = words.unionByName(_wrapped(rows, owners, known, telling, line_percent))
+    sets = words.select("doc_id", "w", F.explode(F.array(_pairs(F.col("w")))).alias("b")).withColumn("k", F.size("b"))
     met = sets.join(sized, "k").join(grams, "i").withColumn("shared", F.size(F.array_intersect("b", "grams")))
     met = met.where(200 * F.col("shared") >= percent * (F.col("k") + F.col("template_size")))
     score = 200 * F.col("shared") / (F.col("k") + F.col("template_size"))
@@ -159,10 +201,24 @@ _ROWS = ", ".join(f"({i}, '{n}', {k}, [{', '.join(chr(39) + g + chr(39) for g in
 
 SQL = rf"""
 WITH t(i, license, template, grams) AS (VALUES {_ROWS}),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+lw AS (
+  SELECT r, doc_id, list_filter(list_transform(l, lambda x: regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')), lambda x: len(x) > 0) AS lw FROM d
+), lp AS (SELECT r, doc_id, unnest(lw) AS w, generate_subscripts(lw, 1) AS place FROM lw),
+lb AS (SELECT *, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) ELSE w END) AS b FROM lp),
+lg AS (SELECT r, place, unnest(b) AS gram FROM lb),
+tg AS (SELECT i, unnest(grams) AS gram FROM t),
+hit AS (SELECT r, i, place, count(*) AS n FROM lg JOIN tg USING (gram) GROUP BY r, i, place),
+piece AS (SELECT r, i, place, doc_id, w FROM hit JOIN lb USING (r, place) WHERE 100 * n >= 50 * len(b)),
+begun AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY r, i ORDER BY place) <= 2 THEN 0 ELSE 1 END AS begins FROM piece),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY r, i ORDER BY place) AS run FROM begun),
+wrapped AS (SELECT doc_id, flatten(list(w ORDER BY place)) AS w FROM numbered GROUP BY r, i, run, doc_id HAVING count(*) > 1),
 u AS (SELECT doc_id, unnest(list_distinct([text] || l || flatten(list_transform(l, lambda x: string_split_regex(x, '[.!?][ 	
 ]+'))))) AS u FROM d),
-w AS (SELECT doc_id, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM u),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM u
+  UNION ALL SELECT doc_id, w FROM wrapped
+),
 s AS (
   SELECT doc_id, array_to_string(w, ' ') AS unit,
          list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) ELSE w END) AS b

@@ -94,6 +94,16 @@ def brute_licenses(rows):
         if t is None:
             continue
         units = {t, *t.split("\n"), *(s for line in t.split("\n") for s in re.split(licenses.SENTENCE, line))}
+        lines = [w for line in t.split("\n") if (w := licenses.normal_words(line))]
+        for _, _, g in table:  # pieces of a template, one other line between two of them at most
+            good = [k for k, w in enumerate(lines) if 2 * len(licenses.bigrams(w) & set(g)) >= len(licenses.bigrams(w))]
+            runs = []
+            for k in good:
+                if runs and k - runs[-1][-1] <= 2:
+                    runs[-1].append(k)
+                else:
+                    runs.append([k])
+            units |= {" ".join(x for k in run for x in lines[k]) for run in runs if len(run) > 1}
         for u in units:
             w = licenses.normal_words(u)
             b = licenses.bigrams(w)
@@ -103,6 +113,33 @@ def brute_licenses(rows):
     return out
 
 
+def test_wrapped_licenses(spark, tmp_path):
+    import textwrap
+
+    fill = lambda text, mark: "\n".join(mark + x for line in text.split("\n") for x in [*textwrap.wrap(line, 76), ""])
+    code = "\n".join(f"def f{k}(x): return x + {k}  # adds some number to another one" for k in range(60))
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        if len(text) > 400:
+            rows += [(k, code + "\n" + fill(text, mark) + "\n" + code) for mark in ("", " * ", "# ")]
+    mit = fill(licenses.TEMPLATES[4][1], "").split("\n")
+    rows += [(100, "\n".join([code, *mit[:4], "a line that someone put between the others", *mit[4:], code])), (101, code)]
+    rows += [(102, fill(licenses.TEMPLATES[4][1], "") + fill(licenses.TEMPLATES[7][1], "")), (None, code + "\n" + fill(licenses.TEMPLATES[7][1], "// "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in licenses.scan(df).collect()}
+    assert got == brute_licenses(rows)
+    names = {(r[0], r[1]) for r in got if r[4] >= 40}  # of whole notices
+    assert names >= {(k, licenses.TEMPLATES[k][0]) for k, _ in rows if k is not None and k < 100} | {(100, "MIT"), (102, "MIT"), (102, "Apache-2.0"), (None, "Apache-2.0")}
+    assert not any(r[0] == 101 for r in got)
+
+    words = " ".join(f"term{k % 301} clause{k % 299}" for k in range(3000))
+    (tmp_path / "Own-1.0").write_text(textwrap.fill(words, 70))
+    own = licenses.full_texts(str(tmp_path))
+    texts = spark.createDataFrame([(1, code + "\n" + textwrap.fill(words, 60)), (2, code)], "doc_id long, text string")
+    found = licenses.scan(texts, templates=own).collect()
+    assert {(r["doc_id"], r["license"], r["shared"] == r["template_size"]) for r in found} == {(1, "Own-1.0", True)} and any(r["size"] == r["template_size"] for r in found)
+
+
 def test_licenses(spark, table, empty):
     mit = licenses.TEMPLATES[4][1]
     rows = [(100, mit), (101, "Some code\n\n" + mit.replace("Software", "Program", 2)), (102, "licensed under the apache license version 2.0"), (103, "License"), (104, mit.upper() + "\nALL RIGHTS RESERVED")]
