@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depdelver.session import cut
+
 #: Similarity from which a text counts as a template, in hundredths.
 PERCENT = 75
 #: Share of a line's bigrams that are a template's, from which the line counts as a piece of it, in hundredths.
@@ -157,10 +159,11 @@ def scan(
     the bigrams shared and those of each side; ``unit`` is the unit's normalised text. Units
     of a document id with the same words are one. Null and empty texts, and those without words,
     give none; null and repeated ids are kept; other columns are not read; an empty table gives
-    no rows. ``docs`` must be a table or a plan that gives its rows in the same order again.
+    no rows.
 
     Texts without any of the words that a match must have are left out by one look at their
-    words. The others meet the templates, a fixed list, by size; only matches are shuffled.
+    words. The others are written as a table and meet the templates, a fixed list, by size; only
+    matches, and lines that may be pieces, are shuffled.
     """
     table = _table(templates)
     spark = docs.sparkSession
@@ -177,7 +180,7 @@ def scan(
     grams = sent(grams, "i int, license string, template int, template_size int, grams array<string>")
     t = F.col("t")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
-    rows = rows.where(F.arrays_overlap(_words(t), telling))
+    rows = cut(rows.where(F.arrays_overlap(_words(t), telling)))  # read twice; the texts' words are made once
     lines = F.split(t, "\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE)))
     units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(t), lines, sentences))).alias("u"))
