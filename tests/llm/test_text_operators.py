@@ -266,6 +266,46 @@ FOREIGN = {
 }
 
 
+def test_language_fusion(spark):
+    """Declarations, suffixes and hosts, with nulls and repeated rows, as brute force fuses them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    hosts = [None, "a.de", "b.de", "c.fr", "d"]
+    rows = [(r["doc_id"], r["text"], hosts[r["doc_id"] % 5] if r["doc_id"] % 7 else "a.de", [None, r["lang"], "xx", "en"][r["doc_id"] % 4]) for r in docs]
+    rows += [(-1, None, "a.de", "de"), (-2, "", None, None), (-3, "der die und", "c.fr", None), (-4, "of", "b.de", "en"), *rows[:3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, said string").repartition(3)
+    model = language.fit(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string"), rows=60)
+    suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1))
+    got = sorted((r["row"]["doc_id"], r["lang"], r["prob"]) for r in language.identify(df, model, declared=F.col("said"), suffix=suffix, host=F.col("host")).where("lang IS NOT NULL").collect())
+
+    names, size = model.languages, len(model.languages)
+    n, ll = model.scores([(t or "").encode() for _, t, _, _ in rows])
+    softmax = lambda xs: [math.exp(x - max(xs)) / sum(math.exp(y - max(xs)) for y in xs) for x in xs]
+    add = lambda xs: [sum(x) for x in zip([0.0] * size, *xs, strict=True)]
+    smooth = lambda sums, c, above: [(x + language.KAPPA * q) / (c + language.KAPPA) for x, q in zip(sums, above, strict=True)]
+    end = lambda h: h.rpartition(".")[2] if h and "." in h else None
+    word = lambda d: d if d is None or d in names else "other"
+    seen = [(i, h, word(d), [float(x) / math.sqrt(n[k]) for x in ll[k]]) for k, (i, _, h, d) in enumerate(rows) if n[k]]
+    parts = [softmax(ev) for *_, ev in seen]
+    overall = [(x + 1) / (sum(add(parts)) + size) for x in add(parts)]
+    spoken = add(p for p, x in zip(parts, seen, strict=True) if x[2] is not None)
+    expected = []
+    for own, (i, h, d, ev) in zip(parts, seen, strict=True):
+        same = [p for p, x in zip(parts, seen, strict=True) if end(x[1]) == end(h)]
+        above = smooth(add(same), len(same), overall) if end(h) else overall
+        there = [p for p, x in zip(parts, seen, strict=True) if x[1] == h]
+        prior = smooth([max(x - y, 0) for x, y in zip(add(there), own, strict=True)], len(there) - 1, above) if h else above
+        claim = [0.0] * size
+        if d is not None:
+            said = add(p for p, x in zip(parts, seen, strict=True) if x[2] == d)
+            before = [language.DECLARED_RIGHT if d == k else (1 - language.DECLARED_RIGHT) / size for k in names]
+            claim = [math.log((a + language.DECLARED_WEIGHT * b) / (c + language.DECLARED_WEIGHT)) for a, b, c in zip(said, before, spoken, strict=True)]
+        post = softmax([e + c + math.log(p) for e, c, p in zip(ev, claim, prior, strict=True)])
+        expected.append((i, names[post.index(max(post))], max(post)))
+    expected.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in expected] and len(got) == len(rows) - 2
+    assert all(math.isclose(a[2], b[2], rel_tol=1e-6) for a, b in zip(got, expected, strict=True))
+
+
 def test_language_rejects_others(spark):
     """Texts in none of the labelled languages are not kept; the posterior and the test as brute force has them."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
