@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depdelver.llm import decontamination, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, topk, url_filter
+from depdelver.llm import ball_clusters, decontamination, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_mixing": mixing.op10_mixing,
+    "op11_ball_clusters": ball_clusters.op11_ball_clusters,
 }
 SQL = {
     "op1_topk": topk.SQL,
@@ -26,4 +27,5 @@ SQL = {
     "op8_lm_score": lm_score.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_ball_clusters": ball_clusters.SQL,
 }
