@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depdelver.llm import ball_clusters, decontamination, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, topk, url_filter
+from depdelver.llm import ball_clusters, decontamination, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, token_alignment, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_mixing": mixing.op10_mixing,
     "op11_ball_clusters": ball_clusters.op11_ball_clusters,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
 }
 SQL = {
     "op1_topk": topk.SQL,
