@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depdelver.llm import ball_clusters, decontamination, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, token_alignment, topk, url_filter
+from depdelver.llm import ball_clusters, decontamination, fingerprints, jaccard_join, language, licenses, line_dedup, lm_score, mixing, substring_dedup, token_alignment, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_ball_clusters": ball_clusters.op11_ball_clusters,
     "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 SQL = {
     "op1_topk": topk.SQL,
@@ -29,4 +30,5 @@ SQL = {
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_mixing": mixing.SQL,
     "op11_ball_clusters": ball_clusters.SQL,
+    "op13_fingerprints": fingerprints.SQL,
 }
