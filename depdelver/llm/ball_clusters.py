@@ -43,8 +43,9 @@ class BallTree:
 def build(vectors: np.ndarray) -> tuple[BallTree, np.ndarray]:
     """The tree of ``vectors`` (whole numbers as doubles), and which vector is at each place.
 
-    A ball is divided at the median of the coordinate that varies most; vectors that are all
-    equal are one leaf, however many they are.
+    A ball is divided by two vectors far apart (the farthest from its center, and the farthest from
+    that one): each vector goes to the nearer one. Vectors that are all equal are one leaf,
+    however many they are.
     """
     order = np.arange(len(vectors))
     ranges, children, centers, radii, sums = [], [], [], [], []
@@ -64,13 +65,15 @@ def build(vectors: np.ndarray) -> tuple[BallTree, np.ndarray]:
         node = stack.pop()
         a, b = ranges[node]
         x = vectors[order[a:b]]
-        spread = x.max(axis=0) - x.min(axis=0)
-        wide = int(spread.argmax())
-        if b - a <= LEAF or not spread[wide]:
+        away = lambda y, x=x: ((x - y) ** 2).sum(axis=1)
+        one = x[away(centers[node]).argmax()]
+        other = x[away(one).argmax()]
+        if b - a <= LEAF or (one == other).all():
             continue
-        mid = (b - a) // 2
-        order[a:b] = order[a:b][np.argpartition(x[:, wide], mid)]
-        children[node] = (add(a, a + mid), add(a + mid, b))
+        near = away(one) <= away(other)  # true of the one, false of the other
+        mid = a + int(near.sum())
+        order[a:b] = np.concatenate([order[a:b][near], order[a:b][~near]])
+        children[node] = (add(a, mid), add(mid, b))
         stack += children[node]
     return BallTree(vectors[order], np.array(ranges), np.array(children), np.array(centers), np.array(radii), np.array(sums, dtype=object)), order
 
