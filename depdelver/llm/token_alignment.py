@@ -21,7 +21,9 @@ from depdelver.session import cut
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments of which a task keeps the tokens, and the length up to which one is kept.
-KEPT, SHORT = 200_000, 64
+KEPT, SHORT = 100_000, 64
+#: Text of a block's documents that is aligned at once.
+STEP_BYTES = 1 << 20
 #: Linked pairs that are made at once, and bytes from which a segment is encoded line by line.
 LINKS, LONG_SEGMENT = 4_000_000, 1 << 16
 
@@ -116,6 +118,7 @@ def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ends_a[meet], np.cumsum(meet) - meet, np.cumsum(in_b) - in_b
 
 
+@lru_cache(1)
 def _digits(n: int, last: int) -> np.ndarray:
     """Every number below ``n`` in decimal digits and a byte after them, filled up with zeros before it."""
     out = np.zeros((n, 6), np.uint8)
@@ -182,25 +185,45 @@ def links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray
     return _unique(np.concatenate(keys), np.concatenate(times))
 
 
+def _steps(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    at = size = 0
+    for i, x in enumerate(texts):
+        if i > at and size + len(x or b"") > STEP_BYTES:
+            yield at, i
+            at, size = i, 0
+        size += len(x or b"")
+    yield at, len(texts)
+
+
+def _align_texts(t: Tokenizers, texts: list[bytes | None]) -> tuple[list, np.ndarray, np.ndarray]:
+    """n_a, n_b, n_groups, n_links and groups of each text; and ``links``."""
+    a, b, size = streams(t, texts)
+    ends_a, ends_b, borders = np.cumsum(t.size_a[a]), np.cumsum(t.size_b[b]), np.append(0, np.cumsum(size))
+    common, group_a, group_b = merge(ends_a, ends_b)
+    first = np.searchsorted(common, borders, "right")
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    counts = lambda ends: np.diff(np.searchsorted(ends, borders, "right"))
+    linked = np.append(0, np.cumsum(np.bincount(group_a, minlength=len(common)) * np.bincount(group_b, minlength=len(common))))
+    rows = [counts(ends_a), counts(ends_b), np.diff(first), np.diff(linked[first]), group_texts(a, b, group_a, group_b, first)]
+    return rows, *links(a, b, group_a, group_b, text)
+
+
 def _align(file_a: str, file_b: str):
     """A row for each document of a block with its groups, and one (``at`` -1) with the block's distinct linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(file_a, file_b)
         for block, ids, texts in blocks(batches):
-            a, b, size = streams(t, texts)
-            ends_a, ends_b, borders = np.cumsum(t.size_a[a]), np.cumsum(t.size_b[b]), np.append(0, np.cumsum(size))
-            common, group_a, group_b = merge(ends_a, ends_b)
-            first = np.searchsorted(common, borders, "right")
-            text = np.repeat(np.arange(len(texts)), np.diff(first))
-            counts = lambda ends: np.diff(np.searchsorted(ends, borders, "right"))
-            per_group = np.append(0, np.cumsum(np.bincount(group_a, minlength=len(common)) * np.bincount(group_b, minlength=len(common))))
-            found, times = links(a, b, group_a, group_b, text)
+            found, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for at, end in _steps(texts):
+                rows, keys, n = _align_texts(t, texts[at:end])
+                own = [[block] * (end - at), range(at, end), ids[at:end], *rows, *[[None] * (end - at)] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(own, _ALIGNED, strict=True)], schema=_ALIGNED)
+                found.append(keys + (U(at) << U(32)))
+                times.append(n)
+            found, times = np.concatenate(found), np.concatenate(times)
             keys, place, docs = np.unique(found & U(0xFFFFFFFF), return_inverse=True, return_counts=True)
-            n, none = len(texts), [None] * len(texts)
-            rows = [[block] * n, range(n), ids, counts(ends_a), counts(ends_b), np.diff(first), np.diff(per_group[first]), group_texts(a, b, group_a, group_b, first), *[none] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _ALIGNED, strict=True)], schema=_ALIGNED)
-            cuts = np.searchsorted(found, np.arange(n + 1).astype(np.uint64) << U(32))
+            cuts = np.searchsorted(found, np.arange(len(texts) + 1).astype(np.uint64) << U(32))
             row = [block, -1, *[None] * 6, pack_sorted(keys), pack(docs), pack(place), pack(times), pack_sorted(cuts.astype(np.uint64))]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ALIGNED, strict=True)], schema=_ALIGNED)
 
