@@ -20,17 +20,17 @@ from depdelver.session import cut
 
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Segments of which a task keeps the tokens, and the length up to which one is kept.
-KEPT, SHORT = 100_000, 64
 #: Text of a block's documents that is aligned at once.
 STEP_BYTES = 1 << 20
-#: Linked pairs that are made at once, and bytes from which a segment is encoded line by line.
-LINKS, LONG_SEGMENT = 4_000_000, 1 << 16
+#: Linked pairs that are made at once, and characters of a longer text that are encoded at once.
+LINKS, PIECE = 4_000_000, 1 << 16
+#: The pattern by which A's kind of vocabulary divides texts before it merges bytes (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 ALIGNED = "block long, at int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, keys binary, docs binary, place binary, times binary, cuts binary"
 _ALIGNED = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), *((c, pa.binary()) for c in ("keys", "docs", "place", "times", "cuts"))])
 
-#: A space between two ASCII characters that are none: tokens of either side end before it.
+#: A space between two ASCII characters that are none: tokens of either side end before it. A line's begin between such.
 _BORDER = re.compile(r"(?<=[!-~]) (?=[!-~])")
 _LINE = re.compile(r"(?<=[!-~]\n)(?=[!-~])")
 
@@ -48,49 +48,48 @@ class Tokenizers:
     def __init__(self, file_a: str, file_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(file_a), SentencePieceProcessor(model_file=file_b)
         self.a.encode_special_tokens = True
         byte_of = _byte_of_char()
         entries = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
-            self.bytes_a[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
-        self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-
-    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of space and segment by A, and of the segment by B, which adds the space; None where bytes differ."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        ids_b = self.b.encode(segments, num_threads=1)
-        return [self._checked(s, x, y) for s, x, y in zip(segments, ids_a, ids_b, strict=True)]
-
-    def encode_long(self, segment: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """``encode`` of a long one, by its lines: tokens of either side end at a line feed between two ASCII characters."""
-        lines = _LINE.split(segment)
-        ids_a = [e.ids for i, x in enumerate(lines) for e in self.a.encode_batch_fast([x if i else " " + x], add_special_tokens=False)]
+            bytes_a[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
+        special = set(self.a.get_added_tokens_decoder())
+        self.latin = Encoding("a", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(bytes_a) if i not in special}, special_tokens={})
+        bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
+        (self.size_a, self.from_a, self.raw_a), (self.size_b, self.from_b, self.raw_b) = map(_table, (bytes_a, bytes_b))
+
+    def ids_a(self, text: str) -> list[int]:
+        """By the faster of two libraries with the same vocabulary where all characters are below U+0240, whose
+        kinds no two versions of their tables tell apart; else by the one whose file it is."""
+        if np.frombuffer(text.encode(), np.uint8).max(initial=0) < 0xC9:
+            return self.latin.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of space and piece by A, and of the piece by B, which adds the space."""
+        long_ = {i: self.by_lines(x) for i, x in enumerate(pieces) if len(x) > 2 * PIECE}
+        ids_a = [long_[i][0] if i in long_ else self.ids_a(" " + x) for i, x in enumerate(pieces)]
+        ids_b = self.b.encode(["" if i in long_ else x for i, x in enumerate(pieces)], num_threads=1)
+        return ids_a, [long_[i][1] if i in long_ else x for i, x in enumerate(ids_b)]
+
+    def by_lines(self, piece: str) -> tuple[list[int], list[int]]:
+        """``encode`` of a long one: tokens of either side end at a line feed between two ASCII characters."""
+        lines = _LINE.split(piece)
+        ids_a = [i for k, x in enumerate(lines) for i in self.ids_a(x if k else " " + x)]
         # A line feed before a line keeps B from putting a space there; it and the space are two tokens.
-        ids_b = [self.b.encode("\n" + x)[2:] if i else self.b.encode(x) for i, x in enumerate(lines)]
-        return self._checked(segment, list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b)))
-
-    def _checked(self, segment: str, x: list[int], y: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
-        raw = b" " + segment.encode()
-        same = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-        return (np.array(x, np.int32), np.array(y, np.int32)) if same else None
-
-    def segments(self, wanted: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
-        """Both sides' ids of some segments, those of short ones kept for the next block."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        out = {s: self.known[s] for s in wanted if s in self.known}
-        new = [s for s in wanted if s not in out]
-        some = [s for s in new if len(s) < LONG_SEGMENT]
-        out.update(zip(some, self.encode(some), strict=True))
-        out.update((s, self.encode_long(s)) for s in new if len(s) >= LONG_SEGMENT)
-        self.known.update((s, out[s]) for s in some if len(s) <= SHORT)
-        return out
+        ids_b = [i for k, x in enumerate(lines) for i in (self.b.encode("\n" + x)[2:] if k else self.b.encode(x))]
+        return ids_a, ids_b
+
+
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its size, and where it begins in the bytes of all."""
+    size = np.array([len(x) for x in tokens], np.int64)
+    return size, np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
 
 
 @lru_cache(2)
@@ -98,15 +97,49 @@ def tokenizers(file_a: str, file_b: str) -> Tokenizers:
     return Tokenizers(file_a, file_b)
 
 
+def pieces(text: str) -> list[str]:
+    """A text in pieces that are encoded by themselves as they are in the text: they end where the next one's space begins."""
+    out, at = [], 0
+    while len(text) - at > 2 * PIECE:
+        border = _BORDER.search(text, at + PIECE)
+        if not border:
+            break
+        out.append(text[at : border.start()])
+        at = border.end()
+    return [*out, text[at:]]
+
+
+def _spelled(ids: np.ndarray, size: np.ndarray, start: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The bytes of some tokens, one after the other."""
+    n = size[ids]
+    return raw[np.repeat(start[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def streams(t: Tokenizers, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of all texts by A and by B, and how many bytes of tokens each text has (0: it has no tokens)."""
-    parts = [_BORDER.split(x.decode()) if x else [] for x in texts]
-    known = t.segments(list(dict.fromkeys(chain.from_iterable(parts))))
-    parts = [p if all(known[s] for s in p) else [] for p in parts]
-    size = np.array([len(x) + 1 if p else 0 for x, p in zip(texts, parts, strict=True)], np.int64)
-    none = [np.empty(0, np.int32)]
-    a, b = (np.concatenate(none + [known[s][k] for s in chain.from_iterable(parts)]) for k in (0, 1))
-    return a, b, size
+    parts = [pieces(x.decode()) if x else [] for x in texts]
+    of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    flat = [x for p in parts for x in p]
+    wanted = np.array([len(x.encode()) + 1 for x in flat], np.int64)
+    sides = []
+    good = np.ones(len(flat), bool)
+    for lists, size in zip(t.encode(flat), (t.size_a, t.size_b), strict=True):
+        ids = np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+        piece = np.repeat(np.arange(len(flat)), [len(x) for x in lists])
+        good &= np.bincount(piece, size[ids], len(flat)).astype(np.int64) == wanted
+        sides.append((ids, piece))
+    # Of the right length: held against the text, byte by byte.
+    text = np.frombuffer(b"".join(b" " + x.encode() for x, g in zip(flat, good.tolist(), strict=True) if g), np.uint8)
+    place = np.repeat(np.flatnonzero(good), wanted[good])
+    for (ids, piece), table in zip(sides, ((t.size_a, t.from_a, t.raw_a), (t.size_b, t.from_b, t.raw_b)), strict=True):
+        good[place[_spelled(ids[good[piece]], *table) != text]] = False
+        if not good[place].all():  # the rest is held against the rest
+            text, place = text[good[place]], place[good[place]]
+    whole = np.ones(len(texts), bool)
+    whole[of[~good]] = False
+    a, b = (ids[whole[of[piece]]] for ids, piece in sides)
+    size = np.bincount(of, wanted, len(texts)).astype(np.int64) if len(flat) else np.zeros(len(texts), np.int64)
+    return a, b, np.where(whole, size, 0)
 
 
 def merge(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

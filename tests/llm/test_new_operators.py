@@ -164,13 +164,20 @@ def test_large_groups_are_linked_in_pieces(monkeypatch):
         assert dict(zip(keys.tolist(), times.tolist(), strict=True)) == expected and (np.diff(keys.astype(np.int64)) > 0).all()
 
 
-def test_long_segments_by_lines():
+def test_pieces_lines_and_libraries(monkeypatch):
+    """A text in pieces, a piece by lines, and either library give the same tokens."""
     t = token_alignment.tokenizers(f"{token_alignment.FOLDER}/{token_alignment.FILE_A}", f"{token_alignment.FOLDER}/{token_alignment.FILE_B}")
     r = random.Random(5)
-    for _ in range(30):
-        text = "".join(r.choice(["word", "\n", "\n\n", "é", "'s", ".", "\t", "日本", "9"]) for _ in range(200))
-        one, many = t.encode([text])[0], t.encode_long(text)
-        assert one[0].tolist() == many[0].tolist() and one[1].tolist() == many[1].tolist()
+    for k in range(40):
+        text = "".join(r.choice(["word", "\n", "\n\n", "é", "'s", ".", "\t", "日本" if k % 2 else "ß", "9", " ", " ", "  ", "\u00a0", "\x85", "'ll"]) for _ in range(300))
+        whole = t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)
+        assert (t.ids_a(" " + text), t.b.encode(text)) == whole == t.by_lines(text)
+        monkeypatch.setattr(token_alignment, "PIECE", 20)
+        assert len(token_alignment.pieces(text)) > 1
+        a, b, size = token_alignment.streams(t, [text.encode(), None, b"", "a\u2581".encode(), b"z"])
+        tail = t.a.encode(" z", add_special_tokens=False).ids, t.b.encode("z")
+        assert (a.tolist(), b.tolist()) == (whole[0] + tail[0], whole[1] + tail[1]) and size.tolist() == [len(text.encode()) + 1, 0, 0, 0, 2]
+        monkeypatch.undo()
 
 
 # -- op13 -----------------------------------------------------------------------------------------
