@@ -117,33 +117,35 @@ def ring(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text, n, edited, before) for rows (rid, doc_id, text, n): the text with its last quarter (rounded down)
-    replaced by as many characters from the next text's begin, or all of them; ``before`` as in :func:`ring`.
+    """(rid, doc_id, text, edited, after, next_id) for rows (rid, doc_id, text): the text with its last quarter (rounded
+    down) replaced by as many characters from the begin of the next row's text, or all of them; number and id of that row.
 
-    Texts move by their number once; of the next text, no more than is taken.
+    The next row is that of :func:`ring`, with equal ids in the order of their texts' hashes. Texts
+    move by their number, once for both joins; of the next text, no more than is taken.
     """
-    order = ring(docs.select("rid", "doc_id", F.xxhash64("text").alias("h"), "n"))
-    given = docs.join(order, "rid").select(F.col("before").alias("rid"), F.substring("text", F.lit(1), F.col("k").cast("int")).alias("head"))
-    own = docs.join(order.select("rid", "before"), "rid")
-    kept = F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int"))
-    return own.join(given, "rid").select("rid", "doc_id", "text", "n", F.concat(kept, "head").alias("edited"), "before")
+    order = ring(docs.select("rid", "doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n")))
+    given = docs.join(order, "rid").select(F.col("before").alias("rid"), F.substring("text", F.lit(1), F.col("k").cast("int")).alias("head"), F.col("rid").alias("after"), F.col("doc_id").alias("next_id"))
+    n = F.length("text")
+    kept = F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int"))
+    return docs.join(given, "rid").select("rid", "doc_id", "text", F.concat(kept, "head").alias("edited"), "after", "next_id")
 
 
 def op13_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Beside the contract's columns, near_docs: for every hundredth doc_id, how many other rows' fingerprints are within RADIUS bits."""
+    """Beside the contract's columns, next_id, and near_docs: for every hundredth doc_id, how many other rows' fingerprints are within RADIUS bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = edited(docs.withColumn("n", F.length("text").cast("long")))
+    texts = edited(docs)
+    keys = ["rid", "doc_id", "n", "after", "next_id"]
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))).alias("x")
-    keys = ["rid", "doc_id", "n", "before", "kind", "sha"]
-    prints = simhash(texts.select("rid", "doc_id", "n", "before", both).select("rid", "doc_id", "n", "before", "x.*"), keys, "t")
+    rows = texts.withColumn("n", F.length("text").cast("long")).select(*keys, both).select(*keys, "x.*")
+    prints = simhash(rows, [*keys, "kind", "sha"], "t")
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    table = cut(prints.groupBy("rid", "doc_id", "n", "before").agg(of(0, "fingerprint").alias("f"), of(1, "fingerprint").alias("e"), of(1, "sha").alias("sha")))
+    table = cut(prints.groupBy(*keys).agg(of(0, "fingerprint").alias("f"), of(1, "fingerprint").alias("e"), of(1, "sha").alias("sha")))
     asked = table.where(F.col("doc_id") % 100 == 0)
     counts = table.groupBy(F.col("f").alias("fingerprint")).agg(F.count("*").alias("rows"))
     near = within(asked.select(F.col("f").alias("query")), counts).join(counts, "fingerprint").groupBy("query").agg((F.sum("rows") - 1).alias("near_docs"))
     found = asked.select("rid", F.col("f").alias("query")).join(near, "query").select("rid", "near_docs")
-    after = table.select(F.col("before").alias("rid"), F.col("f").alias("next"))
-    rows = table.join(after, "rid").join(found, "rid", "left")
+    after = table.select(F.col("rid").alias("after"), F.col("f").alias("next"))
+    rows = table.join(after, "after").join(found, "rid", "left")
     return rows.select(
         "doc_id",
         F.col("n").alias("n_chars"),
@@ -152,6 +154,7 @@ def op13_fingerprints(spark, sf_dir: str) -> DataFrame:
         digits(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"),
         likeness(F.col("f"), F.col("next")).alias("near_next"),
+        "next_id",
         "near_docs",
     )
 
@@ -166,7 +169,7 @@ def _sql() -> str:
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS rn, doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents
 ), e AS MATERIALIZED (
-  SELECT a.*, b.rn AS after, left(a.t, a.n - a.n // 4) || left(b.t, a.n // 4) AS edited FROM d a JOIN d b ON b.rn = a.rn % (SELECT count(*) FROM d) + 1
+  SELECT a.*, b.rn AS after, b.doc_id AS next_id, left(a.t, a.n - a.n // 4) || left(b.t, a.n // 4) AS edited FROM d a JOIN d b ON b.rn = a.rn % (SELECT count(*) FROM d) + 1
 ), w AS MATERIALIZED (
   SELECT rn, kind, CASE WHEN x = '' THEN [] ELSE regexp_split_to_array(x, '{space}') END AS w
   FROM (SELECT rn, kind, {bare} AS x FROM (SELECT rn, 0 AS kind, t FROM d UNION ALL SELECT rn, 1, edited FROM e))
@@ -182,7 +185,7 @@ f AS MATERIALIZED (
   WHERE a.kind = 0 GROUP BY a.rn
 )
 SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.hex AS fingerprint, b.hex AS edited_fingerprint,
-  1.0::DOUBLE - bit_count(xor(a.f, b.f)) / 64.0::DOUBLE AS near_edited, 1.0::DOUBLE - bit_count(xor(a.f, c.f)) / 64.0::DOUBLE AS near_next, q.near_docs
+  1.0::DOUBLE - bit_count(xor(a.f, b.f)) / 64.0::DOUBLE AS near_edited, 1.0::DOUBLE - bit_count(xor(a.f, c.f)) / 64.0::DOUBLE AS near_next, e.next_id, q.near_docs
 FROM e JOIN f a ON a.rn = e.rn AND a.kind = 0 JOIN f b ON b.rn = e.rn AND b.kind = 1 JOIN f c ON c.rn = e.after AND c.kind = 0 LEFT JOIN q ON q.rn = e.rn
 """
 

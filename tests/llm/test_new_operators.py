@@ -211,20 +211,18 @@ def test_edited_texts_and_ring(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         for some in (rows, rows[:1], [(1, "abcdefgh"), (2, "x"), (3, "")], []):
-            df = cut(spark.createDataFrame(some, "doc_id long, text string").withColumn("rid", F.monotonically_increasing_id()).withColumn("n", F.length("text").cast("long")))
+            df = cut(spark.createDataFrame(some, "doc_id long, text string").withColumn("rid", F.monotonically_increasing_id()))
             got = fingerprints.edited(df).collect()
             keyed = {x["rid"]: x for x in got}
             assert len(got) == len(some)
-            starts = [x for x in got if x["before"] not in keyed]
-            assert not starts and len({x["before"] for x in got}) == len(got)
-            after = {x["before"]: x for x in got}
+            assert {x["after"] for x in got} == set(keyed)
             ids = [(x["doc_id"] is None, x["doc_id"] or 0) for x in got]
             falls = 0
             for x in got:
-                y = after[x["rid"]]
-                k = x["n"] // 4
-                assert x["edited"] == x["text"][: x["n"] - k] + y["text"][:k]
-                falls += ((y["doc_id"] is None, y["doc_id"] or 0) < (x["doc_id"] is None, x["doc_id"] or 0))
+                y = keyed[x["after"]]
+                k = len(x["text"]) // 4
+                assert x["edited"] == x["text"][: len(x["text"]) - k] + y["text"][:k] and x["next_id"] == y["doc_id"]
+                falls += (y["doc_id"] is None, y["doc_id"] or 0) < (x["doc_id"] is None, x["doc_id"] or 0)
             assert falls <= 1 and (not ids or falls == (len(set(ids)) > 1))  # once around
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
