@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,71 +57,99 @@ class CsvDescriptor:
         }
 
     def _lines(self, spark: SparkSession) -> DataFrame:
-        """The file's lines without the skipped ones, numbered along the file."""
+        """The lines of the file (or the files of a folder): value, path, start (of the split they are in), and a number that rises along a split."""
         if self.charset.upper() in ("UTF-16", "UTF16"):
             raise ValueError("name the byte order: UTF-16LE or UTF-16BE")
         if self.charset.upper().startswith("UTF-16"):  # line feeds of two bytes: read as a file of one column
             wide = {"encoding": self.charset, "lineSep": "\n", "sep": "\u0001", "quote": "\u0002", "escape": "\u0002", "comment": ""}
-            lines = spark.read.options(**wide).schema("value string").csv(self.file).select(F.ltrim("value", F.lit("\ufeff")).alias("value"))
+            lines = spark.read.options(**wide).schema("value string").csv(self.file)
+            value = F.ltrim("value", F.lit("\ufeff"))
         else:
             lines = spark.read.option("lineSep", "\n").text(self.file)
-            if self.charset.upper() not in ("UTF-8", "UTF8", "US-ASCII"):  # one that has line feeds as ASCII has
-                lines = lines.select(F.decode(F.col("value").cast("binary"), self.charset).alias("value"))
-        lines = lines.withColumn("at", F.monotonically_increasing_id())
-        if self.skip_lines > 0:
-            # Numbers rise along the file, so that the first lines have the smallest ones.
-            last = lines.orderBy("at").limit(self.skip_lines).agg(F.max("at")).head()[0]
-            lines = lines.where(F.col("at") > last) if last is not None else lines
-        return self._records(lines)
-
-    def _records(self, lines: DataFrame) -> DataFrame:
-        """The lines, with those that are one record as one, where line feeds are inside quotes.
-
-        Each line says whether a quote is open at its end, if it begins outside of quotes and if it
-        begins inside; a pass over these flags, of which a row a partition reaches the driver, says
-        where lines do begin inside. Partitions join their own lines; only records that go on in
-        another partition are put together by a shuffle.
-        """
+            plain = self.charset.upper() in ("UTF-8", "UTF8", "US-ASCII")  # else one that has line feeds as ASCII has
+            value = F.col("value") if plain else F.decode(F.col("value").cast("binary"), self.charset)
+        return lines.select(value.alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+    def _flagged(self, lines: DataFrame) -> DataFrame:
+        """With whether a quote is open at a line's end, if the line begins outside of quotes (out) and if it begins inside (in)."""
         q, s, e = (re.escape(c) for c in (self.quote, self.separator, self.escape))
         inner = rf"(?:[^{q}{e}]|{e}.|{q}{q})*+" if self.escape != self.quote else rf"(?:[^{q}]|{q}{q})*+"
         space = "[ \t]*+" if self.ignore_leading_whitespace else ""
         rest = rf"(?:{space}(?:{q}{inner}{q}[^{s}]*+|[^{q}{s}][^{s}]*+)?+{s})*+{space}{q}{inner}$"
-        flagged = lines.withColumns({"out": F.col("value").rlike(rf"(?s)^{rest}"), "in": F.col("value").rlike(rf"(?s)^{inner}(?:$|{q}[^{s}]*+{s}{rest})")})
-        if not flagged.where("out").head(1):
-            return lines
-        flagged = cut(flagged.withColumn("part", F.shiftright("at", 33)))
-        ends = {r["part"]: r for r in flagged.select("part", "at", "out", "in").mapInArrow(_ends, "part long, from_out boolean, from_in boolean, last_out long, last_in long").collect()}
-        inside, key, begins = False, -1, {}
-        for part in sorted(ends):
+        return lines.select("value", "path", "start", "at", F.col("value").rlike(rf"(?s)^{rest}").alias("out"), F.col("value").rlike(rf"(?s)^{inner}(?:$|{q}[^{s}]*+{s}{rest})").alias("in"))
+
+    def _records(self, flagged: DataFrame) -> tuple[DataFrame, list[str] | None]:
+        """Records, (value), where a record with line feeds inside quotes is put together; and the fields of the first one.
+
+        A pass over the flags says of each split of a file how many lines it has and whether a quote
+        is open at its end, for both states at its begin; of these, a row a split, the driver finds
+        each split's begin. In the second pass a split joins its own lines, without the skipped
+        ones and the header of its file; only records that go on in another split are shuffled.
+        Splits are told apart by file and offset, however many of them a task reads.
+        """
+        lines = flagged.select("path", "start", "at", "out", "in")
+        skip: dict[tuple[str, int], int] = {}
+        if self.skip_lines > 0:
+            left: dict[str, int] = {}
+            for r in lines.groupBy("path", "start").agg(F.count("*").alias("n")).orderBy("path", "start").collect():  # a row a split
+                todo = left.get(r["path"], self.skip_lines)
+                skip[r["path"], r["start"]] = min(todo, r["n"])
+                left[r["path"]] = todo - min(todo, r["n"])
+        ends = {(r["path"], r["start"]): r for r in lines.mapInArrow(_ends(skip), _ENDS).collect()}  # a row a split
+        if not ends:
+            return flagged, None
+        begins, inside, key, file, over = {}, False, -1, None, False
+        for seq, part in enumerate(sorted(ends)):
             r = ends[part]
-            begins[part] = (inside, key)
+            if part[0] != file:
+                if inside:
+                    break
+                file, inside, key = part[0], False, -1
+                drop = self.header
+            begins[part] = Begin(seq, skip.get(part, 0), inside, key, drop)
+            over |= inside
             last = r["last_in"] if inside else r["last_out"]
-            inside, key = (r["from_in"] if inside else r["from_out"]), key if last is None else last
+            drop = drop and (r["first_in"] if inside else r["first_out"]) < 0  # whether the header is still to come
+            inside, key = (r["from_in"] if inside else r["from_out"]), key if last < 0 else last
         if inside:
-            raise ValueError(f"{self.file} ends inside quotes")
-        joined = cut(flagged.select("part", "at", "value", "out", "in").mapInArrow(_joiner(begins), "key long, at long, value string"))
-        over = [k for i, k in begins.values() if i]  # records that go on in another partition, one each at most
-        apart = F.col("key").isin(over)
-        texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
-        long_ = joined.where(apart).groupBy("key").agg(F.array_join(texts, "\n").alias("value"))
-        return joined.where(~apart).select("value", F.col("key").alias("at")).unionByName(long_.select("value", F.col("key").alias("at")))
+            raise ValueError(f"{file} ends inside quotes")
+        head = self._head(flagged, min(ends), begins)
+        pieces = flagged.mapInArrow(_joiner(begins), "key long, seq int, value binary").withColumn("value", F.col("value").cast("string"))
+        if not over:
+            return pieces.select("value"), head
+        pieces = cut(pieces)
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"])
+        long_ = pieces.where("key IS NOT NULL").groupBy("key").agg(F.count_if(F.col("value").isNull()).alias("heads"), F.array_join(texts, "\n").alias("value"))
+        return pieces.where("key IS NULL").select("value").unionByName(long_.where("heads = 0").select("value")), head
+
+    def _head(self, flagged: DataFrame, first: tuple[str, int], begins: dict) -> list[str]:
+        """The fields of the first record of the first file."""
+        own = flagged.where(F.col("path") == first[0])
+        n = 64
+        while True:
+            rows = own.orderBy("start", "at").limit(n + self.skip_lines).collect()
+            text, inside = [], False
+            for r in rows[self.skip_lines :]:
+                text.append(r["value"])
+                inside = r["in"] if inside else r["out"]
+                if not inside:
+                    return self._fields("\n".join(text).rstrip("\r"))
+            n *= 8
 
     def read(self, spark: SparkSession) -> DataFrame:
         """A DataFrame of strings.
 
         The first record that is not skipped gives the width, and with ``header`` the names; else
-        they are column1, column2 and so on. Records of another width are dropped if
-        ``skip_differing_lines``, else they raise. ``strict_quotes`` keeps only what stands in
+        they are column1, column2 and so on. Of a folder, every file has its own header and skipped
+        lines, and the first file by its name gives the names. Records of another width are dropped
+        if ``skip_differing_lines``, else they raise. ``strict_quotes`` keeps only what stands in
         quotes: a field without them is null. Quoted fields may have line feeds; skipped lines are
         counted as lines. A quote that stays open raises. An empty file has no columns.
         """
-        lines = self._lines(spark)
-        head = lines.orderBy("at").limit(1).collect()
-        if not head:
+        body, row = self._records(self._flagged(self._lines(spark)))
+        if row is None:
             return spark.createDataFrame([], T.StructType([]))
-        row = self._fields(head[0]["value"].rstrip("\r"))
         names = [v or f"column{i + 1}" for i, v in enumerate(row)] if self.header else [f"column{i + 1}" for i in range(len(row))]
-        body = lines.where(F.col("at") > head[0]["at"]) if self.header else lines
         body = body.select(F.regexp_replace("value", "\r$", "").alias("value")).where(F.length("value") > 0)
         if self.strict_quotes:
             body = body.withColumn("value", _strict(F.col("value"), self.separator, self.quote))
@@ -141,47 +170,135 @@ class CsvDescriptor:
         return next(csv.reader(io.StringIO(line, newline=""), delimiter=self.separator, quotechar=self.quote, escapechar=escape, skipinitialspace=self.ignore_leading_whitespace))
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition: whether it ends inside quotes and where its last record begins, if it begins outside and if inside."""
-    part, now, last = None, [False, True], [None, None]
-    for batch in batches:
-        at, out, in_ = (batch.column(c).to_pylist() for c in ("at", "out", "in"))
-        part = batch.column("part")[0].as_py() if len(batch) else part
-        for k in (0, 1):
-            inside = now[k]
-            for i, a, b in zip(at, out, in_, strict=True):
-                if not inside:
-                    last[k] = i
-                inside = b if inside else a
-            now[k] = inside
-    if part is not None:
-        yield pa.RecordBatch.from_pylist([{"part": part, "from_out": now[0], "from_in": now[1], "last_out": last[0], "last_in": last[1]}], schema=_ENDS)
+@dataclass(frozen=True)
+class Begin:
+    """Of a split: its place in the order of all, lines to skip, whether it begins inside quotes, the number of the line
+    where the record that is open then began, and whether its first record is its file's header."""
+
+    seq: int
+    skip: int
+    inside: bool
+    key: int
+    header: bool
+
+
+_ENDS = "path string, start long, from_out boolean, from_in boolean, first_out long, first_in long, last_out long, last_in long"
+_ENDS_ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("from_out", pa.bool_()), ("from_in", pa.bool_()), *((c, pa.int64()) for c in ("first_out", "first_in", "last_out", "last_in"))])
+#: Texts are passed on as bytes, so that some that are no characters in the charset do no harm.
+_PIECE = pa.schema([("key", pa.int64()), ("seq", pa.int32()), ("value", pa.binary())])
+
+
+def states(out: np.ndarray, in_: np.ndarray, inside: bool) -> np.ndarray:
+    """Whether each line begins inside quotes, and whether what follows the last one does.
+
+    A line sets the state (its flags are equal), leaves it, or turns it over; so the state is what
+    was set last, turned over as often as lines did since.
+    """
+    n = len(out)
+    sets = np.maximum.accumulate(np.where(out == in_, np.arange(n), -1)) if n else np.empty(0, np.int64)
+    turns = np.cumsum(out & ~in_)
+    base = np.where(sets >= 0, out[sets], inside) if n else np.empty(0, bool)
+    after = base ^ ((turns - np.where(sets >= 0, turns[sets], 0)) & 1).astype(bool) if n else base
+    return np.append(inside, after)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """A batch by the splits of files that its lines are from."""
+    if not len(batch):
+        return
+    path, start = batch.column("path").dictionary_encode(), batch.column("start").to_numpy()
+    file = path.indices.to_numpy()
+    cuts = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield (path.dictionary[int(file[a])].as_py(), int(start[a])), batch.slice(a, b - a)
 
 
-_ENDS = pa.schema([("part", pa.int64()), ("from_out", pa.bool_()), ("from_in", pa.bool_()), ("last_out", pa.int64()), ("last_in", pa.int64())])
-_RECORD = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("value", pa.string())])
+def _flags(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("out", "in")]
 
 
-def _joiner(begins: dict[int, tuple[bool, int]]):
-    """The lines of a partition, those of one record joined: where the record begins, where this part of it does, text."""
+def _ends(skip: dict[tuple[str, int], int]):
+    """Of each split: whether it ends inside quotes, and where its first and its last record begin (-1: none does), if it begins outside and if inside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, own, begun = None, [], (0, 0)
+        part, now, first, last, left = None, [False, True], [-1, -1], [-1, -1], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*part, *now, *first, *last), _ENDS_ARROW, strict=True)], schema=_ENDS_ARROW)
+
         for batch in batches:
-            rows = []
-            for part, at, value, out, in_ in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "value", "out", "in")), strict=True):
-                if inside is None:
-                    inside, key = begins[part]
-                    begun = (key, at)
-                if not inside:
+            for key, lines in _runs(batch):
+                if key != part:
+                    if part:
+                        yield row()
+                    part, now, first, last, left = key, [False, True], [-1, -1], [-1, -1], skip.get(key, 0)
+                passed = min(left, len(lines))
+                left, lines = left - passed, lines.slice(passed)
+                at, (out, in_) = lines.column("at").to_numpy(), _flags(lines)
+                for k in (0, 1):
+                    state = states(out, in_, now[k])
+                    begun = np.flatnonzero(~state[:-1])
+                    if len(begun):
+                        first[k] = first[k] if first[k] >= 0 else int(at[begun[0]])
+                        last[k] = int(at[begun[-1]])
+                    now[k] = bool(state[-1])
+        if part:
+            yield row()
+
+    return run
+
+
+def _joiner(begins: dict[tuple[str, int], Begin]):
+    """The records of each split; a piece of one that begins before or ends after it has a key, and a null value is the piece of a header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the split at hand: its begin, the lines of the record at hand, where that began (here) or its key (before).
+        part = at = None
+        inside, header, left, own, begun, key = False, False, 0, [], -1, None
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PIECE, strict=True)], schema=_PIECE)
+
+        def close(goes_on: bool) -> list[tuple]:
+            """The record at hand, at its end or at that of the split."""
+            if not own:
+                return []
+            if key is not None:
+                return [(key, at.seq, b"\n".join(own))]
+            if goes_on:
+                return [(begun, at.seq, None if header else b"\n".join(own))]
+            return [] if header else [(None, at.seq, b"\n".join(own))]
+
+        for batch in batches:
+            for name, lines in _runs(batch):
+                if name != part:
+                    yield rows(close(inside))
+                    part, at = name, begins[name]
+                    inside, header, left, own, key = at.inside, at.header, at.skip, [], at.key if at.inside else None
+                passed = min(left, len(lines))
+                left, lines = left - passed, lines.slice(passed)
+                state = states(*_flags(lines), inside)
+                inside = bool(state[-1])
+                first = np.flatnonzero(~state[:-1]).tolist()
+                if not own and not header and not inside and len(first) == len(lines):  # a record a line
+                    n = len(lines)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, at.seq), pa.int32()), lines.column("value").cast(pa.binary())], schema=_PIECE)
+                    continue
+                numbers, values, found = lines.column("at").to_numpy(), lines.column("value").cast(pa.binary()).to_pylist(), []
+                cuts = [*first, len(values)]
+                own += values[: cuts[0]]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if own:
-                        rows.append((*begun, "\n".join(own)))
-                    own, begun = [], (at, at)
-                own.append(value)
-                inside = in_ if inside else out
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ([], [], []), _RECORD, strict=True)], schema=_RECORD)
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*begun, "\n".join(own)), _RECORD, strict=True)], schema=_RECORD)
+                        found += close(False)
+                        header = header and key is not None
+                    own, key, begun = values[a:b], None, int(numbers[a])
+                if own and not inside:
+                    found += close(False)
+                    header = header and key is not None
+                    own, key = [], None
+                yield rows(found)
+        yield rows(close(inside))
 
     return run
 

@@ -105,24 +105,35 @@ def test_text_sink_and_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "results" / "t" / "b.txt").read_text() == "[] --> b\n"
 
 
-def test_csv_with_line_feeds_in_quotes(spark, tmp_path):
+@pytest.mark.parametrize(("size", "files"), [(None, 1), (400, 1), (400, 3), (120, 2)])
+def test_csv_with_line_feeds_in_quotes(spark, tmp_path, size, files):
+    """Records that go on in other splits of a file, with several splits of several files in a task or one in each."""
     import csv
 
     r = random.Random(1)
-    fields = ["x", "a b", "", "two\nlines", "\n\n", 'say "so"', "a,b\nc", " lead", "three\nlines, with\n'all'", '"']
-    for n, size in ((3, None), (400, 500)):
-        rows = [[str(i), *(r.choice(fields) for _ in range(2))] for i in range(n)]
-        with open(tmp_path / "m.csv", "w", newline="") as f:
-            csv.writer(f, lineterminator="\n").writerows([["a", "b\nb", "c"], *rows])
-        if size:  # records go on in other partitions
+    fields = ["x", "a b", "", "two\nlines", "\n\n", 'say "so"', "a,b\nc", " lead", "three\nlines, with\n'all'", '"', "\n".join("long" * 20 for _ in range(4))]
+    rows = [[str(i), *(r.choice(fields) for _ in range(2))] for i in range(60)]
+    (tmp_path / "m").mkdir()
+    for k in range(files):
+        with open(tmp_path / "m" / f"{k}.csv", "w", newline="") as f:
+            f.write('to "skip\n' * 2)
+            csv.writer(f, lineterminator="\n").writerows([["a", "b\nb\n\n" + "b" * 99, "c"], *rows[k::files]])
+    made = CsvDescriptor(name="m", path=str(tmp_path), ending="", escape='"', ignore_leading_whitespace=False, skip_lines=2)
+    for open_cost in ("0", "4m"):
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        if size:
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         try:
-            df = CsvDescriptor(name="m", path=str(tmp_path), escape='"', ignore_leading_whitespace=False).read(spark)
-            assert df.columns == ["a", "b\nb", "c"]
+            df = made.read(spark)
+            assert df.columns == ["a", "b\nb\n\n" + "b" * 99, "c"]
             got = sorted((tuple(x) for x in df.collect()), key=lambda x: int(x[0]))
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
         assert got == [tuple(v or None for v in x) for x in rows]
+
+
+def test_csv_quotes(spark, tmp_path):
     (tmp_path / "v.csv").write_text('a,b\n1,"x\ny"\n2,z\n5,in"side\n')
     assert sorted(map(tuple, CsvDescriptor(name="v", path=str(tmp_path)).read(spark).collect())) == [("1", "x\ny"), ("2", "z"), ("5", 'in"side')]
     (tmp_path / "o.csv").write_text('a,b\n1,"x\ny\n2,z\n')
