@@ -25,6 +25,7 @@ class FDConfig:
     pli_cache_prefix: attributes at the start of a left-hand side of which partitions are kept for
         other ones that start alike (0: none).
     pli_cache_bytes: size of the partitions that a task keeps.
+    pli_cache_table_bytes: size on disk of the tables of prefixes that ``group`` keeps.
     """
 
     max_lhs_size: int = -1
@@ -38,6 +39,7 @@ class FDConfig:
     broadcast_bytes: int = 256 << 20
     pli_cache_prefix: int = 3
     pli_cache_bytes: int = 256 << 20
+    pli_cache_table_bytes: int = 16 << 30
     relation: str = "relation"
 
     def __post_init__(self):
@@ -45,7 +47,7 @@ class FDConfig:
             raise ValueError(f"strategy is one of {STRATEGIES}, not {self.strategy!r}")
         if not 0 <= self.validation_threshold <= 1:
             raise ValueError("validation_threshold is a share from 0 to 1")
-        if self.pli_cache_prefix < 0 or self.pli_cache_bytes < 0:
+        if min(self.pli_cache_prefix, self.pli_cache_bytes, self.pli_cache_table_bytes) < 0:
             raise ValueError("a cache has no negative size")
         if self.candidates_per_job < 1 or self.sets_per_job < 1:
             raise ValueError("a job has one candidate at least")

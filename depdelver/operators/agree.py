@@ -9,26 +9,21 @@ from depdelver.functions import bits
 from depdelver.operators.partitions import matches, name, window_by
 
 
-def neighbours(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True, largest: int | None = None) -> DataFrame:
+def neighbours(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True) -> DataFrame:
     """Pairs (a, b) of records that share a value and lie ``distance`` apart in its cluster.
 
     The cluster's order puts records with equal neighbouring attributes side by side, so that
-    their agree sets are large. A cluster is one window; with ``largest``, clusters of more rows
-    are left out, as a window is held by one task.
+    their agree sets are large. A cluster is one window; ``sample.agree_sets`` takes some of any size.
     """
     rows = df if null_equals_null else df.where(name(attribute).isNotNull())
-    if largest is not None:
-        value = name(attribute).alias("value")
-        few = rows.groupBy(value).agg(F.count("*").alias("k")).where(F.col("k").between(2, largest)).select("value")
-        rows = rows.join(few, name(attribute).eqNullSafe(F.col("value")), "left_semi")
     record = F.struct(*[name(c) for c in order])
     b = F.lead(record, distance).over(window_by(attribute, order, rid))
     return rows.select(record.alias("a"), b.alias("b")).where("b IS NOT NULL")
 
 
-def sample(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True, largest: int | None = None) -> DataFrame:
+def sample(df: DataFrame, attribute: str, order: list[str], rid: str, distance: int = 1, null_equals_null: bool = True) -> DataFrame:
     """(words, pairs): the distinct agree sets of ``neighbours`` and how many pairs have each."""
-    pairs = neighbours(df, attribute, order, rid, distance, null_equals_null, largest)
+    pairs = neighbours(df, attribute, order, rid, distance, null_equals_null)
     return pairs.select(bits.words(matches("a", "b", order, null_equals_null)).alias("words")).groupBy("words").agg(F.count("*").alias("pairs"))
 
 

@@ -18,6 +18,8 @@ from depdelver.session import cut
 
 #: Size of an attribute's values and codes up to which they are sent to all executors for the join.
 SENT = 8 << 20
+#: Attributes from which rows meet one small dictionary cell by cell instead of attribute by attribute.
+WIDE = 24
 #: What numbers rows of a partition below, in monotonically_increasing_id.
 _WITHIN = (1 << 33) - 1
 
@@ -112,11 +114,13 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
     constants are left out; else all are there, in the order of the schema. ``ranked``: codes are
     ranks, nulls first. The rows are a plan; write them before they are read twice.
 
-    A dictionary of all attributes of up to SENT bytes is sent to the executors and meets the rows
-    cell by cell. Beyond that each attribute is a join, where its own part is sent, or, if that is
-    larger than SENT, shuffled; a value in a third of all rows is split by adaptive execution.
+    Each attribute is a join with its part of the dictionary, which is sent to the executors or, if it is larger
+    than SENT bytes, shuffled; a value in a third of all rows is split by adaptive execution. Rows
+    of WIDE attributes or more meet a dictionary of up to SENT bytes cell by cell, by one join.
     """
     columns, slot = df.columns, cells_of(df).slot
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)  # of a small file, which is one task
     values, stats = dictionary(df, ranked)
     n = stats[0]["rows"] if columns else 0
     # With nulls unlike each other, each is a value by itself.
@@ -132,7 +136,7 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
         code, single = F.col("code").cast(kind), F.col("rows") == 1
         return (code, single) if null_equals_null else (F.when(null, -1 - F.col("rid")).otherwise(code), single | null)
 
-    if sum(s["bytes"] for s in stats) <= SENT:
+    if len(at) >= WIDE and sum(s["bytes"] for s in stats) <= SENT:
         rows = _by_cells(df, number, values, at, coded, kind)
     else:
         rows = df.select(number, *[name(columns[i]).alias(f"v{k}") for k, i in enumerate(at)])

@@ -8,17 +8,17 @@ from pyspark.sql import types as T
 
 
 def check_types(df: DataFrame) -> None:
-    """Maps have no equality, so that no dependency on them is defined."""
+    """Maps have no equality and calendar intervals no order, so that no dependency on them is defined."""
 
     def has_map(t: T.DataType) -> bool:
         if isinstance(t, T.ArrayType):
             return has_map(t.elementType)
         if isinstance(t, T.StructType):
             return any(has_map(f.dataType) for f in t.fields)
-        return isinstance(t, (T.MapType, T.VariantType))
+        return isinstance(t, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
     if bad := [f.name for f in df.schema.fields if has_map(f.dataType)]:
-        raise TypeError(f"columns {bad} are maps or variants, which cannot be compared")
+        raise TypeError(f"columns {bad} are maps, variants or calendar intervals, which cannot be compared")
 
 
 def name(c: str) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,90 +14,117 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depdelver.functions import bits
+from depdelver.operators.codes import encode
 from depdelver.operators.partitions import name
 
 #: Attributes of the prefixes whose partitions a task keeps, and bytes of those.
 PREFIX, CACHE_BYTES = 3, 256 << 20
 
 
-# -- One aggregation for each left-hand side ---------------------------------------------------
+# -- Many left-hand sides by one aggregation ------------------------------------------------------
 
+#: Shares of the clusters, in SHARES parts, that candidates meet one after the other: 1, then 15.
+SHARES, FIRST = 16, 1
 
-def _all_there(attributes: list[str]) -> Column:
-    return reduce(lambda a, c: a & name(c).isNotNull(), attributes, F.lit(True))
 
-
-def stripped(df: DataFrame, attributes: list[str], null_equals_null: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The rows in clusters of two or more of some attributes together; and (clusters, records) of these."""
-    rows = df if null_equals_null else df.where(_all_there(attributes))
-    sizes = rows.groupBy(*[name(c).alias(f"v{i}") for i, c in enumerate(attributes)]).agg(F.count("*").alias("k")).where("k > 1")
-    same = F.lit(True)
-    for i, c in enumerate(attributes):
-        same = same & name(c).eqNullSafe(F.col(f"sizes.v{i}"))
-    kept = rows.join(sizes.alias("sizes"), same, "left_semi")
-    return kept, sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("k"), F.lit(0)).alias("records"))
+def without(alone: Column, members: list[int]) -> Column:
+    """Whether none of some attributes has a value that no other row has; else the row is in no cluster of them."""
+    out = F.lit(True)
+    words: dict[int, int] = {}
+    for i in members:
+        words[i // bits.WORD] = words.get(i // bits.WORD, 0) | 1 << i % bits.WORD
+    for w, mask in words.items():
+        out = out & (F.get(alone, w).bitwiseAND(F.lit(mask)) == 0)
+    return out
 
 
-def _violations(df: DataFrame, lhs: list[int], rhs: list[int], columns: list[str], null_equals_null: bool) -> DataFrame:
-    """One row: for each attribute, the largest agree set of a group that has two values of it."""
-    rows = df if null_equals_null else df.where(_all_there([columns[i] for i in lhs]))
-    others = [i for i in range(len(columns)) if i not in lhs]
-    stats = [F.count("*").alias("n")]
-    for i in others:
-        c = name(columns[i])
-        stats += [F.count(c).alias(f"k{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-    groups = rows.groupBy(*[name(columns[i]) for i in lhs]).agg(*stats).where("n > 1")
+def share(members: list[int]) -> Column:
+    """The part of all clusters of some attributes, of SHARES parts, that a row's cluster is in."""
+    mixed = F.lit(0).cast("long")
+    for j, i in enumerate(members):
+        mixed = mixed + F.col(f"c{i}").cast("long") * F.lit(31**j % 1_000_003)
+    return F.pmod(mixed, F.lit(SHARES))
 
-    def same(i: int) -> Column:
-        if i in lhs:
-            return F.lit(True)
-        one = (F.col(f"k{i}") == F.col("n")) & (F.col(f"a{i}") == F.col(f"b{i}"))
-        return F.coalesce(one, F.lit(False)) | ((F.col(f"k{i}") == 0) if null_equals_null else F.lit(False))
 
-    flags = [same(i) for i in range(len(columns))]
-    words = bits.words(flags)
-    size = F.aggregate(words, F.lit(0), lambda a, w: a + F.bit_count(w))
-    shown = groups.select(words.alias("w"), size.alias("s"), F.array(*[F.lit(None).cast("boolean") if i not in rhs else ~flags[i] for i in range(len(columns))]).alias("v"))
-    best = [F.max(F.when(F.get("v", i), F.struct("s", "w"))).alias(f"x{i}") for i in range(len(columns))]
-    return shown.agg(*best).select(F.array(*[F.col(f"x{i}.w") for i in range(len(columns))]).alias("found"))
+def expanded(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], kept: list[str], shares: range = range(SHARES)) -> DataFrame:
+    """(s, key, columns ``kept``): every row once for each of the sets (s, attributes) of its table, unless it is in no
+    cluster of it, or in one outside of ``shares``."""
+    out = None
+    every = len(shares) == SHARES
+    for table, sets in tables:
+        one = lambda s, m: F.when(without(F.col("alone"), m) & (F.lit(True) if every or not m else share(m).between(shares[0], shares[-1])), F.struct(F.lit(s).alias("s"), F.array(*[F.col(f"c{i}").cast("long") for i in m]).cast("array<long>").alias("key")))
+        part = table.select(F.explode(F.array(*[one(s, m) for s, m in sets])).alias("x"), *kept).where("x IS NOT NULL").select("x.s", "x.key", *kept)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def by_groups(df: DataFrame, candidates: dict[int, list[int]], columns: list[str], null_equals_null: bool = True, tables: dict[int, DataFrame] | None = None) -> list[tuple[int, int, int]]:
-    """The invalid ones of ``candidates`` (left-hand side: right-hand sides) as (lhs, rhs, agree set).
+def violations(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], rhs: dict[int, list[int]], n: int, shares: range = range(SHARES)) -> DataFrame:
+    """(s, found): of each set that does not determine all its right-hand sides, for each attribute, the words of the
+    largest agree set of a cluster with two values of it (null: it is none of these).
 
-    Each left-hand side is one grouped aggregation over all rows, which answers for all its
-    right-hand sides at once; counts, minima and maxima are merged before they are shuffled. In
-    a group with two values of A, some two rows agree on all attributes that are the same
-    throughout and differ in A; that set refutes more than the candidate. One row for each
-    left-hand side reaches the driver. ``tables``: for a left-hand side, the rows that are in
-    clusters of a part of it, which are all that matter.
+    ``tables``: coded rows and the sets (number, attributes) that are asked of them. One exchange,
+    whatever the number of sets: rows are dealt by set and cluster, minima and maxima of codes
+    merged before. In a cluster with two values of A, some two rows agree on all attributes
+    that are the same throughout and differ in A; that set refutes more than the candidate.
     """
-    lhss = list(candidates)
-    if not lhss:
-        return []
-    rows = lambda x: (tables or {}).get(x, df)
-    parts = [_violations(rows(x), bits.members(x), candidates[x], columns, null_equals_null).withColumn("at", F.lit(k)) for k, x in enumerate(lhss)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    out = []
-    for row in every.collect():
-        for rhs, words in enumerate(row["found"]):
-            if words is not None:
-                out.append((lhss[row["at"]], rhs, bits.from_words(words)))
+    codes = [F.col(f"c{i}") for i in range(n)]
+    stats = [f(c).alias(f"{k}{i}") for i, c in enumerate(codes) for k, f in (("a", F.min), ("b", F.max))]
+    groups = expanded(tables, [f"c{i}" for i in range(n)], shares).groupBy("s", "key").agg(*stats)
+    flags = [F.col(f"a{i}") == F.col(f"b{i}") for i in range(n)]
+    words = bits.words(flags)
+    masks = F.array(*[F.array(*[F.lit(bits.of(rhs.get(s, ())) >> bits.WORD * w & (1 << bits.WORD) - 1).cast("long") for w in range(-(-n // bits.WORD))]) for s in range(max(rhs) + 1)])
+    open_ = F.transform(F.arrays_zip(words.alias("w"), F.element_at(masks, F.col("s") + 1).alias("m")), lambda x: x["m"].bitwiseAND(F.bitwise_not(x["w"])))
+    shown = groups.select("s", words.alias("w"), open_.alias("o")).where(F.exists("o", lambda x: x != 0))
+    size = F.aggregate("w", F.lit(0), lambda a, w: a + F.bit_count(w))
+    differs = lambda i: F.get("o", i // bits.WORD).bitwiseAND(bits.one(i % bits.WORD)) != 0
+    best = [F.max(F.when(differs(i), F.struct("size", "w"))).alias(f"x{i}") for i in range(n)]
+    return shown.select("s", "w", "o", size.alias("size")).groupBy("s").agg(*best).select("s", F.array(*[F.col(f"x{i}.w") for i in range(n)]).alias("found"))
+
+
+def by_groups(rows: DataFrame, candidates: dict[int, list[int]], n: int, tables: dict[int, DataFrame] | None = None, stages: bool = False) -> list[tuple[int, int, int]]:
+    """The invalid ones of ``candidates`` (left-hand side: right-hand sides) as (lhs, rhs, agree set), over coded rows of ``n`` attributes.
+
+    All left-hand sides are one scan (of each table) and one exchange; a row for each that is
+    invalid reaches the driver. ``tables``: for a left-hand side, the rows that are in clusters of a
+    part of it, which are all that matter. ``stages``: candidates first meet a share of their
+    clusters, and only those without a violation there meet the other ones.
+    """
+    lhss, out = list(candidates), []
+    left = {s: candidates[x] for s, x in enumerate(lhss)}
+    for shares in (range(FIRST), range(FIRST, SHARES)) if stages else (range(SHARES),):
+        by: dict[int, tuple[DataFrame, list]] = {}
+        for s in left:
+            table = (tables or {}).get(lhss[s], rows)
+            by.setdefault(id(table), (table, []))[1].append((s, bits.members(lhss[s])))
+        if not by:
+            break
+        for row in violations(list(by.values()), left, n, shares).collect():
+            s = row["s"]
+            refuted = [(lhss[s], a, bits.from_words(w)) for a, w in enumerate(row["found"]) if w is not None and a in left[s]]
+            out += refuted
+            left[s] = [a for a in left[s] if a not in {a for _, a, _ in refuted}]
+        # A set without attributes has one cluster, which is in every share.
+        left = {s: rhs for s, rhs in left.items() if rhs and lhss[s]}
     return out
 
 
 def valid_flags(df: DataFrame, candidates: list[tuple[list[str], str]], null_equals_null: bool = True) -> DataFrame:
-    """(lhs, rhs, valid) for a list of candidates by name, as a DataFrame."""
-    spark, columns = df.sparkSession, df.columns
-    at = {c: i for i, c in enumerate(columns)}
-    out = None
-    for lhs, rhs in candidates:
-        part = _violations(df, [at[c] for c in lhs], [at[rhs]], columns, null_equals_null)
-        part = part.select(F.lit(",".join(lhs)).alias("lhs"), F.lit(rhs).alias("rhs"), F.get("found", at[rhs]).isNull().alias("valid"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "lhs string, rhs string, valid boolean")
+    """(lhs, rhs, valid, share) for a list of candidates by name: all left-hand sides by one scan and one exchange.
+
+    share: the first of the SHARES parts of clusters with a violation, null for a valid candidate.
+    """
+    at = {c: i for i, c in enumerate(df.columns)}
+    sets = list(dict.fromkeys(tuple(at[c] for c in lhs) for lhs, _ in candidates))
+    asked = df.sparkSession.createDataFrame([(sets.index(tuple(at[c] for c in lhs)), ",".join(lhs), rhs, at[rhs]) for lhs, rhs in candidates], "s int, lhs string, rhs string, a int")
+    rows = encode(df, null_equals_null, ordered=False, ranked=True).rows
+    n = len(df.columns)
+    parts = [(s, list(m)) for s, m in enumerate(sets)]
+    keyed = expanded([(rows, parts)], [f"c{i}" for i in range(n)])
+    # The key has the codes of the set's attributes in their order, so it tells the share.
+    mixed = F.pmod(F.aggregate(F.transform("key", lambda x, i: x * F.element_at(F.array(*[F.lit(31**j % 1_000_003) for j in range(max(1, n))]), i + 1)), F.lit(0).cast("long"), lambda x, y: x + y), F.lit(SHARES))
+    groups = keyed.groupBy("s", "key").agg(*[f(F.col(f"c{i}")).alias(f"{k}{i}") for i in range(n) for k, f in (("a", F.min), ("b", F.max))])
+    found = groups.select("s", mixed.alias("share"), F.explode(F.array(*[F.when(F.col(f"a{i}") != F.col(f"b{i}"), i) for i in range(n)])).alias("a")).where("a IS NOT NULL").groupBy("s", "a").agg(F.min("share").alias("share"))
+    return asked.join(found, ["s", "a"], "left").select("lhs", "rhs", F.col("share").isNull().alias("valid"), "share")
 
 
 def violating_pairs(df: DataFrame, lhs: list[str], rhs: str, rid: str) -> DataFrame:
@@ -127,18 +153,20 @@ def size_of_values(df: DataFrame, n: int) -> int:
 
 
 def codes(df: DataFrame, null_equals_null: bool = True) -> np.ndarray:
-    """int32 codes [row, attribute], equal where values agree; to be called behind a check of the size."""
+    """int32 codes [row, attribute], equal where values agree; to be called behind a check of the size.
+
+    Structs and arrays are coded by the executors; plain values are coded here, which is quicker
+    for the few that may be broadcast.
+    """
+    if any(isinstance(f.dataType, (T.ArrayType, T.StructType)) for f in df.schema.fields):
+        return encode(df, null_equals_null, ordered=False).matrix()
     out = []
     for c in df.columns:
         kind = df.schema[c].dataType
-        x = name(c)
-        if isinstance(kind, (T.ArrayType, T.StructType)):
-            x = F.when(x.isNotNull(), F.to_json(F.struct(x)))
-        elif isinstance(kind, (T.FloatType, T.DoubleType)):
-            x = x + F.lit(0.0).cast(kind)  # -0.0 is 0.0
-        out.append(x.alias(c))
+        zero = F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else None
+        out.append((name(c) if zero is None else name(c) + zero).alias(c))  # -0.0 is 0.0
     table = df.select(*out).toArrow()
-    matrix = np.empty((table.num_rows, len(df.columns)), np.int32)
+    matrix = np.empty((table.num_rows, len(df.columns)), np.int32, order="F")
     for i in range(len(df.columns)):
         column = pc.dictionary_encode(table.column(i).combine_chunks(), null_encoding="encode")
         matrix[:, i] = column.indices.to_numpy(zero_copy_only=False) if table.num_rows else 0
@@ -177,8 +205,8 @@ class Refuter:
     """Tests candidates on coded rows; keeps the partitions of common prefixes, the latest ones, up to a size."""
 
     def __init__(self, matrix: np.ndarray, prefix: int = PREFIX, size: int = CACHE_BYTES):
-        self.columns, self.prefix, self.size = np.asfortranarray(matrix), prefix, size
-        self.matrix = matrix
+        self.columns = self.matrix = matrix  # column by column, as it was broadcast
+        self.prefix, self.size = prefix, size
         self.cache: OrderedDict[tuple, Partition] = OrderedDict()
         self.held = 0
 
@@ -212,15 +240,15 @@ class Refuter:
         return out
 
 
-def agree_sets(matrix: np.ndarray, attribute: int, distance: int) -> set[int]:
+def agree_sets(matrix: np.ndarray, attribute: int, distance: int) -> tuple[set[int], int]:
     """Distinct agree sets of rows that share a value and lie ``distance`` apart, in the order of
-    the next attribute and the one before."""
+    the next attribute and the one before; and how many such pairs there are."""
     n = matrix.shape[1]
     order = np.lexsort((matrix[:, attribute - 1], matrix[:, (attribute + 1) % n], matrix[:, attribute]))
     a, b = matrix[order[:-distance]], matrix[order[distance:]]
     same = (a == b)[a[:, attribute] == b[:, attribute]]
     packed = np.unique(np.packbits(same, axis=1, bitorder="little"), axis=0) if len(same) else same
-    return {int.from_bytes(x.tobytes(), "little") for x in packed}
+    return {int.from_bytes(x.tobytes(), "little") for x in packed}, len(same)
 
 
 def _to_bytes(mask: int) -> bytes:
@@ -251,17 +279,20 @@ def by_broadcast(spark, matrix, candidates: dict[int, list[int]], prefix: int =
     return [(int.from_bytes(x, "little"), a, int.from_bytes(m, "little")) for x, a, m in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True)]
 
 
-def sample_broadcast(spark, matrix, attributes: list[tuple[int, int]]) -> dict[int, set[int]]:
-    """Agree sets of (attribute, distance) pairs, one task for each."""
+def sample_broadcast(spark, matrix, attributes: list[tuple[int, int]]) -> dict[int, tuple[set[int], int]]:
+    """Agree sets of (attribute, distance) pairs and how many pairs were compared, one task for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, d in (attributes[k] for k in batch.column(0).to_pylist()):
-                found = sorted(agree_sets(matrix.value, a, d))
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int32()), pa.array([_to_bytes(m) for m in found], pa.binary())], ["a", "m"])
-
-    out: dict[int, set[int]] = {a: set() for a, _ in attributes}
-    found = spark.range(0, len(attributes), 1, len(attributes)).mapInArrow(run, "a int, m binary").toArrow()
-    for a, m in zip(found.column("a").to_pylist(), found.column("m").to_pylist(), strict=True):
-        out[a].add(int.from_bytes(m, "little"))
+                found, pairs = agree_sets(matrix.value, a, d)
+                rows = [None, *map(_to_bytes, sorted(found))]
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(rows), pa.int32()), pa.array(rows, pa.binary()), pa.array([pairs] + [0] * len(found), pa.int64())], ["a", "m", "pairs"])
+
+    out: dict[int, tuple[set[int], int]] = {a: (set(), 0) for a, _ in attributes}
+    found = spark.range(0, len(attributes), 1, len(attributes)).mapInArrow(run, "a int, m binary, pairs long").toArrow()
+    for a, m, pairs in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        out[a] = (out[a][0], pairs) if m is None else out[a]
+        if m is not None:
+            out[a][0].add(int.from_bytes(m, "little"))
     return out

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from depdelver.config import FDConfig
 from depdelver.functions import bits
-from depdelver.operators import agree, validate
+from depdelver.operators import validate
+from depdelver.operators.codes import Encoded, encode, written
 from depdelver.operators.cover import Cover, specialize_all
-from depdelver.operators.metrics import worth_caching
-from depdelver.operators.partitions import check_types, constant, name, with_rid
+from depdelver.operators.partitions import check_types, name
+from depdelver.operators.prefixes import PrefixTables
+from depdelver.operators.sample import agree_sets
 from depdelver.session import cut, drop_cut
 
 log = logging.getLogger(__name__)
@@ -33,6 +35,7 @@ class Metrics:
     strategy: str = ""
     order: list[str] = field(default_factory=list)
     samples: int = 0
+    comparisons: int = 0
     jobs: int = 0
     candidates: int = 0
     invalid: int = 0
@@ -82,24 +85,21 @@ def discover_fds(df: DataFrame, config: FDConfig | None = None, metrics: Metrics
 def _search(df: DataFrame, config: FDConfig, metrics: Metrics) -> list[tuple[list[str], str]]:
     columns = df.columns
     metrics.rows = n = df.count()
-    small = _small(df, n, config)
-    if small:
+    if small := _small(df, n, config):
         matrix = validate.codes(df, config.null_equals_null)
         distinct = [int(x) + 1 for x in matrix.max(axis=0, initial=-1)]  # codes are dense
         constants = [c for c, k in zip(columns, distinct, strict=True) if k <= 1 or n <= 1]
+        # The most distinct attributes come first, so that partitions get small soon.
+        at = sorted((i for i, c in enumerate(columns) if c not in constants), key=lambda i: -distinct[i])
+        order = [columns[i] for i in at]
     else:
-        row = df.agg(
-            *[constant(c, config.null_equals_null).alias(f"c{i}") for i, c in enumerate(columns)],
-            *[F.approx_count_distinct(name(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-        ).head()
-        distinct = [row[f"d{i}"] for i in range(len(columns))]
-        constants = [c for i, c in enumerate(columns) if row[f"c{i}"]]
-    # The most distinct attributes come first, so that partitions get small soon.
-    at = sorted((i for i, c in enumerate(columns) if c not in constants), key=lambda i: -distinct[i])
-    metrics.order = order = [columns[i] for i in at]
-    out: list[tuple[list[str], str]] = [([], c) for c in constants]
-    if len(order) > 1:
-        engine = Broadcast(df.sparkSession, matrix[:, at], config) if small else Groups(df.select(*[name(c) for c in order]), config, n)
+        coded = encode(df, config.null_equals_null)
+        order, constants = coded.attributes, coded.constants
+        at = [columns.index(c) for c in order]
+    metrics.order = order
+    out: list[tuple[list[str], str]] = [([], c) for c in (columns if n <= 1 else constants)]
+    if len(order) > 1 and n > 1:
+        engine = Broadcast(df.sparkSession, np.asfortranarray(matrix[:, at]), config) if small else Groups(written(coded), config)
         metrics.strategy = type(engine).__name__
         try:
             for cover in _induce(engine, df.sparkSession, len(order), config, metrics):
@@ -129,7 +129,8 @@ class Broadcast:
         self.per_job = config.candidates_per_job
         self.attributes = list(range(matrix.shape[1]))
 
-    def sample(self, wanted: list[tuple[int, int]]) -> dict[int, set[int]]:
+    def sample(self, wanted: list[tuple[int, int]], seen: set[int]) -> dict[int, tuple[set[int], int]]:
+        """By attribute: agree sets, and how many pairs were compared."""
         return validate.sample_broadcast(self.spark, self.matrix, wanted)
 
     def refute(self, candidates: dict[int, list[int]]) -> list[tuple[int, int, int]]:
@@ -140,83 +141,43 @@ class Broadcast:
 
 
 class Groups:
-    """One aggregation for each left-hand side, over the rows that are in clusters of its first attributes.
+    """Coded rows as a table; all left-hand sides of a job are one aggregation over it, or over the
+    rows in clusters of what they begin with (``prefixes.PrefixTables``). The path for large tables."""
 
-    A row alone in its cluster of an attribute agrees with no row on any set that has it. So the
-    rows in clusters of a prefix, a table that gets smaller with each attribute, are all that a
-    left-hand side needs that starts with it. Such tables are written once and used by all that
-    start alike; one is kept only if that is worth it, by how much smaller clusters get.
-    """
-
-    #: Clusters of more rows than this are not sampled, as a window over one is held by one task.
-    CLUSTER = 10_000
     #: Left-hand sides of a job that start alike, from which their rows are written for them, and
-    #: rows of a table from which it is worth the jobs.
-    ALIKE, STRIP = 3, 100_000
+    #: rows of a table from which that, and a first look at a share of the clusters, is worth the jobs.
+    ALIKE, STRIP, STAGES = 3, 100_000, 1_000_000
 
-    def __init__(self, df: DataFrame, config: FDConfig, rows: int):
-        self.df, self.config, self.columns = df, config, df.columns
+    def __init__(self, coded: Encoded, config: FDConfig):
+        self.coded, self.config, self.n = coded, config, len(coded.attributes)
         self.per_job = config.sets_per_job
-        self.attributes = list(range(len(df.columns)))
-        self.numbered = with_rid(df)
-        #: By prefix: its rows (None: as its own prefix's are), how many they are, and in how many clusters.
-        self.tables: dict[tuple[int, ...], tuple[DataFrame | None, int, int]] = {(): (df, rows, 1)}
-
-    def sample(self, wanted: list[tuple[int, int]]) -> dict[int, set[int]]:
-        out: dict[int, set[int]] = {a: set() for a, _ in wanted}
-        for at in range(0, len(wanted), self.per_job):
-            every = None
-            for a, d in wanted[at : at + self.per_job]:
-                found = agree.sample(self.numbered, self.columns[a], self.columns, "__rid", d, self.config.null_equals_null, self.CLUSTER)
-                part = found.select(F.lit(a).alias("a"), "words")
-                every = part if every is None else every.unionByName(part)
-            for r in every.collect():  # distinct agree sets
-                out[r["a"]].add(bits.from_words(r["words"]))
+        self.attributes = list(range(self.n))
+        self.prefixes = PrefixTables(coded.rows, self.n, coded.n, config.pli_cache_table_bytes)
+
+    def sample(self, wanted: list[tuple[int, int]], seen: set[int]) -> dict[int, tuple[set[int], int]]:
+        out: dict[int, tuple[set[int], int]] = {a: (set(), 0) for a, _ in wanted}
+        for r in agree_sets(self.coded.rows, self.n, wanted, seen).collect():  # distinct agree sets that are new
+            a = wanted[r["w"]][0]
+            out[a] = (out[a][0] if r["words"] is None else out[a][0] | {bits.from_words(r["words"])}, out[a][1] + r["pairs"])
         return out
 
-    def rows_of(self, prefix: tuple[int, ...]) -> tuple[DataFrame, int]:
-        """The rows in clusters of a prefix, or of the longest part of it that is worth a table."""
-        df, n, _ = self.tables[prefix]
-        return self.rows_of(prefix[:-1]) if df is None else (df, n)
-
-    def strip(self, prefix: tuple[int, ...]) -> None:
-        if prefix in self.tables:
-            return
-        self.strip(prefix[:-1])
-        before, n = self.rows_of(prefix[:-1])
-        _, records, clusters = self.tables[prefix[:-1]]
-        kept, sizes = validate.stripped(before, [self.columns[a] for a in prefix], self.config.null_equals_null)
-        worth = worth_caching(F.lit(records), F.lit(clusters), F.col("records"), F.col("clusters"))
-        found = sizes.select("clusters", "records", worth.alias("worth")).head()
-        # Rows are only written again if they are fewer than what they are picked from.
-        fewer = found["worth"] and 2 * found["records"] <= n
-        self.tables[prefix] = (cut(kept) if fewer else None, found["records"], found["clusters"])
-
     def refute(self, candidates: dict[int, list[int]]) -> list[tuple[int, int, int]]:
-        heads: dict[tuple[int, ...], int] = {}
         members = {x: tuple(bits.members(x)) for x in candidates}
-        for m in members.values():
-            for k in range(1, min(len(m), self.config.pli_cache_prefix) + 1):
-                heads[m[:k]] = heads.get(m[:k], 0) + 1
-        tables = {}
-        for x, m in members.items():
-            prefix = ()
-            for k in range(1, min(len(m), self.config.pli_cache_prefix) + 1):
-                if m[:k] in self.tables or (heads[m[:k]] >= self.ALIKE and self.rows_of(prefix)[1] >= self.STRIP):
-                    prefix = m[:k]
-                    self.strip(prefix)
-                else:
-                    break
-            tables[x], n = self.rows_of(prefix)
-            if not n:
-                tables[x] = None  # nothing agrees on it: all that it is asked for is true
+        longest = self.config.pli_cache_prefix
+        for k in range(2, longest + 1):  # the rows alone in an attribute by itself are marked
+            alike: dict[tuple[int, ...], int] = {}
+            for m in members.values():
+                if len(m) >= k:
+                    alike[m[:k]] = alike.get(m[:k], 0) + 1
+            self.prefixes.make([p for p, many in alike.items() if many >= self.ALIKE and self.prefixes.tables[self.prefixes.held(p)].records >= self.STRIP])
+        tables = {x: self.prefixes.read(m, longest) for x, m in members.items()}
+        # Nothing agrees on one without rows: all that it is asked for is true.
         asked = {x: rhs for x, rhs in candidates.items() if tables[x] is not None}
-        return validate.by_groups(self.df, asked, self.columns, self.config.null_equals_null, tables)
+        return validate.by_groups(self.coded.rows, asked, self.n, tables, self.coded.n >= self.STAGES)
 
     def close(self) -> None:
-        for prefix, (df, _, _) in self.tables.items():
-            if prefix and df is not None:
-                drop_cut(df)
+        self.prefixes.close()
+        drop_cut(self.coded.rows)
 
 
 def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDConfig, metrics: Metrics) -> list[Cover]:
@@ -245,12 +206,13 @@ def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDC
                 break
 
     def sample(wanted: list[tuple[int, int]]) -> None:
-        found = engine.sample(wanted)
-        fresh = {a: len(masks - seen) for a, masks in found.items()}
+        found = engine.sample(wanted, seen)
+        fresh = {a: len(masks - seen) for a, (masks, _) in found.items()}
         metrics.samples += len(found)
-        learn(set().union(*found.values()))
+        metrics.comparisons += sum(pairs for _, pairs in found.values())
+        learn(set().union(*[masks for masks, _ in found.values()]))
         for a, d in wanted:
-            heapq.heappush(queue, (-fresh[a] / max(1, metrics.rows), -d, a))
+            heapq.heappush(queue, (-fresh[a] / max(1, found[a][1]), -d, a))
 
     if engine.attributes:
         sample([(a, 1) for a in engine.attributes])

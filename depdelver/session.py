@@ -81,11 +81,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 _open: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, with a folder for each value of the column ``by``, and return the table that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     atexit.register(_delete, spark, path)
@@ -109,6 +109,13 @@ def settle(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes on disk of a table made by :func:`cut`."""
+    jvm = df.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    return p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` that nothing reads any more."""
     _delete(df.sparkSession, df._cut_path)

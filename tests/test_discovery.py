@@ -7,7 +7,9 @@ from fixtures import FIXTURES, bridges, relation
 
 from depdelver.config import FDConfig
 from depdelver.functions import bits
-from depdelver.operators.validate import by_groups
+from depdelver.operators.codes import encode, written
+from depdelver.operators.prefixes import PrefixTables
+from depdelver.operators.validate import by_groups, violations
 from depdelver.plans.discover import Groups, Metrics, discover_fds
 from depdelver.sources.csv import CsvDescriptor
 
@@ -72,12 +74,13 @@ def test_groups_by_rows_of_prefixes(spark, seed, monkeypatch):
     """The rows of clusters of prefixes give what all rows give; one value has most of the rows."""
     monkeypatch.setattr(Groups, "STRIP", 0)
     monkeypatch.setattr(Groups, "ALIKE", 1)
-    monkeypatch.setattr(Groups, "CLUSTER", 10)
+    monkeypatch.setattr(Groups, "STAGES", 0)
     r = random.Random(seed)
     columns = ["a", "b", "c", "d"]
     rows = [(str(i // 2) if i < 24 else str(i), "x" if r.random() < 0.9 else str(i), r.choice(["p", "q", None]), str(i % 7)) for i in range(40)]
     for like in (True, False):
-        assert found(frame(spark, columns, rows), strategy="group", null_equals_null=like) == brute_fds(columns, rows, like)
+        for budget in (1 << 30, 0):  # with none, every table is given up again
+            assert found(frame(spark, columns, rows), strategy="group", null_equals_null=like, pli_cache_table_bytes=budget) == brute_fds(columns, rows, like)
 
 
 def test_broadcast_checks_the_size(spark):
@@ -98,8 +101,13 @@ def test_types(spark):
     df = spark.createDataFrame([([1.0, 2.0], -0.0, "x"), ([1.0, 2.0], 0.0, "x"), ([2.0], float("nan"), "y"), (None, float("nan"), "z")], "a array<double>, b double, c string")
     expected = {(frozenset("a"), "b"), (frozenset("a"), "c"), (frozenset("c"), "a"), (frozenset("c"), "b")}
     assert found(df, strategy="broadcast") == expected == found(df, strategy="group")
-    with pytest.raises(TypeError):
-        discover_fds(spark.sql("SELECT map(1, 2) AS m, 1 AS x"))
+    for wrong in ("map(1, 2)", "make_interval(1)"):
+        with pytest.raises(TypeError):
+            discover_fds(spark.sql(f"SELECT {wrong} AS m, 1 AS x"))
+    # Structs and arrays are compared by their values, not by a text of them.
+    tight = spark.sql("SELECT named_struct('t', timestamp_micros(a)) AS a, b, c FROM VALUES (100L, 1, array(0.0D)), (200L, 2, array(-0.0D)), (100L, 1, array(1.0D)) AS t(a, b, c)")
+    same = {(frozenset("a"), "b"), (frozenset("b"), "a")}
+    assert found(tight, strategy="broadcast") == same == found(tight, strategy="group")
 
 
 def test_wide_relation(spark):
@@ -111,13 +119,14 @@ def test_wide_relation(spark):
     few = df.select("c0", *[f"c{i}" for i in range(64, 70)])
     assert found(few, max_lhs_size=1) == {x for x in expected if x[0] <= set(few.columns) and x[1] in few.columns}
     # One aggregation, with agree sets of two words: what it refutes is what rows refute.
-    asked = {1 << 3: [0, 68, 69], 1 << 69 | 1 << 1: [2, 65]}
-    for lhs, rhs, seen in by_groups(df, asked, columns):
+    asked = {1 << 3: [0, 68, 69], 1 << 69 | 1 << 1: [2, 65], 0: [5]}
+    coded = written(encode(df, ordered=False)).rows
+    for lhs, rhs, seen in by_groups(coded, asked, 70):
         assert bits.is_subset(lhs, seen) and not bits.get(seen, rhs)
         assert any(all(r[i] == s[i] for i in bits.members(seen)) and r[rhs] != s[rhs] for r in rows for s in rows)
-    bad = {(lhs, a) for lhs, a, _ in by_groups(df, asked, columns)}
+    bad, staged = ({(lhs, a) for lhs, a, _ in by_groups(coded, asked, 70, stages=x)} for x in (False, True))
     at = lambda r, m: [r[i] for i in bits.members(m)]
-    assert bad == {(m, a) for m, xs in asked.items() for a in xs if any(at(r, m) == at(s, m) and r[a] != s[a] for r in rows for s in rows)}
+    assert bad == staged == {(m, a) for m, xs in asked.items() for a in xs if any(at(r, m) == at(s, m) and r[a] != s[a] for r in rows for s in rows)}
 
 
 def test_options(spark):
@@ -148,3 +157,49 @@ def test_every_dependency_is_minimal(spark):
     for lhs, a in out:
         assert holds(lhs, a)
         assert not any(holds(lhs - {x}, a) for x in lhs)
+
+
+def lineitem(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+
+
+def test_many_left_hand_sides_are_one_scan_and_one_exchange(spark):
+    rows = written(encode(lineitem(spark), ordered=False)).rows
+    sets = [(s, [i, (i + j) % 11]) for s, (i, j) in enumerate((i, j) for i in range(10) for j in (1, 2, 3))]
+    plan = violations([(rows, sets)], {s: [(m[1] + 1) % 11] for s, m in sets}, 11)._jdf.queryExecution().executedPlan().toString()
+    assert len(sets) == 30 and plan.count("FileScan parquet") == 1
+    assert plan.count("Exchange hashpartitioning(s") == 2  # by set and cluster; and, a row a set and task, by set
+
+
+def test_prefix_tables_hold_their_budget(spark):
+    coded = written(encode(lineitem(spark)))
+    kept = PrefixTables(coded.rows, len(coded.attributes), coded.n, 1 << 40)
+    at = {c: i for i, c in enumerate(coded.attributes)}
+    wanted = [tuple(sorted((at["l_partkey"], at[c]))) for c in ("l_quantity", "l_shipdate", "l_suppkey", "l_discount")]
+    kept.make(wanted)
+    rows = lineitem(spark).toPandas()
+    for p in wanted:
+        names = [coded.attributes[i] for i in p]
+        inside = rows.groupby(names)[names[0]].transform("size") > 1
+        t = kept.tables[p]
+        assert t.records == int(inside.sum()) and t.clusters == len(rows[inside][names].drop_duplicates())
+        if t.rows is not None:
+            assert t.rows.count() == t.records and t.bytes > 0
+    made = [p for p in wanted if kept.tables[p].rows is not None]
+    assert len(made) >= 2
+    for _ in range(3):
+        kept.read(made[-1], 2)
+    kept.budget = kept.tables[made[-1]].bytes  # room for the one that is read
+    kept.evict()
+    assert [p for p in made if kept.tables[p].rows is not None] == made[-1:] and kept.black == set(made[:-1])
+    kept.make(made)
+    assert kept.held(made[0]) == () and kept.tables[made[0]].records  # it is not made again, but what it told is known
+    kept.close()
+
+
+def test_sampling_counts_pairs(spark):
+    metrics = Metrics()
+    discover_fds(lineitem(spark).select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), strategy="group", metrics=metrics)
+    one = Metrics()
+    discover_fds(lineitem(spark).select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), strategy="broadcast", metrics=one)
+    assert metrics.comparisons and one.comparisons and metrics.fds == one.fds

@@ -1,5 +1,6 @@
 import os
 import random
+from itertools import combinations
 
 import pytest
 from hypothesis import given
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from depdelver.__main__ import main
 from depdelver.functions import bits
-from depdelver.operators import agree, cover, partitions
+from depdelver.operators import agree, codes, cover, partitions, sample
+from depdelver.operators.codes import encode, written
 from depdelver.operators.cover import Cover, prune_subsets, specialize_all
 from depdelver.operators.metrics import worth_caching
 from depdelver.session import cut, settle
@@ -178,10 +180,61 @@ def test_settle_deletes_tables_on_the_way(spark):
     assert out.count() == 2 and not os.path.exists(made[0]._cut_path.removeprefix("file:")) and os.path.exists(out._cut_path.removeprefix("file:"))
 
 
-def test_sampling_leaves_out_large_clusters(spark):
-    df = spark.range(100).select(F.col("id").alias("rid"), F.when(F.col("id") < 90, 0).otherwise(F.col("id") % 5).alias("a"), (F.col("id") % 3).alias("b"))
-    assert agree.neighbours(df.where("a > 0 OR rid < 90"), "a", ["a", "b"], "rid", largest=50).count() == 4
-    assert agree.neighbours(df, "a", ["a", "b"], "rid").count() == 95
+def test_sampling_of_a_hot_value_by_several_tasks(spark):
+    """Nine tenths of the rows have one value; all of its pairs are compared, by several tasks, whatever their borders are."""
+    r = random.Random(6)
+    rows = [(i, 0 if i < 450 else i % 5, r.randrange(4), r.randrange(3), r.choice([None, "x", "y"])) for i in range(500)]
+    df = spark.createDataFrame(rows, "rid long, a int, b int, c int, d string")
+    order = ["a", "b", "c", "d"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        for like in (True, False):
+            coded = written(encode(df.select(*order, "rid"), like, F.col("rid"), ordered=False, ranked=True))
+            plain = coded.rows.drop("c4")
+            for d in (1, 2, 90):
+                wanted = [(0, d), (2, 1)]
+                got = {(x["w"], tuple(x["words"])): x["pairs"] for x in sample.agree_sets(plain, 4, wanted).collect()}
+                expected = {}
+                for w, (a, far) in enumerate(wanted):
+                    for x in agree.sample(df, order[a], order, "rid", far, like).collect():
+                        expected[w, tuple(x["words"])] = x["pairs"]
+                assert got == expected
+            seen = {bits.from_words(words) for (w, words), _ in list(got.items())[::2]}
+            again = sample.agree_sets(plain, 4, wanted, seen).collect()
+            fresh = {(x["w"], tuple(x["words"])): x["pairs"] for x in again if x["words"] is not None}
+            assert fresh == {k: v for k, v in got.items() if bits.from_words(k[1]) not in seen}
+            assert sum(x["pairs"] for x in again) == sum(got.values())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("sent", "wide"), [(8 << 20, 24), (0, 24), (8 << 20, 1)])
+@pytest.mark.parametrize("like", [True, False])
+def test_codes_are_equal_where_values_are(spark, monkeypatch, sent, wide, like):
+    monkeypatch.setattr(codes, "SENT", sent)
+    monkeypatch.setattr(codes, "WIDE", wide)
+    r = random.Random(9)
+    nan = float("nan")
+    rows = [(i, r.choice([None, 1, 2]), r.choice([None, "", "x", "é"]), r.choice([None, 0.0, -0.0, nan]), r.choice([None, [0.0], [-0.0], [nan], []]), r.choice([None, (1,), (None,)]), 7, i, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "rid long, a int, b string, c double, d array<double>, e struct<x:int>, k int, u long, z int")
+    plain = lambda v: [plain(x) for x in v] if isinstance(v, (list, tuple)) else "nan" if v != v else v + 0.0 if isinstance(v, float) else v
+    for ordered in (True, False):
+        e = codes.written(encode(df.drop("rid"), like, None, ordered=ordered, ranked=True))
+        assert e.n == 60 and e.attributes[0] == ("u" if ordered else "a") and ("k" in e.attributes) != ordered
+        assert e.constants == ((["k", "z"] if like else ["k"]) if ordered else [])
+        at = {c: i for i, c in enumerate(e.attributes)}
+        got = {x[f"c{at['u']}"]: x for x in e.rows.collect()}  # ranks of u are its values
+        for c, i in at.items():
+            values = [repr(plain(x[c])) if x[c] is not None else None for x in df.orderBy("rid").collect()]
+            mine = [got[k][f"c{i}"] for k in range(60)]
+            for x, y in combinations(range(60), 2):
+                assert (mine[x] == mine[y]) == (values[x] == values[y] and (like or values[x] is not None))
+            assert e.distinct[i] == len(set(mine))
+            assert [got[k]["alone"][0] >> i & 1 for k in range(60)] == [int(mine.count(m) == 1) for m in mine]
+        matrix = e.matrix()
+        assert matrix.min() >= 0 and [len(set(x)) for x in matrix.T.tolist()] == e.distinct
 
 
 def test_maximal_sets(spark):
