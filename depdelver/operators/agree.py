@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.functions import bits
+from depdelver.operators.lattice import least, members
 from depdelver.operators.partitions import matches, name, window_by
 
 
@@ -58,10 +59,8 @@ def maximal_by_rhs(non_fds: DataFrame) -> DataFrame:
 def _maximal(sets: DataFrame, mask: str, by: list[str]) -> DataFrame:
     """An equi-join: a set that contains another one has all its attributes, so also its least."""
     x = F.col(mask)
-    least = F.when(x == 0, F.lit(0).cast("long")).otherwise(x.bitwiseAND(-x))
-    small = sets.select(*by, mask, least.alias("bit"))
-    others = F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits.WORD - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda b: x.bitwiseAND(b) != 0), lambda b: b)
-    large = sets.select(*by, x.alias("outer"), F.explode(F.array_append(others, F.lit(0).cast("long"))).alias("bit"))
+    small = sets.select(*by, mask, least(x).alias("bit"))
+    large = sets.select(*by, x.alias("outer"), F.explode(members(x)).alias("bit"))
     a, b = small.alias("a"), large.alias("b")
     same = F.col("a.bit") == F.col("b.bit")
     for c in by:

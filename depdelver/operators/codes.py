@@ -110,13 +110,13 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
 
     Values are compared as what they are, structs and arrays too: NaN equals NaN, -0.0 equals 0.0.
     With nulls unlike each other, a null's code is negative and its own. ``rid``: a row's number
-    (by default one is given). ``ordered``: the attribute with the most values comes first and
+    (by default one that no other row has, which nulls unlike each other need). ``ordered``: the attribute with the most values comes first and
     constants are left out; else all are there, in the order of the schema. ``ranked``: codes are
     ranks, nulls first. The rows are a plan; write them before they are read twice.
 
     Each attribute is a join with its part of the dictionary, which is sent to the executors or, if it is larger
     than SENT bytes, shuffled; a value in a third of all rows is split by adaptive execution. Rows
-    of WIDE attributes or more meet a dictionary of up to SENT bytes cell by cell, by one join.
+    of WIDE attributes or more meet the dictionary cell by cell, by one join.
     """
     columns, slot = df.columns, cells_of(df).slot
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -136,8 +136,9 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
         code, single = F.col("code").cast(kind), F.col("rows") == 1
         return (code, single) if null_equals_null else (F.when(null, -1 - F.col("rid")).otherwise(code), single | null)
 
-    if len(at) >= WIDE and sum(s["bytes"] for s in stats) <= SENT:
-        rows = _by_cells(df, number, values, at, coded, kind)
+    if len(at) >= WIDE:
+        small = sum(s["bytes"] for s in stats) <= SENT
+        rows = _by_cells(df, number, F.broadcast(values) if small else values, at, coded)
     else:
         rows = df.select(number, *[name(columns[i]).alias(f"v{k}") for k, i in enumerate(at)])
         for k, i in enumerate(at):
@@ -150,16 +151,16 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
     return Encoded(rows.select("rid", *[f"c{k}" for k in range(len(at))], alone.alias("alone")), [columns[i] for i in at], [distinct[i] for i in at], constants, n)
 
 
-def _by_cells(df: DataFrame, number: Column, values: DataFrame, at: list[int], coded, kind: str) -> DataFrame:
+def _by_cells(df: DataFrame, number: Column, values: DataFrame, at: list[int], coded) -> DataFrame:
     """(rid, c0, ..., a0, ...): one join of all cells with the dictionary, and one aggregation that puts rows together again."""
-    df = df.select(number, *[name(c).alias(f"x{i}") for i, c in enumerate(df.columns)])  # before a row is many cells
-    cells = cells_of(df.drop("rid"))
+    df = df.select(F.monotonically_increasing_id().alias("row"), number, *[name(c).alias(f"x{i}") for i, c in enumerate(df.columns)])  # before a row is many cells
+    cells = cells_of(df.drop("row", "rid"))
     own, met = values.select(F.col("attr").alias("of"), *[F.col(v).alias(f"d{v}") for v in cells.slots], "rows", "code"), F.col("attr") == F.col("of")
     for v in cells.slots:
         met = met & F.col(v).eqNullSafe(F.col(f"d{v}"))
     code, single = coded(reduce(lambda a, b: a & b, [F.col(v).isNull() for v in cells.slots]))
-    joined = df.select("rid", cells.cells).join(F.broadcast(own), met)
-    held = joined.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.struct(code.alias("c"), single.alias("a"))))).alias("x"))
+    joined = df.select("row", "rid", cells.cells).join(own, met)
+    held = joined.groupBy("row", "rid").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.struct(code.alias("c"), single.alias("a"))))).alias("x"))
     get = lambda i: F.element_at("x", F.lit(i))
     return held.select("rid", *[get(i)["c"].alias(f"c{k}") for k, i in enumerate(at)], *[get(i)["a"].alias(f"a{k}") for k, i in enumerate(at)])
 

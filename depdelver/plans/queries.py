@@ -5,6 +5,7 @@ All run over whole tables; ``fd_row_limit`` alone limits rows, which is what it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from itertools import combinations
 
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depdelver.functions import bits
-from depdelver.operators import agree, metrics, partitions, validate
-from depdelver.operators.cover import Cover
+from depdelver.operators import agree, lattice, metrics, partitions, validate
+from depdelver.operators.codes import encode, written
 from depdelver.operators.partitions import name
+from depdelver.operators.prefixes import PrefixTables
+from depdelver.operators.sample import agree_sets
 from depdelver.plans.discover import discover_fds
 from depdelver.sources.csv import CsvDescriptor, render_line, write_text
 from depdelver.session import cut, shared_dir
@@ -93,6 +96,23 @@ query("fd_part_k1_cube", fd_sql("SELECT * FROM part", COLUMNS["part"], 1) + FD_S
 query("fd_supplier_groups", SQL["fd_supplier"])(_fd("supplier", strategy="group"))
 query("fd_orders_broadcast", SQL["fd_orders"])(_fd("orders", strategy="broadcast"))
 
+query("fd_orders_groups", SQL["fd_orders"])(_fd("orders", strategy="group"))
+query("fd_lineitem_groups_k2", SQL["fd_lineitem_k2"])(_fd("lineitem", strategy="group", max_lhs_size=2))
+
+_TYPED = "SELECT o_orderkey, o_orderkey % 500 AS t, CASE WHEN o_orderkey % 3 < 2 THEN 0 ELSE o_custkey END AS v, o_orderdate, o_orderstatus FROM orders"
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with times that differ by microseconds in a struct, and arrays with zeros of either sign."""
+    key = F.col("o_orderkey")
+    t = F.struct(F.timestamp_micros(key % 500).alias("t")).alias("t")
+    v = F.array(F.when(key % 3 == 0, F.lit(-0.0)).when(key % 3 == 1, F.lit(0.0)).otherwise(F.col("o_custkey").cast("double"))).alias("v")
+    return load(spark, sf_dir, "orders").select("o_orderkey", t, v, "o_orderdate", "o_orderstatus")
+
+
+for _s in ("broadcast", "group", "auto"):
+    query(f"fd_typed_{_s}", fd_sql(_TYPED, ["o_orderkey", "t", "v", "o_orderdate", "o_orderstatus"]) + FD_SELECT)(lambda spark, sf_dir, s=_s: flat(discover_fds(typed(spark, sf_dir), strategy=s)))
+
 _NULLED = "SELECT c_custkey, c_name, NULLIF(c_nationkey, 3) AS c_nationkey, c_acctbal, NULLIF(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer"
 
 
@@ -148,12 +168,18 @@ def fd_row_limit(spark, sf_dir):
     return flat(discover_fds(load(spark, sf_dir, "orders").orderBy("o_orderkey"), row_limit=500))
 
 
+def place(spark: SparkSession) -> tuple[str, str]:
+    """A folder of its own for a file that is written and read, and the name in it."""
+    return f"{shared_dir(spark)}/queries", uuid.uuid4().hex
+
+
 @query("csv_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def csv_scan(spark, sf_dir):
     """The nations through a delimited file and back."""
-    path = f"{shared_dir(spark)}/csv-scan"
+    folder, file = place(spark)
+    path = f"{folder}/{file}"
     load(spark, sf_dir, "nation").coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True)
-    return CsvDescriptor(name="csv-scan", path=shared_dir(spark), ending="").read(spark)
+    return CsvDescriptor(name=file, path=folder, ending="").read(spark)
 
 
 @query("csv_multiline", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || chr(10) || c_mktsegment || chr(10) || '\"x\", y' AS note, c_mktsegment FROM customer")
@@ -161,9 +187,30 @@ def csv_multiline(spark, sf_dir):
     """The customers, with line feeds, quotes and separators inside of quotes, through a delimited file and back."""
     note = F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit('\n"x", y')).alias("note")
     rows = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), note, "c_mktsegment")
-    path = f"{shared_dir(spark)}/csv-multiline"
+    folder, file = place(spark)
+    path = f"{folder}/{file}"
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
-    return CsvDescriptor(name="csv-multiline", path=shared_dir(spark), ending="", escape='"').read(spark)
+    return CsvDescriptor(name=file, path=folder, ending="", escape='"').read(spark)
+
+
+_NOTE = "l_returnflag || chr(10) || chr(10) || CAST(l_partkey AS VARCHAR) || '\"a\", b' || chr(10) || l_linestatus"
+
+
+@query("csv_multiline_parts", f"SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, {_NOTE} AS note, CAST(l_suppkey AS VARCHAR) AS l_suppkey FROM lineitem")
+def csv_multiline_parts(spark, sf_dir):
+    """The lineitems with line feeds inside of quotes, through many files that are read in small splits, several of them a task."""
+    note = F.concat("l_returnflag", F.lit("\n\n"), F.col("l_partkey").cast("string"), F.lit('"a", b\n'), "l_linestatus").alias("note")
+    rows = load(spark, sf_dir, "lineitem").select(*[F.col(c).cast("string").alias(c) for c in ("l_orderkey", "l_linenumber")], note, F.col("l_suppkey").cast("string").alias("l_suppkey"))
+    folder, file = place(spark)
+    rows.repartition(9).write.csv(f"{folder}/{file}", header=True, quoteAll=True, escape='"')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return CsvDescriptor(name=file, path=folder, ending="", escape='"').read(spark)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @query(
@@ -175,11 +222,12 @@ def csv_options(spark, sf_dir):
     null string, leading white space, and lines of another width, which are dropped."""
     key = F.when(F.col("s_suppkey") % 7 == 0, "NULL").otherwise(F.col("s_suppkey").cast("string"))
     line = F.concat(F.lit("  "), key, F.lit(";'"), "s_name", F.lit("';"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 5 == 0, ";more").otherwise(""))
-    path = f"{shared_dir(spark)}/csv-options"
+    folder, file = place(spark)
+    path = f"{folder}/{file}"
     rows = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), line.alias("value"))
     first = spark.createDataFrame([(-2, "one line; to skip"), (-1, "a;b;c")], rows.schema)  # the second gives the width and is dropped
     first.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
-    df = CsvDescriptor(name="csv-options", path=shared_dir(spark), ending="", header=False, separator=";", quote="'", skip_lines=1, null_string="NULL").read(spark)
+    df = CsvDescriptor(name=file, path=folder, ending="", header=False, separator=";", quote="'", skip_lines=1, null_string="NULL").read(spark)
     return df.where("column2 <> 'b'")
 
 
@@ -187,17 +235,19 @@ def csv_options(spark, sf_dir):
 def csv_strict_quotes(spark, sf_dir):
     """Only what stands in quotes is a value."""
     line = F.concat(F.lit('"'), "r_name", F.lit('",bare,"'), F.col("r_regionkey").cast("string"), F.lit('"'))
-    path = f"{shared_dir(spark)}/csv-strict"
+    folder, file = place(spark)
+    path = f"{folder}/{file}"
     rows = load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("k"), line.alias("value"))
     spark.createDataFrame([(-1, '"a","b","c"')], rows.schema).unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
-    return CsvDescriptor(name="csv-strict", path=shared_dir(spark), ending="", strict_quotes=True).read(spark)
+    return CsvDescriptor(name=file, path=folder, ending="", strict_quotes=True).read(spark)
 
 
 @query("fd_text_sink", f"SELECT string_split(line, ' --> ')[2] || '.txt' AS file, line || chr(13) AS line FROM ({SQL['fd_text_lines']})")
 def fd_text_sink(spark, sf_dir):
     """The dependencies by the text files that they are written to."""
     orders = load(spark, sf_dir, "orders")
-    path = f"{shared_dir(spark)}/text-sink"
+    folder, file = place(spark)
+    path = f"{folder}/{file}"
     write_text(discover_fds(orders), path, partitions.attribute_order(orders, _O))
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("line"))
@@ -246,6 +296,31 @@ def coded_records(spark, sf_dir):
     return partitions.coded(load(spark, sf_dir, "part"), _P[1:], "p_partkey").withColumnRenamed("p_partkey", "rid")
 
 
+@query("dictionary_codes", "SELECT l_orderkey * 8 + l_linenumber AS rid, " + ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in _L) + " FROM lineitem")
+def dictionary_codes(spark, sf_dir):
+    """Each attribute's values by their ranks, made by the executors."""
+    rows = load(spark, sf_dir, "lineitem")
+    found = encode(rows, rid=F.col("l_orderkey") * 8 + F.col("l_linenumber"), ordered=False, ranked=True)
+    return found.rows.select("rid", *[F.col(f"c{i}").alias(c) for i, c in enumerate(_L)])
+
+
+_PREFIXES = [("l_suppkey", "l_quantity"), ("l_partkey", "l_quantity"), ("l_suppkey", "l_shipdate"), ("l_quantity", "l_discount", "l_tax")]
+
+
+@query(
+    "prefix_tables",
+    " UNION ALL ".join(f"SELECT '{','.join(p)}' AS prefix, count(*) AS clusters, CAST(coalesce(sum(k), 0) AS BIGINT) AS records FROM (SELECT count(*) AS k FROM lineitem GROUP BY {', '.join(p)} HAVING count(*) > 1)" for p in _PREFIXES),
+)
+def prefix_tables(spark, sf_dir):
+    """Clusters of several sets of attributes, and the rows in them, by one aggregation of coded rows."""
+    coded = written(encode(load(spark, sf_dir, "lineitem"), ordered=False))
+    held = PrefixTables(coded.rows, len(_L), coded.n, 1 << 40)
+    held.make([tuple(_L.index(c) for c in p) for p in _PREFIXES])
+    found = [held.tables[tuple(_L.index(c) for c in p)] for p in _PREFIXES]  # a row a prefix
+    held.close()
+    return spark.createDataFrame([(",".join(p), t.clusters, t.records) for p, t in zip(_PREFIXES, found, strict=True)], "prefix string, clusters long, records long")
+
+
 @query("unique_records", "SELECT count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY p_name) AS a, count(*) OVER (PARTITION BY p_retailprice) AS b FROM part) WHERE a = 1 OR b = 1")
 def unique_records(spark, sf_dir):
     rows = partitions.coded(load(spark, sf_dir, "part"), ["p_name", "p_retailprice"], "p_partkey")
@@ -279,6 +354,20 @@ _CANDIDATES = [(["o_custkey"], "o_orderstatus"), (["o_orderkey"], "o_totalprice"
     " UNION ALL ".join(f"SELECT '{','.join(x)}' AS lhs, '{a}' AS rhs, NOT EXISTS (SELECT 1 FROM orders GROUP BY {', '.join(x)} HAVING count(DISTINCT {a}) > 1) AS valid" for x, a in _CANDIDATES),
 )
 def validate_batch(spark, sf_dir):
+    return validate.valid_flags(load(spark, sf_dir, "orders"), _CANDIDATES).select("lhs", "rhs", "valid")
+
+
+_RANKS = "SELECT *, " + ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS r_{c}" for c in _O) + " FROM orders"
+
+
+def _early_sql(lhs: list[str], rhs: str) -> str:
+    mixed = " + ".join(f"r_{c} * {31**j % 1_000_003}" for j, c in enumerate(lhs))
+    return f"SELECT '{','.join(lhs)}' AS lhs, '{rhs}' AS rhs, min(share) IS NULL AS valid, min(share) AS share FROM (SELECT CAST(any_value(({mixed}) % {validate.SHARES}) AS BIGINT) AS share FROM ranks GROUP BY {', '.join(lhs)} HAVING count(DISTINCT {rhs}) > 1)"
+
+
+@query("validate_early", f"WITH ranks AS ({_RANKS}) " + " UNION ALL ".join(_early_sql(x, a) for x, a in _CANDIDATES))
+def validate_early(spark, sf_dir):
+    """Candidates with the first share of their clusters that has a violation: what comes after it need not be read."""
     return validate.valid_flags(load(spark, sf_dir, "orders"), _CANDIDATES)
 
 
@@ -362,6 +451,61 @@ def agree_sets_union(spark, sf_dir):
     return agree.merge_seen(line_masks(spark, sf_dir, "l_partkey", 1), line_masks(spark, sf_dir, "l_suppkey", 1))
 
 
+#: Row numbers of lineitem without two alike: an order has a line number more than once.
+_NUMBER = "((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 4096 + CAST(round(l_extendedprice * 100) AS BIGINT) % 4096"
+_NUMBERED = f"(SELECT *, {_NUMBER} AS rid FROM lineitem)"
+
+
+def coded_lines(spark, sf_dir) -> DataFrame:
+    return written(encode(load(spark, sf_dir, "lineitem").select(*_LO), rid=F.expr(_NUMBER), ordered=False, ranked=True)).rows
+
+
+@query(
+    "agree_sets_hot",
+    _agree_sql(_NUMBERED, "l_returnflag", _LO, "rid", 1).replace("SELECT DISTINCT", "SELECT").replace(" AS mask", " AS mask, count(*) AS pairs") + " GROUP BY 1",
+)
+def agree_sets_hot(spark, sf_dir):
+    """Neighbours among the rows of three values, each in many tasks."""
+    return agree_sets(coded_lines(spark, sf_dir), len(_LO), [(_LO.index("l_returnflag"), 1)]).select(F.get("words", 0).alias("mask"), "pairs")
+
+
+@query("agree_sets_again", SQL["agree_sets_new"].replace(_LINES, _NUMBERED))
+def agree_sets_again(spark, sf_dir):
+    """A sample that brings only what an earlier one did not have."""
+    rows, at = coded_lines(spark, sf_dir), _LO.index("l_suppkey")
+    seen = {bits.from_words(r["words"]) for r in agree_sets(rows, len(_LO), [(at, 1)]).collect()}  # sets of 11 attributes
+    return agree_sets(rows, len(_LO), [(at, 3)], seen).where("words IS NOT NULL").select(F.get("words", 0).alias("mask"))
+
+
+#: 71 attributes of lineitem: its own, ever coarser.
+_LEVELS = {"l_orderkey": 15, "l_partkey": 11, "l_suppkey": 7, "l_linenumber": 3, "CAST(l_quantity AS INTEGER)": 6, "CAST(floor(l_extendedprice) AS INTEGER)": 17, "{days}": 10}
+_WIDE = [f"w{i}" for i in range(71)]
+
+
+def _coarse(days: str, shift: str) -> list[str]:
+    return [shift.format(x=x.format(days=days), k=k) for x, n in _LEVELS.items() for k in range(n)] + ["l_returnflag", "l_linestatus"]
+
+
+_WIDE_AT = [26, 59]  # the supplier and the day
+_DAYS = "date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE))"
+_WIDE_ROWS = f"(SELECT {', '.join(f'{x} AS {w}' for x, w in zip(_coarse(_DAYS, '({x} >> {k})'), _WIDE, strict=True))}, (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey AS rid FROM lineitem)"
+_WIDE_SETS = " UNION ".join(_agree_sql(_WIDE_ROWS, _WIDE[a], _WIDE, "rid", 1).replace("AS BIGINT", "AS HUGEINT").replace(" THEN ", " THEN CAST('").replace(" ELSE 0", "' AS HUGEINT) ELSE 0") for a in _WIDE_AT)
+
+
+@query(
+    "maximal_wide",
+    f"WITH s AS MATERIALIZED (SELECT DISTINCT mask FROM ({_WIDE_SETS})) SELECT (SELECT string_agg(CAST(r.i AS VARCHAR), ',' ORDER BY r.i) FROM range(71) r(i) WHERE (s.mask >> CAST(r.i AS HUGEINT)) & 1 = 1) AS attributes FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.mask <> s.mask AND (s.mask & t.mask) = s.mask)",
+)
+def maximal_wide(spark, sf_dir):
+    """Agree sets of more attributes than a word has bits, inside no other one."""
+    coarse = _coarse("datediff(CAST(l_shipdate AS DATE), DATE '1990-01-01')", "shiftright({x}, {k})")
+    rows = load(spark, sf_dir, "lineitem").select(*[F.expr(x).alias(w) for x, w in zip(coarse, _WIDE, strict=True)])
+    key, part, line = (F.col(_WIDE[i]).cast("long") for i in (0, 15, 33))  # whole ones
+    coded = written(encode(rows, rid=(key * 8 + line) * 1048576 + part, ordered=False, ranked=True))
+    found = lattice.maximal_words(agree_sets(coded.rows, 71, [(a, 1) for a in _WIDE_AT]), 71)
+    return found.select(F.array_join(lattice.attributes(F.col("words"), 71).cast("array<string>"), ",").alias("attributes"))
+
+
 _MASKS = f"({SQL['agree_sets_union']})"
 
 
@@ -411,17 +555,15 @@ _ASKED = "SELECT DISTINCT CAST(p_partkey & 4095 AS BIGINT) AS q FROM part"
 _REFUTED = 0b011110110110
 
 
-def stored(spark, sf_dir) -> list[int]:
+def stored(spark, sf_dir) -> DataFrame:
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(c) % 12).cast("int"))
-    rows = load(spark, sf_dir, "part").where("p_partkey % 12 <> p_size % 12").select(bit("p_partkey").bitwiseOR(bit("p_size"))).distinct()
-    return sorted(r[0] for r in rows.collect())  # pairs of 12 attributes: 66 at most
+    return load(spark, sf_dir, "part").where("p_partkey % 12 <> p_size % 12").select(bit("p_partkey").bitwiseOR(bit("p_size")).alias("lhs")).distinct()
 
 
 @query("generalizations", f"WITH s AS ({_STORED}), a AS ({_ASKED}) SELECT q, x AS lhs FROM a JOIN s ON (x & q) = x")
 def generalizations(spark, sf_dir):
-    cover = Cover(12, 13, stored(spark, sf_dir))
-    asked = [r[0] for r in load(spark, sf_dir, "part").select(F.col("p_partkey").bitwiseAND(F.lit(4095)).cast("long")).distinct().collect()]  # 4096 at most
-    return spark.createDataFrame([(q, m) for q in asked for m in cover.generalizations(q)], "q long, lhs long")
+    asked = load(spark, sf_dir, "part").select(F.col("p_partkey").bitwiseAND(F.lit(4095)).cast("long").alias("q")).distinct()
+    return lattice.subsets(asked, stored(spark, sf_dir))
 
 
 @query(
@@ -432,9 +574,21 @@ def generalizations(spark, sf_dir):
     SELECT CAST(x AS BIGINT) AS lhs FROM every e WHERE NOT EXISTS (SELECT 1 FROM every f WHERE f.x <> e.x AND (f.x & e.x) = f.x)""",
 )
 def specialize_step(spark, sf_dir):
-    cover = Cover(12, 13, stored(spark, sf_dir))
-    cover.specialize(_REFUTED)
-    return spark.createDataFrame([(m,) for m in cover], "lhs long")
+    rhs = F.lit(12).alias("rhs")
+    refuted = spark.range(1).select(rhs, F.lit(_REFUTED).cast("long").alias("lhs"))
+    return lattice.induce(stored(spark, sf_dir).select(rhs, "lhs"), refuted, 13).select("lhs")
+
+
+_EVERY = "every AS (SELECT CAST(r.i AS INTEGER) AS rhs, CAST(m.i AS BIGINT) AS lhs FROM range(11) r(i), range(1, 2048) m(i) WHERE (m.i >> r.i) & 1 = 0)"
+
+
+@query(
+    "induced_covers",
+    _RHS.rstrip() + f", {_EVERY}, v AS (SELECT rhs, lhs FROM every e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.rhs = e.rhs AND (e.lhs & n.lhs) = e.lhs)) SELECT rhs, lhs FROM v WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.rhs = v.rhs AND w.lhs <> v.lhs AND (w.lhs & v.lhs) = w.lhs)",
+)
+def induced_covers(spark, sf_dir):
+    """The covers of all right-hand sides that the agree sets of a sample leave, from table to table."""
+    return lattice.induce(lattice.initial(spark, len(_LO)), non_fds(spark, sf_dir), len(_LO))
 
 
 # -- Figures -----------------------------------------------------------------------------------
