@@ -131,9 +131,9 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
     number = (F.monotonically_increasing_id() if rid is None else rid.cast("long")).alias("rid")
     kind = "int" if n < 1 << 31 and null_equals_null else "long"
 
-    def coded(null: Column) -> tuple[Column, Column]:
+    def coded(null: Column, code: Column, many: Column) -> tuple[Column, Column]:
         """Code and whether the value is alone, from a row of the dictionary."""
-        code, single = F.col("code").cast(kind), F.col("rows") == 1
+        code, single = code.cast(kind), many == 1
         return (code, single) if null_equals_null else (F.when(null, -1 - F.col("rid")).otherwise(code), single | null)
 
     if len(at) >= WIDE:
@@ -141,12 +141,13 @@ def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = No
         rows = _by_cells(df, number, F.broadcast(values) if small else values, at, coded)
     else:
         rows = df.select(number, *[name(columns[i]).alias(f"v{k}") for k, i in enumerate(at)])
+        found = []
         for k, i in enumerate(at):
-            own = values.where(F.col("attr") == i).select(F.col(f"v{slot[i]}").alias("value"), "rows", "code")
-            rows = rows.join(F.broadcast(own) if stats[i]["bytes"] <= SENT else own, F.col(f"v{k}").eqNullSafe(F.col("value")))
-            code, single = coded(F.col(f"v{k}").isNull())
-            done = [f"{x}{j}" for x in "ca" for j in range(k)]
-            rows = rows.select("rid", *done, code.alias(f"c{k}"), single.alias(f"a{k}"), *[f"v{j}" for j in range(k + 1, len(at))])
+            own = values.where(F.col("attr") == i).select(F.col(f"v{slot[i]}").alias(f"value{k}"), F.col("rows").alias(f"rows{k}"), F.col("code").alias(f"code{k}"))
+            rows = rows.join(F.broadcast(own) if stats[i]["bytes"] <= SENT else own, F.col(f"v{k}").eqNullSafe(F.col(f"value{k}")))
+            code, single = coded(F.col(f"v{k}").isNull(), F.col(f"code{k}"), F.col(f"rows{k}"))
+            found += [code.alias(f"c{k}"), single.alias(f"a{k}")]
+        rows = rows.select("rid", *found)
     alone = bits.words([F.col(f"a{k}") for k in range(len(at))]) if at else F.array().cast("array<long>")
     return Encoded(rows.select("rid", *[f"c{k}" for k in range(len(at))], alone.alias("alone")), [columns[i] for i in at], [distinct[i] for i in at], constants, n)
 
@@ -158,7 +159,7 @@ def _by_cells(df: DataFrame, number: Column, values: DataFrame, at: list[int], c
     own, met = values.select(F.col("attr").alias("of"), *[F.col(v).alias(f"d{v}") for v in cells.slots], "rows", "code"), F.col("attr") == F.col("of")
     for v in cells.slots:
         met = met & F.col(v).eqNullSafe(F.col(f"d{v}"))
-    code, single = coded(reduce(lambda a, b: a & b, [F.col(v).isNull() for v in cells.slots]))
+    code, single = coded(reduce(lambda a, b: a & b, [F.col(v).isNull() for v in cells.slots]), F.col("code"), F.col("rows"))
     joined = df.select("row", "rid", cells.cells).join(own, met)
     held = joined.groupBy("row", "rid").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.struct(code.alias("c"), single.alias("a"))))).alias("x"))
     get = lambda i: F.element_at("x", F.lit(i))

@@ -108,15 +108,16 @@ def by_groups(rows: DataFrame, candidates: dict[int, list[int]], n: int, tables:
     return out
 
 
-def valid_flags(df: DataFrame, candidates: list[tuple[list[str], str]], null_equals_null: bool = True) -> DataFrame:
+def valid_flags(df: DataFrame, candidates: list[tuple[list[str], str]], null_equals_null: bool = True, ranked: bool = False) -> DataFrame:
     """(lhs, rhs, valid, share) for a list of candidates by name: all left-hand sides by one scan and one exchange.
 
-    share: the first of the SHARES parts of clusters with a violation, null for a valid candidate.
+    share: the first of the SHARES parts of clusters with a violation, null for a valid candidate;
+    with ``ranked``, clusters are dealt by the ranks of their values.
     """
     at = {c: i for i, c in enumerate(df.columns)}
     sets = list(dict.fromkeys(tuple(at[c] for c in lhs) for lhs, _ in candidates))
     asked = df.sparkSession.createDataFrame([(sets.index(tuple(at[c] for c in lhs)), ",".join(lhs), rhs, at[rhs]) for lhs, rhs in candidates], "s int, lhs string, rhs string, a int")
-    rows = encode(df, null_equals_null, ordered=False, ranked=True).rows
+    rows = encode(df, null_equals_null, ordered=False, ranked=ranked).rows
     n = len(df.columns)
     parts = [(s, list(m)) for s, m in enumerate(sets)]
     keyed = expanded([(rows, parts)], [f"c{i}" for i in range(n)])

@@ -368,7 +368,7 @@ def _early_sql(lhs: list[str], rhs: str) -> str:
 @query("validate_early", f"WITH ranks AS ({_RANKS}) " + " UNION ALL ".join(_early_sql(x, a) for x, a in _CANDIDATES))
 def validate_early(spark, sf_dir):
     """Candidates with the first share of their clusters that has a violation: what comes after it need not be read."""
-    return validate.valid_flags(load(spark, sf_dir, "orders"), _CANDIDATES)
+    return validate.valid_flags(load(spark, sf_dir, "orders"), _CANDIDATES, ranked=True)
 
 
 @query(
