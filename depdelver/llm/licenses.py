@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ PERCENT = 75
 LINE_PERCENT = 50
 #: Bytes of templates that are sent to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Bits of the maps by which lines are passed over: a line costs the same, however many templates there are.
+BITS = 1 << 20
 
 # Notices and license texts, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -122,17 +125,32 @@ def _pairs(w: Column) -> Column:
     return F.array_distinct(F.when(n > 1, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(w))
 
 
+def bitmap(terms: set[str]) -> Column:
+    """Bits by the crc32 of some terms, in longs; its size does not depend on the terms."""
+    words = [0] * (BITS // 64)
+    for t in terms:
+        h = zlib.crc32(t.encode()) % BITS
+        words[h // 64] |= 1 << h % 64
+    return F.split(F.lit(" ".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), " ").cast("array<long>")
+
+
+def maybe(bits: Column, term: Column) -> Column:
+    """Whether a term may be one of a bitmap's: never false for one that is."""
+    h = F.crc32(term) % BITS
+    return F.getbit(F.element_at(bits, (F.floor(h / 64) + 1).cast("int")), (h % 64).cast("int")) == 1
+
+
 def _wrapped(rows: DataFrame, owners: DataFrame, known: Column, telling: Column, line_percent: int) -> DataFrame:
     """Words of each run of lines that are pieces of one template: doc_id, w.
 
-    Lines that have too few of the bigrams ``known`` from any template go at once; what is left
-    is joined to the templates by bigram and shuffled by row and template.
+    Lines that have too few of the bigrams of any template, by the bitmap ``known``, go at once; what is
+    left is joined to the templates by bigram and shuffled by row and template.
     """
     rows = rows.select("doc_id", "t", F.monotonically_increasing_id().alias("row"))  # no key of the documents tells their rows apart
     words = F.filter(F.transform(F.split("t", "\n"), _words), lambda x: F.size(x) > 0)
     lines = rows.select("doc_id", "row", F.posexplode(words).alias("place", "w"))
     lines = lines.select("*", F.explode(F.array(_pairs(F.col("w")))).alias("b"))
-    lines = lines.where(100 * F.size(F.array_intersect("b", known)) >= line_percent * F.size("b"))
+    lines = lines.where(100 * F.size(F.filter("b", lambda g: maybe(known, g))) >= line_percent * F.size("b"))
     met = lines.select("doc_id", "row", "place", "w", F.size("b").alias("k"), F.explode("b").alias("gram")).join(owners, "gram")
     pieces = met.groupBy("row", "i", "place").agg(F.first("doc_id").alias("doc_id"), F.first("w").alias("w"), F.first("k").alias("k"), F.count("*").alias("n"))
     pieces = pieces.where(100 * F.col("n") >= line_percent * F.col("k"))
@@ -140,7 +158,7 @@ def _wrapped(rows: DataFrame, owners: DataFrame, known: Column, telling: Column,
     starts = pieces.withColumn("starts", F.coalesce(F.col("place") - F.lag("place").over(order) > 2, F.lit(True)).cast("int"))
     runs = starts.withColumn("run", F.sum("starts").over(order)).groupBy("row", "i", "run")
     found = runs.agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("x")).where(F.size("x") > 1)
-    return found.select("doc_id", F.flatten("x.w").alias("w")).where(F.arrays_overlap("w", telling))
+    return found.select("doc_id", F.flatten("x.w").alias("w")).where(F.exists("w", lambda w: maybe(telling, w)))
 
 
 def scan(
@@ -162,12 +180,13 @@ def scan(
     no rows.
 
     Texts without any of the words that a match must have are left out by one look at their
-    words. The others are written as a table and meet the templates, a fixed list, by size; only
+    words, and so are units, by a bitmap of these. The others are written as a table and meet the templates, a fixed list, by size; only
     matches, and lines that may be pieces, are shuffled.
     """
     table = _table(templates)
     spark = docs.sparkSession
-    telling = F.split(F.lit(" ".join(telling_words(table, percent))), " ")
+    words = telling_words(table, percent)
+    telling, told = F.split(F.lit(" ".join(words)), " "), bitmap(set(words))
     # The sizes of a text that can reach each template: Dice is at most 2 * smaller / both.
     sized = [(k, -i) for i, (_, _, own) in enumerate(table) for k in range(-(-percent * len(own) // (200 - percent)), (200 - percent) * len(own) // percent + 1)]
     grams = [(-i, name, number, len(own), own) for i, (name, number, own) in enumerate(table)]
@@ -176,7 +195,7 @@ def scan(
     sent = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema)) if small else spark.createDataFrame(rows, schema)
     sized = sent(sized, "k int, i int")
     owners = sent([(i, g) for i, _, _, _, own in grams for g in own], "i int, gram string")
-    known = F.split(F.lit("\t".join(sorted({g for _, _, own in table for g in own}))), "\t")
+    known = bitmap({g for _, _, own in table for g in own})
     grams = sent(grams, "i int, license string, template int, template_size int, grams array<string>")
     t = F.col("t")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
@@ -185,8 +204,8 @@ def scan(
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE)))
     units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(t), lines, sentences))).alias("u"))
     # Exploding once more keeps the words from being made again wherever they are used.
-    words = units.select("doc_id", F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.arrays_overlap("w", telling))
-    words = words.unionByName(_wrapped(rows, owners, known, telling, line_percent))
+    words = units.select("doc_id", F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.exists("w", lambda w: maybe(told, w)))
+    words = words.unionByName(_wrapped(rows, owners, known, told, line_percent))
     sets = words.select("doc_id", "w", F.explode(F.array(_pairs(F.col("w")))).alias("b")).withColumn("k", F.size("b"))
     met = sets.join(sized, "k").join(grams, "i").withColumn("shared", F.size(F.array_intersect("b", "grams")))
     met = met.where(200 * F.col("shared") >= percent * (F.col("k") + F.col("template_size")))
