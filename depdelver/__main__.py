@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--pli-cache-prefix", type=int, default=FDConfig.pli_cache_prefix, help="attributes of the prefixes whose partitions are kept")
     p.add_argument("--strategy", choices=STRATEGIES, default="auto")
     p.add_argument("--workers", default="*", help="local threads, where no master is set")
+    p.add_argument("--max-bytes", type=int, help="memory of candidates beyond which the largest are given up")
+    p.add_argument("--results", help="folder to which results are appended when they are final, and from which a broken run goes on")
     p.add_argument("--output", help="folder for one text file a right-hand side; else lines are printed")
     return p
 
@@ -63,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
             skip_lines=a.skip_lines,
             skip_differing_lines=not a.fail_on_differing_lines,
         ).read(spark)
-    config = FDConfig(max_lhs_size=a.max_lhs_size, row_limit=a.row_limit, null_equals_null=not a.null_unequals_null, strategy=a.strategy, max_candidates=a.max_candidates, pli_cache_prefix=a.pli_cache_prefix, relation=a.input_name)
+    config = FDConfig(max_lhs_size=a.max_lhs_size, row_limit=a.row_limit, null_equals_null=not a.null_unequals_null, strategy=a.strategy, max_candidates=a.max_candidates, max_bytes=a.max_bytes, results=a.results, pli_cache_prefix=a.pli_cache_prefix, relation=a.input_name)
     metrics = Metrics()
     fds = discover_fds(df, config, metrics)
     order = attribute_order(df, df.columns, config.null_equals_null) if df.columns else []

@@ -20,6 +20,9 @@ class FDConfig:
     validation_threshold: share of valid candidates under which sampling goes on.
     max_candidates: bound on stored candidates; beyond it the largest left-hand sides are given
         up and max_lhs_size is lowered (None: no bound).
+    max_bytes: the same by the measured bytes of covers and agree sets that the driver holds.
+    results: a folder to which a right-hand side's dependencies are appended as soon as they are final;
+        a run that finds some there takes them as they are and goes on with the other ones.
     broadcast_bytes: size of coded rows up to which they are broadcast; ``auto`` takes another way
         beyond it, ``broadcast`` raises.
     pli_cache_prefix: attributes at the start of a left-hand side of which partitions are kept for
@@ -36,6 +39,8 @@ class FDConfig:
     sets_per_job: int = 30
     validation_threshold: float = 0.8
     max_candidates: int | None = None
+    max_bytes: int | None = None
+    results: str | None = None
     broadcast_bytes: int = 256 << 20
     pli_cache_prefix: int = 3
     pli_cache_bytes: int = 256 << 20

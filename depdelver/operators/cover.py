@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
 from depdelver.functions import bits
 
+#: Bytes of a node of the index with one entry, as sys.getsizeof has it, and of its key.
+NODE = sys.getsizeof({0: None}) + sys.getsizeof(0)
 #: Covers times agree sets from which covers are specialized by tasks.
 IN_TASKS = 20_000
 
@@ -114,6 +117,12 @@ class Cover:
     def __len__(self) -> int:
         return len(self.known)
 
+    def bytes(self) -> int:
+        """Memory of the sets, the index and the queue, about: measured tables, and a node of the index for each attribute of a set."""
+        nodes = sum(x.bit_count() for x in self.known) + 1 if self._index is not None else 0
+        whole = sys.getsizeof(1 << self.n)
+        return sys.getsizeof(self.known) + sys.getsizeof(self.waiting) + whole * len(self.known) + nodes * NODE
+
     def __contains__(self, lhs: int) -> bool:
         return lhs in self.known
 

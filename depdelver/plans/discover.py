@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import json
 import logging
+import sys
 import time
 from dataclasses import dataclass, field, replace
 from itertools import combinations
@@ -21,7 +23,7 @@ from depdelver.operators.cover import Cover, specialize_all
 from depdelver.operators.partitions import check_types, name
 from depdelver.operators.prefixes import PrefixTables
 from depdelver.operators.sample import agree_sets
-from depdelver.session import cut, drop_cut
+from depdelver.session import cut, drop_cut, exists
 
 log = logging.getLogger(__name__)
 SCHEMA = "relation string, lhs array<string>, rhs string"
@@ -42,6 +44,8 @@ class Metrics:
     fds: int = 0
     milliseconds: int = 0
     max_lhs_size: int | None = None
+    most_bytes: int = 0
+    resumed: int = 0
 
 
 def result(spark: SparkSession, fds: list[tuple[list[str], str]], relation: str) -> DataFrame:
@@ -102,13 +106,46 @@ def _search(df: DataFrame, config: FDConfig, metrics: Metrics) -> list[tuple[lis
         engine = Broadcast(df.sparkSession, np.asfortranarray(matrix[:, at]), config) if small else Groups(written(coded), config)
         metrics.strategy = type(engine).__name__
         try:
-            for cover in _induce(engine, df.sparkSession, len(order), config, metrics):
-                out += [([columns[k] for k in sorted(at[i] for i in bits.iterate(lhs))], order[cover.rhs]) for lhs in cover]
+            named = lambda cover: [([columns[k] for k in sorted(at[i] for i in bits.iterate(lhs))], order[cover.rhs]) for lhs in cover]
+            finals = Finals(df.sparkSession, config, order, named)
+            out += finals.before
+            for cover in _induce(engine, df.sparkSession, len(order), config, metrics, finals):
+                out += named(cover)
         finally:
             engine.close()
     return out
 
 
+class Finals:
+    """The results of right-hand sides that are final, in a folder, if one is named: relation, lhs, rhs, and a mark of those that are complete."""
+
+    def __init__(self, spark: SparkSession, config: FDConfig, order: list[str], named):
+        self.spark, self.config, self.order, self.named = spark, config, order, named
+        self.done: set[int] = set()
+        self.before: list[tuple[list[str], str]] = []
+        if config.results and exists(spark, config.results):
+            kept = spark.read.schema(f"{SCHEMA}, run string").parquet(config.results).where((F.col("relation") == config.relation) & (F.col("run") == self.run))
+            rows = kept.toArrow().to_pylist()  # what this run returns anyway
+            self.done = {order.index(r["rhs"]) for r in rows if r["lhs"] is None}
+            self.before = [(r["lhs"], r["rhs"]) for r in rows if r["lhs"] is not None and order.index(r["rhs"]) in self.done]
+
+    @property
+    def run(self) -> str:
+        """Results are taken up by a run over the same attributes with the same options only."""
+        c = self.config
+        return json.dumps([self.order, c.max_lhs_size, c.row_limit, c.null_equals_null])
+
+    def append(self, covers: list[Cover], limit: int | None) -> None:
+        """Those of ``covers`` that were not appended before, by one job; a right-hand side's rows and its mark are one file."""
+        new = [c for c in covers if c.rhs not in self.done]
+        self.done |= {c.rhs for c in new}
+        if not self.config.results or not new or limit != self.config.lhs_limit:  # what was given up is not taken up again
+            return
+        rows = [x for c in new for x in (*self.named(c), (None, self.order[c.rhs]))]
+        table = result(self.spark, rows, self.config.relation).withColumn("run", F.lit(self.run))
+        table.coalesce(1).write.mode("append").parquet(self.config.results)
+
+
 def _small(df: DataFrame, n: int, config: FDConfig) -> bool:
     """Codes are broadcast only if they, and the values they are made from, are found to be small."""
     if config.strategy == "group":
@@ -180,10 +217,15 @@ class Groups:
         drop_cut(self.coded.rows)
 
 
-def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDConfig, metrics: Metrics) -> list[Cover]:
-    """Samples and validates in turn until every cover's left-hand sides have been validated."""
+def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDConfig, metrics: Metrics, finals: Finals) -> list[Cover]:
+    """Samples and validates in turn until every cover's left-hand sides have been validated.
+
+    A cover without one to validate is final: agree sets that come later are of rows that agree
+    with it, as all rows do. It is appended to the results then.
+    """
     limit = config.lhs_limit
-    covers = [Cover(a, n, limit=limit) for a in range(n)]
+    covers = [Cover(a, n, limit=limit) for a in range(n) if a not in finals.done]
+    metrics.resumed = n - len(covers)
     seen: set[int] = set()
     # Attributes by the agree sets that their last sample added, for each pair it compared.
     queue: list[tuple[float, int, int]] = []
@@ -195,11 +237,22 @@ def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDC
         guard()
         return len(new)
 
+    def held() -> int:
+        """Bytes of covers and of agree sets seen."""
+        return sum(c.bytes() for c in covers) + sys.getsizeof(seen) + len(seen) * sys.getsizeof(1 << n)
+
+    def too_many() -> bool:
+        if config.max_bytes is not None:
+            metrics.most_bytes = max(metrics.most_bytes, now := held())
+            if now > config.max_bytes:
+                return True
+        return config.max_candidates is not None and sum(map(len, covers)) > config.max_candidates
+
     def guard() -> None:
         nonlocal limit
-        while config.max_candidates is not None and sum(map(len, covers)) > config.max_candidates:
+        while too_many():
             limit = max((x.bit_count() for c in covers for x in c), default=1) - 1
-            log.warning("more than %d candidates: left-hand sides have %d attributes at most from now on", config.max_candidates, limit)
+            log.warning("too many candidates: left-hand sides have %d attributes at most from now on", limit)
             for c in covers:
                 c.trim(limit)
             if limit < 1:
@@ -214,9 +267,12 @@ def _induce(engine: Broadcast | Groups, spark: SparkSession, n: int, config: FDC
         for a, d in wanted:
             heapq.heappush(queue, (-fresh[a] / max(1, found[a][1]), -d, a))
 
-    if engine.attributes:
+    if engine.attributes and covers:
         sample([(a, 1) for a in engine.attributes])
-    while any(c.has_waiting() for c in covers):
+    while True:
+        finals.append([c for c in covers if not c.has_waiting()], limit)
+        if not any(c.has_waiting() for c in covers):
+            break
         candidates: dict[int, list[int]] = {}
         count = 0
         for cover in covers:  # the same left-hand side answers for several right-hand sides

@@ -109,6 +109,12 @@ def settle(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder or file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes on disk of a table made by :func:`cut`."""
     jvm = df.sparkSession.sparkContext._jvm

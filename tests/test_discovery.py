@@ -10,7 +10,7 @@ from depdelver.functions import bits
 from depdelver.operators.codes import encode, written
 from depdelver.operators.prefixes import PrefixTables
 from depdelver.operators.validate import by_groups, violations
-from depdelver.plans.discover import Groups, Metrics, discover_fds
+from depdelver.plans.discover import Broadcast, Groups, Metrics, discover_fds
 from depdelver.sources.csv import CsvDescriptor
 
 DATA = Path(__file__).parent / "data"
@@ -203,3 +203,49 @@ def test_sampling_counts_pairs(spark):
     one = Metrics()
     discover_fds(lineitem(spark).select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), strategy="broadcast", metrics=one)
     assert metrics.comparisons and one.comparisons and metrics.fds == one.fds
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "group"])
+def test_a_run_that_stops_goes_on(spark, tmp_path, monkeypatch, strategy):
+    """Right-hand sides that were final when a run stopped are taken from its results, and are not validated again."""
+    r = random.Random(3)
+    columns, rows = ["a", "b", "c", "d", "e"], [(str(i // 2), r.choice("xy"), r.choice("pqrs"), str(i % 7), str(i % 5)) for i in range(60)]
+    df = frame(spark, columns, rows)
+    expected = brute_fds(columns, rows)
+    engine = {"broadcast": Broadcast, "group": Groups}[strategy]
+    refute, calls = engine.refute, []
+
+    def stops(self, candidates):
+        calls.append(candidates)
+        if len(calls) > 1:
+            raise KeyboardInterrupt
+        return refute(self, candidates)
+
+    options = {"strategy": strategy, "results": str(tmp_path / "results"), "candidates_per_job": 3, "sets_per_job": 3}
+    monkeypatch.setattr(engine, "refute", stops)
+    for _ in range(30):
+        calls.clear()
+        try:
+            found(df, **options)
+            break
+        except KeyboardInterrupt:
+            pass
+        if (tmp_path / "results").exists():
+            break
+    monkeypatch.setattr(engine, "refute", refute)
+    metrics = Metrics()
+    assert found(df, metrics=metrics, **options) == expected
+    again = Metrics()
+    assert found(df, metrics=again, **options) == expected and again.candidates == 0 and again.resumed == 5
+    other = Metrics()
+    assert found(df, metrics=other, max_lhs_size=1, **options) == {x for x in expected if len(x[0]) <= 1} and other.resumed == 0
+
+
+def test_guardian_by_bytes(spark):
+    """Beyond the bytes, the largest left-hand sides go; what is left is the result up to the limit that is reported."""
+    columns, rows, expected = relation("10")
+    df = frame(spark, columns, rows)
+    free, bound = Metrics(), Metrics()
+    assert found(df, metrics=free, max_bytes=1 << 40) == expected and free.max_lhs_size is None
+    few = found(df, metrics=bound, max_bytes=free.most_bytes * 2 // 3)
+    assert bound.max_lhs_size is not None and few == {x for x in expected if len(x[0]) <= bound.max_lhs_size} and few != expected

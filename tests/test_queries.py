@@ -26,13 +26,6 @@ def test_query_equals_sql(spark, db, key):
     assert sorted(map(str, got)) == sorted(map(str, db.sql(f"SELECT {quoted} FROM ({queries.SQL[key]})").fetchall()))
 
 
-def test_lineitem_without_limit(spark, db):
-    got = {tuple(r) for r in queries.QUERIES["fd_lineitem"](spark, DIR).collect()}
-    sql = queries.fd_sql("SELECT * FROM lineitem", queries.COLUMNS["lineitem"], 5) + queries.FD_SELECT
-    expected = {tuple(r) for r in db.sql(sql).fetchall()}
-    assert {r for r in got if r[0].count(",") < 5} == expected and len(expected) > 100
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["lhs", "rhs"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
