@@ -279,7 +279,11 @@ def measures(marked: DataFrame) -> dict:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents, with their own columns, of which less than 5% of the words are hit."""
+    """The documents, with their own columns, of which less than 5% of the words are hit.
+
+    Null and empty texts have no words and stay, rows with a null or repeated id are judged row by
+    row, an empty benchmark or an item without words hits nothing; long texts are read whole.
+    """
     marked = mark(docs, benchmark, **kw)
     return unpacked(marked.where(~measures(marked)["contaminated"]))
 

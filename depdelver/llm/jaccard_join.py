@@ -295,7 +295,12 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """The documents, with their own columns, but of each component only the one of the smallest id."""
+    """The documents, with their own columns, but of each component only the one of the smallest id.
+
+    Of equal ids, and of rows without one, which come last, the first row stays. Documents without
+    words, null and empty ones included, are linked with nothing and stay, each by itself. An empty
+    table gives no rows; long texts are compared whole.
+    """
     keep = cut(jaccard_components(docs, **kw).where("row = first_row").select(F.col("row").alias("number")))
     marked = docs.select(whole(docs).alias("row"), F.monotonically_increasing_id().alias("number"))
     return unpacked(marked.join(keep.hint("merge"), "number", "left_semi"))

@@ -279,7 +279,11 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", declared: Col
 
 
 def of_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``identify`` on documents: text, markup inside it, and the source as the host."""
+    """``identify`` on documents: text, markup inside it, and the source as the host.
+
+    Nulls in any column, texts without letters, ties, repeated rows and empty tables as ``identify`` has
+    them; null and empty texts have no language and are not kept.
+    """
     return identify(docs, fit(labelled), declared=declared_language(column("text")), host=column("source"))
 
 
