@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ LINE_PERCENT = 50
 BROADCAST_BYTES = 32 << 20
 #: Bits of the maps by which lines are passed over: a line costs the same, however many templates there are.
 BITS = 1 << 20
+#: Telling words up to which they are looked up in each unit.
+FEW = 500
 
 # Notices and license texts, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -140,7 +143,7 @@ def maybe(bits: Column, term: Column) -> Column:
     return F.getbit(F.element_at(bits, (F.floor(h / 64) + 1).cast("int")), (h % 64).cast("int")) == 1
 
 
-def _wrapped(rows: DataFrame, owners: DataFrame, known: Column, telling: Column, line_percent: int) -> DataFrame:
+def _wrapped(rows: DataFrame, owners: DataFrame, known: Column, tells: Callable[[str], Column], line_percent: int) -> DataFrame:
     """Words of each run of lines that are pieces of one template: doc_id, w.
 
     Lines that have too few of the bigrams of any template, by the bitmap ``known``, go at once; what is
@@ -158,7 +161,7 @@ def _wrapped(rows: DataFrame, owners: DataFrame, known: Column, telling: Column,
     starts = pieces.withColumn("starts", F.coalesce(F.col("place") - F.lag("place").over(order) > 2, F.lit(True)).cast("int"))
     runs = starts.withColumn("run", F.sum("starts").over(order)).groupBy("row", "i", "run")
     found = runs.agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "w"))).alias("x")).where(F.size("x") > 1)
-    return found.select("doc_id", F.flatten("x.w").alias("w")).where(F.exists("w", lambda w: maybe(telling, w)))
+    return found.select("doc_id", F.flatten("x.w").alias("w")).where(tells("w"))
 
 
 def scan(
@@ -180,13 +183,15 @@ def scan(
     no rows.
 
     Texts without any of the words that a match must have are left out by one look at their
-    words, and so are units, by a bitmap of these. The others are written as a table and meet the templates, a fixed list, by size; only
+    words, and so are units, by these or a bitmap of them. The others are written as a table and meet the templates, a fixed list, by size; only
     matches, and lines that may be pieces, are shuffled.
     """
     table = _table(templates)
     spark = docs.sparkSession
     words = telling_words(table, percent)
     telling, told = F.split(F.lit(" ".join(words)), " "), bitmap(set(words))
+    # Few words are looked up in a unit's; of many, the unit's are looked up in the bitmap.
+    tells = lambda w: F.arrays_overlap(w, telling) if len(words) <= FEW else F.exists(w, lambda x: maybe(told, x))
     # The sizes of a text that can reach each template: Dice is at most 2 * smaller / both.
     sized = [(k, -i) for i, (_, _, own) in enumerate(table) for k in range(-(-percent * len(own) // (200 - percent)), (200 - percent) * len(own) // percent + 1)]
     grams = [(-i, name, number, len(own), own) for i, (name, number, own) in enumerate(table)]
@@ -204,8 +209,8 @@ def scan(
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE)))
     units = rows.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(t), lines, sentences))).alias("u"))
     # Exploding once more keeps the words from being made again wherever they are used.
-    words = units.select("doc_id", F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.exists("w", lambda w: maybe(told, w)))
-    words = words.unionByName(_wrapped(rows, owners, known, told, line_percent))
+    words = units.select("doc_id", F.explode(F.array(_words(F.col("u")))).alias("w")).where(tells("w"))
+    words = words.unionByName(_wrapped(rows, owners, known, tells, line_percent))
     sets = words.select("doc_id", "w", F.explode(F.array(_pairs(F.col("w")))).alias("b")).withColumn("k", F.size("b"))
     met = sets.join(sized, "k").join(grams, "i").withColumn("shared", F.size(F.array_intersect("b", "grams")))
     met = met.where(200 * F.col("shared") >= percent * (F.col("k") + F.col("template_size")))
