@@ -105,22 +105,22 @@ def dictionary(df: DataFrame, ranked: bool = True) -> tuple[DataFrame, list[dict
     return coded.select("attr", *slots, "rows", (F.col("within") + F.col("shift")).alias("code")), stats
 
 
-def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = None, ordered: bool = True, ranked: bool = False) -> Encoded:
+def encode(df: DataFrame, null_equals_null: bool = True, rid: Column | None = None, ordered: bool = True, ranked: bool = False, spread: bool = False) -> Encoded:
     """Codes of all attributes: numbers of their values among the attribute's distinct ones, from 0.
 
     Values are compared as what they are, structs and arrays too: NaN equals NaN, -0.0 equals 0.0.
     With nulls unlike each other, a null's code is negative and its own. ``rid``: a row's number
     (by default one that no other row has, which nulls unlike each other need). ``ordered``: the attribute with the most values comes first and
     constants are left out; else all are there, in the order of the schema. ``ranked``: codes are
-    ranks, nulls first. The rows are a plan; write them before they are read twice.
+    ranks, nulls first. ``spread``: deal the rows over all cores first, for a small file, which is one task
+    otherwise. The rows are a plan; write them before they are read twice.
 
     Each attribute is a join with its part of the dictionary, which is sent to the executors or, if it is larger
     than SENT bytes, shuffled; a value in a third of all rows is split by adaptive execution. Rows
     of WIDE attributes or more meet the dictionary cell by cell, by one join.
     """
     columns, slot = df.columns, cells_of(df).slot
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    df = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)  # of a small file, which is one task
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism) if spread else df
     values, stats = dictionary(df, ranked)
     n = stats[0]["rows"] if columns else 0
     # With nulls unlike each other, each is a value by itself.

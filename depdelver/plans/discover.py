@@ -27,6 +27,8 @@ from depdelver.session import cut, drop_cut, exists
 
 log = logging.getLogger(__name__)
 SCHEMA = "relation string, lhs array<string>, rhs string"
+#: Rows up to which a relation is dealt over all cores, as it may be a file of one split.
+SPREAD = 4_000_000
 
 
 @dataclass
@@ -97,7 +99,7 @@ def _search(df: DataFrame, config: FDConfig, metrics: Metrics) -> list[tuple[lis
         at = sorted((i for i, c in enumerate(columns) if c not in constants), key=lambda i: -distinct[i])
         order = [columns[i] for i in at]
     else:
-        coded = encode(df, config.null_equals_null)
+        coded = encode(df, config.null_equals_null, spread=n <= SPREAD)
         order, constants = coded.attributes, coded.constants
         at = [columns.index(c) for c in order]
     metrics.order = order
