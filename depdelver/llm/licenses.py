@@ -188,10 +188,10 @@ def scan(
     """
     table = _table(templates)
     spark = docs.sparkSession
-    words = telling_words(table, percent)
-    telling, told = F.split(F.lit(" ".join(words)), " "), bitmap(set(words))
+    tell = telling_words(table, percent)
+    telling, told = F.split(F.lit(" ".join(tell)), " "), bitmap(set(tell))
     # Few words are looked up in a unit's; of many, the unit's are looked up in the bitmap.
-    tells = lambda w: F.arrays_overlap(w, telling) if len(words) <= FEW else F.exists(w, lambda x: maybe(told, x))
+    tells = lambda w: F.arrays_overlap(w, telling) if len(tell) <= FEW else F.exists(w, lambda x: maybe(told, x))
     # The sizes of a text that can reach each template: Dice is at most 2 * smaller / both.
     sized = [(k, -i) for i, (_, _, own) in enumerate(table) for k in range(-(-percent * len(own) // (200 - percent)), (200 - percent) * len(own) // percent + 1)]
     grams = [(-i, name, number, len(own), own) for i, (name, number, own) in enumerate(table)]
