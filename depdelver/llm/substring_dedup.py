@@ -37,10 +37,12 @@ PACKED = "part int, block long, keys binary, doc binary, first binary, words bin
 _SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "first", "words", "lead_doc", "lead_first", "lead_words"))])
 MET = "kind int, row long, first long, words long, lead_row long, lead_first long, lead_words long"
 _MET = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("row", "first", "words", "lead_row", "lead_first", "lead_words"))])
-RUNS = "part int, block long, hashes binary, doc binary, first binary, n binary"
-_RUNS = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("hashes", "doc", "first", "n"))])
-COPY = "row long, first long, words long, lead_row long"
-_COPY = pa.schema([(c, pa.int64()) for c in ("row", "first", "words", "lead_row")])
+RUNS = "part int, hashes binary, doc binary, first binary, n binary, chain binary, led binary, lead_doc binary, lead_first binary, step binary"
+_RUNS = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("hashes", "doc", "first", "n", "chain", "led", "lead_doc", "lead_first", "step"))])
+HEAD = "row long, first long, n long, chain long, lead_row long"
+_HEAD = pa.schema([(c, pa.int64()) for c in ("row", "first", "n", "chain", "lead_row")])
+BEHIND = "row long, first long, n long, chain long, lead_row long, lead_first long, step long"
+_BEHIND = pa.schema([(c, pa.int64()) for c in ("row", "first", "n", "chain", "lead_row", "lead_first", "step")])
 
 
 def sliding(x: np.ndarray, n: int, best: Callable) -> np.ndarray:
@@ -262,23 +264,66 @@ def meetings(rows: DataFrame, bits: int, least_words: int, piece_words: int) ->
     return heads.unionByName(led).unionByName(behind.where(F.col("kind") == PARAGRAPH)).distinct()
 
 
-def _deal_runs(bits: int):
+def _leads(hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each run, which is the first that equals it."""
+    order = np.lexsort((place, row, hashes))
+    ordered = hashes[order]
+    head = np.append(True, ordered[1:] != ordered[:-1])
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    return lead
+
+
+def _overlap(row, first, lead_row, lead_first):
+    """Whether a run begins inside the one it equals."""
+    return (row == lead_row) & (first - lead_first < RUN)
+
+
+def _deal_runs(bits: int, batch_size: int):
     """The runs of RUN words whose marks are repeated, dealt by mark: the hash of each, and of those
-    that follow each other the first place and how many they are. Runs that go with paragraphs are left out."""
+    that follow each other the first place and how many they are. Runs that go with paragraphs are left out.
 
-    def flush(block: int, rows: list) -> Iterator[pa.RecordBatch]:
+    Runs that follow each other with one mark are a chain. Of equal runs, a block deals its first
+    one only, with the place of its chain and whether the block has others; these stay behind
+    (part -1), each with that first run. So a hot passage costs a part one chain a block.
+    """
+
+    def flush(rows: list) -> Iterator[pa.RecordBatch]:
         part, doc, first, n, hashes = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(part, kind="stable")
-        begin = (np.cumsum(n) - n)[order]
-        part, doc, first, n = part[order], doc[order], first[order], n[order]
-        at = np.append(0, np.cumsum(n))
-        hashes = hashes[np.repeat(begin - at[:-1], n) + np.arange(at[-1])]
-        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        out = [(int(part[a]), block, hashes[at[a] : at[b]].tobytes(), *(pack(x[a:b]) for x in (doc, first, n))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        chain = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(chain)) + (first - np.cumsum(n) + n)[chain]
+        lead = _leads(hashes, doc[chain], place)
+        own = lead == np.arange(len(lead))
+        led = np.zeros(len(lead), bool)
+        led[lead[~own]] = True
+        out = []
+        q = np.flatnonzero(~own)
+        if len(q):
+            q = q[np.lexsort((place[q], doc[chain[q]]))]
+            to = lead[q]
+            row, at, lead_row, lead_at, lead_chain = doc[chain[q]], place[q], doc[chain[to]], place[to], first[chain[to]]
+            step = np.append(np.diff(lead_at), 1)
+            broken = (np.diff(at) != 1) | (step[:-1] < 0) | (step[:-1] > 1)
+            for x in (row, lead_row, lead_chain, _overlap(row, at, lead_row, lead_at)):
+                broken |= x[1:] != x[:-1]
+            turned = np.append(False, ~broken[:-1] & (step[1:-1] != step[:-2]))[: len(broken)]
+            begin = np.flatnonzero(np.append(True, broken | turned))
+            k = np.diff(np.append(begin, len(q)))
+            columns = (row[begin], at[begin], k, lead_chain[begin], None, lead_row[begin], lead_at[begin], np.where(k > 1, step[begin], 1))
+            out.append((-1, None, *(x if x is None else pack(x) for x in columns)))
+        q = np.flatnonzero(own)
+        q = q[np.argsort(part[chain[q]], kind="stable")]
+        begin = np.flatnonzero(np.append(True, (np.diff(q) != 1) | (np.diff(chain[q]) != 0) | (led[q[1:]] != led[q[:-1]])))
+        end = np.append(begin[1:], len(q))
+        head = q[begin]
+        columns = (doc[chain[head]], place[head], end - begin, first[chain[head]], led[head])
+        cuts = np.append(np.flatnonzero(np.diff(part[chain[head]], prepend=-1)), len(head))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out.append((int(part[chain[head[a]]]), hashes[q[begin[a] : end[b - 1]]].tobytes(), *(pack(x[a:b]) for x in columns), None, None, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RUNS, strict=True)], schema=_RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, block = [], 0, 0
+        rows, size = [], 0
         for batch in slices(batches):
             texts, numbers = as_bytes(batch.column("text")), batch.column("row").to_numpy()
             marks, gone = batch.column("marks").to_pylist(), batch.column("gone").to_pylist()
@@ -303,34 +348,58 @@ def _deal_runs(bits: int):
                 part = mix(least[q[new]]) >> U(64 - bits) if bits else np.zeros(len(new), np.uint64)
                 rows.append((part.astype(np.int64), numbers[u.doc[q[new]]], u.place[q[new]], np.diff(np.append(new, len(q))), run_hashes(u.h, q, RUN)))
                 size += len(q)
-            if size >= BATCH:
-                yield from flush(block, rows)
-                rows, size = [], 0
+                if size >= batch_size:
+                    yield from flush(rows)
+                    rows, size = [], 0
         if rows:
-            yield from flush(block, rows)
+            yield from flush(rows)
 
     return run
 
 
-def _copies(table: pa.Table) -> pa.Table:
-    """Of a part, the spans of words whose runs are there before; one that overlaps its first
-    occurrence is no copy."""
+def _columns(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.concatenate([unpack(x) for x in table.column(c).to_pylist()]).astype(np.int64) for c in names]
+
+
+def _run_heads(table: pa.Table) -> pa.Table:
+    """Of a part, the first runs of blocks with the row of the first of all: those that are not
+    themselves the first, and those that others of their block follow."""
     hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-    row, first, n = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("doc", "first", "n"))
-    at = np.cumsum(n) - n
-    row, first = np.repeat(row, n), np.repeat(first - at, n) + np.arange(n.sum())
-    order = np.lexsort((first, row, hashes))
-    hashes, row, first = hashes[order], row[order], first[order]
-    head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    lead = np.repeat(head, np.diff(np.append(head, len(hashes))))
-    own = np.flatnonzero((row != row[lead]) | (first - first[lead] >= RUN))
-    row, first, lead = row[own], first[own], row[lead[own]]
-    order = np.lexsort((first, row))
-    row, first, lead = row[order], first[order], lead[order]
-    new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(first) != 1) | (np.diff(lead) != 0))[: len(row)])
-    last = np.append(new[1:], len(row)) - 1 if len(row) else new
-    columns = (row[new], first[new], first[last] - first[new] + RUN, lead[new])
-    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_COPY)
+    row, first, n, chain, led = _columns(table, "doc", "first", "n", "chain", "led")
+    span = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(span)) + (first - np.cumsum(n) + n)[span]
+    lead = _leads(hashes, row[span], place)
+    lead_row = row[span[lead]]
+    q = np.flatnonzero((lead != np.arange(len(lead))) | (led[span] == 1))
+    begin = np.flatnonzero(np.append(True, (np.diff(span[q]) != 0) | (np.diff(q) != 1) | (np.diff(lead_row[q]) != 0))[: len(q)])
+    k, q = np.diff(np.append(begin, len(q))), q[begin]
+    columns = (row[span[q]], place[q], k, chain[span[q]], lead_row[q])
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_HEAD)
+
+
+def _runs_behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            columns = _columns(batch, "doc", "first", "n", "chain", "lead_doc", "lead_first", "step")
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_BEHIND)
+
+
+def copied_runs(texts: DataFrame, bits: int) -> DataFrame:
+    """row, first_word, n_words, kept_row of the words whose runs are there before; ``texts``: text,
+    row, marks, gone. A run that overlaps its first occurrence is no copy."""
+    dealt = cut(texts.mapInArrow(_deal_runs(bits, BATCH), RUNS))
+    heads = cut(dealt.where("part >= 0").groupBy("part").applyInArrow(_run_heads, HEAD))
+    behind = dealt.where("part < 0").mapInArrow(_runs_behind, BEHIND)
+    # A run left behind has the first run of its first one's chain at that place; chains are short.
+    to = heads.select(F.col("row").alias("lead_row"), "chain", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("z"), F.col("lead_row").alias("kept_row"))
+    last = F.col("lead_first") + F.col("step") * (F.col("n") - 1)
+    led = behind.withColumn("last", last).join(to, ["lead_row", "chain"]).where("a <= last and z >= lead_first")
+    led = led.where((F.col("kept_row") != F.col("lead_row")) | ~_overlap(F.col("row"), F.col("first"), F.col("lead_row"), F.col("lead_first")))
+    # Of a span whose first runs follow each other, the piece that has this first row.
+    begin, end = F.greatest("a", "lead_first"), F.least("z", "last")
+    led = led.select("row", (F.col("first") + F.col("step") * (begin - F.col("lead_first"))).alias("first"), F.when(F.col("step") == 1, end - begin + 1).otherwise(F.col("n")).alias("n"), "kept_row")
+    copies = heads.where("row <> lead_row").select("row", "first", "n", F.col("lead_row").alias("kept_row")).unionByName(led)
+    return copies.select("row", F.col("first").alias("first_word"), (F.col("n") + RUN - 1).alias("n_words"), "kept_row")
 
 
 SET = "rid long, n long, h1 long, h2 long, tokens binary"
@@ -357,6 +426,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
+def similar_paragraphs(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """row, first_word, n_words, kind, kept_row of the paragraphs that are not the first of their
+    cluster; exact similarity within groups of colliding ones."""
+    edges = met.where(F.col("kind") == PARAGRAPH)
+    leads = edges.select(*[F.col(f"lead_{c}").alias(c) for c in ("row", "first", "words")])
+    nodes = edges.select("row", "first", "words").unionByName(leads).distinct()
+    nodes = cut(cut(nodes).withColumn("id", F.monotonically_increasing_id()))
+    wanted = nodes.groupBy("row").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))
+    texts = rows.join(wanted.hint("merge"), F.col("number") == F.col("row")).select("text", "wanted")
+    sets = cut(texts.mapInArrow(_sets, SET))
+    same = ["n", "h1", "h2"]
+    reps = cut(sets.groupBy(*same).agg(F.min(F.struct("rid", "tokens")).alias("x")).select(*same, "x.*"))
+    rep_of = sets.select(*same, F.col("rid").alias("id")).join(reps.select(*same, F.col("rid").alias("rep")), same)
+    placed = cut(nodes.join(rep_of.select("id", "rep"), "id"))
+    # Paragraphs that collide have a lead in common: it is the key of their list, and in it.
+    known = placed.select(F.col("row").alias("lead_row"), F.col("first").alias("lead_first"), F.col("id").alias("key"), F.col("rep").alias("lead_rep"))
+    listed = cut(edges.select("row", "first", "lead_row", "lead_first").join(placed.select("row", "first", "rep"), ["row", "first"]).join(known, ["lead_row", "lead_first"]).select("key", "rep", "lead_rep").distinct())
+    posted = listed.select("key", F.col("rep").alias("rid")).unionByName(listed.select("key", F.col("lead_rep").alias("rid"))).distinct()
+    pairs = listed.where("rep <> lead_rep").select(F.col("rep").alias("a"), F.col("lead_rep").alias("b"))
+    linked = settle(lambda: search_groups(reps, connected_components(pairs), posted, PERCENT))
+    placed = cut(placed.join(linked, F.col("rep") == F.col("member"), "left").select("row", "first", "words", F.coalesce("least", "rep").alias("cluster")))
+    heads = placed.groupBy("cluster").agg(F.min(F.struct("row", "first")).alias("lead"), F.count("*").alias("k")).where("k > 1")
+    paragraphs = placed.join(cut(heads), "cluster").where(F.struct("row", "first") != F.col("lead"))
+    return paragraphs.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit("paragraph").alias("kind"), F.col("lead.row").alias("kept_row"))
+
+
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
     """The spans of words to remove: doc_id, row, first_word, n_words, kind, kept_doc_id, kept_row.
 
@@ -382,7 +477,8 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Keys are dealt packed, the first unit of each key in a block only; the others are joined to
     the first of all by that one, a join that splits hot keys. Texts move twice, to those documents that have
     colliding paragraphs and to those that have repeated marks. Equal sets are one before clusters
-    are searched. Of runs, 8 bytes for each word that has a repeated mark near it are dealt.
+    are searched. Of runs, 8 bytes for each word that has a repeated mark near it are dealt, of
+    equal ones in a block the first; the others are joined to what that one's chain is a copy of.
     """
     if least_words < 1 or piece_words < 1:
         raise ValueError("paragraphs and pieces have a word at least")
@@ -390,29 +486,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     size = docs.agg(F.coalesce(F.sum(F.octet_length(column(text))), F.lit(0))).head()[0]
     met = settle(lambda: meetings(rows, max(0, ceil(log2(max(1, size / 17 / PART)))), least_words, piece_words))
 
-    # Paragraphs: exact similarity within groups of colliding ones.
-    edges = met.where(F.col("kind") == PARAGRAPH)
-    leads = edges.select(*[F.col(f"lead_{c}").alias(c) for c in ("row", "first", "words")])
-    nodes = edges.select("row", "first", "words").unionByName(leads).distinct()
-    nodes = cut(cut(nodes).withColumn("id", F.monotonically_increasing_id()))
-    wanted = nodes.groupBy("row").agg(F.collect_list(F.struct("first", "id")).alias("wanted"))
-    texts = rows.join(wanted.hint("merge"), F.col("number") == F.col("row")).select("text", "wanted")
-    sets = cut(texts.mapInArrow(_sets, SET))
-    same = ["n", "h1", "h2"]
-    reps = cut(sets.groupBy(*same).agg(F.min(F.struct("rid", "tokens")).alias("x")).select(*same, "x.*"))
-    rep_of = sets.select(*same, F.col("rid").alias("id")).join(reps.select(*same, F.col("rid").alias("rep")), same)
-    placed = cut(nodes.join(rep_of.select("id", "rep"), "id"))
-    # Paragraphs that collide have a lead in common: it is the key of their list, and in it.
-    known = placed.select(F.col("row").alias("lead_row"), F.col("first").alias("lead_first"), F.col("id").alias("key"), F.col("rep").alias("lead_rep"))
-    listed = cut(edges.select("row", "first", "lead_row", "lead_first").join(placed.select("row", "first", "rep"), ["row", "first"]).join(known, ["lead_row", "lead_first"]).select("key", "rep", "lead_rep").distinct())
-    posted = listed.select("key", F.col("rep").alias("rid")).unionByName(listed.select("key", F.col("lead_rep").alias("rid"))).distinct()
-    pairs = listed.where("rep <> lead_rep").select(F.col("rep").alias("a"), F.col("lead_rep").alias("b"))
-    linked = settle(lambda: search_groups(reps, connected_components(pairs), posted, PERCENT))
-    placed = cut(placed.join(linked, F.col("rep") == F.col("member"), "left").select("row", "first", "words", F.coalesce("least", "rep").alias("cluster")))
-    heads = placed.groupBy("cluster").agg(F.min(F.struct("row", "first")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-    paragraphs = placed.join(cut(heads), "cluster").where(F.struct("row", "first") != F.col("lead"))
-    paragraphs = paragraphs.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit("paragraph").alias("kind"), F.col("lead.row").alias("kept_row"))
-    paragraphs = cut(paragraphs)
+    paragraphs = settle(lambda: similar_paragraphs(rows, met))
 
     # Runs of words: of the texts with repeated marks.
     marks = met.where(F.col("kind") == MARK)
@@ -421,8 +495,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     marked = cut(marks.groupBy("row").agg(F.collect_set("first").alias("marks")).join(gone, "row", "left"))
     texts = rows.join(marked.hint("merge"), F.col("number") == F.col("row")).select("text", "row", "marks", "gone")
     bits = max(0, ceil(log2(max(1, size / 6 / PART))))
-    copies = texts.mapInArrow(_deal_runs(bits), RUNS).groupBy("part").applyInArrow(_copies, COPY)
-    copies = cut(copies.select("row", F.col("first").alias("first_word"), F.col("words").alias("n_words"), F.lit(True).alias("run"), F.col("lead_row").alias("kept_row")))
+    copies = settle(lambda: copied_runs(texts, bits)).withColumn("run", F.lit(True))
 
     # Pieces: runs of repeated ones that follow each other.
     repeats = met.where(F.col("kind") == PIECE).select("row", "first", "words", "lead_row").distinct()

@@ -445,3 +445,61 @@ def test_substring_runs(spark, monkeypatch):
                 expected |= {(i, k) for k in range(q, q + substring_dedup.RUN)}
     assert {(s["doc_id"], k) for s in spans for k in range(s["first_word"], s["first_word"] + s["n_words"])} == expected
     assert len({i for i, _ in expected}) == 6 and "run" in {s["kind"] for s in spans}
+
+
+def test_substring_runs_of_many_blocks(spark, monkeypatch):
+    """Passages that many blocks have, periodic ones and repeated words: spans and who keeps them, by brute force."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "BATCH", 200)
+    monkeypatch.setattr(substring_dedup, "PART", 400)
+    r = random.Random(12)
+    some = lambda n: [f"u{r.randrange(10**7)}" for _ in range(n)]
+    passages = [some(50), some(90), some(140)]
+    makers = [
+        lambda: passages[0],
+        lambda: (lambda p: p[(a := r.randrange(30)) : a + r.randrange(50, 110)])(passages[r.randrange(1, 3)]),
+        lambda: ["of"] * r.randrange(40, 140),
+        lambda: ["a", "b", "c"] * r.randrange(15, 50),
+        lambda: passages[1] * 2,
+    ]
+    texts = [" ".join(x for _ in range(r.randrange(1, 4)) for x in (*some(r.randrange(60, 90)), *makers[r.randrange(len(makers))]())) + " " + " ".join(some(70)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(substring_dedup, "similar_paragraphs", lambda rows, met: spark.createDataFrame([], "row long, first_word long, n_words long, kind string, kept_row long"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        spans = substring_dedup.repeated_spans(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    seen, copies = {}, {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        for q in range(len(w) - substring_dedup.RUN + 1):
+            d, p = seen.setdefault(tuple(w[q : q + substring_dedup.RUN]), (i, q))
+            if d != i or q - p >= substring_dedup.RUN:
+                copies[i, q] = d
+    expected = {(i, k) for i, q in copies for k in range(q, q + substring_dedup.RUN)}
+    got = [(s["doc_id"], k) for s in spans for k in range(s["first_word"], s["first_word"] + s["n_words"])]
+    assert set(got) == expected and len(got) == len(expected) > 2000
+    for s in spans:
+        inside = range(s["first_word"], s["first_word"] + s["n_words"] - substring_dedup.RUN + 1)
+        assert s["kept_doc_id"] == min(copies[s["doc_id"], q] for q in inside if (s["doc_id"], q) in copies)
+
+
+def test_a_hot_passage_costs_a_block_one_chain():
+    import pyarrow as pa
+
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(60)), *passage, *(f"b{i}x{k}" for k in range(60))]) for i in range(900)]
+    u = next(substring_dedup.units([t.encode() for t in texts[:1]]))
+    g, least, _ = u.runs()
+    mark = int((g == least[60]).nonzero()[0][0])
+    batch = pa.RecordBatch.from_pydict({"text": texts, "row": list(range(900)), "marks": [[mark]] * 900, "gone": [None] * 900})
+    dealt = pa.Table.from_batches(list(substring_dedup._deal_runs(0, 10**9)(iter([batch]))))
+    behind = dealt.filter(pa.compute.less(dealt["part"], 0))
+    heads = dealt.filter(pa.compute.greater_equal(dealt["part"], 0))
+    row, n = substring_dedup._columns(behind, "doc", "n")
+    assert sorted(row.tolist()) == list(range(1, 900)) and set(n.tolist()) == {1}
+    found = substring_dedup._run_heads(heads).to_pylist()
+    assert found == [{"row": 0, "first": 60, "n": 1, "chain": found[0]["chain"], "lead_row": 0}]
