@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 STRATEGIES = ("auto", "cube", "group", "broadcast")
+#: Bytes of coded rows up to which they are broadcast, where no other bound is named.
+BROADCAST_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -23,8 +25,9 @@ class FDConfig:
     max_bytes: the same by the measured bytes of covers and agree sets that the driver holds.
     results: a folder to which a right-hand side's dependencies are appended as soon as they are final;
         a run that finds some there takes them as they are and goes on with the other ones.
-    broadcast_bytes: size of coded rows up to which they are broadcast; ``auto`` takes another way
-        beyond it, ``broadcast`` raises.
+    broadcast_bytes: size of coded rows up to which they are broadcast (None: BROADCAST_BYTES); beyond
+        it ``auto`` and ``broadcast`` take the way of ``group``. A bound that is named is held: beyond
+        it ``broadcast`` raises.
     pli_cache_prefix: attributes at the start of a left-hand side of which partitions are kept for
         other ones that start alike (0: none).
     pli_cache_bytes: size of the partitions that a task keeps.
@@ -41,7 +44,7 @@ class FDConfig:
     max_candidates: int | None = None
     max_bytes: int | None = None
     results: str | None = None
-    broadcast_bytes: int = 256 << 20
+    broadcast_bytes: int | None = None
     pli_cache_prefix: int = 3
     pli_cache_bytes: int = 256 << 20
     pli_cache_table_bytes: int = 16 << 30

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depdelver.config import FDConfig
+from depdelver.config import BROADCAST_BYTES, FDConfig
 from depdelver.functions import bits
 from depdelver.operators import validate
 from depdelver.operators.codes import Encoded, encode, written
@@ -152,10 +152,13 @@ def _small(df: DataFrame, n: int, config: FDConfig) -> bool:
     """Codes are broadcast only if they, and the values they are made from, are found to be small."""
     if config.strategy == "group":
         return False
-    if n * len(df.columns) * 4 <= config.broadcast_bytes and validate.size_of_values(df, n) <= 2 * config.broadcast_bytes:
+    most = BROADCAST_BYTES if config.broadcast_bytes is None else config.broadcast_bytes
+    if n * len(df.columns) * 4 <= most and validate.size_of_values(df, n) <= 2 * most:
         return True
     if config.strategy == "broadcast":
-        raise ValueError(f"the relation is larger than broadcast_bytes = {config.broadcast_bytes}: take strategy group")
+        if config.broadcast_bytes is not None:
+            raise ValueError(f"the relation is larger than broadcast_bytes = {config.broadcast_bytes}: take strategy group")
+        log.warning("%s is too large to be broadcast: its rows are grouped", config.relation)
     return False
 
 

@@ -10,6 +10,7 @@ from depdelver.functions import bits
 from depdelver.operators.codes import encode, written
 from depdelver.operators.prefixes import PrefixTables
 from depdelver.operators.validate import by_groups, violations
+from depdelver.plans import discover
 from depdelver.plans.discover import Broadcast, Groups, Metrics, discover_fds
 from depdelver.sources.csv import CsvDescriptor
 
@@ -88,6 +89,15 @@ def test_broadcast_checks_the_size(spark):
         discover_fds(frame(spark, ["a", "b"], [("x" * 50, "y")] * 5), strategy="broadcast", broadcast_bytes=100)
 
 
+def test_broadcast_of_a_large_relation_is_grouped(spark, monkeypatch):
+    """Beyond what may be broadcast, unless the caller named that bound, the whole job is done by groups."""
+    monkeypatch.setattr(discover, "BROADCAST_BYTES", 100)
+    columns, rows = ["a", "b", "c"], [(str(i // 2), "xy"[i % 2], str(i % 5)) for i in range(30)]
+    metrics = Metrics()
+    assert found(frame(spark, columns, rows), strategy="broadcast", metrics=metrics) == brute_fds(columns, rows)
+    assert metrics.strategy == "Groups"
+
+
 def test_edges(spark):
     assert found(frame(spark, ["A", "B"], [("1", None)])) == {(frozenset(), "A"), (frozenset(), "B")}
     assert found(frame(spark, ["A"], [("1",), ("1",)])) == set()
