@@ -98,6 +98,17 @@ def test_broadcast_of_a_large_relation_is_grouped(spark, monkeypatch):
     assert metrics.strategy == "Groups"
 
 
+def test_results_of_a_large_relation(spark, tmp_path, monkeypatch):
+    """Right-hand sides are appended to the results where broadcast rows are too large, and taken from there again."""
+    monkeypatch.setattr(discover, "BROADCAST_BYTES", 100)
+    columns, rows = ["a", "b", "c"], [(str(i // 2), "xy"[i % 2], str(i % 5)) for i in range(30)]
+    options, again = {"strategy": "broadcast", "results": str(tmp_path / "results")}, Metrics()
+    expected = brute_fds(columns, rows)
+    assert found(frame(spark, columns, rows), **options) == expected == found(frame(spark, columns, rows), metrics=again, **options)
+    kept = spark.read.parquet(options["results"]).where("lhs IS NOT NULL").collect()
+    assert {(frozenset(r["lhs"]), r["rhs"]) for r in kept} == expected and len(kept) == len(expected) and again.resumed == 3
+
+
 def test_edges(spark):
     assert found(frame(spark, ["A", "B"], [("1", None)])) == {(frozenset(), "A"), (frozenset(), "B")}
     assert found(frame(spark, ["A"], [("1",), ("1",)])) == set()
