@@ -98,6 +98,15 @@ def test_broadcast_of_a_large_relation_is_grouped(spark, monkeypatch):
     assert metrics.strategy == "Groups"
 
 
+def test_typed_broadcast_of_a_large_relation(spark, monkeypatch):
+    """Structs and arrays that are too large to be broadcast are grouped by what they are."""
+    monkeypatch.setattr(discover, "BROADCAST_BYTES", 100)
+    rows = [(i, (i % 5,), [-0.0 if i % 3 else 0.0], "xy"[i % 2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, t struct<x:int>, v array<double>, s string")
+    texts = [(k, t[0], "0.0", s) for k, t, _, s in rows]
+    assert found(df, strategy="broadcast") == brute_fds(df.columns, texts)
+
+
 def test_results_of_a_large_relation(spark, tmp_path, monkeypatch):
     """Right-hand sides are appended to the results where broadcast rows are too large, and taken from there again."""
     monkeypatch.setattr(discover, "BROADCAST_BYTES", 100)
