@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from depdelver.functions import bits
 from depdelver.operators.validate import without
-from depdelver.session import cut
+from depdelver.session import cut, drop_cut
 
 #: Bytes of agree sets seen before that are sent to the tasks; more are told apart by the caller.
 SEEN_BYTES = 32 << 20
 #: Distinct agree sets that a task holds.
 HELD = 200_000
+#: Codes of the rows, once for each attribute that they are sorted by, of one sort.
+SORTED = 400_000_000
 
 FOUND = "kind int, w int, words array<long>, pairs long, part int, at long, k long, codes array<long>"
 _FOUND = pa.schema([("kind", pa.int32()), ("w", pa.int32()), ("words", pa.list_(pa.int64())), ("pairs", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("k", pa.int64()), ("codes", pa.list_(pa.int64()))])
 SET, EDGE, SIZE = 0, 1, 2
 
 
-def agree_sets(rows: DataFrame, n: int, wanted: list[tuple[int, int]], seen: set[int] | None = None) -> DataFrame:
+def agree_sets(rows: DataFrame, n: int, wanted: list[tuple[int, int]], seen: set[int] | None = None, count: int = 0) -> DataFrame:
     """(w, words, pairs): for the w-th (attribute, distance) of ``wanted``, the distinct agree sets of rows that share a
     value and lie so far apart in its cluster, and how many pairs have each; words null: pairs with a set of ``seen``.
 
@@ -32,7 +34,26 @@ def agree_sets(rows: DataFrame, n: int, wanted: list[tuple[int, int]], seen: set
     (around the end), nulls first, and rid. All that is wanted is one sort by ranges of (w, value, neighbours, rid), so that
     a value of most rows is in many tasks; each compares its rows, drops sets that were
     seen, and hands on its first and last rows, which meet those of the other tasks by their place.
+    ``count``: how many rows there are; if those of all that is wanted have more than SORTED codes, they are sorted one after
+    the other, some attributes or some of the values of one at a time, so that the files of one sort are on disk.
     """
+    most = max(1, SORTED // n)
+    at_once = max(1, most // max(1, count))
+    slices = -(-count // most)
+    if len(wanted) <= at_once and slices <= 1:
+        return _agree_sets(rows, n, wanted, seen)
+    found = []
+    for first in range(0, len(wanted), at_once):
+        for part in range(slices):
+            some = rows if slices == 1 else rows.where(F.pmod(F.col(f"c{wanted[first][0]}").cast("long"), F.lit(slices)) == part)
+            own = _agree_sets(some, n, wanted[first : first + at_once], seen)
+            found.append(cut(own.withColumn("w", F.col("w") + first)))
+            drop_cut(own._made)
+    out = found[0].sparkSession.read.schema(found[0].schema).parquet(*[x._cut_path for x in found])
+    return out.groupBy("w", "words").agg(F.sum("pairs").alias("pairs"))
+
+
+def _agree_sets(rows: DataFrame, n: int, wanted: list[tuple[int, int]], seen: set[int] | None) -> DataFrame:
     spark = rows.sparkSession
     dealt = [F.when(without(F.col("alone"), [a]), F.struct(F.lit(w).alias("w"), *[F.greatest(F.col(f"c{i}").cast("long"), F.lit(-1)).alias(f"k{j}") for j, i in enumerate((a, (a + 1) % n, (a - 1) % n))])) for w, (a, _) in enumerate(wanted)]
     codes = [f"c{i}" for i in range(n)]
@@ -53,7 +74,9 @@ def agree_sets(rows: DataFrame, n: int, wanted: list[tuple[int, int]], seen: set
     if known:
         across = across.mapInArrow(_unseen(n, held), "w int, words array<long>, pairs long")
     every = found.where(F.col("kind") == SET).select("w", "words", "pairs").unionByName(across)
-    return every.groupBy("w", "words").agg(F.sum("pairs").alias("pairs"))
+    out = every.groupBy("w", "words").agg(F.sum("pairs").alias("pairs"))
+    out._made = found
+    return out
 
 
 def _words(packed: bytes, n: int) -> list[int]:

@@ -509,8 +509,8 @@ def maximal_wide(spark, sf_dir):
     coarse = _coarse("datediff(CAST(l_shipdate AS DATE), DATE '1990-01-01')", "shiftright({x}, {k})")
     rows = load(spark, sf_dir, "lineitem").select(*[F.expr(x).alias(w) for x, w in zip(coarse, _WIDE, strict=True)])
     key, part, line = (F.col(_WIDE[i]).cast("long") for i in (0, 15, 33))  # whole ones
-    coded = written(encode(rows, rid=(key * 8 + line) * 1048576 + part, ordered=False, ranked=True))
-    found = lattice.maximal_words(agree_sets(coded.rows, 71, [(a, 1) for a in _WIDE_AT]), 71)
+    coded = written(encode(rows, rid=(key * 8 + line) * 1048576 + part, ordered=False, ranked=True, own=True))
+    found = lattice.maximal_words(agree_sets(coded.rows, 71, [(a, 1) for a in _WIDE_AT], count=coded.n), 71)
     return found.select(F.array_join(lattice.attributes(F.col("words"), 71).cast("array<string>"), ",").alias("attributes"))
 
 

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -237,6 +238,65 @@ def test_codes_are_equal_where_values_are(spark, monkeypatch, sent, wide, like):
         assert matrix.min() >= 0 and [len(set(x)) for x in matrix.T.tolist()] == e.distinct
 
 
+def files_of_shuffles(spark):
+    return sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+
+def test_own_codes_need_no_shuffle(spark):
+    """Whole numbers of many attributes are codes by themselves, equal and in order as their ranks are; no cell is dealt."""
+    r = random.Random(4)
+    rows = [(i, *(r.choice([None, -7, -3, 0, 5, 1000]) if k % 2 else r.randrange(-4, 9) >> k % 4 for k in range(30)), r.choice("xy")) for i in range(80)]
+    df = spark.createDataFrame(rows, "rid long, " + ", ".join(f"w{k} int" for k in range(30)) + ", s string")
+    plain, own = (encode(df.drop("rid"), rid=F.monotonically_increasing_id(), ordered=False, ranked=True, own=x) for x in (False, True))
+    assert "hashpartitioning" not in own.rows._jdf.queryExecution().executedPlan().toString()
+    a, b = ({x["rid"]: x for x in e.rows.collect()} for e in (plain, own))
+    for k in range(31):
+        pairs = sorted({(a[i][f"c{k}"], b[i][f"c{k}"]) for i in a})
+        assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs) and [y for _, y in pairs] == sorted(y for _, y in pairs)
+        assert 0 <= pairs[0][1] and pairs[-1][1] < 1 << own.widths[k] and own.distinct[k] >= len(pairs)
+
+
+@pytest.mark.parametrize("like", [True, False])
+def test_codes_one_shuffle_at_a_time(spark, monkeypatch, like):
+    """Large dictionaries are joined one after the other; the codes are the same, and tables on the way are gone."""
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, r.choice([None, *range(9)]), r.choice([None, "x", "y", str(i)]), r.random() if i % 3 else 0.5) for i in range(70)], "a long, b int, c string, d double")
+    expected = encode(df, like, F.col("a"), ranked=True)
+    want = {x["rid"]: (*x,) for x in expected.rows.collect()}
+    monkeypatch.setattr(codes, "STEPS", 0)
+    monkeypatch.setattr(codes, "SENT", 0)
+    e = encode(df, like, F.col("a"), ranked=True)
+    made = [x._cut_path for x in e.made]
+    assert len(made) > 1 and e.attributes == expected.attributes
+    assert {x["rid"]: (*x,) for x in written(e).rows.collect()} == want
+    assert not any(os.path.exists(x.removeprefix("file:")) for x in made)
+
+
+def test_shuffles_go_with_the_table_they_were_for(spark):
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = files_of_shuffles(spark)
+    cut(df)
+    for _ in range(50):  # they go beside what runs
+        if files_of_shuffles(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert files_of_shuffles(spark) <= before
+
+
+def test_sampling_by_attributes_and_values(spark, monkeypatch):
+    """Sorts of some attributes, or some values of one, find what one sort finds."""
+    r = random.Random(8)
+    rows = [(i, r.randrange(6), r.randrange(4), r.choice([None, "x", "y"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "rid long, a int, b int, c string")
+    coded = written(encode(df.drop("rid"), rid=F.monotonically_increasing_id(), ordered=False, ranked=True, own=True))
+    wanted = [(0, 1), (1, 3), (2, 1)]
+    found = lambda **x: {(y["w"], y["words"] and tuple(y["words"])): y["pairs"] for y in sample.agree_sets(coded.rows, 3, wanted, {0b011}, **x).collect()}
+    whole = found()
+    for most in (1200, 180):  # two attributes at a time; four slices of the values of one
+        monkeypatch.setattr(sample, "SORTED", most)
+        assert found(count=200) == whole
+
+
 def test_maximal_sets(spark):
     r = random.Random(2)
     masks = {r.randrange(1 << 12) & r.randrange(1 << 12) for _ in range(300)} | {0, 1 << 62}
