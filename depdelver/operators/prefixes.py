@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depdelver.operators.metrics import worth_caching
-from depdelver.operators.validate import expanded
+from depdelver.operators.validate import GROUPED, Layout, expanded
 from depdelver.session import cut, drop_cut, size_of
 
 Prefix = tuple[int, ...]
@@ -34,8 +34,8 @@ class PrefixTables:
     tables with the fewest reads go, of those the largest first, and are not made again.
     """
 
-    def __init__(self, rows: DataFrame, n: int, records: int, budget: int):
-        self.n, self.budget = n, budget
+    def __init__(self, rows: DataFrame, n: int, records: int, budget: int, widths: list[int] | None = None):
+        self.n, self.budget, self.layout = n, budget, Layout.of(n, widths)
         self.tables: dict[Prefix, Table] = {(): Table(rows, records, 1)}
         self.black: set[Prefix] = set()
         self.columns = ["rid", *[f"c{i}" for i in range(n)], "alone"]
@@ -61,15 +61,25 @@ class PrefixTables:
         return at.rows
 
     def make(self, wanted: list[Prefix]) -> None:
-        """Tables of several prefixes by one aggregation, which counts clusters, and one join, which picks rows."""
+        """Tables of several prefixes by one aggregation, which counts clusters, and one join, which picks rows; of so
+        many at once that GROUPED rows are in an exchange, or of one."""
         wanted = [p for p in wanted if p not in self.tables and p not in self.black and self.known(p).records]
-        if not wanted:
-            return
+        some, total = [], 0
+        for p in wanted:
+            own = self.tables[self.held(p)].records
+            if some and total + own > GROUPED:
+                self._make(some)
+                some, total = [], 0
+            some, total = [*some, p], total + own
+        if some:
+            self._make(some)
+
+    def _make(self, wanted: list[Prefix]) -> None:
         by: dict[Prefix, list[tuple[int, list[int]]]] = {}
         for s, p in enumerate(wanted):
             by.setdefault(self.held(p), []).append((s, list(p)))
         tables = [(self.tables[p].rows, sets) for p, sets in by.items()]
-        sizes = cut(expanded(tables, []).groupBy("s", "key").agg(F.count("*").alias("k")).where("k > 1"))
+        sizes = cut(expanded(tables, [], layout=self.layout).groupBy("s", "key").agg(F.count("*").alias("k")).where("k > 1"))
         found = {r["s"]: r for r in sizes.groupBy("s").agg(F.count("*").alias("clusters"), F.sum("k").alias("records")).collect()}  # a row a prefix
         keep = []
         for s, p in enumerate(wanted):
@@ -80,7 +90,7 @@ class PrefixTables:
                 keep.append(s)
         if keep:
             picked = [(rows, [x for x in sets if x[0] in keep]) for rows, sets in tables]
-            rows = expanded([x for x in picked if x[1]], self.columns).join(sizes.where(F.col("s").isin(keep)), ["s", "key"], "left_semi")
+            rows = expanded([x for x in picked if x[1]], self.columns, layout=self.layout).join(sizes.where(F.col("s").isin(keep)), ["s", "key"], "left_semi")
             every = cut(rows.select(F.col("s").alias("set"), *self.columns), by="set")
             for s in keep:
                 t = self.tables[wanted[s]]

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from depdelver.functions import bits
 from depdelver.operators.codes import encode
 from depdelver.operators.partitions import name
+from depdelver.session import freed
 
 #: Attributes of the prefixes whose partitions a task keeps, and bytes of those.
 PREFIX, CACHE_BYTES = 3, 256 << 20
@@ -25,6 +26,8 @@ PREFIX, CACHE_BYTES = 3, 256 << 20
 
 #: Shares of the clusters, in SHARES parts, that candidates meet one after the other: 1, then 15.
 SHARES, FIRST = 16, 1
+#: Rows, once for each set that they are grouped by, of one exchange.
+GROUPED = 32_000_000
 
 
 def without(alone: Column, members: list[int]) -> Column:
@@ -46,31 +49,67 @@ def share(members: list[int]) -> Column:
     return F.pmod(mixed, F.lit(SHARES))
 
 
-def expanded(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], kept: list[str], shares: range = range(SHARES)) -> DataFrame:
+@dataclass(frozen=True)
+class Layout:
+    """Where the codes of each attribute are in a row's words: (word, shift, bits)."""
+
+    places: list[tuple[int, int, int]]
+
+    @staticmethod
+    def of(n: int, widths: list[int] | None = None) -> Layout:
+        """Codes side by side, as many as a word of 63 bits has room for; by themselves where ``widths`` are not known."""
+        places, word, used = [], -1, 64
+        for width in widths or [64] * n:
+            if used + width > bits.WORD:
+                word, used = word + 1, 0
+            places.append((word, used, width))
+            used += width
+        return Layout(places)
+
+    def mask(self, i: int) -> int:
+        """The bits of an attribute, as a BIGINT."""
+        _, shift, width = self.places[i]
+        return -1 if width > bits.WORD else ((1 << width) - 1) << shift
+
+    def words(self, members: list[int] | None = None) -> list[Column]:
+        """The words with the codes of all attributes, or those that have some of ``members``, with their codes only."""
+        by: dict[int, Column] = {}
+        for i in range(len(self.places)) if members is None else members:
+            word, shift, _ = self.places[i]
+            code = F.col(f"c{i}").cast("long")
+            code = F.shiftleft(code, shift) if shift else code
+            by[word] = by[word].bitwiseOR(code) if word in by else code
+        return [by[w] for w in sorted(by)]
+
+
+def expanded(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], kept: list[str | Column], shares: range = range(SHARES), layout: Layout | None = None) -> DataFrame:
     """(s, key, columns ``kept``): every row once for each of the sets (s, attributes) of its table, unless it is in no
-    cluster of it, or in one outside of ``shares``."""
+    cluster of it, or in one outside of ``shares``. The key has the codes of the set, by ``layout`` if there is one."""
     out = None
     every = len(shares) == SHARES
     for table, sets in tables:
-        one = lambda s, m: F.when(without(F.col("alone"), m) & (F.lit(True) if every or not m else share(m).between(shares[0], shares[-1])), F.struct(F.lit(s).alias("s"), F.array(*[F.col(f"c{i}").cast("long") for i in m]).cast("array<long>").alias("key")))
-        part = table.select(F.explode(F.array(*[one(s, m) for s, m in sets])).alias("x"), *kept).where("x IS NOT NULL").select("x.s", "x.key", *kept)
+        one = lambda s, m: F.when(without(F.col("alone"), m) & (F.lit(True) if every or not m else share(m).between(shares[0], shares[-1])), F.struct(F.lit(s).alias("s"), F.array(*([F.col(f"c{i}").cast("long") for i in m] if layout is None else layout.words(m))).cast("array<long>").alias("key")))
+        named = table.select(F.explode(F.array(*[one(s, m) for s, m in sets])).alias("x"), *kept).where("x IS NOT NULL")
+        part = named.select("x.s", "x.key", *[c for c in named.columns if c != "x"])
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def violations(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], rhs: dict[int, list[int]], n: int, shares: range = range(SHARES)) -> DataFrame:
+def violations(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], rhs: dict[int, list[int]], n: int, shares: range = range(SHARES), widths: list[int] | None = None) -> DataFrame:
     """(s, found): of each set that does not determine all its right-hand sides, for each attribute, the words of the
     largest agree set of a cluster with two values of it (null: it is none of these).
 
     ``tables``: coded rows and the sets (number, attributes) that are asked of them. One exchange,
-    whatever the number of sets: rows are dealt by set and cluster, minima and maxima of codes
-    merged before. In a cluster with two values of A, some two rows agree on all attributes
+    whatever the number of sets: rows are dealt by set and cluster, the bits that all of them and that any of them
+    have merged before. Codes are the same throughout a cluster where these bits are, and lie side by side in
+    words (``widths``: the bits of each attribute's codes). In a cluster with two values of A, some two rows agree on all attributes
     that are the same throughout and differ in A; that set refutes more than the candidate.
     """
-    codes = [F.col(f"c{i}") for i in range(n)]
-    stats = [f(c).alias(f"{k}{i}") for i, c in enumerate(codes) for k, f in (("a", F.min), ("b", F.max))]
-    groups = expanded(tables, [f"c{i}" for i in range(n)], shares).groupBy("s", "key").agg(*stats)
-    flags = [F.col(f"a{i}") == F.col(f"b{i}") for i in range(n)]
+    layout = Layout.of(n, widths)
+    codes = [w.alias(f"p{j}") for j, w in enumerate(layout.words())]
+    stats = [f(F.col(f"p{j}")).alias(f"{k}{j}") for j in range(len(codes)) for k, f in (("a", F.bit_and), ("b", F.bit_or))]
+    groups = expanded(tables, codes, shares, layout).groupBy("s", "key").agg(*stats)
+    flags = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")).bitwiseAND(F.lit(layout.mask(i)).cast("long")) == 0 for i, (w, _, _) in enumerate(layout.places)]
     words = bits.words(flags)
     masks = F.array(*[F.array(*[F.lit(bits.of(rhs.get(s, ())) >> bits.WORD * w & (1 << bits.WORD) - 1).cast("long") for w in range(-(-n // bits.WORD))]) for s in range(max(rhs) + 1)])
     open_ = F.transform(F.arrays_zip(words.alias("w"), F.element_at(masks, F.col("s") + 1).alias("m")), lambda x: x["m"].bitwiseAND(F.bitwise_not(x["w"])))
@@ -81,33 +120,57 @@ def violations(tables: list[tuple[DataFrame, list[tuple[int, list[int]]]]], rhs:
     return shown.select("s", "w", "o", size.alias("size")).groupBy("s").agg(*best).select("s", F.array(*[F.col(f"x{i}.w") for i in range(n)]).alias("found"))
 
 
-def by_groups(rows: DataFrame, candidates: dict[int, list[int]], n: int, tables: dict[int, DataFrame] | None = None, stages: bool = False) -> list[tuple[int, int, int]]:
+def by_groups(rows: DataFrame, candidates: dict[int, list[int]], n: int, tables: dict[int, DataFrame] | None = None, stages: bool = False, widths: list[int] | None = None, sizes: dict[int, int] | None = None) -> list[tuple[int, int, int]]:
     """The invalid ones of ``candidates`` (left-hand side: right-hand sides) as (lhs, rhs, agree set), over coded rows of ``n`` attributes.
 
     All left-hand sides are one scan (of each table) and one exchange; a row for each that is
     invalid reaches the driver. ``tables``: for a left-hand side, the rows that are in clusters of a
     part of it, which are all that matter. ``stages``: candidates first meet a share of their
-    clusters, and only those without a violation there meet the other ones.
+    clusters, and only those without a violation there meet the other ones. ``sizes``: rows of the table of each
+    left-hand side; where they are more than GROUPED together, there are several exchanges one after the other, each
+    of some left-hand sides, or some shares of the clusters of one, and its files go before the next one.
     """
     lhss, out = list(candidates), []
     left = {s: candidates[x] for s, x in enumerate(lhss)}
     for shares in (range(FIRST), range(FIRST, SHARES)) if stages else (range(SHARES),):
-        by: dict[int, tuple[DataFrame, list]] = {}
-        for s in left:
-            table = (tables or {}).get(lhss[s], rows)
-            by.setdefault(id(table), (table, []))[1].append((s, bits.members(lhss[s])))
-        if not by:
-            break
-        for row in violations(list(by.values()), left, n, shares).collect():
-            s = row["s"]
-            refuted = [(lhss[s], a, bits.from_words(w)) for a, w in enumerate(row["found"]) if w is not None and a in left[s]]
-            out += refuted
-            left[s] = [a for a in left[s] if a not in {a for _, a, _ in refuted}]
+        for some, part in _jobs({s: (sizes or {}).get(lhss[s], 0) if lhss[s] else 0 for s in left}, shares):
+            by: dict[int, tuple[DataFrame, list]] = {}
+            open_ = {s: left[s] for s in some if left[s]}
+            for s in open_:
+                table = (tables or {}).get(lhss[s], rows)
+                by.setdefault(id(table), (table, []))[1].append((s, bits.members(lhss[s])))
+            if not by:
+                continue
+            with freed(rows.sparkSession):
+                found = violations(list(by.values()), open_, n, part, widths).collect()
+            for row in found:
+                s = row["s"]
+                refuted = [(lhss[s], a, bits.from_words(w)) for a, w in enumerate(row["found"]) if w is not None and a in left[s]]
+                out += refuted
+                left[s] = [a for a in left[s] if a not in {a for _, a, _ in refuted}]
         # A set without attributes has one cluster, which is in every share.
         left = {s: rhs for s, rhs in left.items() if rhs and lhss[s]}
     return out
 
 
+def _jobs(sizes: dict[int, int], shares: range) -> Iterator[tuple[list[int], range]]:
+    """The sets (number: rows) and the shares of their clusters that are grouped at once."""
+    some, total = [], 0
+    for s, size in sorted(sizes.items(), key=lambda x: x[1]):
+        own = size * len(shares) // SHARES
+        if own > GROUPED:  # a set by itself
+            width = max(1, GROUPED * SHARES // size)
+            for first in range(shares.start, shares.stop, width):
+                yield [s], range(first, min(first + width, shares.stop))
+            continue
+        if some and total + own > GROUPED:
+            yield some, shares
+            some, total = [], 0
+        some, total = [*some, s], total + own
+    if some:
+        yield some, shares
+
+
 def valid_flags(df: DataFrame, candidates: list[tuple[list[str], str]], null_equals_null: bool = True, ranked: bool = False) -> DataFrame:
     """(lhs, rhs, valid, share) for a list of candidates by name: all left-hand sides by one scan and one exchange.
 

@@ -20,7 +20,7 @@ from depdelver.operators.prefixes import PrefixTables
 from depdelver.operators.sample import agree_sets
 from depdelver.plans.discover import discover_fds
 from depdelver.sources.csv import CsvDescriptor, render_line, write_text
-from depdelver.session import cut, shared_dir
+from depdelver.session import cut, drop_cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -321,11 +321,12 @@ _PREFIXES = [("l_suppkey", "l_quantity"), ("l_partkey", "l_quantity"), ("l_suppk
 )
 def prefix_tables(spark, sf_dir):
     """Clusters of several sets of attributes, and the rows in them, by one aggregation of coded rows."""
-    coded = written(encode(load(spark, sf_dir, "lineitem"), ordered=False))
-    held = PrefixTables(coded.rows, len(_L), coded.n, 1 << 40)
+    coded = written(encode(load(spark, sf_dir, "lineitem"), ordered=False, own=True))
+    held = PrefixTables(coded.rows, len(_L), coded.n, 1 << 40, coded.widths)
     held.make([tuple(_L.index(c) for c in p) for p in _PREFIXES])
     found = [held.tables[tuple(_L.index(c) for c in p)] for p in _PREFIXES]  # a row a prefix
     held.close()
+    drop_cut(coded.rows)
     return spark.createDataFrame([(",".join(p), t.clusters, t.records) for p, t in zip(_PREFIXES, found, strict=True)], "prefix string, clusters long, records long")
 
 
