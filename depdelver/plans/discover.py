@@ -99,7 +99,7 @@ def _search(df: DataFrame, config: FDConfig, metrics: Metrics) -> list[tuple[lis
         at = sorted((i for i, c in enumerate(columns) if c not in constants), key=lambda i: -distinct[i])
         order = [columns[i] for i in at]
     else:
-        coded = encode(df, config.null_equals_null, spread=n <= SPREAD)
+        coded = encode(df, config.null_equals_null, spread=n <= SPREAD, own=True)
         order, constants = coded.attributes, coded.constants
         at = [columns.index(c) for c in order]
     metrics.order = order
@@ -194,11 +194,11 @@ class Groups:
         self.coded, self.config, self.n = coded, config, len(coded.attributes)
         self.per_job = config.sets_per_job
         self.attributes = list(range(self.n))
-        self.prefixes = PrefixTables(coded.rows, self.n, coded.n, config.pli_cache_table_bytes)
+        self.prefixes = PrefixTables(coded.rows, self.n, coded.n, config.pli_cache_table_bytes, coded.widths)
 
     def sample(self, wanted: list[tuple[int, int]], seen: set[int]) -> dict[int, tuple[set[int], int]]:
         out: dict[int, tuple[set[int], int]] = {a: (set(), 0) for a, _ in wanted}
-        for r in agree_sets(self.coded.rows, self.n, wanted, seen).collect():  # distinct agree sets that are new
+        for r in agree_sets(self.coded.rows, self.n, wanted, seen, self.coded.n).collect():  # distinct agree sets that are new
             a = wanted[r["w"]][0]
             out[a] = (out[a][0] if r["words"] is None else out[a][0] | {bits.from_words(r["words"])}, out[a][1] + r["pairs"])
         return out
@@ -215,7 +215,8 @@ class Groups:
         tables = {x: self.prefixes.read(m, longest) for x, m in members.items()}
         # Nothing agrees on one without rows: all that it is asked for is true.
         asked = {x: rhs for x, rhs in candidates.items() if tables[x] is not None}
-        return validate.by_groups(self.coded.rows, asked, self.n, tables, self.coded.n >= self.STAGES)
+        sizes = {x: self.prefixes.tables[self.prefixes.held(members[x][:longest])].records for x in asked}
+        return validate.by_groups(self.coded.rows, asked, self.n, tables, self.coded.n >= self.STAGES, self.coded.widths, sizes)
 
     def close(self) -> None:
         self.prefixes.close()

@@ -7,6 +7,7 @@ from fixtures import FIXTURES, bridges, relation
 
 from depdelver.config import FDConfig
 from depdelver.functions import bits
+from depdelver.operators import prefixes, sample, validate
 from depdelver.operators.codes import encode, written
 from depdelver.operators.prefixes import PrefixTables
 from depdelver.operators.validate import by_groups, violations
@@ -84,6 +85,39 @@ def test_groups_by_rows_of_prefixes(spark, seed, monkeypatch):
             assert found(frame(spark, columns, rows), strategy="group", null_equals_null=like, pli_cache_table_bytes=budget) == brute_fds(columns, rows, like)
 
 
+def test_jobs_of_bounded_rows(monkeypatch):
+    """Sets are grouped so many at once that the rows of an exchange are bounded, and one that is larger by shares of its clusters."""
+    monkeypatch.setattr(validate, "GROUPED", 1000)
+    sizes = {0: 300, 1: 5000, 2: 900, 3: 0, 4: 700}
+    met = [(s, k) for some, part in validate._jobs(sizes, range(1, 16)) for s in some for k in part]
+    assert sorted(met) == [(s, k) for s in sizes for k in range(1, 16)]
+    assert all(sum(sizes[s] for s in some) * len(part) / 16 <= 1000 for some, part in validate._jobs(sizes, range(1, 16)))
+
+
+@pytest.mark.parametrize("seed", range(40, 42))
+def test_groups_in_bounded_jobs(spark, seed, monkeypatch):
+    """Exchanges, sorts and prefix tables of few rows at once give what all rows at once give."""
+    for x in (validate, prefixes):
+        monkeypatch.setattr(x, "GROUPED", 60)
+    monkeypatch.setattr(sample, "SORTED", 120)
+    for k, v in (("STRIP", 0), ("ALIKE", 1), ("STAGES", 0)):
+        monkeypatch.setattr(Groups, k, v)
+    r = random.Random(seed)
+    rows = [(i // 2, r.choice("xy"), r.choice(["p", "q", None]), i % 7 - 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "a long, b string, c string, d int")
+    assert found(df, strategy="group") == brute_fds(df.columns, rows)
+
+
+def test_packed_codes_refute_alike(spark):
+    """Codes side by side in words tell what codes by themselves tell."""
+    coded = written(encode(lineitem(spark), own=True))
+    n = len(coded.attributes)
+    asked = {1 << i | 1 << j: [a for a in range(n) if a not in (i, j)] for i in range(0, n, 2) for j in range(i + 1, n, 3)}
+    assert max(x for x, _, _ in validate.Layout.of(n, coded.widths).places) <= 2
+    one, packed = (by_groups(coded.rows, asked, n, widths=x) for x in (None, coded.widths))
+    assert sorted(one) == sorted(packed) and one
+
+
 def test_broadcast_checks_the_size(spark):
     with pytest.raises(ValueError):
         discover_fds(frame(spark, ["a", "b"], [("x" * 50, "y")] * 5), strategy="broadcast", broadcast_bytes=100)
