@@ -13,12 +13,16 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depdelver.session import cut, shared_dir
 
+#: Bytes of a file that a task reads at least where splits are smaller.
+TASK_BYTES = 32 << 20
+
 
 @dataclass(frozen=True)
 class CsvDescriptor:
@@ -68,7 +72,16 @@ class CsvDescriptor:
             lines = spark.read.option("lineSep", "\n").text(self.file)
             plain = self.charset.upper() in ("UTF-8", "UTF8", "US-ASCII")  # else one that has line feeds as ASCII has
             value = F.col("value") if plain else F.decode(F.col("value").cast("binary"), self.charset)
-        return lines.select(value.alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        out = lines.select(value.alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        return self._gathered(out)
+
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        """With so many small splits a task that tasks read TASK_BYTES each, if all cores have some; lines keep their numbers."""
+        sc = rows.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(self.file)
+        files = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        tasks = max(4 * sc.defaultParallelism, -(-sum(files.getContentSummary(x.getPath()).getLength() for x in files.globStatus(p) or []) // TASK_BYTES))
+        return rows.coalesce(tasks) if rows.rdd.getNumPartitions() > tasks else rows
 
     def _flagged(self, lines: DataFrame) -> DataFrame:
         """With whether a quote is open at a line's end, if the line begins outside of quotes (out) and if it begins inside (in)."""
@@ -114,20 +127,22 @@ class CsvDescriptor:
         if inside:
             raise ValueError(f"{file} ends inside quotes")
         head = self._head(flagged, min(ends), begins)
-        pieces = flagged.mapInArrow(_joiner(begins), "key long, seq int, value binary").withColumn("value", F.col("value").cast("string"))
+        held = flagged.sparkSession.sparkContext.broadcast(begins)  # read once a worker, not once a task
+        pieces = flagged.mapInArrow(_joiner(held), "key long, seq int, value binary").withColumn("value", F.col("value").cast("string"))
         if not over:
             return pieces.select("value"), head
-        pieces = cut(pieces)
+        pieces = self._gathered(cut(pieces))
         texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"])
         long_ = pieces.where("key IS NOT NULL").groupBy("key").agg(F.count_if(F.col("value").isNull()).alias("heads"), F.array_join(texts, "\n").alias("value"))
         return pieces.where("key IS NULL").select("value").unionByName(long_.where("heads = 0").select("value")), head
 
     def _head(self, flagged: DataFrame, first: tuple[str, int], begins: dict) -> list[str]:
         """The fields of the first record of the first file."""
-        own = flagged.where(F.col("path") == first[0])
+        starts = sorted(start for path, start in begins if path == first[0])
         n = 64
-        while True:
-            rows = own.orderBy("start", "at").limit(n + self.skip_lines).collect()
+        while True:  # the first splits have it, as a split has a line at least
+            near = starts[min(n + self.skip_lines, len(starts)) - 1]
+            rows = flagged.where((F.col("path") == first[0]) & (F.col("start") <= near)).orderBy("start", "at").limit(n + self.skip_lines).collect()
             text, inside = [], False
             for r in rows[self.skip_lines :]:
                 text.append(r["value"])
@@ -248,12 +263,12 @@ def _ends(skip: dict[tuple[str, int], int]):
     return run
 
 
-def _joiner(begins: dict[tuple[str, int], Begin]):
-    """The records of each split; a piece of one that begins before or ends after it has a key, and a null value is the piece of a header."""
+def _joiner(held: Broadcast[dict[tuple[str, int], Begin]]):
+    """The records of each split, by the begins of all; a piece of one that begins before or ends after it has a key, and a null value is the piece of a header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Of the split at hand: its begin, the lines of the record at hand, where that began (here) or its key (before).
-        part = at = None
+        part, at, begins = None, None, held.value
         inside, header, left, own, begun, key = False, False, 0, [], -1, None
 
         def rows(found: list[tuple]) -> pa.RecordBatch:

@@ -136,6 +136,21 @@ def test_csv_with_line_feeds_in_quotes(spark, tmp_path, size, files):
         assert got == [tuple(v or None for v in x) for x in rows]
 
 
+def test_csv_of_many_splits_is_few_tasks(spark, tmp_path):
+    """Splits far smaller than a task may be are read many a task; their lines keep their numbers, and the records are whole."""
+    rows = [(str(i), f"a\n{i}\nb" if i % 3 else "x") for i in range(900)]
+    (tmp_path / "k.csv").write_text('n,t\n' + "".join(f'{n},"{t}"\n' for n, t in rows))
+    made = CsvDescriptor(name="k", path=str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        lines = made._lines(spark)
+        assert lines.select("start").distinct().count() > 80 and lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert lines.select("at").distinct().count() == lines.count()
+        assert sorted(map(tuple, made.read(spark).collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_quotes(spark, tmp_path):
     (tmp_path / "v.csv").write_text('a,b\n1,"x\ny"\n2,z\n5,in"side\n')
     assert sorted(map(tuple, CsvDescriptor(name="v", path=str(tmp_path)).read(spark).collect())) == [("1", "x\ny"), ("2", "z"), ("5", 'in"side')]
