@@ -108,6 +108,21 @@ def test_groups_in_bounded_jobs(spark, seed, monkeypatch):
     assert found(df, strategy="group") == brute_fds(df.columns, rows)
 
 
+@pytest.mark.parametrize("strategy", ["auto", "group"])
+def test_pairs_of_lineitem_in_bounded_exchanges(spark, monkeypatch, strategy):
+    """No exchange has more rows than it may, and all left-hand sides of two attributes are validated."""
+    monkeypatch.setattr(discover, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(validate, "GROUPED", 13_000)
+    rows = lineitem(spark)
+    asked, plain = [], validate.violations
+    monkeypatch.setattr(validate, "violations", lambda tables, *x: (asked.append(sum(len(sets) for _, sets in tables)), plain(tables, *x))[1])
+    metrics = Metrics()
+    got = found(rows, strategy=strategy, max_lhs_size=2, metrics=metrics)
+    assert metrics.strategy == "Groups" and len(asked) > metrics.jobs and max(asked) * rows.count() <= 13_000
+    monkeypatch.setattr(discover, "BROADCAST_BYTES", 1 << 30)
+    assert got == found(rows, strategy="broadcast", max_lhs_size=2)
+
+
 def test_packed_codes_refute_alike(spark):
     """Codes side by side in words tell what codes by themselves tell."""
     coded = written(encode(lineitem(spark), own=True))
